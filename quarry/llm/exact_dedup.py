@@ -135,3 +135,12 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits:
     return keyed.join(groups, ["level", "name"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of docs, all columns, of each group of equal texts: that of the largest doc_id."""
+    rows = exact_duplicates(docs).where("kept").select(*_as_key("doc_id"), F.col("text_sha256").alias("kept_sha256")).distinct()
+    keyed = docs.select("*", *_as_key("doc_id")).withColumns({"kept_sha256": F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)})
+    kept = keyed.join(rows, ["doc_id_key", "doc_id_null", "kept_sha256"], "left_semi")
+    one = Window.partitionBy("doc_id_key", "doc_id_null", "kept_sha256").orderBy(F.lit(0))
+    return kept.withColumn("copy", F.row_number().over(one)).where("copy = 1").select(*docs.columns)

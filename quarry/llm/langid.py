@@ -217,3 +217,31 @@ def language_id(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, hidden
     """doc_id, held_out, lang_pred, score."""
     out = predict(docs, learned(docs, per_language, hidden))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def _identified(model: Model, place: int, least: float):
+    def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        score = _scored(model)
+        for batch in batches:
+            text = batch.column(place).fill_null("")
+            lettered = pc.match_substring_regex(text, r"\p{L}")
+            numbers = pa.array(np.arange(batch.num_rows))
+            rows = pa.RecordBatch.from_arrays([numbers, lettered, text.cast(pa.binary())], ["doc_id", "lettered", "raw"])
+            for scored in score(iter([rows])):
+                known = np.asarray(scored.column(1)) != UNKNOWN
+                yield batch.filter(pa.array(known & (np.asarray(scored.column(2)) >= least)))
+
+    return identified
+
+
+#: A document whose best language has a lower probability is of no clear language.
+LEAST_SCORE = 0.3
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs, all columns, whose language is known; all rows with a letter where nothing could be learned."""
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return docs.mapInArrow(_identified(model, docs.columns.index("text"), min(least, 1 / len(model.languages))), docs.schema)

@@ -197,3 +197,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, tree_nodes
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of docs, all columns, but for those of a class that has a document of a lesser id."""
+    dropped = near_duplicates(docs, words, radius).where("doc_id > component_id").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
