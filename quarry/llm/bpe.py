@@ -14,7 +14,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Words that a worker keeps; beyond it the store starts anew. It bounds memory, results do not depend on it.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 1_000_000
+#: Marks that a word may end with.
+STOPS = ".,;:!?"
 #: Characters of a text that are cut into words at once.
 SLICE = 1 << 20
 
@@ -59,6 +61,7 @@ class BpeEncoder:
         self.kept = kept
         self.words: dict[str, bytes | None] = {}
         self.heads: dict[str, bytes] = {}
+        self.stops = dict(zip(STOPS, self._encode(list(STOPS)), strict=True))
         vocabulary = self.tokenizer.get_vocab()
         self.n_ids = max(vocabulary.values()) + 1
         self.opens = np.zeros(self.n_ids, bool)  # ids whose piece starts with a space
@@ -74,10 +77,17 @@ class BpeEncoder:
             self.words.clear()
             self.heads.clear()
             new = needed
-        unsafe = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        unsafe = {w for w in new if not w or len(w.strip()) < len(w)}
         self.words.update(dict.fromkeys(unsafe))
-        if not (known := list(new - unsafe)):
-            return
+        # a stop after a letter is cut off the word before merges, so the word's own ids serve
+        stopped = {w for w in new - unsafe if w[-1:] in self.stops and w[-2:-1].isalpha()}
+        known = list(({w[:-1] for w in stopped}.difference(self.words) | new).difference(unsafe, stopped))
+        if known:
+            self._add(known)
+        words, stops = self.words, self.stops
+        words.update([(w, words[w[:-1]] + stops[w[-1]]) for w in stopped])
+
+    def _add(self, known: list[str]) -> None:
         ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(known)], add_special_tokens=False)[0].ids, "<u4")
         starts = np.flatnonzero(self.opens[ids])
         if len(starts) != len(known):
@@ -86,10 +96,15 @@ class BpeEncoder:
         self.words.update(zip(known, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
 
     def _head(self, part: str) -> bytes:
+        """The ids of a text's first word, which has no space before it."""
         if part not in self.heads:
-            self.heads[part] = self._encode([part])[0]
+            self._learn_heads({part})
         return self.heads[part]
 
+    def _learn_heads(self, parts: set[str]) -> None:
+        if new := list(parts.difference(self.heads)):
+            self.heads.update(zip(new, self._encode(new), strict=True))
+
     def _merged(self, parts: list[str], opened: bool) -> bytes:
         """The ids of parts, some of which touch other white space; opened: a space stands before the first."""
         runs, run = [], [parts[0]]
@@ -134,4 +149,5 @@ class BpeEncoder:
     def _batch(self, texts: list[str]) -> list[bytes]:
         split = [text.split(" ") for text in texts]
         self._learn(set().union(*(s[1:] for s in split)))
+        self._learn_heads({s[0] for s in split})
         return [self._one(s) for s in split]

@@ -31,6 +31,7 @@ from quarry.llm.common import doc_columns
 
 TIERS = (256, 512, 1024, 2048)
 BLOCK_TOKENS = 2_000_000
+BATCH = 128
 STEP_WINDOWS = 32
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, tier long, step_group long"
 
@@ -155,9 +156,9 @@ def _packed(tokenizer: str, end_id: int, tiers: tuple[int, ...], block_tokens: i
                 yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in zip(*rows, strict=True)], NAMES)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                made = enc.ids(batch.column(1).slice(at, 512).to_pylist())
-                for doc_id, raw in zip(batch.column(0).slice(at, 512).to_pylist(), made, strict=True):
+            for at in range(0, batch.num_rows, BATCH):
+                made = enc.ids(batch.column(1).slice(at, BATCH).to_pylist())
+                for doc_id, raw in zip(batch.column(0).slice(at, BATCH).to_pylist(), made, strict=True):
                     held.append((doc_id, raw + end, 0))
                     waiting += len(raw) // 4 + 1
                     if waiting >= block_tokens:
