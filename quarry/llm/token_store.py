@@ -33,7 +33,7 @@ from quarry.llm.common import doc_columns, fresh_dir, local_path, open_fs
 
 HEADER = "<4sIIQQ"
 HEADER_SIZE = struct.calcsize(HEADER)
-BATCH = 512
+BATCH = 128
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, uri: str | None =
     """Encodes docs (doc_id, text), ends each document with end_id and writes the store in ascending doc_id order."""
     spark = docs.sparkSession
     uri = uri or fresh_dir(spark, "tokens")
-    ordered = doc_columns(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = doc_columns(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = ordered.mapInArrow(_write(tokenizer, end_id, uri), "part long, file string, documents long, ids long").collect()
     files, base = [], 0
     for row in sorted(rows):
