@@ -1 +1,169 @@
-"""Queries."""
+"""Queries of graph operators (r), joins over edges (j12, j15) and set operations (u)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry import config
+from quarry.operators import graph, stats
+from quarry.plans.fixtures import ddb, quoted, view
+from quarry.plans.registry import query
+
+EDGES = "WITH RECURSIVE " + ddb("v_edges", "v_nodes")
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cut(view(spark, sf_dir, "v_edges"))
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_nodes")
+
+
+def _hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: nodes whose id is divisible by 100."""
+    return _nodes(spark, sf_dir).where("id % 100 = 0").select("id")
+
+
+@query("r01_adjacency", f"{EDGES} SELECT id, (SELECT count(*) FROM v_edges WHERE src = id) AS successors, (SELECT count(*) FROM v_edges WHERE dst = id) AS predecessors FROM (SELECT src AS id FROM v_edges UNION SELECT dst FROM v_edges) n")
+def r01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.adjacency(view(spark, sf_dir, "v_edges"))
+
+
+@query("r02_callees_callers", f"{EDGES} SELECT DISTINCT src AS query, dst AS id, 'calls' AS relation FROM v_edges WHERE src % 100 = 0 UNION ALL SELECT DISTINCT dst, src, 'called_by' FROM v_edges WHERE dst % 100 = 0")
+def r02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.related(view(spark, sf_dir, "v_edges"), _hundredths(spark, sf_dir))
+
+
+@query("r03_neighbours", f"""{EDGES}, f(query, id, depth) AS (SELECT id, id, 0 FROM v_nodes WHERE id % 100 = 0 UNION SELECT query, dst, depth + 1 FROM f JOIN v_edges ON src = id WHERE depth < 2),
+  b(query, id, depth) AS (SELECT id, id, 0 FROM v_nodes WHERE id % 100 = 0 UNION SELECT query, src, depth + 1 FROM b JOIN v_edges ON dst = id WHERE depth < 2)
+  SELECT query, id FROM f WHERE id <> query UNION SELECT query, id FROM b WHERE id <> query""")
+def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighbours(_edges(spark, sf_dir), _hundredths(spark, sf_dir), 2)
+
+
+@query("r04_call_depth", f"{EDGES}, w(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, depth + 1 FROM w JOIN v_edges ON src = id WHERE depth < 12) SELECT id, min(depth) AS depth FROM w GROUP BY id")
+def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.levels(_edges(spark, sf_dir), spark.range(1).select("id"), [])
+
+
+_SEEDS = "seeds AS (SELECT dst AS id FROM v_edges GROUP BY dst ORDER BY count(DISTINCT src) DESC, dst LIMIT 3)"
+
+
+@query("r05_traversal", f"""{EDGES}, {_SEEDS}, start(id, depth) AS (SELECT id, 0 FROM seeds UNION SELECT src, 1 FROM v_edges WHERE dst IN (SELECT id FROM seeds)),
+  w(id, depth) AS (SELECT id, depth FROM start UNION SELECT dst, depth + 1 FROM w JOIN v_edges ON src = w.id WHERE depth < {config.MAX_TRAVERSAL_DEPTH}),
+  m AS (SELECT id, min(depth) AS depth FROM w GROUP BY id) SELECT id, depth FROM m JOIN v_nodes USING (id) ORDER BY depth, complexity DESC, name, id LIMIT {config.MAX_TRAVERSAL_NODES}""")
+def r05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, nodes = _edges(spark, sf_dir), _nodes(spark, sf_dir)
+    return graph.traverse(nodes, edges, graph.cut(graph.seeds(edges, nodes.where("false"))))
+
+
+@query("r06_seeds", f"{EDGES}, {_SEEDS} SELECT id FROM seeds")
+def r06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.seeds(view(spark, sf_dir, "v_edges"), _nodes(spark, sf_dir).where("name = 'no such entry'"))
+
+
+@query("r07_shortest_paths", f"""{EDGES}, w(id, path) AS (SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT)] UNION ALL SELECT dst, list_append(path, dst) FROM w JOIN v_edges ON src = id WHERE len(path) < 6 AND NOT list_contains(path, dst)),
+  t AS (SELECT * FROM w WHERE id % 100 = 0), r AS (SELECT id, path, row_number() OVER (PARTITION BY id ORDER BY len(path), path) AS n FROM t) SELECT id, array_to_string(path, '>') AS path FROM r WHERE n = 1""")
+def r07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.shortest_paths(_edges(spark, sf_dir), 0, _hundredths(spark, sf_dir), 5)
+    return found.select("id", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query("r08_on_cycles", f"{EDGES}, c(a, b) AS (SELECT src, dst FROM v_edges UNION SELECT a, dst FROM c JOIN v_edges ON src = b) SELECT a AS id FROM c WHERE a = b")
+def r08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.on_cycles(view(spark, sf_dir, "v_edges"))
+
+
+@query("r08_short_cycles", f"""{EDGES} SELECT x.src AS a, x.dst AS b, CAST(-1 AS BIGINT) AS c FROM v_edges x JOIN v_edges y ON x.dst = y.src AND y.dst = x.src WHERE x.src < x.dst
+  UNION ALL SELECT x.src, x.dst, y.dst FROM v_edges x JOIN v_edges y ON x.dst = y.src JOIN v_edges z ON y.dst = z.src AND z.dst = x.src WHERE x.src < x.dst AND x.src < y.dst AND x.dst <> y.dst""")
+def r08_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.short_cycles(view(spark, sf_dir, "v_edges"))
+
+
+@query("r09_subgraph", f"{EDGES}, {_SEEDS}, w(id, depth) AS (SELECT * FROM (SELECT id, 0 FROM seeds LIMIT 1) UNION SELECT dst, depth + 1 FROM w JOIN v_edges ON src = id WHERE depth < 2), m AS (SELECT id, min(depth) AS depth FROM w GROUP BY id) SELECT src, dst, depth AS src_depth FROM v_edges JOIN m ON src = id")
+def r09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edges(spark, sf_dir)
+    return graph.subgraph(edges, stats.top_in_degree(edges, 1), 2)
+
+
+@query("r10_summary", f"{EDGES} SELECT (SELECT count(*) FROM v_nodes) AS nodes, (SELECT count(*) FROM v_edges) AS edges, (SELECT count(*) FROM v_nodes WHERE id NOT IN (SELECT src FROM v_edges)) AS leaves")
+def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.summary(_nodes(spark, sf_dir), view(spark, sf_dir, "v_edges"))
+
+
+@query("r11_edge_attributes", f"{EDGES} SELECT src, dst, a.file <> b.file AS cross_file, a.layer <> b.layer AS cross_layer FROM v_edges JOIN v_nodes a ON src = a.id JOIN v_nodes b ON dst = b.id")
+def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edge_attributes(_nodes(spark, sf_dir), view(spark, sf_dir, "v_edges"))
+
+
+_PRIMARY = "p AS (SELECT layer AS query, id, round(complexity / 50.0, 6) AS score, row_number() OVER (PARTITION BY layer ORDER BY complexity DESC, id) AS rank FROM v_nodes QUALIFY rank <= 12)"
+
+
+@query("r12_expansion", f"""{EDGES}, {_PRIMARY}, s AS (SELECT DISTINCT id FROM p WHERE rank <= 5),
+  f(q, id, depth) AS (SELECT id, id, 0 FROM s UNION SELECT q, dst, depth + 1 FROM f JOIN v_edges ON src = id WHERE depth < 2), b(q, id, depth) AS (SELECT id, id, 0 FROM s UNION SELECT q, src, depth + 1 FROM b JOIN v_edges ON dst = id WHERE depth < 2),
+  n AS (SELECT q, id FROM f WHERE id <> q UNION SELECT q, id FROM b WHERE id <> q), e AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY q ORDER BY id) <= 10),
+  x AS (SELECT p.query, e.id, p.score, p.rank, p.id AS chunk FROM p JOIN e ON e.q = p.id WHERE p.rank <= 5 AND NOT EXISTS (SELECT 1 FROM p o WHERE o.query = p.query AND o.id = e.id)),
+  y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY rank, chunk) = 1) SELECT query, id, round(score * 0.7, 6) AS score FROM y QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank, id) <= {config.MAX_EXPANSION_CHUNKS}""")
+def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_layer = Window.partitionBy("layer").orderBy(F.desc("complexity"), "id")
+    primary = _nodes(spark, sf_dir).select(F.col("layer").alias("query"), "id", F.round(F.col("complexity") / 50.0, 6).alias("score"), F.row_number().over(by_layer).alias("rank")).where(F.col("rank") <= config.TOP_FINAL)
+    return graph.expanded(primary, _edges(spark, sf_dir))
+
+
+@query("r13_adjacent", f"{EDGES}, {_SEEDS} SELECT DISTINCT id FROM (SELECT dst AS id FROM v_edges WHERE src = (SELECT id FROM seeds LIMIT 1) UNION SELECT src FROM v_edges WHERE dst = (SELECT id FROM seeds LIMIT 1)) n")
+def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = view(spark, sf_dir, "v_edges")
+    return graph.related(edges, stats.top_in_degree(edges, 1)).select("id").distinct()
+
+
+@query("j12_file_edges", f"{EDGES} SELECT DISTINCT a.file AS from_file, b.file AS to_file FROM v_edges JOIN v_nodes a ON src = a.id JOIN v_nodes b ON dst = b.id WHERE a.file <> b.file")
+def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.file_edges(_nodes(spark, sf_dir), view(spark, sf_dir, "v_edges"))
+
+
+@query("j15_mutual", f"{EDGES} SELECT x.src AS a, x.dst AS b FROM v_edges x WHERE x.src < x.dst AND EXISTS (SELECT 1 FROM v_edges y WHERE y.src = x.dst AND y.dst = x.src)")
+def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.mutual(view(spark, sf_dir, "v_edges"))
+
+
+@query("u01_both_directions", f"{EDGES} SELECT src AS node, dst AS other FROM v_edges UNION SELECT dst, src FROM v_edges")
+def u01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = view(spark, sf_dir, "v_edges")
+    return edges.union(graph.reversed_edges(edges)).toDF("node", "other").where("node <> other").distinct()
+
+
+@query("u02_typed_edges", f"{EDGES} SELECT DISTINCT a.file AS from_file, b.file AS to_file, CASE WHEN a.layer = b.layer THEN 'import' ELSE 'call' END AS kind FROM v_edges JOIN v_nodes a ON src = a.id JOIN v_nodes b ON dst = b.id WHERE a.file <> b.file")
+def u02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _nodes(spark, sf_dir), view(spark, sf_dir, "v_edges")
+    kinds = graph.edge_attributes(nodes, edges)
+    imports, calls = (graph.file_edges(nodes, kinds.where(test).select("src", "dst")).withColumn("kind", F.lit(kind)) for kind, test in (("import", "not cross_layer"), ("call", "cross_layer")))
+    return imports.unionByName(calls).distinct()
+
+
+@query("u03_primary_and_expanded", f"{EDGES} SELECT id, 'primary' AS role FROM v_nodes WHERE complexity > 40 UNION ALL SELECT id, 'expanded' FROM v_nodes WHERE complexity <= 2")
+def u03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(spark, sf_dir)
+    return nodes.where("complexity > 40").select("id", F.lit("primary").alias("role")).unionByName(nodes.where("complexity <= 2").select("id", F.lit("expanded").alias("role")))
+
+
+@query("u04_not_imported", f"{EDGES} SELECT id FROM v_nodes EXCEPT SELECT dst FROM v_edges")
+def u04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.orphans(_nodes(spark, sf_dir), view(spark, sf_dir, "v_edges"))
+
+
+@query("u05_required_keys", f"SELECT event_id, len(list_filter([{quoted(['k', 'v'])}], lambda x: NOT list_contains(json_keys(props), x))) = 0 AS complete FROM events")
+def u05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.plans.fixtures import table
+
+    keys = F.json_object_keys("props")
+    return table(spark, sf_dir, "events").select("event_id", (F.size(F.array_except(F.array(F.lit("k"), F.lit("v")), keys)) == 0).alias("complete"))
+
+
+@query("k12_cross_layer", "SELECT * FROM (VALUES ('entry', 'service', false), ('service', 'entry', true), ('repository', 'utility', false), ('model', 'model', false), ('repository', 'service', true), ('unknown', 'config', false)) AS t(from_layer, to_layer, crosses)")
+def k12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.operators.rules import crosses_layers
+
+    pairs = [("entry", "service"), ("service", "entry"), ("repository", "utility"), ("model", "model"), ("repository", "service"), ("unknown", "config")]
+    return spark.createDataFrame(pairs, "from_layer string, to_layer string").withColumn("crosses", crosses_layers(F.col("from_layer"), F.col("to_layer")))
