@@ -1 +1,262 @@
-"""Queries."""
+"""Queries of contexts and conversations (c), orders (t05-t10), questions (k14-k17, x17-x20) and jobs (q)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry import config
+from quarry.operators import context, rules
+from quarry.operators.filters import tokens
+from quarry.plans.fixtures import ddb, quoted, table, view
+from quarry.plans.registry import query
+
+TURNS = "WITH RECURSIVE " + ddb("v_turns")
+JOBS = "WITH " + ddb("v_jobs")
+_CLIP = "CASE WHEN length(answer) > 300 THEN left(answer, 297) || '...' ELSE answer END"
+_HIST = f"h AS (SELECT conv_id, string_agg('Q: ' || question || chr(10) || 'A: ' || {_CLIP}, chr(10) || chr(10) ORDER BY turn) AS history FROM (SELECT * FROM v_turns QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3) t GROUP BY conv_id)"
+
+
+@query("c01_history", f"{TURNS}, {_HIST} SELECT * FROM h")
+def c01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.history(view(spark, sf_dir, "v_turns"))
+
+
+@query("c02_token_budget", f"{TURNS}, {_HIST} SELECT conv_id, {config.MAX_CONTEXT_TOKENS} - least(length(history) // 4, {config.MAX_HISTORY_TOKENS}) AS budget FROM h")
+def c02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.history(view(spark, sf_dir, "v_turns")).select("conv_id", context.token_budget(F.col("history")).alias("budget"))
+
+
+@query("c03_sessions", f"{TURNS} SELECT conv_id, left(md5(CAST(conv_id AS VARCHAR)), 8) AS session_id, count(*) AS turns, max(turn) AS last_turn FROM v_turns GROUP BY conv_id")
+def c03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = view(spark, sf_dir, "v_turns").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("turn").alias("last_turn"))
+    return turns.withColumn("session_id", F.substring(F.md5(F.col("conv_id").cast("string")), 1, 8))
+
+
+@query("c04_kept_turns", "SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5")
+def c04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.kept_turns(table(spark, sf_dir, "conversations"), 5).select("conv_id", "turn", "total")
+
+
+_CHUNKS = f"""ch AS (SELECT source AS query, doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'method' WHEN 2 THEN 'class_summary' ELSE 'file_summary' END AS chunk_type, 'name' || doc_id AS name,
+  'src/f' || (doc_id % 7) || '.py' AS file, doc_id % 50 AS start_line, left(text, 600) AS content, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents)"""
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks that a source's question found, longest first."""
+    kind = F.when(F.col("doc_id") % 4 == 0, "function").when(F.col("doc_id") % 4 == 1, "method").when(F.col("doc_id") % 4 == 2, "class_summary").otherwise("file_summary")
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).cast("long")
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("query"), F.col("doc_id").alias("id"), kind.alias("chunk_type"), F.concat(F.lit("name"), F.col("doc_id")).alias("name"),
+        F.concat(F.lit("src/f"), F.col("doc_id") % 7, F.lit(".py")).alias("file"), (F.col("doc_id") % 50).alias("start_line"), F.substring("text", 1, 600).alias("content"), place.alias("place"),
+    )
+
+
+_BLOCK = "CASE WHEN chunk_type = 'function' THEN 'Function: ' || name WHEN chunk_type = 'method' THEN 'Method: ' || name WHEN chunk_type = 'class_summary' THEN 'Class: ' || name ELSE 'File: ' || file END || chr(10) || content"
+
+
+def _block():
+    return context.block(*(F.col(c) for c in ("chunk_type", "name", "file", "content")))
+
+
+@query("c05_blocks", f"WITH {_CHUNKS} SELECT id, {_BLOCK} AS block FROM ch")
+def c05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir).select("id", _block().alias("block"))
+
+
+_FILL = f"""RECURSIVE {_CHUNKS}, sz AS (SELECT *, length(content) // 4 AS tokens FROM ch), f AS (SELECT query, id, place, tokens, true AS accepted, tokens AS used FROM sz WHERE place = 1
+  UNION ALL SELECT s.query, s.id, s.place, s.tokens, f.used + s.tokens <= {config.MAX_CONTEXT_TOKENS}, f.used + CASE WHEN f.used + s.tokens <= {config.MAX_CONTEXT_TOKENS} THEN s.tokens ELSE 0 END FROM f JOIN sz s ON s.query = f.query AND s.place = f.place + 1)"""
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.filled(_chunks(spark, sf_dir).withColumn("tokens", tokens(F.col("content"))))
+
+
+@query("c07_greedy_fill", f"WITH {_FILL} SELECT query, id, CAST(used AS BIGINT) AS used FROM f WHERE accepted")
+def c07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(spark, sf_dir).select("query", "id", "used")
+
+
+@query("t06_group_by_file", f"WITH {_FILL}, k AS (SELECT s.*, min(s.place) OVER (PARTITION BY s.query, s.file) AS fp FROM f JOIN sz s USING (id) WHERE f.accepted) SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY fp, file, start_line, id) AS seat FROM k")
+def t06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.grouped_by_file(_filled(spark, sf_dir)).select("query", "id", F.col("seat").cast("long").alias("seat"))
+
+
+@query("c06_context", f"WITH {_FILL}, k AS (SELECT s.*, min(s.place) OVER (PARTITION BY s.query, s.file) AS fp FROM f JOIN sz s USING (id) WHERE f.accepted) SELECT query, string_agg({_BLOCK}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY fp, file, start_line, id) AS context FROM k GROUP BY query")
+def c06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.joined(context.grouped_by_file(_filled(spark, sf_dir)).withColumn("block", _block()))
+
+
+@query("c08_subchunks", "WITH x AS (SELECT source AS query, doc_id AS id, doc_id % 3 > 0 AS is_subchunk, 'f' || (doc_id // 3) AS parent FROM documents) SELECT query, id FROM x WHERE NOT is_subchunk OR NOT EXISTS (SELECT 1 FROM x w WHERE NOT w.is_subchunk AND w.query = x.query AND w.parent = x.parent)")
+def c08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("f"), F.expr("doc_id div 3"))
+    sub = F.col("doc_id") % 3 > 0
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("query"), F.col("doc_id").alias("id"), sub.alias("is_subchunk"), F.when(~sub, name).alias("qualified_name"), name.alias("parent_function"))
+    return context.without_parts(rows).select("query", "id")
+
+
+
+
+@query("c09_citations", """SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false), (5, false)) AS t(n, cited)""")
+def c09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, "see UserService.get for it", "UserService.get", "a/b.py", "x"), (2, "it is in B.py", "q", "a/b.py", "x"), (3, "load calls parse here", "q", "z.py", "def load(): parse()"), (4, "nothing", "load", "z.py", "def load(): parse()"), (5, "reloaded", "load", "z.py", "x")]
+    made = spark.createDataFrame(rows, "n int, answer string, name string, path string, content string")
+    return made.select("n", context.cited(*(F.col(c) for c in ("answer", "name", "path", "content"))).alias("cited"))
+
+
+@query("c10_relevance", f"WITH {_CHUNKS} SELECT id, CASE chunk_type WHEN 'function' THEN 'Function implementation' WHEN 'method' THEN 'Method implementation' WHEN 'class_summary' THEN 'Class definition' ELSE 'Module overview' END AS relevance FROM ch")
+def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir).select("id", context.relevance(F.col("chunk_type")).alias("relevance"))
+
+
+@query("t07_top_citations", f"WITH {_CHUNKS} SELECT query, id FROM ch QUALIFY row_number() OVER (PARTITION BY query ORDER BY start_line DESC, id) <= 10")
+def t07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.operators.search import top
+
+    return top(_chunks(spark, sf_dir).select("query", "id", F.col("start_line").alias("score")), 10).select("query", "id")
+
+
+@query("c11_answers", f"{TURNS} SELECT conv_id, turn, question || chr(10) || chr(10) || '---' || chr(10) || 'Sources:' || chr(10) || '• f.py:' || turn || '-' || (turn + 9) || ' — (file summary)' AS answer FROM v_turns")
+def c11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.struct(F.lit("f.py").alias("file"), F.col("turn").alias("start"), (F.col("turn") + 9).alias("end"), F.lit(None).cast("string").alias("name"))
+    return view(spark, sf_dir, "v_turns").select("conv_id", "turn", context.sourced(F.col("question"), F.array(source)).alias("answer"))
+
+
+@query("c11_no_answer", "SELECT * FROM (VALUES ('where is UserService?', 'No relevant code was found. Related questions:' || chr(10) || '• Where is UserService defined?' || chr(10) || '• What are the main classes or functions?'), ('hello', 'No relevant code was found. Related questions:' || chr(10) || '• What files are in this repository?' || chr(10) || '• What are the main classes or functions?')) AS t(question, answer)")
+def c11_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([("where is UserService?",), ("hello",)], "question string").select("question", context.no_answer(F.col("question")).alias("answer"))
+
+
+@query("c12_file_budget", """WITH e AS (SELECT source AS repo, doc_id, array_to_string(list_slice(string_split(text, chr(10)), 1, 80), chr(10)) AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents),
+  b AS (SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY repo ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM e) SELECT repo, 'f' || doc_id AS path, left(x, CAST(14000 - used AS INT)) AS excerpt FROM b WHERE used < 14000""")
+def c12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return context.file_budget(table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.concat(F.lit("f"), "doc_id").alias("path"), F.col("text").alias("content"), place.alias("place")))
+
+
+@query("c14_story_json", """SELECT * FROM (VALUES (1, '{"a": 1, "b": 2}', true), (2, '{"a": 1}', false), (3, 'no json', false)) AS t(n, json, valid)""")
+def c14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, '```json\n{"a": 1, "b": 2}\n```'), (2, '{"a": 1}'), (3, "no json")], "n int, raw string")
+    return rows.select("n", context.story_json(F.col("raw"), ["a", "b"]).alias("x")).select("n", "x.*")
+
+
+@query("c15_prompt")
+def c15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_turns").select("conv_id", "turn", context.prompt(F.col("question"), F.col("answer"), F.lit(None).cast("string")).alias("prompt"))
+
+
+@query("a15_mean_score", f"WITH {_CHUNKS} SELECT query, round(avg(start_line), 6) AS mean FROM ch GROUP BY query")
+def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir).groupBy("query").agg(F.round(F.avg("start_line"), 6).alias("mean"))
+
+
+_TYPE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(q, '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in config.QUERY_TYPES.items()) + " WHEN contains(q, 'explain') THEN 'explain' ELSE 'general' END"
+_QUESTIONS = "qs AS (SELECT conv_id, turn, lower(trim(text)) AS q, text FROM conversations)"
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", context.clean_question(F.col("text")).alias("q"), "text")
+
+
+@query("x19_clean_question", f"WITH {_QUESTIONS} SELECT conv_id, turn, q FROM qs")
+def x19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _questions(spark, sf_dir).select("conv_id", "turn", "q")
+
+
+@query("k14_query_type", f"WITH {_QUESTIONS} SELECT conv_id, turn, {_TYPE} AS type FROM qs")
+def k14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _questions(spark, sf_dir).select("conv_id", "turn", rules.query_type(F.col("q")).alias("type"))
+
+
+@query("k14_query_type_literal", "SELECT * FROM (VALUES ('what is this', 'what_is'), ('how does it work', 'how_does'), ('where is the login', 'where_is'), ('what calls save', 'what_calls'), ('what does it import', 'what_is'), ('explain the request routing flow', 'explain'), ('hello', 'general'), ('what depends on x', 'what_calls'), ('impact of removing x', 'what_breaks')) AS t(q, type)")
+def k14_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = ["what is this", "how does it work", "where is the login", "what calls save", "what does it import", "explain the request routing flow", "hello", "what depends on x", "impact of removing x"]
+    return spark.createDataFrame([(t,) for t in texts], "q string").select("q", rules.query_type(F.col("q")).alias("type"))
+
+
+@query("k15_flags", f"WITH {_QUESTIONS} SELECT conv_id, turn, ({_TYPE}) IN ('what_calls', 'what_imports') OR {' OR '.join(f'contains(q, {quoted([w])})' for w in config.RELATION_WORDS)} AS graph_query FROM qs")
+def k15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _questions(spark, sf_dir).select("conv_id", "turn", rules.graph_query(F.col("q"), rules.query_type(F.col("q"))).alias("graph_query"))
+
+
+_DOUBT = " OR ".join(f"contains(lower(answer), {quoted([w])})" for w in config.UNCERTAIN)
+_HEDGE = " OR ".join(f"contains(lower(answer), '{w}')" for w in config.HEDGING)
+
+
+@query("k17_confidence", f"""{TURNS}, a AS (SELECT conv_id, turn, answer, turn % 4 AS cites, conv_id % 5 AS found, (conv_id % 100) / 100.0 AS mean FROM v_turns),
+  b AS (SELECT *, CASE WHEN mean >= 0.75 THEN 3 WHEN mean >= 0.5 THEN 2 ELSE 1 END AS l FROM a), c AS (SELECT *, CASE WHEN cites = 0 THEN greatest(l - 1, 1) ELSE l END AS l2 FROM b), d AS (SELECT *, CASE WHEN {_HEDGE} THEN greatest(l2 - 1, 1) ELSE l2 END AS l3 FROM c),
+  e AS (SELECT *, CASE WHEN cites >= 3 AND mean >= 0.5 AND l3 = 2 THEN 3 ELSE l3 END AS l4 FROM d) SELECT conv_id, turn, CASE WHEN found = 0 OR {_DOUBT} THEN 'low' ELSE ['low', 'medium', 'high'][l4] END AS confidence FROM e""")
+def k17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = rules.confidence(F.col("answer"), F.col("conv_id") % 5, (F.col("conv_id") % 100) / 100.0, F.col("turn") % 4)
+    return view(spark, sf_dir, "v_turns").select("conv_id", "turn", level.alias("confidence"))
+
+
+@query("x17_entities", """SELECT * FROM (VALUES ('ask UserService.get_user in app.py', 'UserService,ask,get_user,app,app.py,UserService.get_user'), ('the HTTPClient and LoadBalancer', 'LoadBalancer')) AS t(q, entities)""")
+def x17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("ask UserService.get_user in app.py",), ("the HTTPClient and LoadBalancer",)], "q string")
+    return rows.select("q", F.array_join(context.entities(F.col("q")), ",").alias("entities"))
+
+
+@query("x18_keywords", r"SELECT * FROM (VALUES ('how does the user_service.py load a 42 ok?', 'does,user_service.py,load,42'), ('(find) UserRepo, UserRepo!', 'find,UserRepo')) AS t(q, words)")
+def x18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("how does the user_service.py load a 42 ok?",), ("(find) UserRepo, UserRepo!",)], "q string")
+    return rows.select("q", F.array_join(context.keywords(F.col("q")), ",").alias("words"))
+
+
+@query("x20_pronouns", "SELECT * FROM (VALUES ('How does it work?', 'How does UserService work?'), ('Is this and that ok', 'Is UserService and that ok'), ('no pronoun', 'no pronoun')) AS t(question, resolved)")
+def x20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("How does it work?",), ("Is this and that ok",), ("no pronoun",)], "question string")
+    return rows.select("question", context.resolved_question(F.col("question"), F.lit("UserService")).alias("resolved"))
+
+
+@query("t08_newest_jobs", f"{JOBS} SELECT repo_key, job_id FROM v_jobs QUALIFY row_number() OVER (PARTITION BY repo_key ORDER BY created_at DESC, job_id DESC) <= 3")
+def t08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = Window.partitionBy("repo_key").orderBy(F.desc("created_at"), F.desc("job_id"))
+    return view(spark, sf_dir, "v_jobs").withColumn("n", F.row_number().over(newest)).where("n <= 3").select("repo_key", "job_id")
+
+
+@query("t09_sessions_by_activity", f"{JOBS} SELECT repo_key, row_number() OVER (ORDER BY last_active DESC, repo_key) AS place FROM (SELECT repo_key, max(created_at) AS last_active FROM v_jobs GROUP BY repo_key) x ORDER BY place LIMIT 50")
+def t09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = view(spark, sf_dir, "v_jobs").groupBy("repo_key").agg(F.max("created_at").alias("last_active")).orderBy(F.desc("last_active"), "repo_key").limit(50)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("last_active"), "repo_key")).cast("long")).select("repo_key", "place")
+
+
+@query("q01_create", f"{JOBS} SELECT phase, status, count(*) AS jobs FROM (SELECT phase, status FROM v_jobs UNION ALL SELECT 'ingest', 'queued') x GROUP BY phase, status")
+def q01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = spark.createDataFrame([("ingest", "queued")], "phase string, status string")
+    return view(spark, sf_dir, "v_jobs").select("phase", "status").unionByName(new).groupBy("phase", "status").agg(F.count("*").alias("jobs"))
+
+
+@query("q02_latest_progress", f"{JOBS} SELECT repo_key, status, greatest(0, least(100, raw_progress)) AS progress FROM v_jobs QUALIFY row_number() OVER (PARTITION BY repo_key ORDER BY created_at DESC, job_id DESC) = 1")
+def q02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = view(spark, sf_dir, "v_jobs").select("repo_key", "created_at", "job_id", "status", "raw_progress")
+    return context.latest(jobs, "repo_key", "created_at").select("repo_key", "status", context.progress(F.col("raw_progress")).alias("progress"))
+
+
+@query("q03_get", f"{JOBS} SELECT job_id, phase, status FROM v_jobs WHERE job_id = 42")
+def q03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_jobs").where("job_id = 42").select("job_id", "phase", "status")
+
+
+@query("q04_list", f"{JOBS} SELECT job_id, repo_key FROM v_jobs WHERE phase = 'chunk' AND status = 'running'")
+def q04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.sources.stores import where_equal
+
+    return where_equal(view(spark, sf_dir, "v_jobs"), {"phase": "chunk", "status": "running"}).orderBy(F.desc("created_at"), "job_id").select("job_id", "repo_key")
+
+
+@query("q05_duplicates", f"{JOBS} SELECT phase, repo_key, min(job_id) AS job_id FROM v_jobs WHERE status IN ('queued', 'running') GROUP BY phase, repo_key")
+def q05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.duplicates(view(spark, sf_dir, "v_jobs"))
+
+
+@query("q06_cleanup", f"{JOBS} SELECT job_id FROM v_jobs WHERE NOT (status IN ('complete', 'failed') AND created_at < (SELECT max(created_at) FROM v_jobs) - INTERVAL 240 HOUR)")
+def q06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = view(spark, sf_dir, "v_jobs")
+    now = jobs.agg(F.max("created_at").alias("now"))
+    return context.cleaned(jobs.crossJoin(F.broadcast(now)), F.col("now"), 240).select("job_id")
+
+
+@query("q07_gate", f"{JOBS} SELECT repo_key, 'chunk' AS phase, CASE WHEN count(*) FILTER (WHERE phase = 'parse') = 0 THEN 404 WHEN count(*) FILTER (WHERE phase = 'parse' AND status = 'complete') = 0 THEN 409 ELSE 202 END AS code FROM v_jobs GROUP BY repo_key")
+def q07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.gate(view(spark, sf_dir, "v_jobs"), "chunk", "parse")
