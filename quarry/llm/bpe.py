@@ -13,6 +13,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from quarry.llm.common import process_cache
+
 #: Words that a worker keeps; beyond it the store starts anew. It bounds memory, results do not depend on it.
 KEPT_WORDS = 1_000_000
 #: Marks that a word may end with.
@@ -20,14 +22,13 @@ STOPS = ".,;:!?"
 #: Characters of a text that are cut into words at once.
 SLICE = 1 << 20
 
-_encoders: dict[str, BpeEncoder] = {}
-
-
-def encoder(path: str) -> BpeEncoder:
+def encoder(path: str, kept: int = KEPT_WORDS) -> BpeEncoder:
     """This process's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = BpeEncoder(path)
-    return _encoders[path]
+    held = process_cache("bpe")
+    if path not in held:
+        held[path] = BpeEncoder(path, kept)
+    held[path].kept = kept
+    return held[path]
 
 
 def _safe(left: str, right: str) -> bool:

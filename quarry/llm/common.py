@@ -57,6 +57,16 @@ def local_path(uri: str) -> str | None:
     return path if isinstance(system, fs.LocalFileSystem) else None
 
 
+_caches: dict[str, dict] = {}
+
+
+def process_cache(owner: str = "") -> dict:
+    """This worker process's cache of one operator. Those of other operators are let go: workers outlive the stages that filled them."""
+    for other in [name for name in _caches if name != owner]:
+        del _caches[other]
+    return _caches.setdefault(owner, {})
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 5 = 0; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % 5 == 0

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import doc_columns
+from quarry.llm.common import doc_columns, process_cache
 from quarry.llm.words import words
 
 BLOCK_ITEMS = 20_000
@@ -190,15 +190,12 @@ class Index:
         return out
 
 
-_last: dict[str, Index] = {}
-
-
 def _rebuilt(*made_of) -> Index:
-    key = repr(made_of)
-    if key not in _last:
-        _last.clear()
-        _last[key] = Index(*made_of)
-    return _last[key]
+    held, key = process_cache("decontamination"), repr(made_of)
+    if key not in held:
+        held.clear()
+        held[key] = Index(*made_of)
+    return held[key]
 
 
 def blocks(benchmark: DataFrame, size: int = BLOCK_ITEMS) -> Iterator[list[tuple[int, str]]]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut_lineage, doc_columns
+from quarry.llm.common import cut_lineage, doc_columns, process_cache
 
 BLOCK_BYTES = 4096
 BUCKETS = 4096
@@ -36,6 +36,7 @@ def _cut(size: int, hash_bits: int, with_bytes: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        process_cache()
         digest, half, mask = xxhash.xxh64_intdigest, 1 << 63, (1 << hash_bits) - 1
 
         def signed(raw: bytes) -> int:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import held_out
+from quarry.llm.common import held_out, process_cache
 
 WINDOW = 128
 BATCH = 1024
@@ -189,6 +189,7 @@ def learned(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, hidden: in
 
 def _scored(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_cache()
         for batch in batches:
             raw = batch.column(2).cast(pa.large_binary())
             n, offsets = len(raw), np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]

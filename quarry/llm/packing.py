@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quarry.llm.bpe import encoder
+from quarry.llm.bpe import KEPT_WORDS, encoder
 from quarry.llm.common import doc_columns
 
 TIERS = (256, 512, 1024, 2048)
@@ -124,9 +124,9 @@ def step_groups(windows: list[list[Piece]], per_group: int = STEP_WINDOWS) -> li
     return group
 
 
-def _packed(tokenizer: str, end_id: int, tiers: tuple[int, ...], block_tokens: int):
+def _packed(tokenizer: str, end_id: int, tiers: tuple[int, ...], block_tokens: int, kept_words: int):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, base = encoder(tokenizer), TaskContext.get().partitionId() << 33
+        enc, base = encoder(tokenizer, kept_words), TaskContext.get().partitionId() << 33
         end = np.array([end_id], "<u4").tobytes()
         held: list[tuple[int | None, bytes, int]] = []  # doc_id, ids, ids that went into earlier windows
         sequence, groups, waiting = 0, 0, 0
@@ -171,6 +171,6 @@ def _packed(tokenizer: str, end_id: int, tiers: tuple[int, ...], block_tokens: i
 NAMES = [part.split()[0] for part in SCHEMA.split(", ")]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] = TIERS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] = TIERS, block_tokens: int = BLOCK_TOKENS, kept_words: int = KEPT_WORDS) -> DataFrame:
     """One row per piece: its document and place there, the crc32 of its ids, its sequence and place there, tier and step group."""
-    return doc_columns(docs).mapInArrow(_packed(tokenizer, end_id, tiers, block_tokens), SCHEMA)
+    return doc_columns(docs).mapInArrow(_packed(tokenizer, end_id, tiers, block_tokens, kept_words), SCHEMA)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut_lineage, doc_columns
+from quarry.llm.common import cut_lineage, doc_columns, process_cache
 from quarry.llm.components import components
 
 SEED = 42
@@ -58,6 +58,7 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 def _fingerprints(words: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_cache()
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), words) for x in batch.column(1)], "<u8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view("<i8"))], ["doc_id", "fp"])

@@ -28,16 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import doc_columns
+from quarry.llm.common import doc_columns, process_cache
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 KEPT_WORDS = 500_000
 SLICE = 1 << 20
 
-_counters: dict[str, Counter] = {}
-
-
 def vocabulary(model_file: str) -> tuple[list[tuple[str, float]], int]:
     """((piece, score) by id, the unknown's id) of a SentencePiece file."""
     import sentencepiece
@@ -158,9 +155,10 @@ def _counted(model_file: str):
 
 def counter_of(model_file: str) -> Counter:
     """This process's counter of a vocabulary file."""
-    if model_file not in _counters:
-        _counters[model_file] = Counter(*vocabulary(model_file))
-    return _counters[model_file]
+    held = process_cache("token counts")
+    if model_file not in held:
+        held[model_file] = Counter(*vocabulary(model_file))
+    return held[model_file]
 
 
 def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
