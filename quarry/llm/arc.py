@@ -12,7 +12,7 @@ line's page number and the digest's winner make a record a `response` or a `revi
 
 Of pages with equal payloads of at least `least_bytes`, the one with the largest page_id is the response. Payloads are
 compared by SHA-1 and length; copies are merged before the shuffle, and html is shuffled once, by page. A task writes its
-own archive under its attempt's number to the shared folder, and only archives of tasks that ended well are read back.
+own archive, each record a gzip member, under its attempt's number to the shared folder, and only archives of tasks that ended well are read back.
 
 Defined results: null html is an empty payload; null url is the empty URL; a null page_id is a response of its own group's
 largest only where all are null, and refers_to is then null; rows that repeat page_id and html are archived each, as the
@@ -22,6 +22,7 @@ same kind; an empty table gives no archive and an empty result; other columns ar
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -159,13 +160,13 @@ def _archive(uri: str, version: int):
                 if out is None:
                     system, path = open_fs(uri)
                     system.create_dir(path, recursive=True)
-                    out = system.open_output_stream(f"{path}/{name}.warc")
+                    out = system.open_output_stream(f"{path}/{name}.warc.gz", compression=None)
                 for i, (fields, body) in enumerate(arc_records(b"".join(arc))):
-                    out.write(warc_record(fields, body, page[i], refers[i], revisit[i]))
+                    out.write(gzip.compress(warc_record(fields, body, page[i], refers[i], revisit[i]), 1, mtime=0))
                 n += len(page)
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"archive": [f"{name}.warc"], "records": [n]})
+            yield pa.RecordBatch.from_pydict({"archive": [f"{name}.warc.gz"], "records": [n]})
 
     return archive
 
@@ -176,7 +177,7 @@ def _read(uri: str):
         for batch in batches:
             for archive in batch.column(0).to_pylist():
                 rows = []
-                with system.open_input_stream(f"{path}/{archive}") as stream:
+                with system.open_input_stream(f"{path}/{archive}", compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
                     for headers, content in warc_records(stream):
                         size, digest = int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:")
                         if headers["WARC-Type"] == "response":
