@@ -184,3 +184,22 @@ WEB_SIGNALS = ["Flask(__name__)", "FastAPI()", "app = Flask", "app = FastAPI", "
 CLI_SIGNALS = ["argparse.ArgumentParser", "click.group", "click.command", "typer.Typer", "@click", "cobra.Command", "commander.Command", "process.argv"]
 # Suffixes that an import may stand for, in order of their tests.
 IMPORT_SUFFIXES = ["", ".py", ".js", ".ts", ".tsx", ".go", ".rs", "/__init__.py", "/index.js", "/index.ts"]
+
+# Built-in names, whose calls make no edge.
+BUILTINS = [
+    "print", "len", "range", "str", "int", "float", "bool", "list", "dict", "set", "tuple", "type", "isinstance", "issubclass", "hasattr",
+    "getattr", "setattr", "delattr", "sorted", "reversed", "enumerate", "zip", "map", "filter", "any", "all", "sum", "min", "max", "abs",
+    "round", "open", "input", "super", "property", "staticmethod", "classmethod", "repr", "hash", "id", "callable", "iter", "next",
+    "vars", "dir", "help", "exec", "eval", "compile", "chr", "ord", "hex", "oct", "bin", "format", "object", "Exception", "ValueError",
+    "TypeError", "KeyError", "IndexError", "RuntimeError", "NotImplementedError", "StopIteration", "GeneratorExit", "SystemExit", "KeyboardInterrupt",
+    "console", "setTimeout", "setInterval", "clearTimeout", "clearInterval", "fetch", "Promise", "JSON", "Math", "Date", "Array", "Object", "String",
+    "Number", "Boolean", "Error", "Symbol", "Map", "Set", "WeakMap", "WeakSet", "Proxy", "Reflect", "parseInt", "parseFloat", "isNaN",
+    "isFinite", "encodeURIComponent", "decodeURIComponent",
+]
+# Words that are no keywords of a function.
+CODE_STOP_WORDS = [
+    "the", "a", "an", "and", "or", "is", "in", "of", "to", "for", "with", "this", "that", "it", "at", "by", "from", "on", "as",
+    "be", "was", "are", "has", "have", "had", "do", "does", "did", "not", "but", "if", "else", "return", "def", "class", "import",
+    "self", "cls", "none", "true", "false", "pass", "raise", "yield", "lambda", "async", "await", "try", "except", "finally",
+    "while", "break", "continue",
+]

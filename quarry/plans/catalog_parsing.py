@@ -1 +1,277 @@
-"""Queries."""
+"""Queries of parsers (p), chunks (x01-x10, x21, x23), diagrams (g) and remaining sinks (s, t10, c13)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry import config
+from quarry.operators import chunks, context, diagram, filters, graph, parsing, stats
+from quarry.plans.catalog_files import FILES
+from quarry.plans.fixtures import ddb, table, view
+from quarry.plans.registry import query
+from quarry.sources import repository
+
+EDGES = "WITH RECURSIVE " + ddb("v_edges", "v_nodes")
+
+SOURCES = {
+    "a.py": 'import os\nfrom .util import load as l, save\nclass A(Base):\n    """A thing."""\n    def __init__(self, x, *rest):\n        self.x = load(x)\n    @staticmethod\n    def make(): return A(1)\nasync def _go(n: int = 1):\n    if n: import json\n    await run(n)\n',
+    "b.js": "import x from './x';\nconst y = require('y');\nexport class B extends C {\n  go(a, b) {\n    run(a);\n  }\n}\nasync function load(q) { fetchIt(q); }\nconst add = (a, b) => a + b;\n",
+    "c.ts": "export interface Shape {}\nexport enum Kind { A }\nexport function area(s: Shape) { return calc(s); }\n",
+    "D.java": "import java.util.List;\npublic class D extends E {\n  public static void main(String[] args) {\n    run();\n  }\n}\n",
+    "e.go": 'package main\nimport "fmt"\ntype S struct {\n}\nfunc (s *S) Name() string { return fmt.Sprint(s) }\nfunc main() { run() }\n',
+    "f.rs": "use std::fs;\npub struct P;\nimpl P {\n    pub fn new(a: u8) -> P { make(a) }\n}\nfn main() { P::new(1); }\n",
+    "g.cpp": '#include <vector>\nclass V : public W {\n};\nint main(int c) {\n  return run(c);\n}\n',
+    "h.rb": "require 'set'\nclass H\n  def go\n  end\nend\n",
+    "i.py": "def broken(:\n",
+}
+
+
+def _entities(spark: SparkSession) -> DataFrame:
+    return parsing.parse_files(spark.createDataFrame(list(SOURCES.items()), "path string, content string"))
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    return _entities(spark).where(F.col("path") == path).select("kind", "qualified_name", F.col("line").cast("int").alias("line"), F.array_join("calls", ",").alias("calls"))
+
+
+_PARSED = {
+    "p02_python": ("a.py", "('import', 'os', 1, ''), ('import', '.util', 2, ''), ('class', 'A', 3, ''), ('function', 'A.__init__', 5, 'load'), ('function', 'A.make', 8, 'A'), ('function', '_go', 9, 'run'), ('import', 'json', 10, '')"),
+    "p03_javascript": ("b.js", "('import', './x', 1, ''), ('import', 'y', 2, ''), ('class', 'B', 3, ''), ('function', 'B.go', 4, 'run'), ('function', 'load', 8, 'fetchIt'), ('function', 'add', 9, '')"),
+    "p04_typescript": ("c.ts", "('class', 'Shape', 1, ''), ('class', 'Kind', 2, ''), ('function', 'area', 3, 'calc')"),
+    "p05_java": ("D.java", "('import', 'java.util.List', 1, ''), ('class', 'D', 2, ''), ('function', 'D.main', 3, 'run')"),
+    "p06_go": ("e.go", "('import', 'fmt', 2, ''), ('class', 'S', 3, ''), ('function', 'S.Name', 5, 'Sprint'), ('function', 'main', 6, 'run')"),
+    "p07_rust": ("f.rs", "('import', 'std::fs', 1, ''), ('class', 'P', 2, ''), ('function', 'P.new', 4, 'make'), ('function', 'main', 6, 'new')"),
+    "p08_cpp": ("g.cpp", "('import', 'vector', 1, ''), ('class', 'V', 2, ''), ('function', 'main', 4, 'run')"),
+    "p09_generic": ("h.rb", "('import', 'set', 1, ''), ('class', 'H', 2, ''), ('function', 'H.go', 3, '')"),
+    "p01_failed_parse": ("i.py", "('function', 'broken', 1, ''), ('error', 'syntax', 1, '')"),
+}
+for _key, (_path, _rows) in _PARSED.items():
+    query(_key, f"SELECT * FROM (VALUES {_rows}) AS t(kind, qualified_name, line, calls)")(lambda spark, sf_dir, path=_path: _listed(spark, path))
+
+
+@query("p10_dispatch", "SELECT * FROM (VALUES ('a.py', 'Python'), ('b.jsx', 'JavaScript'), ('c.tsx', 'TypeScript'), ('d.hpp', 'C++'), ('e.unknown', 'generic')) AS t(path, parser)")
+def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = spark.createDataFrame([(p,) for p in ("a.py", "b.jsx", "c.tsx", "d.hpp", "e.unknown")], "path string")
+    return paths.select("path", F.coalesce(filters.language(F.col("path")), F.lit("generic")).alias("parser"))
+
+
+@query("p11_entity_tables", "SELECT * FROM (VALUES ('class', CAST(9 AS BIGINT)), ('error', 1), ('function', 15), ('import', 10)) AS t(kind, entities)")
+def p11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark).groupBy("kind").agg(F.count("*").alias("entities"))
+
+
+@query("p01_documents")
+def p01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.parse_files(view(spark, sf_dir, "v_files")).groupBy("path", "kind").agg(F.count("*").alias("entities"))
+
+
+@query("x01_token_count", f"{FILES} SELECT file_id, length(content) // 4 AS tokens FROM v_files")
+def x01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_files").select("file_id", filters.tokens(F.col("content")).alias("tokens"))
+
+
+@query("x02_function_chunk", f"{FILES} SELECT file_id, md5('File: ' || path || chr(10) || 'Language: Python' || chr(10) || 'Function: f' || file_id || chr(10) || '@cached' || chr(10) || 'def f' || file_id || '(a: int = 1, *rest) -> str' || chr(10) || content) AS chunk_md5 FROM v_files")
+def x02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = view(spark, sf_dir, "v_files")
+    name = F.concat(F.lit("f"), "file_id")
+    params = F.from_json(F.lit('[{"name":"a","type":"int","value":"1","variadic":false},{"name":"rest","variadic":true}]'), "array<struct<name:string,type:string,value:string,variadic:boolean>>")
+    text = chunks.function_text(F.col("path"), F.lit("Python"), name, F.array(F.lit("@cached")), chunks.signature(name, params, F.lit("str")), F.lit(""), F.col("content"))
+    return files.select("file_id", F.md5(text).alias("chunk_md5"))
+
+
+@query("x03_class_chunk", "SELECT 'File: a.py' || chr(10) || 'Language: Python' || chr(10) || 'Class: A' || chr(10) || 'Inherits: B, C' || chr(10) || 'Doc.' || chr(10) || 'Methods: go, stop' || chr(10) || 'Attributes: x' AS content")
+def x03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = lambda *x: F.array(*map(F.lit, x))
+    return spark.range(1).select(chunks.class_text(F.lit("a.py"), F.lit("Python"), F.lit("A"), listed("B", "C"), F.lit("Doc."), listed("A.go", "A.stop"), listed("x")).alias("content"))
+
+
+@query("x04_file_chunk", f"{FILES} SELECT file_id, 'File: ' || path || chr(10) || 'Language: Python' || chr(10) || 'Imports: os' || chr(10) || 'Classes defined: none' || chr(10) || 'Functions defined: f, g' || chr(10) || 'Entry point: ' || CASE WHEN file_id % 2 = 0 THEN 'yes' ELSE 'no' END AS content FROM v_files")
+def x04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    return view(spark, sf_dir, "v_files").select("file_id", chunks.file_text(F.col("path"), F.lit("Python"), listed("os"), listed(), listed("f", "g"), F.col("file_id") % 2 == 0).alias("content"))
+
+
+@query("x05_import_chunk", "SELECT 'main.py' AS file_path, 'Import dependencies for: main.py' || chr(10) || 'External libraries used: requests' || chr(10) || 'Local modules imported: ./utils, services.user' || chr(10) || 'Standard library used: os.path' AS content")
+def x05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.operators import resolve
+
+    imports = resolve.import_origin(view(spark, sf_dir, "m_imports"), view(spark, sf_dir, "m_paths")).where("file_path = 'main.py'")
+    return chunks.import_contexts(imports)
+
+
+@query("x06_signature", "SELECT 'def f(a, b: str = \"x\", *c) -> int' AS signature UNION ALL SELECT 'def f()'")
+def x06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = "array<struct<name:string,type:string,value:string,variadic:boolean>>"
+    rows = spark.createDataFrame([('[{"name":"a","variadic":false},{"name":"b","type":"str","value":"\\"x\\"","variadic":false},{"name":"c","variadic":true}]', "int"), ("[]", None)], "p string, r string")
+    return rows.select(chunks.signature(F.lit("f"), F.from_json("p", kind), F.col("r")).alias("signature"))
+
+
+@query("x07_split", f"""WITH RECURSIVE {ddb("v_files")}, big AS (SELECT file_id, content, string_split(content, chr(10)) AS l FROM v_files WHERE length(content) // 4 > {config.MAX_CHUNK_TOKENS}) SELECT file_id AS id, true AS split_or_cut FROM big UNION ALL SELECT file_id, false FROM v_files WHERE length(content) // 4 <= {config.MAX_CHUNK_TOKENS}""")
+def x07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = chunks.split_chunks(view(spark, sf_dir, "v_files").select(F.col("file_id").alias("id"), F.col("path").alias("name"), "content"))
+    return parts.groupBy("id").agg(F.bool_or((F.col("parts") > 1) | F.col("content").endswith("[truncated]")).alias("split_or_cut"))
+
+
+@query("x07_parts")
+def x07_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.split_chunks(view(spark, sf_dir, "v_files").select(F.col("file_id").alias("id"), F.col("path").alias("name"), "content"))
+
+
+@query("x08_truncated", f"{FILES} SELECT file_id, CASE WHEN length(content) > 800 THEN left(content, 800) || chr(10) || '... [truncated]' ELSE content END AS content FROM v_files")
+def x08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_files").select("file_id", chunks.truncated(F.col("content")).alias("content"))
+
+
+@query("x09_keywords", "SELECT * FROM (VALUES (1, 'userservice,get,by_id,cached,loads,one,user'), (2, 'run')) AS t(n, words)")
+def x09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "UserService.get", ["self", "by_id", "x"], ["@cached(1)"], "Loads one user by_id"), (2, "run", [], [], "")], "n int, name string, parameters array<string>, decorators array<string>, docstring string")
+    return rows.select("n", F.array_join(chunks.keywords(*(F.col(c) for c in ("name", "parameters", "decorators", "docstring"))), ",").alias("words"))
+
+
+@query("x10_chunk_index", f"{FILES} SELECT path AS qualified_name, file_id AS chunk_id FROM v_files QUALIFY row_number() OVER (PARTITION BY path ORDER BY file_id % 3, file_id) = 1")
+def x10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = view(spark, sf_dir, "v_files").select(F.col("path").alias("qualified_name"), F.col("file_id").alias("chunk_id"), (F.col("file_id") % 3).alias("subchunk_index"))
+    return chunks.chunk_index(made)
+
+
+@query("x21_docstrings", "SELECT * FROM (VALUES (1, 'A thing.'), (2, 'Does it' || chr(10) || 'well')) AS t(n, text)")
+def x21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, '"""A thing."""'), (2, "/** Does it\n * well */")], "n int, raw string")
+    return rows.select("n", chunks.clean_docstring(F.col("raw")).alias("text"))
+
+
+@query("x23_hashes", f"{FILES} SELECT file_id, left(md5(path), 12) AS path_hash, left(sha256(content), 16) AS content_hash FROM v_files")
+def x23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_files").select("file_id", chunks.hashes(F.col("path"), F.col("content")).alias("h")).select("file_id", "h.*")
+
+
+@query("g01_nodes", "SELECT * FROM (VALUES ('a.py', 'a.py', CAST(3 AS BIGINT), CAST(1 AS BIGINT)), ('b.js', 'b.js', 3, 1), ('e.go', 'e.go', 2, 1), ('i.py', 'i.py', 1, 0)) AS t(path, label, functions, classes)")
+def g01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = _entities(spark)
+    files = spark.createDataFrame([(p, SOURCES[p]) for p in ("a.py", "b.js", "e.go", "i.py")], "path string, content string")
+    return diagram.nodes(files, parsing.functions_of(entities), parsing.classes_of(entities)).select("path", "label", "functions", "classes")
+
+
+_FE = "fe AS (SELECT DISTINCT a.file AS f, b.file AS t FROM v_edges JOIN v_nodes a ON src = a.id JOIN v_nodes b ON dst = b.id WHERE a.file <> b.file)"
+
+
+@query("g02_edge_counts", f"{EDGES}, {_FE}, o AS (SELECT f AS file, count(*) AS c FROM fe GROUP BY 1), i AS (SELECT t AS file, count(*) AS c FROM fe GROUP BY 1) SELECT coalesce(o.file, i.file) AS file, coalesce(o.c, 0) AS calls_out, coalesce(i.c, 0) AS calls_in, CASE WHEN coalesce(i.c, 0) >= 3 THEN 'core_utility' ELSE 'module' END AS type FROM o FULL JOIN i ON o.file = i.file")
+def g02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagram.edge_counts(graph.file_edges(view(spark, sf_dir, "v_nodes"), view(spark, sf_dir, "v_edges")))
+
+
+@query("g03_node_ids", f"{FILES}, s AS (SELECT DISTINCT path, regexp_replace(regexp_replace(regexp_extract(path, '[^/]*$'), '^(.+?)\\.[^.]*$', '\\1'), '[^a-zA-Z0-9_]', '_', 'g') AS b FROM v_files), n AS (SELECT path, b, row_number() OVER (PARTITION BY b ORDER BY path) - 1 AS n FROM s) SELECT path, CASE WHEN n = 0 THEN b ELSE b || '_' || n END AS node_id FROM n")
+def g03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagram.node_ids(view(spark, sf_dir, "v_files"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = lambda c: F.regexp_replace(c, "[^A-Za-z0-9]", "_")
+    nodes, edges = view(spark, sf_dir, "v_nodes"), graph.file_edges(view(spark, sf_dir, "v_nodes"), view(spark, sf_dir, "v_edges"))
+    files = nodes.select("file").distinct().select(ids("file").alias("node_id"), F.col("file").alias("label"), F.lit("module").alias("type"))
+    return diagram.mermaid_lines(files, edges.select(ids("from_file").alias("from_id"), ids("to_file").alias("to_id"), F.lit("import").alias("kind")))
+
+
+_ML = f"{EDGES}, {_FE}, ml AS (SELECT DISTINCT 1 AS part, '  ' || regexp_replace(file, '[^A-Za-z0-9]', '_', 'g') || '[\"' || file || '\"]' AS line FROM v_nodes UNION ALL SELECT 2, '  ' || regexp_replace(f, '[^A-Za-z0-9]', '_', 'g') || ' --> ' || regexp_replace(t, '[^A-Za-z0-9]', '_', 'g') FROM fe UNION ALL SELECT DISTINCT 3, '  class ' || regexp_replace(file, '[^A-Za-z0-9]', '_', 'g') || ' module' FROM v_nodes)"
+
+
+@query("g04_mermaid", f"{_ML} SELECT 'flowchart TD' || chr(10) || string_agg(line, chr(10) ORDER BY part, line) AS chart FROM ml")
+def g04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagram.mermaid_text(_lines(spark, sf_dir))
+
+
+@query("g05_description", "SELECT * FROM (VALUES (1, 'Classes: A | Functions: f, g | Depends on: os'), (2, '')) AS t(n, description)")
+def g05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, ["A"], ["f", "g"], ["os"]), (2, [], [], [])], "n int, c array<string>, f array<string>, i array<string>")
+    return rows.select("n", diagram.description(F.col("c"), F.col("f"), F.col("i")).alias("description"))
+
+
+@query("g06_parsed_edges", f"{_ML} SELECT regexp_replace(f, '[^A-Za-z0-9]', '_', 'g') AS source, regexp_replace(t, '[^A-Za-z0-9]', '_', 'g') AS target FROM fe")
+def g06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagram.parsed_edges(_lines(spark, sf_dir))
+
+
+@query("g07_layout", "SELECT * FROM (VALUES ('a', CAST(520 AS BIGINT), CAST(100 AS BIGINT)), ('b', 415, 320), ('c', 625, 320), ('m0', 310, 540), ('m1', 520, 540), ('m2', 730, 540), ('m3', 310, 720), ('m4', 520, 720), ('m5', 730, 720)) AS t(id, x, y)")
+def g07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("a", "entry_point"), ("b", "core_utility"), ("c", "core_utility"), *((f"m{i}", "module") for i in range(6))]
+    return diagram.layout(spark.createDataFrame(rows, "id string, type string"))
+
+
+@query("g08_label_search", f"{FILES} SELECT file_id FROM v_files WHERE contains(lower(path), 'service_1')")
+def g08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_files").where(F.lower("path").contains("service_1")).select("file_id")
+
+
+@query("g09_progress", f"WITH {ddb('v_jobs')}, p AS (SELECT job_id, phase, greatest(0, least(100, raw_progress)) AS p FROM v_jobs) SELECT job_id, CAST(CASE WHEN phase = 'parse' THEN 30 + floor(p * 0.25) WHEN phase = 'chunk' THEN 55 + floor(p * 0.25) WHEN phase IN ('diagram', 'story') THEN 80 + floor(p * 0.2) ELSE floor(p * 0.3) END AS BIGINT) AS progress FROM p")
+def g09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_jobs").select("job_id", diagram.total_progress(F.col("phase"), context.progress(F.col("raw_progress"))).alias("progress"))
+
+
+@query("g10_node_kind", f"{FILES} SELECT file_id, CASE WHEN suffix(path, 'service_7.py') OR suffix(path, 'config_5.py') THEN 'entry_point' ELSE 'module' END AS kind FROM v_files")
+def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_files").select("file_id", diagram.node_kind(F.col("path"), ["service_7.py", "config_5.py"]).alias("kind"))
+
+
+@query("g11_short_names", f"{FILES} SELECT file_id, regexp_extract(path, '[^/]*$') AS label, array_to_string(string_split(replace(path, '/', '.'), '.')[-2:], '.') AS short FROM v_files")
+def g11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    return view(spark, sf_dir, "v_files").select("file_id", filters.file_name(path).alias("label"), diagram.short_name(F.replace(path, F.lit("/"), F.lit("."))).alias("short"))
+
+
+@query("t10_preview", f"{EDGES}, d AS (SELECT dst AS id, count(DISTINCT src) AS n FROM v_edges GROUP BY dst ORDER BY n DESC, dst LIMIT 20) SELECT layer, count(*) AS nodes, min(name) AS first_name, max(name) AS last_name FROM d JOIN v_nodes USING (id) GROUP BY layer")
+def t10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = stats.top_in_degree(view(spark, sf_dir, "v_edges"), 20)
+    return stats.layer_groups(view(spark, sf_dir, "v_nodes").join(top.select("id"), "id", "left_semi"))
+
+
+@query("c13_story_context", f"{FILES} SELECT repo, count(*) AS files, max(size_bytes) AS largest, min(path) AS first_path FROM v_files GROUP BY repo")
+def c13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_files").groupBy("repo").agg(F.count("*").alias("files"), F.max("size_bytes").alias("largest"), F.min("path").alias("first_path"))
+
+
+def _round_trip(spark: SparkSession, rows: DataFrame, kind: str) -> DataFrame:
+    """rows written to and read from a fresh folder beside the session's checkpoints."""
+    import uuid
+
+    graph.cut(spark.range(1))
+    place = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"
+    if kind == "jsonl":
+        repository.write_jsonl(rows, place)
+        return repository.read_jsonl(spark, place, rows.schema)
+    repository.write_once(rows, place)
+    repository.write_once(rows.limit(0), place)  # a second run keeps what is there
+    return spark.read.parquet(place)
+
+
+@query("s11_jsonl_sink", f"{FILES} SELECT file_id, path FROM v_files")
+def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, view(spark, sf_dir, "v_files").select("file_id", "path"), "jsonl")
+
+
+@query("s06_jsonl_scan", "SELECT conv_id, turn, text FROM conversations")
+def s06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "jsonl")
+
+
+@query("s15_phase_cache", f"{FILES} SELECT repo, count(*) AS files FROM v_files GROUP BY repo")
+def s15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, view(spark, sf_dir, "v_files").groupBy("repo").agg(F.count("*").alias("files")), "parquet")
+
+
+@query("s04_parallel_fetch", f"{FILES} SELECT path, length(content) AS chars FROM v_files WHERE length(content) > 0")
+def s04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = view(spark, sf_dir, "v_files").select("path", F.col("content").cast("binary").alias("raw"))
+    return raw.select("path", F.length(repository.decoded(F.col("raw"))).cast("long").alias("chars")).where("chars is not null")
+
+
+@query("s14_diagram_sink", f"{_ML} SELECT part, count(*) AS lines FROM ml GROUP BY part")
+def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, _lines(spark, sf_dir), "jsonl").groupBy("part").agg(F.count("*").alias("lines"))
+
+
+@query("s17_session_store", "SELECT conv_id, count(*) AS turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.to_json(F.struct("turn", "role", "text")).alias("turn_json"))
+    back = _round_trip(spark, turns, "jsonl").select("conv_id", F.from_json("turn_json", "turn long, role string, text string").alias("t"))
+    return back.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("t.turn").alias("last_turn"))

@@ -1 +1,192 @@
-"""Queries."""
+"""Queries of rules (k) and resolution joins (j01-j08, j13), and the parse manifest (a10)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry import config
+from quarry.operators import filters, graph, resolve, rules
+from quarry.plans.catalog_files import _EXT, _LANG, FILES
+from quarry.plans.fixtures import ddb, view
+from quarry.plans.registry import query
+
+EDGES = "WITH RECURSIVE " + ddb("v_edges", "v_nodes")
+
+
+def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "m_functions").withColumn("calls", F.filter(F.split("call_list", ","), lambda x: x != ""))
+
+
+def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "m_imports").withColumn("items", F.filter(F.split("items", ","), lambda x: x != ""))
+
+
+@query("j01_resolved_calls", """SELECT * FROM (VALUES ('main', 'main.py', 'load', 'load'), ('main', 'main.py', 'process', NULL), ('main', 'main.py', 'helper', 'helper'), ('UserService.process', 'services/user.py', 'find', 'UserRepo.find'),
+  ('UserService.process', 'services/user.py', 'helper', 'helper'), ('OrderService.process', 'services/order.py', 'find', 'UserRepo.find'), ('load', 'utils.py', 'helper', 'helper')) AS t(caller, file_path, callee, target)""")
+def j01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolved_calls(_functions(spark, sf_dir), _imports(spark, sf_dir))
+
+
+@query("j02_local_imports", "SELECT * FROM (VALUES ('main.py', 'load', 'load'), ('services/user.py', 'find', 'UserRepo.find')) AS t(file_path, key, target)")
+def j02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.local_imports(_imports(spark, sf_dir), _functions(spark, sf_dir))
+
+
+_ORIGINS = """o AS (SELECT * FROM (VALUES ('main.py', './utils', 'local'), ('main.py', 'requests', 'third_party'), ('main.py', 'os.path', 'stdlib'), ('main.py', 'services.user', 'local'), ('services/user.py', '..repo/store', 'local'),
+  ('services/order.py', 'store', 'local'), ('web/a.js', './b', 'local'), ('web/b.js', './a', 'local'), ('web/a.js', '@scope/kit', 'third_party'), ('web/a.js', 'fs', 'stdlib'), ('cmd/x.go', 'fmt', 'stdlib'),
+  ('cmd/x.go', 'github.com/a/b', 'third_party'), ('lib.rs', 'crate::m', 'local'), ('App.java', 'com.acme.Tool', 'local')) AS t(file_path, module, origin))"""
+
+
+@query("j05_import_origin", f"WITH {_ORIGINS} SELECT * FROM o")
+def j05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.import_origin(_imports(spark, sf_dir), view(spark, sf_dir, "m_paths")).select("file_path", "module", "origin")
+
+
+@query("j04_external_dependencies", "SELECT * FROM (VALUES ('requests', CAST(1 AS BIGINT)), ('@scope/kit', 1), ('github', 1)) AS t(dependency, files)")
+def j04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.external_dependencies(resolve.import_origin(_imports(spark, sf_dir), view(spark, sf_dir, "m_paths")))
+
+
+@query("j03_import_files", """SELECT * FROM (VALUES ('main.py', './utils', 'utils.py'), ('main.py', 'services.user', 'services/user.py'), ('services/user.py', '..repo/store', 'repo/store.py'), ('services/order.py', 'store', 'repo/store.py'),
+  ('web/a.js', './b', 'web/b.js'), ('web/b.js', './a', 'web/a.js'), ('lib.rs', 'crate::m', NULL), ('App.java', 'com.acme.Tool', NULL)) AS t(file_path, module, target)""")
+def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = view(spark, sf_dir, "m_paths")
+    return resolve.import_files(resolve.import_origin(_imports(spark, sf_dir), paths).where("origin = 'local'"), paths)
+
+
+@query("j06_enriched_chunks", f"{EDGES}, c AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS n, row_number() OVER (PARTITION BY dst ORDER BY src) AS m FROM v_edges) SELECT id, (SELECT count(*) FROM c WHERE src = id AND n <= 20) AS calls, (SELECT count(*) FROM c WHERE dst = id AND m <= 20) AS called_by, coalesce((SELECT max(dst) FROM c WHERE src = id AND n <= 20), -1) AS last_call FROM v_nodes")
+def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = resolve.enriched(view(spark, sf_dir, "v_nodes").select("id"), view(spark, sf_dir, "v_edges"))
+    return rich.select("id", F.size("calls").cast("long").alias("calls"), F.size("called_by").cast("long").alias("called_by"), F.coalesce(F.array_max("calls"), F.lit(-1)).alias("last_call"))
+
+
+_TAGS = " UNION ALL ".join("SELECT file_id, '" + name + "' AS pattern FROM v_files WHERE " + " OR ".join(f"contains(lower(path), '{s}')" for s in signals) for name, signals in config.PATTERN_SIGNALS.items())
+
+
+@query("j07_pattern_tags", f"{FILES} {_TAGS}")
+def j07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.pattern_tags(view(spark, sf_dir, "v_files"))
+
+
+@query("j08_used_imports", "SELECT * FROM (VALUES (1, 'os.path'), (2, '')) AS t(n, used)")
+def j08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "return Path.join(a)", ["os.path", "requests"]), (2, "pass", ["json"])], "n int, content string, modules array<string>")
+    return rows.select("n", F.array_join(resolve.used_imports(F.col("content"), F.col("modules")), ",").alias("used"))
+
+
+@query("j13_module_matches", "SELECT * FROM (VALUES ('main.py', './utils', 'utils.py'), ('main.py', 'services.user', 'services/user.py'), ('services/user.py', '..repo/store', 'repo/store.py'), ('services/order.py', 'store', 'repo/store.py'), ('web/a.js', './b', 'web/b.js'), ('web/b.js', './a', 'web/a.js')) AS t(file_path, module, target)")
+def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.module_matches(_imports(spark, sf_dir), view(spark, sf_dir, "m_paths"))
+
+
+@query("g12_fallback_edges", "SELECT * FROM (VALUES ('main.py', 'utils.py'), ('main.py', 'services/user.py'), ('services/user.py', 'repo/store.py'), ('services/order.py', 'repo/store.py'), ('web/a.js', 'web/b.js'), ('web/b.js', 'web/a.js')) AS t(from_file, to_file)")
+def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.module_matches(_imports(spark, sf_dir), view(spark, sf_dir, "m_paths")).select(F.col("file_path").alias("from_file"), F.col("target").alias("to_file")).distinct()
+
+
+@query("r08_import_cycles", "SELECT * FROM (VALUES ('web/a.js', 'web/b.js')) AS t(a, b)")
+def r08_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = view(spark, sf_dir, "m_paths")
+    edges = resolve.import_files(resolve.import_origin(_imports(spark, sf_dir), paths).where("origin = 'local'"), paths).where("target is not null")
+    return graph.mutual(edges.select(F.col("file_path").alias("src"), F.col("target").alias("dst")))
+
+
+@query("k01_entry_points", """SELECT * FROM (VALUES ('main.py', 13, 'high', 'main_block,high_name,parser_flag,imports_only,main_function,root_level'), ('src/app.py', 4, 'medium', 'medium_name,web'), ('src/tool.js', 3, 'medium', 'cli,no_exports'), ('lib/util.ts', 1, 'low', 'no_exports'), ('A/Main.java', 6, 'high', 'high_name,java_main')) AS t(path, score, confidence, signals)""")
+def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [
+        ("main.py", "Python", "x", True, False, True, False, True, 1, False), ("src/app.py", "Python", "app = Flask(__name__)", False, False, False, True, True, 0, False), ("src/tool.js", "JavaScript", "process.argv", False, False, False, True, False, 0, False),
+        ("lib/util.ts", "TypeScript", "x", False, False, False, True, False, 0, False), ("A/Main.java", "Java", "x", False, True, False, True, False, 1, True), ("a/b.go", "Go", "x", False, False, False, True, False, 0, False),
+    ]
+    made = spark.createDataFrame(rows, "path string, language string, body string, has_main_block boolean, has_exports boolean, flagged boolean, imported boolean, imports_others boolean, main_functions int, static_main boolean")
+    return rules.entry_points(made)
+
+
+def _patterns(spark: SparkSession) -> DataFrame:
+    paths = spark.createDataFrame([(p,) for p in ("app/models/user.py", "app/views/user.py", "controllers/home.py", "services/api/routes.py", "docker-compose.yml", "cli/run.py", "web/pages/a.tsx", "a/__init__.py", "x/main.py", "y/main.go")], "path string")
+    imports = spark.createDataFrame([("services/api/routes.py", "fastapi"), ("services/api/routes.py", "repository.user"), ("cli/run.py", "click"), ("web/pages/a.tsx", "react"), ("x/main.py", "requests")], "file_path string, module string")
+    functions = spark.createDataFrame([("handle_event",), ("user_service",), ("repo_get",), ("register_hook",)], "name string")
+    return rules.patterns(paths, imports, functions, spark.createDataFrame([("app.get('/x')",), ("router.post",)], "decorator string"))
+
+
+for _key, _name, _score in (
+    ("k02_mvc", "MVC", "1.0"), ("k03_layered", "Layered Architecture", "round(5.5 / 7, 6)"), ("k04_rest_api", "REST API", "round(4.4 / 6, 6)"), ("k05_event_driven", "Event-driven", None), ("k06_microservices", "Microservices", "round(6.0 / 7, 6)"),
+    ("k07_cli", "CLI Application", "0.8"), ("k08_plugin", "Plugin/Extension", "0.25"), ("k09_frontend", "Frontend Component", "1.0"), ("k10_library", "Library/Utility", "0.4"),
+):
+    query(_key, f"SELECT '{_name}' AS pattern, CAST({_score or 0} AS DOUBLE) AS confidence" + ("" if _score else " WHERE false"))(lambda spark, sf_dir, name=_name: _patterns(spark).where(F.col("pattern") == name))
+
+
+_LAYER = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(p, '{s}') OR contains(n, '{s}')" for s in signals) + f" THEN '{name}'" for name, signals in config.LAYERS.items()) + " WHEN contains(p, 'test') OR contains(p, 'spec') THEN 'test' WHEN contains(p, '__init__') THEN 'module_init' WHEN starts_with(list_last(string_split(name, '.')), '_') THEN 'utility' ELSE 'unknown' END"
+
+
+@query("k11_layer", f"{FILES}, x AS (SELECT file_id, CASE WHEN file_id % 3 = 0 THEN 'Thing._part' ELSE 'thing' END AS name, lower(path) AS p FROM v_files), y AS (SELECT *, lower(name) AS n FROM x) SELECT file_id, {_LAYER} AS layer FROM y")
+def k11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("file_id") % 3 == 0, "Thing._part").otherwise("thing")
+    return view(spark, sf_dir, "v_files").select("file_id", rules.layer(F.col("path"), name).alias("layer"))
+
+
+@query("k13_node_type", "SELECT * FROM (VALUES ('load', 'function'), ('UserService.get', 'method'), ('utils.load', 'function'), ('a.b.c', 'method')) AS t(name, type)")
+def k13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([("load",), ("UserService.get",), ("utils.load",), ("a.b.c",)], "name string").select("name", rules.node_type(F.col("name")).alias("type"))
+
+
+@query("k16_eligible", f"{EDGES}, n AS (SELECT id, id % 50 = 0 AS e, id % 7 = 0 AS h, CAST(id % 9 AS INT) AS d, id % 11 = 0 AS x, complexity FROM v_nodes) SELECT id FROM n WHERE e OR h OR d <= {config.ANALYZE_DEPTH} OR x OR complexity >= {config.MIN_COMPLEXITY} ORDER BY d, id LIMIT {config.LLM_BUDGET}")
+def k16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    made = view(spark, sf_dir, "v_nodes").select("id", (i % 50 == 0).alias("is_entry"), (i % 7 == 0).alias("is_hub"), (i % 9).alias("depth"), (i % 11 == 0).alias("crosses"), "complexity")
+    return rules.eligible(made).select("id")
+
+
+@query("k18_importance", f"{EDGES}, i AS (SELECT dst AS id, count(*) AS c FROM v_edges GROUP BY 1), o AS (SELECT src AS id, count(*) AS c FROM v_edges GROUP BY 1) SELECT id, CASE WHEN id % 50 = 0 THEN 1000 WHEN id % 20 = 0 THEN 500 ELSE 0 END + 10 * coalesce(i.c, 0) + 5 * coalesce(o.c, 0) + 2 * complexity + 3 AS score FROM v_nodes LEFT JOIN i USING (id) LEFT JOIN o USING (id) ORDER BY score DESC, id DESC LIMIT {config.MAX_DIAGRAM_NODES}")
+def k18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    degree = graph.cut(view(spark, sf_dir, "v_edges"))
+    into, out = degree.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("calls_in")), degree.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("calls_out"))
+    made = view(spark, sf_dir, "v_nodes").join(into, "id", "left").join(out, "id", "left").fillna(0, ["calls_in", "calls_out"])
+    kind = F.when(F.col("id") % 50 == 0, "entry_point").when(F.col("id") % 20 == 0, "core_utility").otherwise("module")
+    return rules.importance(made.select("id", kind.alias("type"), "calls_in", "calls_out", F.col("complexity").alias("functions"), F.lit(1).alias("classes")))
+
+
+_FLAG_SQL = ", ".join("coalesce(bool_or(" + " OR ".join(f"contains(lower(path), '{w}')" for w in words) + f"), false) AS {flag}" for flag, words in config.PATH_FLAGS.items())
+
+
+@query("k19_path_flags", f"{FILES} SELECT {_FLAG_SQL} FROM v_files")
+def k19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.path_flags(view(spark, sf_dir, "v_files"))
+
+
+_DESIGN = "CASE " + " ".join(f"WHEN contains(lower(text), '{p.lower()}') THEN '{p}'" for p in config.DESIGN_PATTERNS) + " END"
+
+
+@query("k20_design_pattern", f"SELECT p_partkey, {_DESIGN.replace('text', 'p_name')} AS pattern FROM part UNION ALL SELECT -1, 'Factory'")
+def k20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.plans.fixtures import table
+
+    texts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text")).unionByName(spark.createDataFrame([(-1, "a FACTORY with a proxy")], "p_partkey long, text string"))
+    return texts.select("p_partkey", rules.design_pattern(F.col("text")).alias("pattern"))
+
+
+@query("k21_file_rank", f"{FILES} SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY file_id % 7 <> 0, ({_LANG}) IS NULL, coalesce(({_LANG}) <> 'Python', true), file_id % 5 = 0, size_bytes DESC, path) AS place FROM v_files")
+def k21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = view(spark, sf_dir, "v_files").select("repo", "path", "size_bytes", filters.language(F.col("path")).alias("language"), (F.col("file_id") % 7 == 0).alias("is_entry"), (F.col("file_id") % 5 == 0).alias("is_ui"))
+    return rules.file_rank(files, "Python").select("repo", "path", F.col("place").cast("long").alias("place"))
+
+
+@query("k22_blocks", "SELECT * FROM (VALUES (1, true, false), (2, true, true), (3, true, false), (4, false, false)) AS t(n, main_block, exports)")
+def k22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "Python", "if __name__ == '__main__': run()"), (2, "JavaScript", "module.exports = 1; process.argv"), (3, "Go", "func main() {}"), (4, "Rust", "fn x() {}")], "n int, language string, content string")
+    return rows.select("n", rules.main_block(F.col("content"), F.col("language")).alias("main_block"), rules.exports(F.col("content"), F.col("language")).alias("exports"))
+
+
+@query("x22_complexity", "WITH d AS (SELECT doc_id, length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS n, text, CASE lang WHEN 'en' THEN 'Python' ELSE 'Go' END AS language FROM documents) SELECT doc_id, CASE WHEN language = 'Python' THEN 1 + len(regexp_extract_all(text, '\\b(?:if|elif|for|while|try|except|with|and|or|assert)\\b')) ELSE 1 END AS complexity FROM d WHERE language = 'Python'")
+def x22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.plans.fixtures import table
+
+    english = table(spark, sf_dir, "documents").where("lang = 'en'")
+    return english.select("doc_id", rules.complexity(F.regexp_replace("text", "[^\\x00-\\x7F]", " "), F.lit("Python")).alias("complexity"))
+
+
+@query("a10_parse_manifest", f"{FILES} SELECT count(*) AS files, count(*) FILTER (WHERE ({_LANG}) IS NOT NULL) AS parsed, count(*) FILTER (WHERE ({_LANG}) IS NULL) AS failed, count(DISTINCT {_EXT}) AS extensions FROM v_files")
+def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    known = filters.language(path).isNotNull()
+    return view(spark, sf_dir, "v_files").agg(F.count("*").alias("files"), F.count_if(known).alias("parsed"), F.count_if(~known).alias("failed"), F.countDistinct(filters.extension(path)).alias("extensions"))

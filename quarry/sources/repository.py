@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.operators.filters import language
 
@@ -47,7 +48,7 @@ def json_lines(lines: DataFrame, schema: str, defaults: dict[str, object]) -> Da
     return rows.fillna(defaults)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
