@@ -111,23 +111,27 @@ def classes(values: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def _links(radius: int):
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """Batches of whole runs of one key, rows in order of it."""
-        keys, values = np.empty(0, np.int64), np.empty(0, np.int64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            keys, values = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if cut:
-                yield np.concatenate([*(k for k, _ in held), keys[:cut]]), np.concatenate([*(v for _, v in held), values[:cut]]), True
-                held = []
-            held.append((keys[cut:], values[cut:]))
-        if held:
-            yield np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]), True
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches, cut so that no run of one key (the first column) is divided."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [np.asarray(c) for c in batch.columns]
+        cut = int(np.searchsorted(columns[0], columns[0][-1])) if batch.num_rows else 0
+        if held and batch.num_rows and held[-1][0][-1] != columns[0][0]:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held = []
+        if cut:
+            yield [np.concatenate(c) for c in zip(*held, [c[:cut] for c in columns], strict=True)]
+            held = []
+        if batch.num_rows:
+            held.append([c[cut:] for c in columns])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
 
+def _links(radius: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, values, _ in runs(batches):
+        for keys, values in runs_of(batches):
             edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
             starts, sizes = edges[:-1], np.diff(edges)
             bits = values.view(np.uint64)
@@ -199,8 +203,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, tree_nodes
     of_fp = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs, all columns, but for those of a class that has a document of a lesser id."""
-    dropped = near_duplicates(docs, words, radius).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from quarry.llm import exact_dedup, sharding, simhash
+from quarry.llm import exact_dedup, near_copies, sharding, simhash
+from quarry.llm.queries import table
 from quarry.llm.components import components
 
 
@@ -109,7 +110,6 @@ def test_simhash(odd, none):
     want = sorted((str(d), f"{f:016x}", str(min((x for x in least[root[f]] if x is not None), default=None))) for d, f in rows)
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.near_duplicates(odd).collect()) == want
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.keep_one(none).count() == 0
 
 
 @pytest.mark.parametrize("tree_nodes", [20_000, 4])
@@ -155,3 +155,44 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 7), (5, 5), (9, 200), (200, 150)]
     got = {r.u: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {i: 9 for i in [*range(100, 161), 200]} | {7: 3}
+
+
+def slow_shingles(text):
+    parts = text.encode().lower().split()
+    return {b" ".join(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))}
+
+
+def test_near_copies(spark, odd, none):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rng, rows = random.Random(8), []
+    for doc_id, text in texts(docs):
+        rows.append((doc_id, text))
+        parts = text.split(" ")
+        if doc_id % 5 == 0:  # edits of several sizes, so pairs lie on both sides of the limit
+            for _ in range(max(1, int(len(parts) * rng.choice([0.005, 0.01, 0.02, 0.03])))):
+                parts[rng.randrange(len(parts))] = rng.choice(["alpha", "beta"])
+            rows.append((doc_id + 10_000, " ".join(parts)))
+    sets, by_hash = {d: slow_shingles(t) for d, t in rows}, defaultdict(list)
+    for d, own in sets.items():
+        for s in own:
+            by_hash[s].append(d)
+    pairs = {(a, b) for own in by_hash.values() if len(own) < 60 for a in own for b in own if a < b}
+    want = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    root = {d: d for d in sets}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in want:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.u: r.root for r in near_copies.classes(made).collect()}
+    expected = {d: find(d) for d in sets if find(d) != d}
+    assert len(expected) > 100 and set(got) <= set(expected) and len(got) >= 0.97 * len(expected)
+    assert {d for d, _ in texts(near_copies.keep_one(made))} == set(sets) - set(got)
+    kept = near_copies.keep_one(odd)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {0, 2, 5, 6, 7, None} and not {1, 3, 4} & {r.doc_id for r in kept.collect()}
+    assert near_copies.keep_one(none).count() == 0
