@@ -178,7 +178,7 @@ def expanded(primary: DataFrame, edges: DataFrame, first: int = 5, each: int = 1
     new = pairs.join(primary.select("query", F.col("id").alias("near")), ["query", "near"], "left_anti")
     best = new.withColumn("b", F.row_number().over(Window.partitionBy("query", "near").orderBy("rank", "chunk"))).where("b = 1")
     kept = best.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy("rank", "near"))).where(F.col("k") <= most)
-    return kept.select("query", F.col("near").alias("id"), F.round(F.col("score") * factor, 6).alias("score"))
+    return kept.select("query", F.col("near").alias("id"), F.round(F.col("score") * factor, 8).alias("score"))
 
 
 def file_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

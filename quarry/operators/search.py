@@ -82,7 +82,7 @@ def fused(rows: DataFrame) -> DataFrame:
     """rows with `score`: the weighted sum, a bonus where both are above 0, at most 1; looked-up entities score 0.95."""
     both = (F.col("semantic") > 0) & (F.col("keyword") > 0)
     total = config.SEMANTIC_WEIGHT * F.col("semantic") + config.KEYWORD_WEIGHT * F.col("keyword") + F.when(both, config.BOTH_BONUS).otherwise(0.0)
-    return rows.withColumn("score", F.when(F.col("source") == "entity", 0.95).otherwise(F.round(F.least(total, F.lit(1.0)), 6)))
+    return rows.withColumn("score", F.when(F.col("source") == "entity", 0.95).otherwise(F.round(F.least(total, F.lit(1.0)), 8)))
 
 
 def reciprocal_ranks(rankings: DataFrame, k: int = 60) -> DataFrame:

@@ -105,7 +105,7 @@ _PRIMARY = "p AS (SELECT layer AS query, id, round(complexity / 50.0, 6) AS scor
   f(q, id, depth) AS (SELECT id, id, 0 FROM s UNION SELECT q, dst, depth + 1 FROM f JOIN v_edges ON src = id WHERE depth < 2), b(q, id, depth) AS (SELECT id, id, 0 FROM s UNION SELECT q, src, depth + 1 FROM b JOIN v_edges ON dst = id WHERE depth < 2),
   n AS (SELECT q, id FROM f WHERE id <> q UNION SELECT q, id FROM b WHERE id <> q), e AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY q ORDER BY id) <= 10),
   x AS (SELECT p.query, e.id, p.score, p.rank, p.id AS chunk FROM p JOIN e ON e.q = p.id WHERE p.rank <= 5 AND NOT EXISTS (SELECT 1 FROM p o WHERE o.query = p.query AND o.id = e.id)),
-  y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY rank, chunk) = 1) SELECT query, id, round(score * 0.7, 6) AS score FROM y QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank, id) <= {config.MAX_EXPANSION_CHUNKS}""")
+  y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY rank, chunk) = 1) SELECT query, id, round(score * 0.7, 8) AS score FROM y QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank, id) <= {config.MAX_EXPANSION_CHUNKS}""")
 def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_layer = Window.partitionBy("layer").orderBy(F.desc("complexity"), "id")
     primary = _nodes(spark, sf_dir).select(F.col("layer").alias("query"), "id", F.round(F.col("complexity") / 50.0, 6).alias("score"), F.row_number().over(by_layer).alias("rank")).where(F.col("rank") <= config.TOP_FINAL)

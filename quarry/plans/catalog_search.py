@@ -62,7 +62,7 @@ def x13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MIX = f"""ra AS (SELECT query, id, score FROM sem), rk AS (SELECT query // 5 * 100 AS query, id, max(score) AS score FROM kw GROUP BY 1, 2), nk AS (SELECT query, id, round(score / CASE WHEN max(score) OVER (PARTITION BY query) = 0 THEN 1 ELSE max(score) OVER (PARTITION BY query) END, 6) AS score FROM rk),
   mg AS (SELECT coalesce(a.query, k.query) AS query, coalesce(a.id, k.id) AS id, coalesce(a.score, 0) AS semantic, coalesce(k.score, 0) AS keyword, CASE WHEN k.id IS NULL THEN 'semantic' WHEN a.id IS NULL THEN 'keyword' ELSE 'semantic+keyword' END AS source FROM ra a FULL JOIN nk k ON a.query = k.query AND a.id = k.id),
-  fu AS (SELECT *, round(least(0.65 * semantic + 0.35 * keyword + CASE WHEN semantic > 0 AND keyword > 0 THEN 0.1 ELSE 0 END, 1), 6) AS score FROM mg)"""
+  fu AS (SELECT *, round(least(0.65 * semantic + 0.35 * keyword + CASE WHEN semantic > 0 AND keyword > 0 THEN 0.1 ELSE 0 END, 1), 8) AS score FROM mg)"""
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
