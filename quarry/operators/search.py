@@ -61,10 +61,34 @@ def normalised(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.round(F.col("score") / F.when(best == 0, 1.0).otherwise(best), 6))
 
 
-def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query, id, score: max(0, cosine) of unit vectors (id, v) with each stated query (query, q)."""
-    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda x, y: x + y)
-    return vectors.crossJoin(queries).select("query", "id", F.round(F.greatest(product, F.lit(0.0)), 6).alias("score"))
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """query, id, score, rank: the k rows (id, v) of greatest max(0, cosine) with each stated query (query, q); ties: the lesser id.
+
+    Queries go to the rows in blocks of about `block`; a batch of rows keeps its k best of each, so what is shuffled is k rows for each query and batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    blocks, out = max(1, -(-queries.count() // block)), None
+    for n in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n).collect()
+        names, matrix = [r["query"] for r in own], np.array([r["q"] for r in own], np.float64)
+
+        def best(batches, names=names, matrix=matrix):
+            for batch in batches:
+                if not batch.num_rows or not names:
+                    continue
+                ids = np.asarray(batch.column(0))
+                rows = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
+                scores = np.round(np.maximum(matrix @ rows.T, 0.0), 6)
+                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                found = np.take_along_axis(scores, order, 1)
+                columns = [pa.array(np.repeat(names, order.shape[1]), pa.int64()), pa.array(ids[order].ravel(), pa.int64()), pa.array(found.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, ["query", "id", "score"])
+
+        rows = vectors.where(F.size("v") > 0).select(F.col("id").cast("long"), "v")
+        part = rows.mapInArrow(best, "query long, id long, score double")
+        out = part if out is None else out.unionByName(part)
+    return top(out, k)
 
 
 def merged(semantic: DataFrame, keyword: DataFrame, extra: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     queries = vectors.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"))
-    return search.top(search.cosine(vectors, queries), config.TOP_SEMANTIC)
+    return search.nearest(vectors, queries, config.TOP_SEMANTIC)
 
 
 @query("x11_tokens", "SELECT doc_id, CAST(len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS BIGINT) AS words FROM documents")
