@@ -10,7 +10,7 @@ clean training documents' maxima. A segment of score S in n words has K n exp(-l
 less than `significant` times are toxic passages. A document's evidence is the sum of their surprises (-ln of that number, less that of
 the limit), and a logistic fit over the training documents turns the best segment's surprise and the evidence into a probability.
 
-Learning takes a bounded sample by a hash of doc_id: about SAMPLE rows of each label, and at most TOKENS tokens. Scoring
+Learning takes a bounded sample by a hash of doc_id: about SAMPLE rows of each label, and at most TOKENS tokens of at least LEAST_DOCUMENTS documents. Scoring
 reads whole texts of all documents. labels, lang, source and doc_id enter no score.
 
 Defined results: null or empty texts and texts without words score as documents without a segment; of several labels of a
@@ -24,6 +24,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ from quarry.llm.words import words
 
 SAMPLE = 4000
 TOKENS = 50_000
+LEAST_DOCUMENTS = 6
 STEM = 4
 KEPT_WORDS = 300_000
 PRIOR = 500.0
@@ -67,7 +69,11 @@ class WordScores(dict):
         return score
 
     def of(self, listed: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, listed), np.float64, len(listed))
+        """Scores in order; a word that repeats the one before it adds nothing."""
+        scores = np.fromiter(map(self.__getitem__, listed), np.float64, len(listed))
+        again = np.fromiter(map(eq, listed[1:], listed), bool, max(0, len(listed) - 1))
+        scores[1:][again] = np.minimum(scores[1:][again], -self.drift)
+        return scores
 
 
 def tokens(word: bytes) -> tuple[bytes, ...]:
@@ -237,7 +243,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     if not total[0] or not total[1]:
         return None
     # the most frequent tokens; the rest are rare and would shrink to 0
-    kept = counted.where(F.col("n1") + F.col("n0") >= 3).orderBy(F.desc(F.col("n1") + F.col("n0")), "word").limit(TOKENS).collect()
+    kept = counted.where(F.col("n1") + F.col("n0") >= LEAST_DOCUMENTS).orderBy(F.desc(F.col("n1") + F.col("n0")), "word").limit(TOKENS).collect()
     toxic, clean = Counter({bytes(r.word): r.n1 for r in kept}), Counter({bytes(r.word): r.n0 for r in kept})
     toxic[b""], clean[b""] = total[0] - sum(toxic.values()), total[1] - sum(clean.values())
     scores = {w: v for w, v in log_odds(toxic, clean).items() if w and v}
