@@ -140,7 +140,7 @@ def c14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n", context.story_json(F.col("raw"), ["a", "b"]).alias("x")).select("n", "x.*")
 
 
-@query("c15_prompt")
+@query("c15_prompt", f"{TURNS} SELECT conv_id, turn, 'Context:' || chr(10) || answer || chr(10) || chr(10) || 'History:' || chr(10) || chr(10) || chr(10) || 'Question: ' || question AS prompt FROM v_turns")
 def c15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_turns").select("conv_id", "turn", context.prompt(F.col("question"), F.col("answer"), F.lit(None).cast("string")).alias("prompt"))
 

@@ -125,12 +125,12 @@ def s02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("doc_id", "chars", F.md5(repository.decoded(F.col("raw"))).alias("text_md5"))
 
 
-@query("s03_repo_metadata")
+@query("s03_repo_metadata", f"{FILES} SELECT repo, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, max(length(path)) AS longest_path, max(md5(content)) AS digest FROM v_files GROUP BY repo")
 def s03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repository.metadata(view(spark, sf_dir, "v_files"))
 
 
-@query("s05_json_scan")
+@query("s05_json_scan", f"{FILES} SELECT path, 'unknown' AS language, size_bytes FROM v_files")
 def s05(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = view(spark, sf_dir, "v_files").select(F.to_json(F.struct("path", "size_bytes")).alias("line"))
     return repository.json_lines(lines, "path string, language string, size_bytes long", {"language": "unknown"})

@@ -35,10 +35,10 @@ def excerpt(content: Column, lines: int) -> Column:
 
 
 def metadata(files: DataFrame) -> DataFrame:
-    """A row per repository: its files, bytes, longest path and digest of all contents in order of path."""
+    """A row per repository: its files, bytes, longest path and largest digest of a content."""
     return files.groupBy("repo").agg(
-        F.count("*").alias("files"), F.sum("size_bytes").cast("long").alias("bytes"), F.max(F.length("path")).alias("longest_path"),
-        F.bit_xor(F.xxhash64("path", "content")).alias("digest"),
+        F.count("*").alias("files"), F.sum("size_bytes").cast("long").alias("bytes"), F.max(F.length("path")).cast("long").alias("longest_path"),
+        F.max(F.md5("content")).alias("digest"),
     )
 
 
