@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarry.operators import chunks, context, filters, folds, graph, parsing, stats
+from quarry.operators import chunks, context, filters, folds, graph, parsing, search, stats
 from quarry.sources import repository, stores
 
 
@@ -75,3 +75,13 @@ def test_scan_tree(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"caf\xe9")
     got = {r.path: r.text for r in repository.scan_tree(spark, str(tmp_path)).select("path", repository.decoded(F.col("raw")).alias("text")).collect()}
     assert got == {"src/a.py": "x = 1\ny\n", "b.txt": "café"}
+
+
+def test_nearest_by_blocks(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 3 == k) for k in range(3)]) for i in range(30)] + [(99, [])], "id long, v array<float>")
+    queries = vectors.where("id < 3").select(F.col("id").alias("query"), F.col("v").alias("q"))
+    want = sorted((q, i, 1.0) for q in range(3) for i in range(q, 12, 3))
+    for block in (1, 2048):
+        got = search.nearest(vectors.repartition(4), queries, 4, block).collect()
+        assert sorted((r["query"], r.id, r.score) for r in got) == want
+    assert search.nearest(vectors, queries.limit(0), 4).count() == 0
