@@ -78,9 +78,8 @@ def states(E: np.ndarray, U: np.ndarray, x: np.ndarray, kept: dict | None = None
 
 def backward(E: np.ndarray, U: np.ndarray, x: np.ndarray, kept: dict, d_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of E and U, given those of the states: backpropagation through time."""
-    size, dE, dU = U.shape[1], np.zeros_like(E), np.zeros_like(U)
-    dh = np.zeros_like(d_out[0])
-    byte = np.arange(256)[:, None]
+    dE, dU, dh = np.zeros_like(E), np.zeros_like(U), np.zeros_like(d_out[0])
+    into = np.empty((E.shape[0], *x.shape), U.dtype)  # gradients of the input weights that each byte took
     for t in reversed(range(len(x))):
         r, z, n, u, h = kept[t]
         dh = dh + d_out[t]
@@ -89,8 +88,11 @@ def backward(E: np.ndarray, U: np.ndarray, x: np.ndarray, kept: dict, d_out: np.
         dr = dn * u * r * (1 - r)
         through = np.concatenate([dr, dz, dn * r])
         dU += through @ h.T
-        dE += np.concatenate([dr, dz, dn]) @ (byte == x[t]).astype(U.dtype).T
+        np.concatenate([dr, dz, dn], out=into[:, t])
         dh = dh * z + U.T @ through
+    order = np.argsort(x, axis=None, kind="stable")
+    met, first = np.unique(x.ravel()[order], return_index=True)
+    dE[:, met] = np.add.reduceat(into.reshape(len(E), -1)[:, order], first, axis=1)
     return dE, dU
 
 
