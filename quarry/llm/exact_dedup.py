@@ -140,8 +140,11 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of docs, all columns, of each group of equal texts: that of the largest doc_id."""
-    rows = exact_duplicates(docs).where("kept").select(*_as_key("doc_id"), F.col("text_sha256").alias("kept_sha256")).distinct()
-    keyed = docs.select("*", *_as_key("doc_id")).withColumns({"kept_sha256": F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)})
-    kept = keyed.join(rows, ["doc_id_key", "doc_id_null", "kept_sha256"], "left_semi")
-    one = Window.partitionBy("doc_id_key", "doc_id_null", "kept_sha256").orderBy(F.lit(0))
-    return kept.withColumn("copy", F.row_number().over(one)).where("copy = 1").select(*docs.columns)
+    rows = exact_duplicates(docs).where("kept").select(*_as_key("doc_id"), "text_sha256").distinct()
+    # the row is one column meanwhile, so no column of the input can clash
+    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    keyed = docs.select(F.struct("*").alias("row"), *_as_key("doc_id"), sha.alias("text_sha256"))
+    keys = ["doc_id_key", "doc_id_null", "text_sha256"]
+    one = Window.partitionBy(*keys).orderBy(F.lit(0))
+    kept = keyed.join(rows, keys, "left_semi").withColumn("copy", F.row_number().over(one))
+    return kept.where("copy = 1").select("row.*")
