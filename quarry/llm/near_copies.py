@@ -1,12 +1,16 @@
 """Near copies by SimHash and BK-trees at a stated similarity: sets of five-word shingles with a Jaccard index of 0.8 or more.
 
-At that similarity fingerprints (three-word shingles, 64 bits) differ in up to about a fifth of their bits, too many for shards cut from the bits
-themselves. So shards are keyed by content: each document goes to KEYS shards, one for the least of its shingles' hashes under each
-of KEYS mixings; two documents of similarity 0.8 share none with chance 0.2 ** KEYS. In each shard a BK-tree over the fingerprints is searched within
-RADIUS bits. Documents with a neighbour, and those alone, bring their sets of shingles to the shards where they have one; there the
-tree is searched again, and a pair that isn't linked yet is linked if its exact Jaccard index is high enough. Components of the links are classes.
+At that similarity fingerprints (three-word shingles, 64 bits) differ in up to about a fifth of their bits and in more where lines repeat, so no distance
+of theirs decides what is compared. Shards are keyed by content: each document goes to KEYS shards, one for the least of its shingles' hashes under each
+of KEYS mixings; two documents of similarity 0.8 share none with chance 0.2 ** KEYS at most, and that is all that can be missed. Documents that have in a shard another whose
+number of shingles allows the similarity, and those alone, bring their sets of shingles there. In the shard a BK-tree over the fingerprints finds pairs within
+RADIUS bits, which are verified first; then every other pair that can be similar enough is found by the sets' rarest shingles and verified, if its documents aren't in one class yet.
+A link is always an exact Jaccard index. Components of the links are classes.
 
-A shard hands on fewer links than it has documents. Sets move for documents with neighbours only, hashed to 64 bits a shingle.
+Two sets of similarity s have an overlap of s times the larger one's size at least, so in any one order of all shingles they share one of each set's first
+size - ceil(s size) + 1: these prefixes, rarest shingles first, are looked up, and no similar pair of the shard is passed over.
+
+A shard hands on fewer links than it has documents. Sets move hashed to 64 bits a shingle.
 
 Defined results: words and shingles are those of the fingerprints (A-Z lower-cased, ASCII white space); a text of fewer than five words is one
 shingle; texts without words are one class; a null doc_id is no one's near copy; repeated rows are near copies of each other with one doc_id, so all stay or go; an
@@ -66,13 +70,13 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     process_cache()
     for batch in batches:
-        ids, fps, keys = [], [], []
+        ids, sizes, keys = [], [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py()
+            own = shingles(text.as_py())
             ids.append(doc_id)
-            fps.append(fingerprint(text))
-            keys.append(shard_keys(shingles(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array([k.tolist() for k in keys], pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+            sizes.append(len(own))
+            keys.append(shard_keys(own))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([k.tolist() for k in keys], pa.list_(pa.int64()))], ["doc_id", "size", "keys"])
 
 
 def neighbours(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -84,25 +88,41 @@ def neighbours(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.nd
         yield order[edges[node] : edges[node + 1]], np.concatenate([order[edges[q] : edges[q + 1]] for q in near.tolist()])
 
 
-def _flagged(radius: int):
+def _flagged(similarity: float):
     def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, fps, ids in runs_of(batches):
-            bits = fps.view(np.uint64)
-            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-            starts, sizes = edges[:-1], np.diff(edges)
-            two = starts[sizes == 2]
-            two = two[np.bitwise_count(bits[two] ^ bits[two + 1]) <= radius]
+        for keys, sizes, ids in runs_of(batches):
+            # in order of size, whoever fits any of its shard fits the next one or the one before
+            fit = (keys[1:] == keys[:-1]) & (sizes[:-1] >= similarity * sizes[1:])
             hit = np.zeros(len(keys), bool)
-            hit[two] = hit[two + 1] = True
-            for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                for _, near in neighbours(bits[start : start + size], radius):
-                    if len(near) > 1:
-                        hit[start + near] = True
+            hit[:-1] |= fit
+            hit[1:] |= fit
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(keys[hit])], ["doc_id", "key"])
 
     return flagged
 
 
+def prefix_candidates(hashes: list[np.ndarray], similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(a set, sets before it that share a shingle of both prefixes): every pair of the similarity is among them."""
+    size = np.array([len(h) for h in hashes])
+    _, of, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    owner = np.repeat(np.arange(len(hashes)), size)
+    order = np.lexsort((rank[of], owner))
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    prefix = order[(nth < (size - np.ceil(similarity * size - 1e-9) + 1)[owner]) & (counts[of[order]] > 1)]
+    starts = np.searchsorted(owner[prefix], np.arange(len(hashes) + 1))
+    postings: dict[int, list[int]] = {}
+    for a in range(len(hashes)):
+        met: set[int] = set()
+        for token in of[prefix[starts[a] : starts[a + 1]]].tolist():
+            own = postings.setdefault(token, [])
+            met.update(own)
+            own.append(a)
+        if met:
+            yield a, np.array(sorted(met))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -118,14 +138,23 @@ def _linked(radius: int, similarity: float):
             return
         hashes, label = [np.frombuffer(s, np.uint64) for s in sets], np.arange(len(ids))
         size = np.array([len(h) for h in hashes])
-        for own, near in neighbours(np.array(fps, np.int64).view(np.uint64), radius):
-            for a in own.tolist():
-                # by size alone, sets of other ratios can't be similar enough
-                fit = near[(np.minimum(size[near], size[a]) >= similarity * np.maximum(size[near], size[a])) & (label[near] != label[a])]
-                for b in fit.tolist():
-                    if label[a] != label[b] and jaccard(hashes[a], hashes[b]) >= similarity:
-                        label[label == label[b]] = label[a]
-                        yield ids[a], ids[b]
+
+        def verified(a: int, near: np.ndarray) -> Iterator[tuple[int, int]]:
+            # by size alone, sets of other ratios can't be similar enough
+            fit = near[(np.minimum(size[near], size[a]) >= similarity * np.maximum(size[near], size[a])) & (label[near] != label[a])]
+            for b in fit.tolist():
+                if label[a] != label[b] and jaccard(hashes[a], hashes[b]) >= similarity:
+                    label[label == label[b]] = label[a]
+                    yield ids[a], ids[b]
+
+        if len(ids) > 2:
+            for own, near in neighbours(np.array(fps, np.int64).view(np.uint64), radius):
+                for a in own.tolist():
+                    yield from verified(a, near)
+            for a, near in prefix_candidates(hashes, similarity):
+                yield from verified(a, near)
+        else:
+            yield from verified(0, np.array([1]))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, ([], [], []), []
@@ -149,9 +178,9 @@ def _linked(radius: int, similarity: float):
 def classes(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """u, root: documents that have a near copy of lesser id, with the least id of their class."""
     rows = doc_columns(docs).where("doc_id is not null")
-    signed = cut_lineage(rows.mapInArrow(_signed, "doc_id long, fp long, keys array<long>"))
-    spread = signed.select(F.explode("keys").alias("key"), "fp", "doc_id").repartition("key").sortWithinPartitions("key", "doc_id")
-    flagged = spread.mapInArrow(_flagged(radius), "doc_id long, key long").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    signed = cut_lineage(rows.mapInArrow(_signed, "doc_id long, size long, keys array<long>"))
+    spread = signed.select(F.explode("keys").alias("key"), "size", "doc_id").repartition("key").sortWithinPartitions("key", "size")
+    flagged = spread.mapInArrow(_flagged(similarity), "doc_id long, key long").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     sets = rows.join(cut_lineage(flagged), "doc_id").mapInArrow(_sets, "doc_id long, fp long, hashes binary, keys array<long>")
     met = sets.select(F.explode("keys").alias("key"), "doc_id", "fp", "hashes").repartition("key").sortWithinPartitions("key", "doc_id")
     return components(met.mapInArrow(_linked(radius, similarity), "u long, v long"))

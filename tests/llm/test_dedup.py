@@ -196,3 +196,32 @@ def test_near_copies(spark, odd, none):
     kept = near_copies.keep_one(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {0, 2, 5, 6, 7, None} and not {1, 3, 4} & {r.doc_id for r in kept.collect()}
     assert near_copies.keep_one(none).count() == 0
+
+
+def test_near_copies_of_every_kind(spark):
+    """Appended, cut, block-replaced and repeated-line copies at the limit: only sharing no shard (0.2 ** 4) may lose a pair."""
+    rng, rows, pairs = random.Random(11), [], []
+    new = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    for i in range(240):
+        n = rng.choice([100, 300, 600])
+        own, some = new(n), int(n * rng.uniform(0.17, 0.21))
+        at = rng.randrange(n - n // 4)
+        other = [own + new(some), own[some:], own[:at] + new(n // 10) + own[at + n // 10 :], own + own[at : at + n // 4] * rng.randint(2, 8)][i % 4]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+        a, b = slow_shingles(rows[-2][1]), slow_shingles(rows[-1][1])
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append((i % 4, 2 * i + 1))
+    got = {r.u for r in near_copies.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= {u for _, u in pairs}
+    for kind in range(4):
+        own = [u for k, u in pairs if k == kind]
+        assert len(own) >= 15 and len(set(own) & got) >= 0.97 * len(own)
+
+
+def test_prefixes_pass_over_no_similar_pair():
+    rng = np.random.default_rng(3)
+    bases = [rng.integers(0, 1 << 40, rng.integers(1, 60), np.uint64) for _ in range(30)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) < 0.95], rng.integers(0, 1 << 40, rng.integers(0, 4), np.uint64), np.arange(3, dtype=np.uint64)])) for b in bases for _ in range(6)]
+    found = {(b, a) for a, near in near_copies.prefix_candidates(sets, 0.8) for b in near.tolist()}
+    similar = {(b, a) for a in range(len(sets)) for b in range(a) if near_copies.jaccard(sets[a], sets[b]) >= 0.8}
+    assert len(similar) > 50 and similar <= found
