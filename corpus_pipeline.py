@@ -15,7 +15,7 @@ from quarry.llm.queries import table, tokenizer_path
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known go on; those without a letter, or of no clear language, go."""
-    return langid.keep_identified(docs, langid.learned(docs))
+    return langid.keep_identified(docs, langid.learned(docs, unclear=True))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,11 +10,13 @@ E holds a column of input weights and bias for each byte.
 
 Defined results: null text or text without a letter gets `und` and score 0, as does any text where no labelled row
 could be learned from; a tie takes the language first in order; repeated rows get equal results; an empty table gives
-an empty result; other columns are not read.
+an empty result; other columns are not read. For keep_identified the model also learns texts of no language, made at random (UNKNOWN),
+and a document stays if its best label is a language with a probability clearly above the least that the best of so many can have.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -174,8 +176,29 @@ def document_probabilities(model: Model, data: np.ndarray, offsets: np.ndarray)
     return sums / np.maximum(lengths, 1)[:, None]
 
 
-def learned(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, hidden: int = HIDDEN, epochs: int = 6) -> Model:
-    """A model of a bounded sample: about per_language rows of each language, by a hash of doc_id, one slice of each."""
+#: Blocks of letters that texts of no learned language are made of: Latin, accented, Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana, Chinese, Hangul.
+SCRIPTS = [(0x61, 0x7B), (0x41, 0x5B), (0xC0, 0x180), (0x391, 0x3CA), (0x410, 0x450), (0x5D0, 0x5EB), (0x621, 0x64B), (0x905, 0x93A), (0xE01, 0xE2F), (0x3041, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A4)]
+CODES = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ-_", "bcdfghjklmnpqrstvwxz"]
+
+
+def unclear_texts(count: int, seed: int = 0) -> list[bytes]:
+    """Texts of no language: encoded blobs, and words of letters drawn at random from a script."""
+    rng, texts = np.random.default_rng(seed), []
+    for i in range(count):
+        low, high = SCRIPTS[0] if i % 4 == 1 else SCRIPTS[rng.integers(len(SCRIPTS))]
+        letters = list(CODES[rng.integers(len(CODES))]) if i % 4 == 0 else [chr(x) for x in range(low, high)]
+        drawn = rng.choice(letters, SLICE).tolist()
+        if i % 8:  # words; the rest are blobs without a space
+            step = rng.integers(3, 12)
+            for at in np.cumsum(rng.integers(2, step + 2, SLICE)):
+                if at < SLICE:
+                    drawn[at] = " "
+        texts.append("".join(drawn).encode()[:SLICE])
+    return texts
+
+
+def learned(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, hidden: int = HIDDEN, epochs: int = 6, unclear: bool = False) -> Model:
+    """A model of a bounded sample: about per_language rows of each language, by a hash of doc_id, one slice of each; unclear adds texts of no language, labelled UNKNOWN."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
     counted = docs.where(F.col("lang").isNotNull()).groupBy(F.col("lang").cast("string").alias("lang")).count().collect()
@@ -186,7 +209,11 @@ def learned(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, hidden: in
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - SLICE)).cast("int") + 1
     sample = rows.where(mixed < share[F.col("lang")] * (1 << 20)).select("doc_id", "lang", F.col("text").substr(start, F.lit(SLICE)).alias("text"))
     got = sorted((r.lang, r.doc_id is None, r.doc_id or 0, r.text) for r in sample.collect())
-    return train([r[3].encode() for r in got], [r[0] for r in got], hidden, epochs) if got else Model([], {})
+    if not got:
+        return Model([], {})
+    most = max(Counter(r[0] for r in got).values())
+    none = unclear_texts(most) if unclear else []
+    return train([r[3].encode() for r in got] + none, [r[0] for r in got] + [UNKNOWN] * len(none), hidden, epochs)
 
 
 def _scored(model: Model):
@@ -239,12 +266,13 @@ def _identified(model: Model, place: int, least: float):
     return identified
 
 
-#: A document whose best language has a lower probability is of no clear language.
-LEAST_SCORE = 0.3
+#: A document whose best label is UNKNOWN, or has a probability less than this part of the way from 1 / labels, the least there can be, to 1, is of no clear language.
+MARGIN = 0.25
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame:
     """The rows of docs, all columns, whose language is known; all rows with a letter where nothing could be learned."""
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return docs.mapInArrow(_identified(model, docs.columns.index("text"), min(least, 1 / len(model.languages))), docs.schema)
+    least = margin + (1 - margin) / len(model.languages)
+    return docs.mapInArrow(_identified(model, docs.columns.index("text"), least), docs.schema)

@@ -197,6 +197,25 @@ def test_language_id(spark, odd, none):
     assert kept.columns == odd.columns and not {2, 3, 4, 10} & {r.doc_id for r in kept.collect()}
 
 
+def test_texts_of_no_clear_language_go(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    by_lang = defaultdict(list)
+    for r in docs.where("lang is not null and n_chars > 300").orderBy("doc_id").limit(200).collect():
+        by_lang[r.lang].append(r.text)
+    junk = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=500)) for _ in range(20)] + [base64.b64encode(rng.randbytes(400)).decode() for _ in range(20)] + [rng.randbytes(200).hex() for _ in range(20)]
+    junk += ["".join(rng.choices("абвгдежзиклмнопрстуфхцчшщыьэюя ", k=400)) for _ in range(20)]
+    mixed = [" ".join(rng.choice(own)[:240] for own in by_lang.values()) for _ in range(20)]
+    rows = [(1_000_000 + i, t) for i, t in enumerate(junk + mixed)]
+    made = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.identify(spark, made, SF).select("doc_id").collect()}
+    assert len(by_lang) == 4 and not kept & {d for d, _ in rows[: len(junk)]} and len(kept & {d for d, _ in rows[len(junk) :]}) <= 2
+    lettered = {r.doc_id for r in docs.where(r"text rlike '\\p{L}'").collect()}
+    assert len(lettered - kept) <= 0.002 * len(lettered)
+
+
 def test_pipeline(spark, odd, none, tmp_path):
     import corpus_pipeline
 
