@@ -67,7 +67,7 @@ def r06(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r07_shortest_paths", f"""{EDGES}, w(id, path) AS (SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT)] UNION ALL SELECT dst, list_append(path, dst) FROM w JOIN v_edges ON src = id WHERE len(path) < 6 AND NOT list_contains(path, dst)),
   t AS (SELECT * FROM w WHERE id % 100 = 0), r AS (SELECT id, path, row_number() OVER (PARTITION BY id ORDER BY len(path), path) AS n FROM t) SELECT id, array_to_string(path, '>') AS path FROM r WHERE n = 1""")
 def r07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.shortest_paths(_edges(spark, sf_dir), 0, _hundredths(spark, sf_dir), 5)
+    found = graph.shortest_paths(_edges(spark, sf_dir), 0, _hundredths(spark, sf_dir))
     return found.select("id", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 

@@ -85,3 +85,21 @@ def test_nearest_by_blocks(spark):
         got = search.nearest(vectors.repartition(4), queries, 4, block).collect()
         assert sorted((r["query"], r.id, r.score) for r in got) == want
     assert search.nearest(vectors, queries.limit(0), 4).count() == 0
+
+
+def test_shortest_paths_of_any_length(spark, tmp_path):
+    """r07 against a brute-force search, on a sparse graph whose targets lie up to eleven steps away."""
+    from quarry.plans import catalog
+
+    pairs = [(a, a + 1) for a in range(9)] + [(9, 100), (4, 200), (3, 201), (201, 200), (400, 0), (100, 500)]
+    lines = [row for order, (a, b) in enumerate(pairs) for row in ((order, a, 1), (order, b, 2))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, "n", "f", "l", 1) for i in (*range(10), 100, 200, 201, 300, 400, 500)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    best, frontier = {0: [0]}, [[0]]
+    while frontier:
+        longer = sorted([*p, b] for p in frontier for a, b in pairs if a == p[-1] and b not in best)
+        frontier = [p for i, p in enumerate(longer) if p[-1] not in {q[-1] for q in longer[:i]}]
+        best |= {p[-1]: p for p in frontier}
+    want = {i: ">".join(map(str, p)) for i, p in best.items() if i % 100 == 0}
+    assert {0, 100, 200, 500} == set(want)
+    assert {r.id: r.path for r in catalog.QUERIES["r07_shortest_paths"](spark, str(tmp_path)).collect()} == want
