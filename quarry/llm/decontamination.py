@@ -3,9 +3,9 @@
 The CGK walk reads a string of words with a pointer that moves on or stays by a random bit of (step, word); the word under it at
 each step is the embedding's coordinate. Strings of few edits between them have embeddings of few differing
 coordinates, so a sample of coordinates is equal with good chance. A repetition has its own random bits and sample, and a
-window of a document that equals an item's window in one repetition's sample is a candidate. Windows are as long as items:
-lengths go by classes in steps of about 1.5, and of an item the first and the last window of its class are indexed; a document's windows
-start at every word.
+window of a document that equals an item's window in one repetition's sample is a candidate. Windows are as long as items, up to LONGEST words:
+lengths go by classes in steps of about 1.5, and of an item windows of its class side by side, the last one and the middle one are indexed, so one of a long item's has
+no more than its share of the edits; a document's windows start at every word.
 
 Sampled coordinates are compared one after another over a whole batch of texts, so most windows leave after the first two.
 A candidate is verified exactly: the least number of word edits that turn the item into some part of the text around it
@@ -37,6 +37,8 @@ from quarry.llm.words import words
 
 BLOCK_ITEMS = 20_000
 LEAST = 8
+#: Words of the longest window: the longer a walk, the less likely that edits leave its later coordinates alone.
+LONGEST = 40
 SAMPLED = 4
 REPETITIONS = 16
 SIMILARITY = 0.8
@@ -46,13 +48,18 @@ FACTOR = 1_000_003
 
 
 def length_class(n: int) -> int:
-    """The longest class that isn't over n >= LEAST words."""
+    """The longest class that n >= LEAST words exceed by a quarter, so that windows at both ends differ, and that isn't over LONGEST."""
     size = LEAST
-    while (more := size + size // 2) <= n:
+    while (more := size + size // 2) * 5 <= n * 4 and more <= LONGEST:
         size = more
     return size
 
 
+def window_offsets(n: int, size: int) -> list[int]:
+    """Where the windows of an item of n words start: side by side, the last, and one in the middle."""
+    return sorted({*range(0, n - size + 1, size), n - size, (n - size) // 2})
+
+
 def edits_within(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
     """(edits, end): the least edits between item and a part of text, and where that part ends; edits > most if none."""
     row = np.zeros(len(text) + 1, np.int32)
@@ -110,7 +117,7 @@ class Index:
                 if len(ids) < LEAST:
                     continue
                 size = length_class(len(ids))
-                for offset in sorted({0, len(ids) - size}):
+                for offset in window_offsets(len(ids), size):
                     padded = np.concatenate([ids[offset : offset + size], np.full(steps, self.gap, np.int32)])
                     a, b, *more = (padded[p] for p in self._walk(r, padded, [self.first[r], self.second[r], *self.rest[r][size]]))
                     one[a] = True

@@ -133,6 +133,16 @@ def test_recall_at_the_limit(spark):
         assert np.mean(found) >= least, share
 
 
+@pytest.mark.parametrize("n", [8, 27, 40, 60, 89, 90, 150, 250, 400])
+def test_recall_of_every_length(n):
+    rng = random.Random(n)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(5000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i in range(120)]
+    made = [" ".join([*rng.choices(vocabulary, k=40), edited(text, int(0.2 * n), rng, vocabulary), *rng.choices(vocabulary, k=40)]) for _, text in items]
+    found = [i in {h[0] for h in hits} for (i, _), hits in zip(items, decontamination.Index(items).hits(made), strict=True)]
+    assert np.mean(found) >= 0.95
+
+
 def test_contaminated_equals_brute_force(spark):
     docs, items = table(spark, SF, "documents"), table(spark, SF, "benchmark")
     got = {(r.doc_id, r.item_id): r.edits for r in decontamination.contaminated(docs, items).collect()}
