@@ -244,3 +244,18 @@ def test_pipeline(spark, odd, none, tmp_path):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, rows, SF).columns == rows.columns
             assert stage(spark, rows, SF).count() <= rows.count()
+
+
+def test_run_writes_each_stage_once(spark, monkeypatch):
+    import corpus_pipeline
+
+    read = []
+
+    def seen(stage):
+        return lambda spark, docs, sf_dir: (read.append(docs.inputFiles()), stage(spark, docs, sf_dir))[1]
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, seen(stage)) for name, stage in corpus_pipeline.STAGES])
+    out = corpus_pipeline.run(spark, SF)
+    places = [{f.rsplit("/", 1)[0] for f in files} for files in [*read, out.inputFiles()]]
+    assert len(places) == 6 and all(len(p) == 1 for p in places) and len(set.union(*places)) == 6
+    assert out.count() > 0
