@@ -3,13 +3,15 @@
 A byte-level BPE tokenizer cuts a text before every single space that stands between two other
 characters, and merges never cross such a cut. So a text is the sequence of its words, each with its
 space, and the library needs to see a word only once: its ids are then kept as bytes. Texts with runs of
-white space are cut at the safe spaces only, which gives the same ids.
+white space are cut at the safe spaces only, which gives the same ids. The strings of added tokens
+(such as `<|endoftext|>`) are cut out of a text first, as the library does, and stand for their own ids.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -22,6 +24,7 @@ STOPS = ".,;:!?"
 #: Characters of a text that are cut into words at once.
 SLICE = 1 << 20
 
+
 def encoder(path: str, kept: int = KEPT_WORDS) -> BpeEncoder:
     """This process's encoder for a tokenizer file."""
     held = process_cache("bpe")
@@ -57,7 +60,11 @@ class BpeEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError("added tokens that take or need their surroundings aren't supported")
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=lambda t: (-len(t), t)))) + ")")
         self.tokenizer.model._resize_cache(0)  # our own store is the larger one
         self.kept = kept
         self.words: dict[str, bytes | None] = {}
@@ -137,6 +144,21 @@ class BpeEncoder:
         return self._merged(parts, opened)
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        marked = [i for i, text in enumerate(texts) if any(mark in text for mark in self.added)]
+        if not marked:
+            return self._plain(texts)
+        plain = list(texts)
+        for i in marked:
+            plain[i] = ""
+        done = self._plain(plain)
+        for i in marked:
+            parts = self.cut.split(texts[i])  # text and mark in turn
+            between = self._plain(parts[::2])
+            done[i] = b"".join(between[k // 2] if k % 2 == 0 else self.added[part] for k, part in enumerate(parts))
+        return done
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Of texts that hold no added token."""
         cut = [[text] if len(text) <= SLICE else list(slices(text)) for text in texts]
         done = []
         for group in cut:

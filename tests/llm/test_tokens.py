@@ -16,9 +16,7 @@ ALPHABET = [" ", "  ", "\n", "a", "the", "é", "1", ".", ",", "a.", "x,", ".,",
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 @pytest.mark.parametrize("size", [40, 1 << 20])
@@ -30,6 +28,13 @@ def test_encoder_equals_library(library, monkeypatch, size):
         assert np.frombuffer(encoder.ids([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_keep_their_ids(library):
+    encoder = bpe.BpeEncoder(tokenizer_path())
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "<|endoftext|><|endoftext|> a", "a  <|endoftext|>\n", "<|endoftext", "", "plain", "<|endoftext|> " * 500 + "z"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts] and 50256 in got[0]
+
+
 def ids_of(library, text, end):
     return [*library.encode(text or "", add_special_tokens=False).ids, end]
 
