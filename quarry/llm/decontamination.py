@@ -2,7 +2,8 @@
 
 The CGK walk reads a string of words with a pointer that moves on or stays by a random bit of (step, word); the word under it at
 each step is the embedding's coordinate. Strings of few edits between them have embeddings of few differing
-coordinates, so a sample of coordinates is equal with good chance. A repetition has its own random bits and sample, and a
+coordinates, so a sample of coordinates is equal with good chance. A word has one random number; a repetition has a random factor for each
+step, and the sign of their product is the bit, so memory grows with the vocabulary alone. A repetition has its own sample too, and a
 window of a document that equals an item's window in one repetition's sample is a candidate. Windows are as long as items, up to LONGEST words:
 lengths go by classes in steps of about 1.5, and of an item windows of its class side by side, the last one and the middle one are indexed, so one of a long item's has
 no more than its share of the edits; a document's windows start at every word.
@@ -12,7 +13,8 @@ A candidate is verified exactly: the least number of word edits that turn the it
 (free start and end) must be at most (1 - similarity) of its words. `repetitions` is set for the recall that tests
 measure (0.95 or more at the limit's edits).
 
-The benchmark is a stated query set: it is read in blocks of BLOCK_ITEMS items, and one block's index goes to all tasks at a time.
+The benchmark is a stated query set: it is written to the shared folder in blocks of about BLOCK_ITEMS items, and tasks read one block and index it. No item
+passes through the driver, and a task holds one block's index.
 
 An item of fewer words than the least class has too few coordinates to sample and room for one edit at most, so one of its halves is
 untouched: its halves (all of it, where there is no room) are looked up as they are, and the candidates verified likewise.
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import doc_columns, process_cache
+from quarry.llm.common import doc_columns, fresh_dir, open_fs, process_cache
 from quarry.llm.words import words
 
 BLOCK_ITEMS = 20_000
@@ -84,7 +87,6 @@ class Index:
     """The items of one block: words, random walks, and each repetition's sampled keys."""
 
     def __init__(self, items: list[tuple[int, str]], repetitions: int = REPETITIONS, similarity: float = SIMILARITY, seed: int = 7) -> None:
-        self.made_of = (items, repetitions, similarity, seed)
         rng = np.random.default_rng(seed)
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int, np.ndarray, int]] = []
@@ -105,48 +107,49 @@ class Index:
         self.short_first = np.isin(np.arange(self.gap + 1), list(self.short))
         self.margin = 2 * longest + 16
         steps = 2 * max(classes, default=0) + 16
-        self.bits = [rng.integers(0, 2, (steps, self.gap + 1), np.uint8) for _ in range(repetitions)]
+        self.drawn = rng.integers(-(1 << 63), 1 << 63, self.gap + 1, np.int64)
+        self.factors = rng.integers(-(1 << 62), 1 << 62, (repetitions, steps), np.int64) * 2 + 1
         self.first = [int(rng.integers(*FIRST)) for _ in range(repetitions)]
         self.second = [int(rng.integers(*SECOND)) for _ in range(repetitions)]
         self.rest = [{c: self._rest(rng, c) for c in classes} for _ in range(repetitions)]
+        # all windows of a class: (item, offset) and the windows' words, each followed by the gap
+        windows = {c: [(n, at) for n, (_, ids, _) in enumerate(self.items) if len(ids) >= LEAST and length_class(len(ids)) == c for at in window_offsets(len(ids), c)] for c in classes}
+        texts = {c: np.full((len(own), c + steps), self.gap, np.int32) for c, own in windows.items()}
+        for c, own in windows.items():
+            for k, (n, at) in enumerate(own):
+                texts[c][k, :c] = self.items[n][1][at : at + c]
         self.ones, self.twos, self.keys = [], [], []
         for r in range(repetitions):
-            one, two = np.zeros(self.gap + 1, bool), set()
-            keys: dict[int, dict[int, list[tuple[int, int]]]] = {c: defaultdict(list) for c in classes}
-            for n, (_, ids, _) in enumerate(self.items):
-                if len(ids) < LEAST:
-                    continue
-                size = length_class(len(ids))
-                for offset in window_offsets(len(ids), size):
-                    padded = np.concatenate([ids[offset : offset + size], np.full(steps, self.gap, np.int32)])
-                    a, b, *more = (padded[p] for p in self._walk(r, padded, [self.first[r], self.second[r], *self.rest[r][size]]))
-                    one[a] = True
-                    two.add(int(a) * FACTOR + int(b))
-                    key = int(a) * FACTOR + int(b)
-                    for x in more:
-                        key = (key * FACTOR + int(x)) % (1 << 64)
-                    keys[size][key].append((n, offset))
+            one, two = np.zeros(self.gap + 1, bool), [np.zeros(0, np.int64)]
+            self.keys.append({})
+            for c, own in windows.items():
+                a, b, *more = self._walk(r, texts[c], [self.first[r], self.second[r], *self.rest[r][c]])
+                one[a] = True
+                two.append(a * FACTOR + b)
+                key = two[-1].astype(np.uint64)
+                for x in more:
+                    key = key * np.uint64(FACTOR) + x.astype(np.uint64)
+                found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+                for k, place in zip(key.tolist(), own, strict=True):
+                    found[k].append(place)
+                self.keys[r][c] = (np.unique(key), found)
             one[self.gap] = False
             self.ones.append(one)
-            self.twos.append(np.array(sorted(two), np.int64))
-            self.keys.append({c: (np.array(sorted(k), np.uint64), k) for c, k in keys.items() if k})
-
-    def __reduce__(self) -> tuple:
-        """Tasks get the items, and each process builds its own index of them."""
-        return _rebuilt, self.made_of
+            self.twos.append(np.unique(np.concatenate(two)))
 
     @staticmethod
     def _rest(rng: np.random.Generator, size: int) -> list[int]:
         low, high = SECOND[1], max(SECOND[1] + SAMPLED, int(1.4 * size))
         return sorted(rng.choice(np.arange(low, high), SAMPLED - 2, replace=False).tolist())
 
-    def _walk(self, r: int, text: np.ndarray, at: list[int]) -> list[int]:
-        """Where the walk from the start of text points at each of the steps `at`."""
-        p, out = 0, []
+    def _walk(self, r: int, texts: np.ndarray, at: list[int]) -> list[np.ndarray]:
+        """The words that the walks from the start of texts (windows, words) are at after each number of steps in `at`."""
+        rows, out, drawn = np.arange(len(texts)), [], self.drawn[texts]
+        p = np.zeros(len(texts), np.int64)
         for step in range(max(at) + 1):
             if step in at:
-                out.append(p)
-            p += int(self.bits[r][step, text[p]])
+                out.append(texts[rows, p].astype(np.int64))
+            p += drawn[rows, p] * self.factors[r, step] < 0
         return out
 
     def candidates(self, flat: np.ndarray) -> set[tuple[int, int]]:
@@ -157,15 +160,16 @@ class Index:
             found.update((n, i - offset) for n, offset, part in self.short[int(flat[i])] if flat[i : i + len(part)].tolist() == part)
         if not self.rest[0]:
             return found
-        for r, bits in enumerate(self.bits):
+        drawn = self.drawn.take(flat)
+        for r, factors in enumerate(self.factors):
             p = np.arange(usable)
             for step in range(self.first[r]):
-                p += bits[step].take(flat.take(p))
+                p += drawn.take(p) * factors[step] < 0
             a = flat.take(p)
             start = np.flatnonzero(self.ones[r].take(a))
             p, a = p[start], a[start].astype(np.int64)
             for step in range(self.first[r], self.second[r]):
-                p += bits[step].take(flat.take(p))
+                p += drawn.take(p) * factors[step] < 0
             key = a * FACTOR + flat.take(p)
             near = _among(key, self.twos[r])
             start, p, key = start[near], p[near], key[near]
@@ -173,7 +177,7 @@ class Index:
                 q, h, step = p.copy(), key.astype(np.uint64), self.second[r]
                 for stop in self.rest[r][size]:
                     for now in range(step, stop):
-                        q += bits[now].take(flat.take(q))
+                        q += drawn.take(q) * factors[now] < 0
                     h, step = h * np.uint64(FACTOR) + flat.take(q).astype(np.uint64), stop
                 for i in np.flatnonzero(_among(h, sorted_keys)).tolist():
                     found.update((n, int(start[i]) - offset) for n, offset in items[int(h[i])])
@@ -211,20 +215,37 @@ class Index:
         return out
 
 
-def _rebuilt(*made_of) -> Index:
-    held, key = process_cache("decontamination"), repr(made_of)
-    if key not in held:
-        held.clear()
-        held[key] = Index(*made_of)
-    return held[key]
+@dataclass(frozen=True)
+class Block:
+    """A stored block of items; each process builds its own index of it."""
+
+    uri: str
+    repetitions: int
+    similarity: float
+
+    def index(self) -> Index:
+        held = process_cache("decontamination")
+        if self not in held:
+            held.clear()
+            held[self] = Index(self.items(), self.repetitions, self.similarity)
+        return held[self]
+
+    def items(self) -> list[tuple[int, str]]:
+        from pyarrow import fs, parquet
+
+        system, path = open_fs(self.uri)
+        found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+        tables = [parquet.read_table(f.path, filesystem=system, partitioning=None) for f in found if f.path.endswith(".parquet")]
+        rows = [row for t in tables for row in zip(t["item_id"].to_pylist(), t["text"].to_pylist(), strict=True)]
+        return sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
-def blocks(benchmark: DataFrame, size: int = BLOCK_ITEMS) -> Iterator[list[tuple[int, str]]]:
-    """The items, at most about `size` at a time."""
+def blocks(benchmark: DataFrame, repetitions: int, similarity: float, size: int = BLOCK_ITEMS) -> list[Block]:
+    """The items, written to the shared folder, about `size` in each block."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    n = max(1, -(-items.count() // size))
-    for block in range(n):
-        yield sorted(((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect()), key=lambda x: (x[0] is None, x))
+    n, place = max(1, -(-items.count() // size)), fresh_dir(benchmark.sparkSession, "benchmark")
+    items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).write.partitionBy("block").parquet(place)
+    return [Block(f"{place}/block={k}", repetitions, similarity) for k in range(n)]
 
 
 #: Characters of the texts that are looked through together.
@@ -243,10 +264,11 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield at, texts[at:]
 
 
-def _hits(index: Index):
+def _hits(block: Block):
     names, kinds = ["doc_id", "item_id", "edits", "item_words", "end_word"], [pa.int64()] * 5
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = block.index()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = [(ids[first + i], *hit) for first, group in _groups(texts) for i, found in enumerate(index.hits(group)) for hit in found]
@@ -259,14 +281,15 @@ def _hits(index: Index):
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, repetitions: int = REPETITIONS) -> DataFrame:
     """doc_id, item_id, edits, item_words, end_word: one row for each document and item that it holds; clean documents have none."""
     out = None
-    for items in blocks(benchmark):
-        found = doc_columns(docs).mapInArrow(_hits(Index(items, repetitions, similarity)), "doc_id long, item_id long, edits long, item_words long, end_word long")
+    for block in blocks(benchmark, repetitions, similarity):
+        found = doc_columns(docs).mapInArrow(_hits(block), "doc_id long, item_id long, edits long, item_words long, end_word long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _clean(index: Index, place: int):
+def _clean(block: Block, place: int):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = block.index()
         for batch in batches:
             texts = batch.column(place).fill_null("").to_pylist()
             keep = [not found for _, group in _groups(texts) for found in index.hits(group)]
@@ -277,6 +300,6 @@ def _clean(index: Index, place: int):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, repetitions: int = REPETITIONS) -> DataFrame:
     """The rows of docs, all columns, whose text holds no item."""
-    for items in blocks(benchmark):
-        docs = docs.mapInArrow(_clean(Index(items, repetitions, similarity), docs.columns.index("text")), docs.schema)
+    for block in blocks(benchmark, repetitions, similarity):
+        docs = docs.mapInArrow(_clean(block, docs.columns.index("text")), docs.schema)
     return docs

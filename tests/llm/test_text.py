@@ -158,6 +158,15 @@ def test_contaminated_equals_brute_force(spark):
     assert want and set(got) <= set(want) and len(got) >= 0.95 * len(want)
 
 
+def test_blocks_of_items(spark):
+    """Several blocks give what one gives."""
+    docs, items = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    made = decontamination.blocks(items, 16, 0.8, size=11)
+    assert len(made) > 2 and sorted(x for b in made for x in b.items()) == sorted(map(tuple, items.collect()))
+    whole, parts = ([h for d in docs.collect() for index in indexes for h in index.hits([d.text])[0]] for indexes in ([decontamination.Index(sorted(map(tuple, items.collect())))], [b.index() for b in made]))
+    assert len(whole) and abs(len(whole) - len(parts)) <= 0.05 * len(whole)
+
+
 def test_decontamination_odd(spark, odd, none):
     items = spark.createDataFrame([(1, "on the mat and looked at the dog"), (2, None), (3, ""), (None, "x y"), (4, "sat on")], "item_id long, text string")
     hit = decontamination.contaminated(odd, items).collect()
