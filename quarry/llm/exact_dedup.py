@@ -9,7 +9,10 @@ Blocks are sorted by (XXH64, bytes). Their bytes are moved once, to find the dis
 hash, which is then settled by their bytes, a block's rank and its look-up need its hash alone. Sorting is by bucket (a hash
 modulo BUCKETS): a name is rank times BUCKETS plus bucket, so names depend on the set of values only, neither on partitions
 nor on which executor computed them. Copies are merged before every shuffle; a hot block is one row of the names, and joins
-that look names up can be split. Each level's names go to the shared folder.
+that look names up can be split. Each level's names go to the shared folder. At the end a group of over 1 / HOT_GROUPS of all rows gets its result by
+a broadcast, as there are at most HOT_GROUPS of them; the rest are joined by name.
+
+A row is told apart from others of its doc_id by two independent XXH64 values of its text, 128 bits.
 
 Defined results: null text is empty, and all empty texts are one group; of equal texts the row of the largest doc_id is
 kept, a null doc_id only where all are null; rows that repeat doc_id and text count in group_size and share their
@@ -29,9 +32,18 @@ from quarry.llm.common import cut_lineage, doc_columns, process_cache
 
 BLOCK_BYTES = 4096
 BUCKETS = 4096
+HOT_GROUPS = 1000
 NO_NAME = -1
 
 
+#: What tells a row's text apart from others of its doc_id.
+TEXT = ["text_hash", "text_check"]
+
+
+def _text_keys() -> list[Column]:
+    return [F.xxhash64("text").alias(TEXT[0]), F.xxhash64(F.lit(1), "text").alias(TEXT[1])]
+
+
 def _cut(size: int, hash_bits: int, with_bytes: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -40,18 +52,19 @@ def _cut(size: int, hash_bits: int, with_bytes: bool):
         digest, half, mask = xxhash.xxh64_intdigest, 1 << 63, (1 << hash_bits) - 1
 
         def signed(raw: bytes) -> int:
-            return digest(raw, 42) - ((digest(raw, 42) & half) << 1)
+            h = digest(raw, 42)
+            return h - ((h & half) << 1)
 
         for batch in batches:
             rows: list[tuple] = []
             held = 0
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, raw, first, second in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 raw = raw.as_py()
-                n, key = max(1, -(-len(raw) // size)), signed(raw)
+                n = max(1, -(-len(raw) // size))
                 for pos in range(n):
                     block = raw[pos * size : (pos + 1) * size]
                     h = signed(block)
-                    rows.append((doc_id, key, n, pos, h if hash_bits == 64 else h & mask, block if with_bytes else None))
+                    rows.append((doc_id, first, second, n, pos, h if hash_bits == 64 else h & mask, block if with_bytes else None))
                     held += len(block)
                     if held > 1 << 23:
                         yield _batch(rows)
@@ -63,13 +76,13 @@ def _cut(size: int, hash_bits: int, with_bytes: bool):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "text_hash", "n", "pos", "hash", "block"])
+    kinds = [pa.int64()] * 6 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", *TEXT, "n", "pos", "hash", "block"])
 
 
 def _blocks(docs: DataFrame, size: int, hash_bits: int, with_bytes: bool) -> DataFrame:
-    raw = doc_columns(docs).select("doc_id", F.col("text").cast("binary").alias("raw"))
-    return raw.mapInArrow(_cut(size, hash_bits, with_bytes), "doc_id long, text_hash long, n long, pos long, hash long, block binary")
+    raw = doc_columns(docs).select("doc_id", F.col("text").cast("binary").alias("raw"), *_text_keys())
+    return raw.mapInArrow(_cut(size, hash_bits, with_bytes), "doc_id long, text_hash long, text_check long, n long, pos long, hash long, block binary")
 
 
 def _named(values: DataFrame, *order: str) -> DataFrame:
@@ -81,11 +94,11 @@ def _named(values: DataFrame, *order: str) -> DataFrame:
 
 
 def _block_names(docs: DataFrame, size: int, hash_bits: int) -> DataFrame:
-    """doc_id, text_hash, n, pos, name of each block of each document."""
+    """doc_id, text_hash, text_check, n, pos, name of each block of each document."""
     distinct = _blocks(docs, size, hash_bits, True).groupBy("hash", "block").count()
     hashes = cut_lineage(distinct.groupBy("hash").agg(F.count("*").alias("twins")))
     alone = _named(hashes.where("twins = 1").select("hash"), "hash")
-    placed = _blocks(docs, size, hash_bits, False).select("doc_id", "text_hash", "n", "pos", "hash")
+    placed = _blocks(docs, size, hash_bits, False).select("doc_id", *TEXT, "n", "pos", "hash")
     names = placed.join(alone, "hash")
     twins = hashes.where("twins > 1").select("hash")
     if twins.limit(1).count():
@@ -102,11 +115,11 @@ def _as_key(column: str) -> list[Column]:
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64) -> DataFrame:
-    """doc_id, text_hash, level, name: one row per document (rows that repeat doc_id and text are one).
+    """doc_id, text_hash, text_check, level, name: one row per document (rows that repeat doc_id and text are one).
 
     hash_bits is for tests, which make blocks share hashes."""
     level, here, done = 0, _block_names(docs, block_bytes, hash_bits), []
-    document = ["doc_id", "text_hash"]
+    document = ["doc_id", *TEXT]
     while True:
         done.append(here.where("n = 1").select(*document, F.lit(level).alias("level"), "name").distinct())
         longer = here.where("n > 1")
@@ -126,16 +139,19 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int =
     return out
 
 
-def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64) -> DataFrame:
+def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64, hot_groups: int = HOT_GROUPS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = doc_columns(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.sha2("text", 256).alias("text_sha256"))
-    ids = identities(docs, block_bytes, hash_bits).select(*_as_key("doc_id"), "text_hash", "level", "name")
-    keyed = rows.select("*", *_as_key("doc_id")).join(ids, ["doc_id_key", "doc_id_null", "text_hash"])
+    rows = doc_columns(docs).select("doc_id", *_text_keys(), F.sha2("text", 256).alias("text_sha256"))
+    ids = identities(docs, block_bytes, hash_bits).select(*_as_key("doc_id"), *TEXT, "level", "name")
+    keyed = rows.select("*", *_as_key("doc_id")).join(ids, ["doc_id_key", "doc_id_null", *TEXT])
     keyed = cut_lineage(keyed.select("doc_id", "text_sha256", "level", "name"))
-    groups = keyed.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return keyed.join(groups, ["level", "name"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    groups = cut_lineage(keyed.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+    share = keyed.count() // hot_groups
+    hot = groups.where(F.col("group_size") > share).withColumn("hot", F.lit(True))
+    dealt = keyed.join(F.broadcast(hot), ["level", "name"], "left")
+    rest = dealt.where("hot is null").drop("keep_id", "group_size").join(groups.where(F.col("group_size") <= share), ["level", "name"])
+    out = [part.select("doc_id", "keep_id", "group_size", "text_sha256") for part in (dealt.where("hot"), rest)]
+    return out[0].unionByName(out[1]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

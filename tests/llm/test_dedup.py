@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quarry.llm import exact_dedup, near_copies, sharding, simhash
 from quarry.llm.queries import table
@@ -18,22 +19,21 @@ def texts(df):
     return [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
 
 
-@pytest.mark.parametrize(("block", "bits"), [(4096, 64), (7, 64), (7, 3)])
-def test_block_naming(spark, odd, block, bits):
-    """bits=3 makes most blocks share a hash, so their bytes decide."""
-    small = odd.where("length(text) < 6000 or text is null")
+@pytest.mark.parametrize(("block", "bits", "hot"), [(4096, 64, 1000), (7, 64, 8), (7, 3, 1)])
+def test_block_naming(spark, odd, block, bits, hot):
+    """bits=3 makes most blocks share a hash, so their bytes decide; hot=8 joins small groups by name and broadcasts the others, 1 joins all by name."""
+    small = odd if block > 7 else odd.where("length(text) < 6000 or text is null")
     groups = defaultdict(list)
     for doc_id, text in texts(small):
         groups[text].append(doc_id)
-    got = exact_dedup.exact_duplicates(small, block, bits).collect()
+    got = exact_dedup.exact_duplicates(small, block, bits, hot).collect()
     assert len(got) == small.count()
     want = sorted((str(d), str(max((x for x in groups[t] if x is not None), default=None)), len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for d, t in texts(small))
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in got) == want
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
 
 
-def test_block_naming_long_and_empty(odd, none):
-    assert exact_dedup.exact_duplicates(odd).count() == odd.count()
+def test_block_naming_of_none(none):
     assert exact_dedup.exact_duplicates(none).count() == 0
 
 
@@ -57,6 +57,10 @@ def test_sharding(spark, odd, none):
     for r in got:
         by_text[r.text_crc32].add(r.shard)
     assert all(len(s) == 1 for s in by_text.values())
+    assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    held = [r.bytes for r in sharding.shard_documents(docs, 8).groupBy("shard").agg(F.sum("size").alias("bytes")).collect()]
+    assert len(held) == 8 and max(held) - min(held) <= 0.01 * sum(held) / 8
     assert sharding.shard_documents(none, 3).count() == 0
 
 
