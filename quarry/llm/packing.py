@@ -1,10 +1,10 @@
 """Hierarchical multi-length packing of documents into sequences.
 
 Each document's ids, with the end id, are routed by length: whole windows of the longest size first, then the rest to
-the smallest tier (256, 512, 1024, 2048) that holds it. Tiers are packed from long to short. A window opens with the
-longest document left; its gap is filled with the longest documents of shorter tiers that fit, and what then remains
-with the start of one document that is cut, whose rest goes back to its tier. So each window is full. When a
-partition's documents end, the last window is cut into powers of two, which need no padding.
+the smallest tier (256, 512, 1024, 2048) that holds it; each tier has a stock of its own. Tiers are packed one after another, from long to short.
+A window of a tier opens with the longest document of its stock; its gap is filled with the longest documents that fit, of its own tier and
+then of shorter ones, and what then remains with the start of one document that is cut, whose rest goes to the tier of its new
+length. So each window is full. When a partition's documents end, the last window is cut into powers of two, which need no padding.
 
 The windows of a block are dealt into step groups of equal token numbers: those of one length, in order of attention
 cost (sum of squared piece lengths), forward and backward in turn.
@@ -68,27 +68,33 @@ class Lengths:
 
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> tuple[list[list[Piece]], list[Piece]]:
     """(full windows, the pieces that are left): document i has lengths[i] > 0 ids."""
-    rests, windows, most = Lengths(), [], tiers[-1]
+    windows, most, stocks = [], tiers[-1], {tier: Lengths() for tier in tiers}
+    tier_of = [next(t for t in tiers if t >= n) for n in range(most + 1)]
     for doc, n in enumerate(lengths):
         whole = n // most * most
         windows += ([(doc, at, most)] for at in range(0, whole, most))
         if n > whole:
-            rests.put(doc, whole, n - whole)
-    while first := rests.longest(most):
-        size = next(t for t in tiers if t >= first)
-        window, gap = [(*rests.take(first), first)], size - first
-        while gap:
-            if fits := rests.longest(gap):
-                window.append((*rests.take(fits), fits))
-                gap -= fits
-            elif over := rests.shortest(gap):
-                doc, start = rests.take(over)
-                window.append((doc, start, gap))
-                rests.put(doc, start + gap, over - gap)
-                gap = 0
-            else:
-                return windows, window
-        windows.append(window)
+            stocks[tier_of[n - whole]].put(doc, whole, n - whole)
+    for tier in reversed(tiers):
+        own = stocks[tier]
+        while first := own.longest(tier):
+            window, gap = [(*own.take(first), first)], tier - first
+            while gap:
+                # shorter tiers hold nothing longer, so the first that has a fit has the best one
+                fit = next((t for t in reversed(tiers) if t <= tier and stocks[t].longest(gap)), None)
+                if fit:
+                    n = stocks[fit].longest(gap)
+                    window.append((*stocks[fit].take(n), n))
+                    gap -= n
+                elif cut := next((t for t in tiers if t <= tier and stocks[t].shortest(gap)), None):
+                    n = stocks[cut].shortest(gap)
+                    doc, start = stocks[cut].take(n)
+                    window.append((doc, start, gap))
+                    stocks[tier_of[n - gap]].put(doc, start + gap, n - gap)
+                    gap = 0
+                else:
+                    return windows, window
+            windows.append(window)
     return windows, []
 
 

@@ -100,8 +100,22 @@ def open_store(uri: str) -> TokenStore:
         return TokenStore(uri, tuple(json.loads(f.read())["files"]))
 
 
-def read_file(uri: str, file: str) -> tuple[np.ndarray, np.ndarray, list[int | None]]:
-    """(ids, offsets, doc_ids) of one file; ids are memory-mapped where the folder is a local path."""
+class Ranges:
+    """The ids of a file that can't be mapped: a slice reads its own bytes only."""
+
+    def __init__(self, file: pa.NativeFile, kind: np.dtype) -> None:
+        self.file, self.kind = file, kind
+
+    def __len__(self) -> int:
+        return self.file.size() // self.kind.itemsize
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        start, stop, _ = part.indices(len(self))
+        return np.frombuffer(self.file.read_at((stop - start) * self.kind.itemsize, start * self.kind.itemsize), self.kind)
+
+
+def read_file(uri: str, file: str) -> tuple[np.ndarray | Ranges, np.ndarray, list[int | None]]:
+    """(ids, offsets, doc_ids) of one file; ids are memory-mapped where the folder is a local path, else ranges are read as they are asked for."""
     system, path = open_fs(uri)
     with system.open_input_stream(f"{path}/{file}.idx") as f:
         raw = f.read()
@@ -115,8 +129,7 @@ def read_file(uri: str, file: str) -> tuple[np.ndarray, np.ndarray, list[int | N
     if local := local_path(uri):
         ids = np.memmap(f"{local}/{file}.ids", kind, "r", shape=(n_ids,))
     else:
-        with system.open_input_stream(f"{path}/{file}.ids") as f:
-            ids = np.frombuffer(f.read(), kind)
+        ids = Ranges(system.open_input_file(f"{path}/{file}.ids"), np.dtype(kind))
     return ids, offsets, [None if null else key for key, null in zip(keys, nulls, strict=True)]
 
 

@@ -51,6 +51,18 @@ def test_store_round_trip(spark, odd, none, library):
     assert token_store.read_store(spark, token_store.write_store(none, tokenizer_path(), 2)).count() == 0
 
 
+def test_ranges_read_what_a_map_holds(spark, odd, monkeypatch):
+    store = token_store.write_store(odd, tokenizer_path(), 2)
+    for x in store.files:
+        mapped, offsets, keys = token_store.read_file(store.uri, x["file"])
+        with monkeypatch.context() as m:
+            m.setattr(token_store, "local_path", lambda uri: None)
+            ranges, *rest = token_store.read_file(store.uri, x["file"])
+        assert len(ranges) == len(mapped) == offsets[-1] and rest[1] == keys
+        for a, b in [(0, len(mapped)), (3, 9), (5, 5), *zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]:
+            assert np.array_equal(ranges[a:b], mapped[a:b])
+
+
 def test_pieces(odd, none, library):
     whole = defaultdict(list)
     for r in odd.select("doc_id", "text").collect():
