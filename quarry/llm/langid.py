@@ -2,8 +2,8 @@
 
 Two GRUs read a text's UTF-8 bytes, one forward and one backward. At each position a softmax over both states labels the
 byte; a document's probabilities are the mean of its positions'. Training is backpropagation through time in numpy on
-the driver, on one slice of each of a bounded sample of labelled rows; scoring reads every byte of every text, in windows
-of WINDOW bytes that numpy steps through side by side.
+the driver, on a bounded sample of labelled rows, PIECES pieces of each, which lie anywhere in its whole text; scoring reads every byte of every text,
+in windows of WINDOW bytes that numpy steps through side by side.
 
 Arrays are laid out (features, batch). A step of a GRU: r, z = sigmoid(E[x] + U h), n = tanh(E[x] + r * U h), h = n + z (h - n);
 E holds a column of input weights and bias for each byte.
@@ -30,9 +30,10 @@ from quarry.llm.common import held_out, process_cache
 WINDOW = 128
 BATCH = 1024
 UNKNOWN = "und"
-#: Documents of each language that are learned from, at most about so many, and characters of each.
+#: Documents of each language that are learned from, at most about so many; pieces of each, drawn evenly over its text; characters of a piece.
 SAMPLE_PER_LANGUAGE = 600
-SLICE = 512
+PIECES = 8
+PIECE = 64
 HIDDEN = 12
 
 
@@ -187,18 +188,18 @@ def unclear_texts(count: int, seed: int = 0) -> list[bytes]:
     for i in range(count):
         low, high = SCRIPTS[0] if i % 4 == 1 else SCRIPTS[rng.integers(len(SCRIPTS))]
         letters = list(CODES[rng.integers(len(CODES))]) if i % 4 == 0 else [chr(x) for x in range(low, high)]
-        drawn = rng.choice(letters, SLICE).tolist()
+        drawn = rng.choice(letters, size := PIECES * PIECE).tolist()
         if i % 8:  # words; the rest are blobs without a space
             step = rng.integers(3, 12)
-            for at in np.cumsum(rng.integers(2, step + 2, SLICE)):
-                if at < SLICE:
+            for at in np.cumsum(rng.integers(2, step + 2, size)):
+                if at < size:
                     drawn[at] = " "
-        texts.append("".join(drawn).encode()[:SLICE])
+        texts.append("".join(drawn).encode()[:size])
     return texts
 
 
 def learned(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, hidden: int = HIDDEN, epochs: int = 6, unclear: bool = False) -> Model:
-    """A model of a bounded sample: about per_language rows of each language, by a hash of doc_id, one slice of each; unclear adds texts of no language, labelled UNKNOWN."""
+    """A model of a bounded sample: about per_language rows of each language, by a hash of doc_id, pieces of each; unclear adds texts of no language, labelled UNKNOWN."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
     counted = docs.where(F.col("lang").isNotNull()).groupBy(F.col("lang").cast("string").alias("lang")).count().collect()
@@ -206,14 +207,18 @@ def learned(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, hidden: in
         return Model([], {})
     share = F.create_map(*[F.lit(v) for r in counted for v in (r["lang"], min(1.0, per_language * 1.25 / r["count"]))])
     mixed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - SLICE)).cast("int") + 1
-    sample = rows.where(mixed < share[F.col("lang")] * (1 << 20)).select("doc_id", "lang", F.col("text").substr(start, F.lit(SLICE)).alias("text"))
-    got = sorted((r.lang, r.doc_id is None, r.doc_id or 0, r.text) for r in sample.collect())
+    sample = rows.where(mixed < share[F.col("lang")] * (1 << 20))
+    # the text is cut into as many equal stretches as it has pieces, and each stretch gives one from a place drawn by a hash
+    n = F.least(F.lit(PIECES), F.ceil(F.length("text") / PIECE)).cast("int")
+    drawn = lambda k: F.pmod(F.xxhash64("doc_id", k), F.lit(1 << 20)) / (1 << 20)
+    start = lambda k: ((k + drawn(k)) * F.greatest(F.lit(0), F.length("text") - PIECE) / n).cast("int") + 1
+    pieces = sample.select("doc_id", "lang", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.col("text").substr(start(k), F.lit(PIECE)))).alias("k", "piece"))
+    got = sorted((r.lang, r.doc_id is None, r.doc_id or 0, r.k, r.piece) for r in pieces.collect())
     if not got:
         return Model([], {})
     most = max(Counter(r[0] for r in got).values())
-    none = unclear_texts(most) if unclear else []
-    return train([r[3].encode() for r in got] + none, [r[0] for r in got] + [UNKNOWN] * len(none), hidden, epochs)
+    none = unclear_texts(-(-most // PIECES)) if unclear else []
+    return train([r[4].encode() for r in got] + none, [r[0] for r in got] + [UNKNOWN] * len(none), hidden, epochs)
 
 
 def _scored(model: Model):
