@@ -12,6 +12,11 @@ size - ceil(s size) + 1: these prefixes, rarest shingles first, are looked up, a
 
 A shard hands on fewer links than it has documents. Sets move hashed to 64 bits a shingle.
 
+A shard of over SHARD_ROWS documents is worked on in two rounds, and no task gets more than about two blocks of SHARD_ROWS. First it is dealt into blocks, each of which also
+gets the shard's about PIVOTS pivots, so that the blocks of one large group of near copies are linked by these. Then its largest class and the rest are dealt into blocks, and
+each block of the class meets each of the rest, and the rest's blocks each other: only documents of one class are never compared, so no pair of two classes is lost.
+Where one class holds nearly all, this work grows as the shard; where many classes do, as its square over SHARD_ROWS.
+
 Defined results: words and shingles are those of the fingerprints (A-Z lower-cased, ASCII white space); a text of fewer than five words is one
 shingle; texts without words are one class; a null doc_id is no one's near copy; repeated rows are near copies of each other with one doc_id, so all stay or go; an
 empty table gives an empty result; other columns are not read.
@@ -34,6 +39,8 @@ WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 13
 KEYS = 4
+SHARD_ROWS = 2000
+PIVOTS = 16
 SEED = 42
 
 
@@ -101,8 +108,10 @@ def _flagged(similarity: float):
     return flagged
 
 
-def prefix_candidates(hashes: list[np.ndarray], similarity: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(a set, sets before it that share a shingle of both prefixes): every pair of the similarity is among them."""
+def prefix_candidates(hashes: list[np.ndarray], similarity: float, met_by_all: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(a set, sets before it that share a shingle of both prefixes): every pair of the similarity is among them.
+
+    With met_by_all only the first so many sets are met, by each other and by the rest."""
     size = np.array([len(h) for h in hashes])
     _, of, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
     rank = np.empty(len(counts), np.int64)
@@ -118,7 +127,8 @@ def prefix_candidates(hashes: list[np.ndarray], similarity: float) -> Iterator[t
         for token in of[prefix[starts[a] : starts[a + 1]]].tolist():
             own = postings.setdefault(token, [])
             met.update(own)
-            own.append(a)
+            if met_by_all is None or a < met_by_all:
+                own.append(a)
         if met:
             yield a, np.array(sorted(met))
 
@@ -126,17 +136,19 @@ def prefix_candidates(hashes: list[np.ndarray], similarity: float) -> Iterator[t
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+            part = batch.slice(at, 256)  # doc_id, text, root, keys
             texts = part.column(1).to_pylist()
             fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), pa.array([shingles(t).tobytes() for t in texts], pa.binary()), part.column(2)], ["doc_id", "fp", "hashes", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), pa.array([shingles(t).tobytes() for t in texts], pa.binary()), *part.columns[2:]], ["doc_id", "fp", "hashes", "root", "keys"])
 
 
 def _linked(radius: int, similarity: float):
-    def shard(ids: list[int], fps: list[int], sets: list[bytes]) -> Iterator[tuple[int, int]]:
+    def shard(later: list[bool], ids: list[int], fps: list[int], sets: list[bytes], roots: list[int]) -> Iterator[tuple[int, int]]:
         if len(ids) < 2:
             return
-        hashes, label = [np.frombuffer(s, np.uint64) for s in sets], np.arange(len(ids))
+        hashes, label = [np.frombuffer(s, np.uint64) for s in sets], np.unique(roots, return_inverse=True)[1]
+        if label.max() == 0:
+            return
         size = np.array([len(h) for h in hashes])
 
         def verified(a: int, near: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -151,18 +163,18 @@ def _linked(radius: int, similarity: float):
             for own, near in neighbours(np.array(fps, np.int64).view(np.uint64), radius):
                 for a in own.tolist():
                     yield from verified(a, near)
-            for a, near in prefix_candidates(hashes, similarity):
+            for a, near in prefix_candidates(hashes, similarity, len(later) - sum(later)):
                 yield from verified(a, near)
         else:
             yield from verified(0, np.array([1]))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, out = None, ([], [], []), []
+        key, held, out = None, ([], [], [], [], []), []
         for batch in batches:
             for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key:
                     out += shard(*held)
-                    key, held = k, ([], [], [])
+                    key, held = k, ([], [], [], [], [])
                 for column, value in zip(held, row, strict=True):
                     column.append(value)
             if out:
@@ -175,15 +187,58 @@ def _linked(radius: int, similarity: float):
     return linked
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def _links(rows: DataFrame, dealt: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """u, v: links inside shards; dealt has doc_id, key (the shard), later (documents that aren't compared with each other), root (the class so far)."""
+    asked = dealt.groupBy("doc_id").agg(F.max("root").alias("root"), F.collect_set(F.struct("key", "later")).alias("keys"))
+    sets = rows.join(cut_lineage(asked), "doc_id").mapInArrow(_sets, "doc_id long, fp long, hashes binary, root long, keys array<struct<key:long,later:boolean>>")
+    met = sets.select(F.explode("keys").alias("k"), "doc_id", "fp", "hashes", "root").select("k.key", "k.later", "doc_id", "fp", "hashes", "root")
+    return met.repartition("key").sortWithinPartitions("key", "later", "doc_id").mapInArrow(_linked(radius, similarity), "u long, v long")
+
+
+def _first_round(hot: DataFrame, shard_rows: int) -> DataFrame:
+    """Documents of large shards (doc_id, key, n) in blocks, pivots in all of them."""
+    blocks = F.ceil(F.col("n") / shard_rows).cast("int")
+    pivot = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("n")) < PIVOTS
+    own = F.array(F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    cells = F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(own)
+    return hot.select("doc_id", "key", F.explode(cells).alias("block")).select("doc_id", F.xxhash64("key", "block").alias("key"))
+
+
+def _second_round(hot: DataFrame, found: DataFrame, shard_rows: int) -> DataFrame:
+    """doc_id, key, later, root: documents of large shards that hold several classes, in cells where those of different classes meet."""
+    rooted = hot.join(found.select(F.col("u").alias("doc_id"), "root"), "doc_id", "left").select("doc_id", "key", F.coalesce("root", "doc_id").alias("root"))
+    rooted = cut_lineage(rooted)
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("n")).where(F.col("n") > F.col("x.m"))
+    blocks = lambda rows: F.ceil(rows / shard_rows).cast("int")
+    largest = largest.select("key", F.col("x.root").alias("most"), blocks(F.col("x.m")).alias("outer"), blocks(F.col("n") - F.col("x.m")).alias("inner"))
+    dealt = rooted.join(largest, "key").withColumn("later", F.col("root") == F.col("most"))
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("later"), F.col("outer")).otherwise(F.col("inner"))).cast("int")
+    dealt = dealt.withColumn("own", own)
+    across = F.transform(F.sequence(F.lit(0), F.when(F.col("later"), F.col("inner")).otherwise(F.col("outer")) - 1), lambda k: F.when(F.col("later"), F.xxhash64("key", F.lit("x"), "own", k)).otherwise(F.xxhash64("key", F.lit("x"), k, "own")))
+    among = F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda k: F.xxhash64("key", F.lit("i"), F.least("own", k), F.greatest("own", k)))
+    cells = F.when(F.col("later"), across).otherwise(F.concat(across, among))
+    return dealt.select("doc_id", F.explode(cells).alias("key"), "later", "root")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """u, root: documents that have a near copy of lesser id, with the least id of their class."""
     rows = doc_columns(docs).where("doc_id is not null")
     signed = cut_lineage(rows.mapInArrow(_signed, "doc_id long, size long, keys array<long>"))
-    spread = signed.select(F.explode("keys").alias("key"), "size", "doc_id").repartition("key").sortWithinPartitions("key", "size")
-    flagged = spread.mapInArrow(_flagged(similarity), "doc_id long, key long").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    sets = rows.join(cut_lineage(flagged), "doc_id").mapInArrow(_sets, "doc_id long, fp long, hashes binary, keys array<long>")
-    met = sets.select(F.explode("keys").alias("key"), "doc_id", "fp", "hashes").repartition("key").sortWithinPartitions("key", "doc_id")
-    return components(met.mapInArrow(_linked(radius, similarity), "u long, v long"))
+    spread = signed.select(F.explode("keys").alias("key"), "size", "doc_id")
+    large = cut_lineage(spread.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows))
+    several = bool(large.limit(1).count())
+    small = spread.join(large, "key", "left_anti") if several else spread
+    dealt = small.select("key", "size", "doc_id").repartition("key").sortWithinPartitions("key", "size").mapInArrow(_flagged(similarity), "doc_id long, key long")
+    hot = spread.join(large, "key").select("doc_id", "key", "n")
+    if several:
+        dealt = dealt.unionByName(_first_round(hot, shard_rows))
+    own_classes = dealt.withColumns({"later": F.lit(False), "root": F.col("doc_id")})
+    if not several:
+        return components(_links(rows, own_classes, similarity, radius))
+    links = cut_lineage(_links(rows, own_classes, similarity, radius))
+    rest = _second_round(hot, components(links), shard_rows)
+    return components(links.unionByName(_links(rows, rest, similarity, radius)))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:

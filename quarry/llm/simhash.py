@@ -12,7 +12,8 @@ the radius. A shard's tree is sent to the one task that has the shard's fingerpr
 the corpus and must not be broadcast. A shard hands on a spanning star of each of its classes, never all pairs.
 
 A shard with over `tree_nodes` fingerprints is dealt out again by the other blocks: these are cut into radius + 1
-parts, one of which two linked fingerprints share.
+parts, one of which two linked fingerprints share. What is still larger is dealt into blocks of about `tree_nodes`, and each two blocks
+make a tree, so a tree is bounded whatever the fingerprints are.
 
 Defined results: null or empty text, or text of white space alone, has fingerprint zero, which is linked like any other; a text with fewer
 words than the shingle takes its whole sequence; component_id is the least doc_id of the class, nulls left out (null
@@ -183,12 +184,23 @@ def refined(rows: DataFrame, radius: int) -> DataFrame:
     return out
 
 
+def in_cells(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of one round of dealing, those of keys with over `most` of them once for each pair of blocks that their own is in."""
+    sizes = cut_lineage(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most))
+    if not sizes.limit(1).count():
+        return rows
+    large = rows.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / most).cast("int"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.xxhash64("key", F.least(own, other), F.greatest(own, other)))
+    return rows.join(sizes, "key", "left_anti").union(large.select(F.explode(cells).alias("key"), "fp", "chosen"))
+
+
 def links(fps: DataFrame, radius: int = 3, tree_nodes: int = 20_000) -> DataFrame:
     """u, v: edges whose components are those of all distinct fingerprints within the radius."""
     rows = shard_keys(fps, radius)
     hot = cut_lineage(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tree_nodes).select("key"))
     if hot.limit(1).count():
-        rows = rows.join(hot, "key", "left_anti").union(refined(rows.join(hot, "key", "left_semi"), radius))
+        rows = rows.join(hot, "key", "left_anti").union(in_cells(refined(rows.join(hot, "key", "left_semi"), radius), tree_nodes))
     sorted_rows = rows.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
     return sorted_rows.mapInArrow(_links(radius), "u long, v long")
 

@@ -194,6 +194,7 @@ def test_near_copies(spark, odd, none):
         root[y] = x
     made = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.u: r.root for r in near_copies.classes(made).collect()}
+    assert {r.u: r.root for r in near_copies.classes(made, shard_rows=40).collect()} == got
     expected = {d: find(d) for d in sets if find(d) != d}
     assert len(expected) > 100 and set(got) <= set(expected) and len(got) >= 0.97 * len(expected)
     assert {d for d, _ in texts(near_copies.keep_one(made))} == set(sets) - set(got)
@@ -202,6 +203,36 @@ def test_near_copies(spark, odd, none):
     assert near_copies.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [2000, 30])
+def test_large_groups_of_near_copies(spark, shard_rows):
+    """Two groups that share half of their words, a chain between them and texts of their own, against all pairs; 30 deals their shards out in two rounds."""
+    rng, rows = random.Random(12), []
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    base = [word() for _ in range(200)]
+    bases = [base, base[:150] + [word() for _ in range(50)], [word() for _ in range(120)]]
+    for i in range(360):
+        own = list(bases[0 if i % 3 else 1 + i % 2])
+        for _ in range(rng.randrange(5)):
+            own[rng.randrange(len(own))] = word()
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + k, " ".join(base[: 200 - k] + bases[1][200 - k :])) for k in range(0, 51, 10)]
+    sets = {d: slow_shingles(t) for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r.u: r.root for r in near_copies.classes(spark.createDataFrame(rows, "doc_id long, text string"), shard_rows=shard_rows).collect()}
+    assert got == {d: find(d) for d in sets if find(d) != d}
+
+
 def test_near_copies_of_every_kind(spark):
     """Appended, cut, block-replaced and repeated-line copies at the limit: only sharing no shard (0.2 ** 4) may lose a pair."""
     rng, rows, pairs = random.Random(11), [], []
