@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -42,26 +44,19 @@ def import_contexts(imports: DataFrame, over: int = 3) -> DataFrame:
 
 
 def split_lines(content: str, most: int = config.MAX_CHUNK_TOKENS, overlap: int = config.OVERLAP_TOKENS) -> list[str]:
-    """Groups of whole lines of at most `most` tokens (a longer line stands alone), each starting with the last lines of the one before, up to `overlap` tokens."""
-    size = lambda text: len(text) // 4
-    groups: list[list[str]] = []
-    held: list[str] = []
-    used = 0
-    for line in content.splitlines(keepends=True):
-        if held and used + size(line) > most:
-            groups.append(held)
-            tail, kept = [], 0
-            for earlier in reversed(held):
-                kept += size(earlier)
-                if kept > overlap:
-                    break
-                tail.append(earlier)
-            held = [*reversed(tail), line]
-            used = size("".join(held))
-        else:
-            held.append(line)
-            used += size(line)
-    return ["".join(g) for g in [*groups, held] if g]
+    """Parts of whole lines, each as long as `most` tokens allow (at least one new line), each but the first opened by as many lines of the one before as `overlap` allows.
+
+    A line's tokens are a quarter of its characters, rounded down; what opens a part is rounded as one with its first new line. Both sums never fall from line to line,
+    so where a part ends and where its opening starts is found by bisection in their prefix sums."""
+    lengths = [len(line) for line in content.splitlines(keepends=True)]
+    chars, cost = [0, *accumulate(lengths)], [0, *accumulate(n // 4 for n in lengths)]
+    parts, opening, new = [], 0, 0  # the part's first line, and its first that isn't of the part before
+    while new < len(lengths):
+        used = (chars[new + 1] - chars[opening]) // 4
+        end = max(new + 1, bisect_right(cost, most - used + cost[new + 1]) - 1)
+        parts.append(content[chars[opening] : chars[end]])
+        opening, new = bisect_left(cost, cost[end] - overlap, opening, end), end
+    return parts
 
 
 def truncated(content: Column) -> Column:
@@ -70,23 +65,24 @@ def truncated(content: Column) -> Column:
 
 
 def split_chunks(chunks: DataFrame) -> DataFrame:
-    """id, part, parts, content: chunks (id, name, content) over the limit in overlapping parts under a head, others whole; one that can't be split is cut."""
+    """id, part, parts, content of chunks (id, name, chunk_type, content): functions and methods over the limit in overlapping parts under a head, other chunks
+    over it, and those of one line, cut; the rest whole."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                groups = split_lines(content) if len(content) // 4 > config.MAX_CHUNK_TOKENS else [content]
+            for key, name, kind, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                over = len(content) // 4 > config.MAX_CHUNK_TOKENS
+                groups = split_lines(content) if over and kind in ("function", "method") else []
                 if len(groups) < 2:
-                    cut = content if len(content) // 4 <= config.MAX_CHUNK_TOKENS else content[:800] + "\n... [truncated]"
-                    rows.append((key, 0, 1, cut))
+                    rows.append((key, 0, 1, content[:800] + "\n... [truncated]" if over else content))
                 else:
                     rows += [(key, i, len(groups), f"# Continuation of {name} (part {i + 1}/{len(groups)})\n\n{g}") for i, g in enumerate(groups)]
             if rows:
                 ids, part, n, text = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(part, pa.int32()), pa.array(n, pa.int32()), pa.array(text, pa.string())], ["id", "part", "parts", "content"])
 
-    rows = chunks.select(F.col("id").cast("long"), "name", F.coalesce("content", F.lit("")).alias("content"))
+    rows = chunks.select(F.col("id").cast("long"), "name", "chunk_type", F.coalesce("content", F.lit("")).alias("content"))
     return rows.mapInArrow(split, "id long, part int, parts int, content string")
 
 

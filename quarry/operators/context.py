@@ -41,8 +41,9 @@ def token_budget(history: Column) -> Column:
 
 
 def filled(rows: DataFrame, budget: int | str = config.MAX_CONTEXT_TOKENS) -> DataFrame:
-    """Chunks (query, place, tokens) that fit each query's budget in order of place, those that don't fit skipped, at least one."""
-    return greedy_fill(rows, "query", [F.col("place")], "tokens", budget, at_least_one=True).where("accepted").drop("accepted")
+    """Chunks (query, place, tokens) that fit each query's budget in order of place, those that don't fit skipped; where none fits, the first."""
+    taken = greedy_fill(rows, "query", ["place"], "tokens", budget, at_least_one=True).where("accepted").drop("accepted")
+    return rows.join(taken, ["query", "place"])
 
 
 def without_parts(rows: DataFrame) -> DataFrame:
@@ -147,6 +148,18 @@ def resolved_question(question: Column, entity: Column) -> Column:
     return out
 
 
+def placed(rows: DataFrame, key: str, time: str) -> DataFrame:
+    """rows with `place` over all of them, latest first, then by key; rows are ranked inside ranges of time, and only one count for each range goes through one task."""
+    from quarry.operators.graph import cut
+
+    dealt = rows.repartitionByRange(F.desc(time), key).withColumn("_range", F.spark_partition_id())
+    dealt = cut(dealt)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = dealt.groupBy("_range").agg(F.count("*").alias("n")).select("_range", before.alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc(time), key))
+    return dealt.withColumn("_own", own).join(bases, "_range").withColumn("place", F.col("_base") + F.col("_own")).drop("_range", "_own", "_base")
+
+
 # jobs
 
 

@@ -68,13 +68,14 @@ def likely_binary(content: Column) -> Column:
     head = F.substring(content, 1, config.BINARY_SAMPLE_CHARS)
     n = F.length(head)
     nul = n - F.length(F.regexp_replace(head, "\\x00", ""))
-    odd = n - F.length(F.regexp_replace(head, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", ""))
+    # unprintable: all of Unicode's categories C (controls, formats, unassigned) and Z (separators) but for the space
+    odd = n - F.length(F.regexp_replace(head, r"[\p{C}\p{Z}&&[^ \n\r\t]]", ""))
     return (n > 0) & ((nul / n > config.BINARY_NUL_SHARE) | (odd / n > config.BINARY_NONPRINTABLE_SHARE))
 
 
 def byte_cap(files: DataFrame, key: str = "repo", budget: int = config.MAX_TOTAL_BYTES) -> DataFrame:
-    """Files in order of id, each accepted while its repository's total stays within the cap."""
-    return greedy_fill(files, key, [F.col("file_id")], "size_bytes", budget)
+    """key, file_id, accepted, used of files in order of id, each accepted while its repository's total stays within the cap."""
+    return greedy_fill(files, key, ["file_id"], "size_bytes", budget)
 
 
 def longest_line(content: Column) -> Column:

@@ -39,7 +39,7 @@ def c04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CHUNKS = f"""ch AS (SELECT source AS query, doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'method' WHEN 2 THEN 'class_summary' ELSE 'file_summary' END AS chunk_type, 'name' || doc_id AS name,
-  'src/f' || (doc_id % 7) || '.py' AS file, doc_id % 50 AS start_line, left(text, 600) AS content, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents)"""
+  'src/f' || (doc_id % 7) || '.py' AS file, doc_id % 50 AS start_line, text AS content, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents)"""
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).cast("long")
     return table(spark, sf_dir, "documents").select(
         F.col("source").alias("query"), F.col("doc_id").alias("id"), kind.alias("chunk_type"), F.concat(F.lit("name"), F.col("doc_id")).alias("name"),
-        F.concat(F.lit("src/f"), F.col("doc_id") % 7, F.lit(".py")).alias("file"), (F.col("doc_id") % 50).alias("start_line"), F.substring("text", 1, 600).alias("content"), place.alias("place"),
+        F.concat(F.lit("src/f"), F.col("doc_id") % 7, F.lit(".py")).alias("file"), (F.col("doc_id") % 50).alias("start_line"), F.col("text").alias("content"), place.alias("place"),
     )
 
 
@@ -64,25 +64,28 @@ def c05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).select("id", _block().alias("block"))
 
 
-_FILL = f"""RECURSIVE {_CHUNKS}, sz AS (SELECT *, length(content) // 4 AS tokens FROM ch), f AS (SELECT query, id, place, tokens, true AS accepted, tokens AS used FROM sz WHERE place = 1
-  UNION ALL SELECT s.query, s.id, s.place, s.tokens, f.used + s.tokens <= {config.MAX_CONTEXT_TOKENS}, f.used + CASE WHEN f.used + s.tokens <= {config.MAX_CONTEXT_TOKENS} THEN s.tokens ELSE 0 END FROM f JOIN sz s ON s.query = f.query AND s.place = f.place + 1)"""
+# longest first, so a source's first chunks are often larger than the budget
+_FILL = f"""RECURSIVE {_CHUNKS}, sz AS (SELECT *, length(content) // 4 AS tokens FROM ch),
+  f AS (SELECT query, CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS place, false AS fits, CAST(0 AS BIGINT) AS used FROM (SELECT DISTINCT query FROM sz) q
+    UNION ALL SELECT s.query, s.id, s.place, f.used + s.tokens <= {config.MAX_CONTEXT_TOKENS}, f.used + CASE WHEN f.used + s.tokens <= {config.MAX_CONTEXT_TOKENS} THEN s.tokens ELSE 0 END FROM f JOIN sz s ON s.query = f.query AND s.place = f.place + 1),
+  t AS (SELECT query, id, used FROM f WHERE fits UNION ALL SELECT query, id, tokens FROM sz WHERE place = 1 AND query NOT IN (SELECT query FROM f WHERE fits))"""
 
 
 def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.filled(_chunks(spark, sf_dir).withColumn("tokens", tokens(F.col("content"))))
 
 
-@query("c07_greedy_fill", f"WITH {_FILL} SELECT query, id, CAST(used AS BIGINT) AS used FROM f WHERE accepted")
+@query("c07_greedy_fill", f"WITH {_FILL} SELECT query, id, CAST(used AS BIGINT) AS used FROM t")
 def c07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filled(spark, sf_dir).select("query", "id", "used")
 
 
-@query("t06_group_by_file", f"WITH {_FILL}, k AS (SELECT s.*, min(s.place) OVER (PARTITION BY s.query, s.file) AS fp FROM f JOIN sz s USING (id) WHERE f.accepted) SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY fp, file, start_line, id) AS seat FROM k")
+@query("t06_group_by_file", f"WITH {_FILL}, k AS (SELECT s.*, min(s.place) OVER (PARTITION BY s.query, s.file) AS fp FROM t JOIN sz s USING (id)) SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY fp, file, start_line, id) AS seat FROM k")
 def t06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.grouped_by_file(_filled(spark, sf_dir)).select("query", "id", F.col("seat").cast("long").alias("seat"))
 
 
-@query("c06_context", f"WITH {_FILL}, k AS (SELECT s.*, min(s.place) OVER (PARTITION BY s.query, s.file) AS fp FROM f JOIN sz s USING (id) WHERE f.accepted) SELECT query, string_agg({_BLOCK}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY fp, file, start_line, id) AS context FROM k GROUP BY query")
+@query("c06_context", f"WITH {_FILL}, k AS (SELECT s.*, min(s.place) OVER (PARTITION BY s.query, s.file) AS fp FROM t JOIN sz s USING (id)) SELECT query, string_agg({_BLOCK}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY fp, file, start_line, id) AS context FROM k GROUP BY query")
 def c06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.joined(context.grouped_by_file(_filled(spark, sf_dir)).withColumn("block", _block()))
 
@@ -209,16 +212,16 @@ def x20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("question", context.resolved_question(F.col("question"), F.lit("UserService")).alias("resolved"))
 
 
-@query("t08_newest_jobs", f"{JOBS} SELECT repo_key, job_id FROM v_jobs QUALIFY row_number() OVER (PARTITION BY repo_key ORDER BY created_at DESC, job_id DESC) <= 3")
+@query("t08_newest_jobs", f"{JOBS} SELECT repo_key, job_id, row_number() OVER (PARTITION BY repo_key ORDER BY created_at DESC, job_id DESC) AS place FROM v_jobs")
 def t08(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = Window.partitionBy("repo_key").orderBy(F.desc("created_at"), F.desc("job_id"))
-    return view(spark, sf_dir, "v_jobs").withColumn("n", F.row_number().over(newest)).where("n <= 3").select("repo_key", "job_id")
+    return view(spark, sf_dir, "v_jobs").select("repo_key", "job_id", F.row_number().over(newest).cast("long").alias("place"))
 
 
-@query("t09_sessions_by_activity", f"{JOBS} SELECT repo_key, row_number() OVER (ORDER BY last_active DESC, repo_key) AS place FROM (SELECT repo_key, max(created_at) AS last_active FROM v_jobs GROUP BY repo_key) x ORDER BY place LIMIT 50")
+@query("t09_sessions_by_activity", f"{JOBS} SELECT repo_key, row_number() OVER (ORDER BY last_active DESC, repo_key) AS place FROM (SELECT repo_key, max(created_at) AS last_active FROM v_jobs GROUP BY repo_key) x")
 def t09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = view(spark, sf_dir, "v_jobs").groupBy("repo_key").agg(F.max("created_at").alias("last_active")).orderBy(F.desc("last_active"), "repo_key").limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("last_active"), "repo_key")).cast("long")).select("repo_key", "place")
+    active = view(spark, sf_dir, "v_jobs").groupBy("repo_key").agg(F.max("created_at").alias("last_active"))
+    return context.placed(active, "repo_key", "last_active").select("repo_key", "place")
 
 
 @query("q01_create", f"{JOBS} SELECT phase, status, count(*) AS jobs FROM (SELECT phase, status FROM v_jobs UNION ALL SELECT 'ingest', 'queued') x GROUP BY phase, status")

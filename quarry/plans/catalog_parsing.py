@@ -107,15 +107,38 @@ def x06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(chunks.signature(F.lit("f"), F.from_json("p", kind), F.col("r")).alias("signature"))
 
 
-@query("x07_split", f"""WITH RECURSIVE {ddb("v_files")}, big AS (SELECT file_id, content, string_split(content, chr(10)) AS l FROM v_files WHERE length(content) // 4 > {config.MAX_CHUNK_TOKENS}) SELECT file_id AS id, true AS split_or_cut FROM big UNION ALL SELECT file_id, false FROM v_files WHERE length(content) // 4 <= {config.MAX_CHUNK_TOKENS}""")
+# by the definition: ends and openings are counted in the lists of the lines' summed characters and tokens
+_PARTS = f"""WITH RECURSIVE {ddb("v_files")},
+  src AS (SELECT file_id AS id, path AS name, file_id % 3 < 2 AS code, content, length(content) // 4 > {config.MAX_CHUNK_TOKENS} AS large, string_split(content, chr(10)) AS l FROM v_files),
+  one AS (SELECT id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line, len(l) AS n FROM src WHERE large AND code),
+  kept AS (SELECT id, i, length(line) + CASE WHEN i < n THEN 1 ELSE 0 END AS chars FROM one WHERE i < n OR line <> ''),
+  sums AS (SELECT id, i, sum(chars) OVER w AS c, sum(chars // 4) OVER w AS t FROM kept WINDOW w AS (PARTITION BY id ORDER BY i)),
+  listed AS (SELECT id, list(CAST(c AS BIGINT) ORDER BY i) AS c, list(CAST(t AS BIGINT) ORDER BY i) AS t, count(*) AS n FROM sums GROUP BY id),
+  g AS (SELECT id, 0 AS part, CAST(0 AS BIGINT) AS opening, CAST(0 AS BIGINT) AS new, greatest(1, len(list_filter(t, lambda x: x <= {config.MAX_CHUNK_TOKENS} - c[1] // 4 + t[1]))) AS fin FROM listed
+    UNION ALL
+    SELECT id, part + 1, opening2, fin, greatest(fin + 1, len(list_filter(t, lambda x: x <= {config.MAX_CHUNK_TOKENS} - (c[fin + 1] - coalesce(c[opening2], 0)) // 4 + t[fin + 1])))
+    FROM (SELECT g.id, g.part, g.fin, l.c, l.t, g.opening + len(list_filter(range(g.opening, g.fin), lambda x: l.t[g.fin] - coalesce(l.t[x], 0) > {config.OVERLAP_TOKENS})) AS opening2
+          FROM g JOIN listed l ON l.id = g.id WHERE g.fin < l.n) s),
+  sized AS (SELECT g.*, count(*) OVER (PARTITION BY id) AS parts FROM g),
+  made AS (SELECT id, part, CAST(parts AS INT) AS parts, '# Continuation of ' || name || ' (part ' || (part + 1) || '/' || parts || ')' || chr(10) || chr(10)
+           || substr(content, coalesce(c[opening], 0) + 1, c[fin] - coalesce(c[opening], 0)) AS content FROM sized JOIN listed USING (id) JOIN src USING (id) WHERE parts > 1
+    UNION ALL SELECT id, 0, 1, CASE WHEN large THEN left(content, 800) || chr(10) || '... [truncated]' ELSE content END FROM src WHERE id NOT IN (SELECT id FROM sized WHERE parts > 1))"""
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("file_id") % 3 == 0, "function").when(F.col("file_id") % 3 == 1, "method").otherwise("file_summary")
+    return chunks.split_chunks(view(spark, sf_dir, "v_files").select(F.col("file_id").alias("id"), F.col("path").alias("name"), kind.alias("chunk_type"), "content"))
+
+
+@query("x07_split", f"{_PARTS} SELECT id, parts = 1 AND content LIKE '%[truncated]' AS was_cut, count(*) AS parts FROM made GROUP BY ALL")
 def x07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = chunks.split_chunks(view(spark, sf_dir, "v_files").select(F.col("file_id").alias("id"), F.col("path").alias("name"), "content"))
-    return parts.groupBy("id").agg(F.bool_or((F.col("parts") > 1) | F.col("content").endswith("[truncated]")).alias("split_or_cut"))
+    was_cut = (F.col("parts") == 1) & F.col("content").endswith("[truncated]")
+    return _parts(spark, sf_dir).groupBy("id", was_cut.alias("was_cut")).agg(F.count("*").alias("parts"))
 
 
-@query("x07_parts")
+@query("x07_parts", f"{_PARTS} SELECT id, part, parts, content FROM made")
 def x07_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.split_chunks(view(spark, sf_dir, "v_files").select(F.col("file_id").alias("id"), F.col("path").alias("name"), "content"))
+    return _parts(spark, sf_dir)
 
 
 @query("x08_truncated", f"{FILES} SELECT file_id, CASE WHEN length(content) > 800 THEN left(content, 800) || chr(10) || '... [truncated]' ELSE content END AS content FROM v_files")

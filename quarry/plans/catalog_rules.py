@@ -177,12 +177,16 @@ def k22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n", rules.main_block(F.col("content"), F.col("language")).alias("main_block"), rules.exports(F.col("content"), F.col("language")).alias("exports"))
 
 
-@query("x22_complexity", "WITH d AS (SELECT doc_id, length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS n, text, CASE lang WHEN 'en' THEN 'Python' ELSE 'Go' END AS language FROM documents) SELECT doc_id, CASE WHEN language = 'Python' THEN 1 + len(regexp_extract_all(text, '\\b(?:if|elif|for|while|try|except|with|and|or|assert)\\b')) ELSE 1 END AS complexity FROM d WHERE language = 'Python'")
-def x22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.plans.fixtures import table
+_BRANCHES = "CASE language " + " ".join(
+    f"WHEN '{name}' THEN 1 + len(regexp_extract_all(text, '" + "|".join([r"\b(?:" + "|".join(w for w in words if w.isalpha()) + r")\b", *(w.replace("|", r"\|").replace("?", r"\?") for w in words if not w.isalpha())]) + "'))"
+    for name, words in config.COMPLEXITY_KEYWORDS.items()
+) + " ELSE 1 END"
 
-    english = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return english.select("doc_id", rules.complexity(F.regexp_replace("text", "[^\\x00-\\x7F]", " "), F.lit("Python")).alias("complexity"))
+
+@query("x22_complexity", f"{FILES}, d AS (SELECT file_id, regexp_replace(content, '[^\\x00-\\x7F]', ' ', 'g') AS text, {_LANG} AS language FROM v_files) SELECT file_id, {_BRANCHES} AS complexity FROM d")
+def x22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = F.regexp_replace("content", "[^\\x00-\\x7F]", " ")
+    return view(spark, sf_dir, "v_files").select("file_id", rules.complexity(plain, filters.language(F.col("path"))).alias("complexity"))
 
 
 @query("a10_parse_manifest", f"{FILES} SELECT count(*) AS files, count(*) FILTER (WHERE ({_LANG}) IS NOT NULL) AS parsed, count(*) FILTER (WHERE ({_LANG}) IS NULL) AS failed, count(DISTINCT {_EXT}) AS extensions FROM v_files")

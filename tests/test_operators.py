@@ -13,16 +13,21 @@ def test_entry_point_module_imports():
 
 
 def test_greedy_fill_skips_and_goes_on(spark):
-    rows = spark.createDataFrame([("a", i, n) for i, n in enumerate([50, 60, 30, 25, None, 20])] + [("b", 0, 500)], "k string, i int, n int")
-    got = {(r.k, r.i): r.accepted for r in folds.greedy_fill(rows, "k", [F.col("i")], "n", 100).collect()}
-    assert got == {("a", 0): True, ("a", 1): False, ("a", 2): True, ("a", 3): False, ("a", 4): True, ("a", 5): True, ("b", 0): False}
-    kept = folds.greedy_fill(rows, "k", [F.col("i")], "n", 100, at_least_one=True).where("accepted").collect()
-    assert ("b", 0) in {(r.k, r.i) for r in kept}
+    rows = spark.createDataFrame([("a", i, n) for i, n in enumerate([50, 60, 30, 25, None, 20])] + [("b", 0, 500), ("b", 1, 400), ("c", 0, 500), ("c", 1, 50), (None, 0, 7)], "k string, i int, n int")
+    got = {(r.k, r.i): (r.accepted, r.used) for r in folds.greedy_fill(rows, "k", ["i"], "n", 100).collect()}
+    want = {("a", 0): (True, 50), ("a", 1): (False, 50), ("a", 2): (True, 80), ("a", 3): (False, 80), ("a", 4): (True, 80), ("a", 5): (True, 100)}
+    assert got == want | {("b", 0): (False, 0), ("b", 1): (False, 0), ("c", 0): (False, 0), ("c", 1): (True, 50), (None, 0): (True, 7)}
+    kept = {(r.k, r.i): (r.accepted, r.used) for r in folds.greedy_fill(rows, "k", ["i"], "n", 100, at_least_one=True).collect()}
+    assert kept == got | {("b", 0): (True, 500)}
+    assert folds.greedy_fill(rows.limit(0), "k", ["i"], "n", 100, at_least_one=True).count() == 0
 
 
 def test_binary_heuristic(spark):
-    rows = spark.createDataFrame([("text\n" * 10,), ("\x00" * 5 + "x" * 95,), ("\x01\x02\x03x",), ("",)], "t string")
-    assert [r[0] for r in rows.select(filters.likely_binary(F.col("t"))).collect()] == [False, True, True, False]
+    rows = spark.createDataFrame([("text\n" * 10,), ("\x00" * 5 + "x" * 95,), ("\x01\x02\x03x",), ("",), ("\u0085\u200b\u00a0x",), ("é ü\t日本\r\n",), ("\u0378" * 4 + "x" * 6,)], "t string")
+    assert [r[0] for r in rows.select(filters.likely_binary(F.col("t"))).collect()] == [False, True, True, False, True, False, True]
+    texts = [r.t for r in rows.collect() if r.t]
+    odd = lambda t: sum(not c.isprintable() and c not in "\n\r\t" for c in t) / len(t) > 0.3 or t.count("\0") / len(t) > 0.01
+    assert [odd(t) for t in texts] == [r[0] for r in rows.where("t <> ''").select(filters.likely_binary(F.col("t"))).collect()]
 
 
 def test_split_lines_overlaps():
