@@ -1,13 +1,15 @@
 """Sources to entities: p01-p11.
 
-Python is read with its own grammar; other languages, and Python that doesn't compile, by patterns for definitions and imports. Each file is parsed on its own
-in its task, so parsing scales with files; a file that is empty or minified gives no entity, one that fails an entity of kind `error`.
+Python is read with its own grammar; other languages, and Python that doesn't compile, by patterns for definitions and imports. Where blocks have braces, one scan pairs
+them, so a definition has the classes around it and its own body. Each file is parsed on its own in its task, in time that grows as its text, so parsing scales with
+files; a file that is empty or minified gives no entity, one that fails an entity of kind `error`.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,36 +19,58 @@ from pyspark.sql import functions as F
 from quarry import config
 from quarry.operators.filters import language
 
-SCHEMA = "path string, kind string, name string, qualified_name string, parent string, line int, end_line int, params array<string>, details array<string>, calls array<string>, flags array<string>, docstring string"
+SCHEMA = "path string, kind string, name string, qualified_name string, parent string, line int, end_line int, params array<string>, details array<string>, calls array<string>, flags array<string>, docstring string, attributes array<string>, sha string"
 FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
 
 _ID = r"[A-Za-z_$][\w$]*"
 #: Per language: patterns of functions, classes and imports; the first group names the entity, a group `base` its bases.
 PATTERNS: dict[str, dict[str, list[str]]] = {
     "JavaScript": {
-        "function": [rf"^\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*({_ID})\s*\((?P<params>[^)]*)\)", rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_ID})\s*=\s*(?:async\s*)?\(?(?P<params>[^()=]*)\)?\s*=>", rf"^\s+(?:async\s+|static\s+)*(?!if|for|while|switch|catch|return|function)({_ID})\s*\((?P<params>[^)]*)\)\s*\{{"],
-        "class": [rf"^\s*(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+({_ID})(?:\s+extends\s+(?P<base>[\w$.]+))?"],
+        "function": [
+            rf"^\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*({_ID})\s*(?:<[^>]*>)?\((?P<params>[^)]*)\)",
+            rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_ID})\s*(?::[^=]+)?=\s*(?:async\s*)?\(?(?P<params>[^()=]*)\)?\s*(?::\s*[\w<>\[\]]+\s*)?=>",
+            rf"^[ \t]+(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+|\*\s*)*(?!(?:if|for|while|switch|catch|return|function|with)\b)(#?{_ID})\s*(?:<[^>]*>)?\((?P<params>[^)]*)\)\s*(?::\s*[^{{;=]+)?\{{",
+            rf"^[ \t]+(?:(?:public|private|protected)\s+)?abstract\s+({_ID})\s*\((?P<params>[^)]*)\)",
+        ],
+        "class": [rf"^\s*(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+({_ID})(?:<[^>]*>)?(?:\s+extends\s+(?P<base>[\w$.]+))?"],
         "import": [r"""^\s*import\s+.*?from\s+['"]([^'"]+)['"]""", r"""^\s*import\s+['"]([^'"]+)['"]""", r"""require\(\s*['"]([^'"]+)['"]\s*\)"""],
     },
     "Java": {
-        "function": [rf"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+(?:[\w<>\[\],.?]+\s+)?({_ID})\s*\((?P<params>[^)]*)\)\s*(?:throws [\w., ]+)?\s*[{{;]"],
-        "class": [rf"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|interface|enum|record)\s+({_ID})(?:.*?\bextends\s+(?P<base>[\w.]+))?"],
+        "function": [
+            rf"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized|default|native)\s+)+(?:<[^>]*>\s*)?(?:[\w<>\[\],.?]+\s+)?({_ID})\s*\((?P<params>[^)]*)\)\s*(?:throws [\w., ]+)?\s*[{{;]",
+            rf"^[ \t]+(?!(?:return|new|else|throw|case|do|try)\b)[\w.]+(?:<[^;(){{}}]*>)?(?:\[\])*\s+({_ID})\s*\((?P<params>[^)]*)\)\s*(?:throws [\w., ]+)?\s*\{{",
+        ],
+        "class": [rf"^\s*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(?:class|interface|enum|record)\s+({_ID})(?:.*?\bextends\s+(?P<base>[\w.]+))?"],
         "import": [r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;"],
     },
-    "Go": {"function": [rf"^func\s+(?:\(\s*\w*\s*\*?(?P<parent>\w+)\s*\)\s*)?({_ID})\s*\((?P<params>[^)]*)\)"], "class": [rf"^type\s+({_ID})\s+(?:struct|interface)\b"], "import": [r'^\s*import\s+(?:\w+\s+)?"([^"]+)"', r'^\s+(?:\w+\s+)?"([\w./-]+)"\s*$']},
-    "Rust": {"function": [rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+({_ID})\s*(?:<[^>]*>)?\((?P<params>[^)]*)\)"], "class": [rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+({_ID})"], "import": [r"^\s*(?:pub\s+)?use\s+([\w:]+)"]},
-    "C": {"function": [rf"^(?!\s*(?:return|else|if|for|while|switch)\b)[A-Za-z_][\w\s*&:<>,]*?[\s*&]((?:{_ID}::)*~?{_ID})\s*\((?P<params>[^;{{)]*)\)\s*(?:const\s*)?\{{"], "class": [rf"^\s*(?:typedef\s+)?(?:class|struct|enum)\s+({_ID})(?:\s*:\s*(?:public|private|protected)?\s*(?P<base>[\w:]+))?\s*\{{"], "import": [r'^\s*#\s*include\s*[<"]([^>"]+)[>"]']},
+    "Go": {"function": [rf"^func\s+(?:\(\s*\w*\s*\*?(?P<parent>\w+)(?:\[[^\]]*\])?\s*\)\s*)?({_ID})\s*(?:\[[^\]]*\])?\((?P<params>[^)]*)\)"], "class": [rf"^type\s+({_ID})(?:\[[^\]]*\])?\s+(?:struct|interface)\b"], "import": [r'^\s*import\s+(?:\w+\s+)?"([^"]+)"', r'^\s+(?:\w+\s+)?"([\w./-]+)"\s*$']},
+    "Rust": {
+        "function": [rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+|extern\s+\"\w+\"\s+)*fn\s+({_ID})\s*(?:<[^>]*>)?\((?P<params>[^)]*)\)"],
+        "class": [rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+({_ID})"],
+        "scope": [r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[^{;]*?\bfor\s+)?([A-Za-z_]\w*)"],
+        "import": [r"^\s*(?:pub\s+)?use\s+([\w:]+)"],
+    },
+    "C": {"function": [rf"^(?!\s*(?:return|else|if|for|while|switch)\b)[ \t]*[A-Za-z_][\w\s*&:<>,]*?[\s*&]((?:{_ID}::)*~?{_ID})\s*\((?P<params>[^;{{)]*)\)\s*(?:const\s*)?(?:override\s*)?\{{"], "class": [rf"^\s*(?:typedef\s+)?(?:class|struct|enum)\s+({_ID})(?:\s*:\s*(?:public|private|protected)?\s*(?P<base>[\w:]+))?\s*\{{"], "import": [r'^\s*#\s*include\s*[<"]([^>"]+)[>"]']},
     "generic": {"function": [r"^\s*(?:def|function|func|fn|sub|fun)\s+(\w+)"], "class": [r"^\s*(?:class|struct|interface|trait|module)\s+(\w+)"], "import": [r"""^\s*(?:import|require|include|use)\s+['"]?([\w./:-]+)"""]},
 }
 PATTERNS["TypeScript"] = PATTERNS["JavaScript"] | {"class": [*PATTERNS["JavaScript"]["class"], rf"^\s*(?:export\s+)?(?:interface|enum)\s+({_ID})"]}
 PATTERNS["C++"] = PATTERNS["C"]
 _NO_CALLS = {"if", "for", "while", "switch", "catch", "return", "function", "func", "fn", "match", "sizeof"}
+#: Text in which braces don't count, and braces; quotes hold one character where the language has no strings in them.
+_STOP = re.compile("[;{}]")
+_STRINGS, _COMMENTS = r'"(?:\\.|[^"\\\n])*"', r"//[^\n]*|/\*.*?\*/"
+_BRACES = {many: re.compile(rf"{_STRINGS}|{quoted}|{_COMMENTS}|[{{}}]", re.S) for many, quoted in ((True, r"'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"), (False, r"'(?:\\[^']+|[^'\\\n])'"))}
 
 Entity = tuple
 
 
-def _entity(path, kind, name, qualified, parent, line, end, params=(), details=(), calls=(), flags=(), docstring=None) -> Entity:
-    return (path, kind, name, qualified, parent, line, end, list(params), list(details), list(calls), list(flags), docstring)
+def _entity(path, kind, name, qualified, parent, line, end, params=(), details=(), calls=(), flags=(), docstring=None, attributes=()) -> Entity:
+    return (path, kind, name, qualified, parent, line, end, list(params), list(details), list(calls), list(flags), docstring, list(attributes))
+
+
+def _targets(node: ast.AST) -> list[ast.AST]:
+    """What a statement assigns to."""
+    return node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) else []
 
 
 def _dotted(node: ast.AST) -> str:
@@ -63,7 +87,10 @@ class _PythonReader(ast.NodeVisitor):
         qualified = ".".join([*self.classes, node.name])
         members = [n.name for n in node.body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
         flags = ["abstract"] * any("ABC" in _dotted(b) for b in node.bases)
-        self.found.append(_entity(self.path, "class", node.name, qualified, ".".join(self.classes) or None, node.lineno, node.end_lineno, members, map(_dotted, node.bases), flags=flags, docstring=ast.get_docstring(node)))
+        held = [t.id for n in node.body for t in _targets(n) if isinstance(t, ast.Name)]
+        made = [n for n in node.body if isinstance(n, ast.FunctionDef) and n.name == "__init__"]
+        own = [t.attr for f in made for n in f.body for t in _targets(n) if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self"]
+        self.found.append(_entity(self.path, "class", node.name, qualified, ".".join(self.classes) or None, node.lineno, node.end_lineno, members, map(_dotted, node.bases), flags=flags, docstring=ast.get_docstring(node), attributes=dict.fromkeys(held + own)))
         self.classes.append(node.name)
         self.generic_visit(node)
         self.classes.pop()
@@ -79,6 +106,11 @@ class _PythonReader(ast.NodeVisitor):
 
     visit_FunctionDef = visit_AsyncFunctionDef = _function
 
+    def visit_Lambda(self, node: ast.Lambda) -> None:
+        name = f"lambda_line_{node.lineno}"
+        self.found.append(_entity(self.path, "function", name, name, None, node.lineno, node.end_lineno, [p.arg for p in node.args.args], flags=["lambda"]))
+        self.generic_visit(node)
+
     def visit_Import(self, node: ast.Import) -> None:
         for a in node.names:
             self.found.append(_entity(self.path, "import", a.name, a.asname or a.name, None, node.lineno, node.end_lineno, flags=["absolute"] + ["conditional"] * bool(self.conditional)))
@@ -98,39 +130,108 @@ class _PythonReader(ast.NodeVisitor):
 def parse_python(path: str, source: str) -> list[Entity]:
     reader = _PythonReader(path)
     tree = ast.parse(source)
-    if text := ast.get_docstring(tree):
-        reader.found.append(_entity(path, "module", path, path, None, 1, 1, docstring=text))
+    text, held = ast.get_docstring(tree), [t.id for n in tree.body for t in _targets(n) if isinstance(t, ast.Name)]
+    if text or held:
+        reader.found.append(_entity(path, "module", path, path, None, 1, 1, docstring=text, attributes=dict.fromkeys(held)))
     reader.visit(tree)
     return reader.found
 
 
-def parse_patterns(path: str, source: str, language: str) -> list[Entity]:
-    """Entities by the language's patterns, each name of a kind once, at its first line; calls are the names before brackets up to the next definition."""
-    found: dict[tuple[str, str], tuple[int, re.Match]] = {}
+def _pairs(source: str, many: bool) -> tuple[set[int], dict[int, int]]:
+    """Places of opening braces, and of the brace that closes each."""
+    opened, closes, open_now = set(), {}, []
+    for m in _BRACES[many].finditer(source):
+        if m[0] == "{":
+            opened.add(m.start())
+            open_now.append(m.start())
+        elif m[0] == "}" and open_now:
+            closes[open_now.pop()] = m.start()
+    return opened, closes
+
+
+class _Body:
+    """Where the blocks and lines of a source are."""
+
+    def __init__(self, source: str, language: str) -> None:
+        self.source, self.braces = source, language in PATTERNS and language != "generic"
+        self.opened, self.closes = _pairs(source, language in ("JavaScript", "TypeScript")) if self.braces else (set(), {})
+        self.breaks = [m.start() for m in re.finditer("\n", source)]
+
+    def line(self, at: int) -> int:
+        return bisect_left(self.breaks, at) + 1
+
+    def block(self, m: re.Match) -> tuple[int, int] | None:
+        """The block that a definition opens, if no statement ends before it."""
+        hit = _STOP.search(self.source, m.end() - 1)
+        if not hit or hit.start() not in self.opened:
+            return None
+        return hit.start(), self.closes.get(hit.start(), len(self.source))
+
+    def marks(self, at: int) -> list[str]:
+        """Annotations on the lines before a definition's, first to last."""
+        found, line = [], self.line(at) - 2
+        while line >= 0:
+            text = self.source[self.breaks[line - 1] + 1 if line else 0 : self.breaks[line]].strip()
+            if not text.startswith(("@", "#[")):
+                break
+            found.append(text)
+            line -= 1
+        return found[::-1]
+
+
+def _definitions(source: str, language: str) -> list[tuple[int, str, str, re.Match]]:
+    """(place, kind, name, match), each once, in order; the generic patterns give each name of a kind once."""
+    found = {}
     for kind, patterns in PATTERNS.get(language, PATTERNS["generic"]).items():
         for pattern in patterns:
             for m in re.finditer(pattern, source, re.M):
                 name = next(g for i, g in enumerate(m.groups(), 1) if g is not None and i not in m.re.groupindex.values())
-                if (kind, name) not in found or found[kind, name][0] > m.start():
-                    found[kind, name] = (m.start(), m)
-    ordered = sorted(((at, kind, name, m) for (kind, name), (at, m) in found.items()), key=lambda x: x[:3])
-    starts = [at for at, kind, _, _ in ordered if kind != "import"] + [len(source)]
-    out, parent = [], None
-    for at, kind, name, m in ordered:
-        line = source.count("\n", 0, m.start(m.lastindex and 0)) + 1 + (len(m.group(0)) - len(m.group(0).lstrip("\n")))
-        groups = m.groupdict()
-        if kind == "class":
-            parent = name
-            out.append(_entity(path, kind, name, name, None, line, line, details=[groups["base"]] if groups.get("base") else []))
-        elif kind == "function":
-            end = next(s for s in starts if s > at)
-            body = source[m.end() : end]
-            calls = [c for c in dict.fromkeys(re.findall(rf"({_ID})\s*\(", body)) if c not in _NO_CALLS]
-            params = [p.strip() for p in (groups.get("params") or "").split(",") if p.strip()]
-            own = groups.get("parent") or (parent if m.group(0).lstrip("\n")[:1].isspace() else None)
-            out.append(_entity(path, kind, name, f"{own}.{name}" if own else name, own, line, source.count("\n", 0, end) + 1, params, calls=calls, flags=["async"] * ("async" in m.group(0)) + ["method"] * bool(own)))
-        else:
+                at = m.start() + len(m[0]) - len(m[0].lstrip())
+                found.setdefault((at, kind, name), m)
+    listed, met = [(*key, m) for key, m in sorted(found.items(), key=lambda x: x[0])], set()
+    if language in PATTERNS and language != "generic":
+        return listed
+    return [x for x in listed if x[1:3] not in met and not met.add(x[1:3])]
+
+
+def parse_patterns(path: str, source: str, language: str) -> list[Entity]:
+    """Entities by the language's patterns; calls are the names before brackets in a function's block, or up to the next definition where blocks have no braces."""
+    body, listed = _Body(source, language), _definitions(source, language)
+    starts = [at for at, kind, _, _ in listed if kind != "import"] + [len(source)]
+    out, scopes, above = [], [], None  # scopes: (end, name) of the classes around
+    for at, kind, name, m in listed:
+        scopes = [x for x in scopes if x[0] > at]
+        groups, line, block = m.groupdict(), body.line(at), body.block(m) if kind != "import" else None
+        words = re.findall(r"\w+", m[0].split("(")[0])
+        if kind == "import":
             out.append(_entity(path, kind, name, name, None, line, line, flags=["relative" if name.startswith(".") else "absolute"]))
+        elif kind in ("class", "scope"):
+            above, around = name, [x[1] for x in scopes]
+            if block:
+                scopes.append((block[1], name))
+            if kind == "class":
+                flags = [flag for flag, on in (("abstract", "abstract" in words), ("interface", {"interface", "trait"} & {*words}), ("enum", "enum" in words)) if on]
+                out.append(_entity(path, kind, name, ".".join([*around, name]), ".".join(around) or None, line, body.line(block[1]) if block else line, details=[groups["base"]] if groups.get("base") else body.marks(at) if language == "Rust" else [], flags=flags))
+        else:
+            *outer, name = name.split("::")
+            inside = [x[1] for x in scopes]
+            if not body.braces:
+                inside = [above] if above and m[0].lstrip("\n")[:1].isspace() else []
+            own = groups.get("parent") or ".".join([*inside, *outer])
+            if body.braces:
+                rest = source.find("\n", m.end())
+                end = block[1] if block else m.end() if m[0].endswith(";") else len(source) if rest < 0 else rest
+            else:
+                end = next(s for s in starts if s > at)
+            calls = [c for c in dict.fromkeys(re.findall(rf"({_ID})\s*\(", source[m.end() : end])) if c not in _NO_CALLS]
+            params = [p.strip() for p in (groups.get("params") or "").split(",") if p.strip()]
+            flags = [
+                flag for flag, on in (
+                    ("method", own), ("constructor", own and name in ("constructor", own.split(".")[-1])), ("private", {"private", "protected"} & {*words} or name.startswith(("_", "#"))),
+                    ("static", "static" in words), ("async", "async" in m[0]), ("abstract", "abstract" in words),
+                ) if on
+            ]
+            out.append(_entity(path, "function", name, f"{own}.{name}" if own else name, own or None, line, body.line(end), params, body.marks(at), calls, flags))
     return out
 
 
@@ -147,25 +248,30 @@ def parse(path: str, source: str, language: str | None) -> list[Entity]:
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """Entities of files (path, content); the language is that of the extension."""
-    kinds = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.list_(pa.string())] * 4 + [pa.string()]
+    """Entities of files (path, content), stamped with their content's SHA-256; the language is that of the extension."""
+    kinds = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.list_(pa.string())] * 4 + [pa.string(), pa.list_(pa.string()), pa.string()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [e for path, content, name in zip(*(c.to_pylist() for c in batch.columns), strict=True) for e in parse(path, content, name)]
+            rows = [(*e, sha) for path, content, name, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True) for e in parse(path, content, name)]
             for at in range(0, len(rows), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 5000], strict=True), kinds, strict=True)], FIELDS)
 
-    return files.select("path", F.coalesce("content", F.lit("")).alias("content"), language(F.col("path")).alias("language")).mapInArrow(each, SCHEMA)
+    content = F.coalesce("content", F.lit(""))
+    return files.select("path", content.alias("content"), language(F.col("path")).alias("language"), F.sha2(content, 256).alias("sha")).mapInArrow(each, SCHEMA)
+
+
+def errors_of(entities: DataFrame) -> DataFrame:
+    return entities.where("kind = 'error'").select(F.col("path").alias("file_path"), F.col("name").alias("error"), "sha")
 
 
 def functions_of(entities: DataFrame) -> DataFrame:
-    return entities.where("kind = 'function'").select(F.col("path").alias("file_path"), "name", "qualified_name", "parent", "line", "end_line", "params", F.col("details").alias("decorators"), "calls", "flags", "docstring")
+    return entities.where("kind = 'function'").select(F.col("path").alias("file_path"), "name", "qualified_name", "parent", "line", "end_line", "params", F.col("details").alias("decorators"), "calls", "flags", "docstring", "sha")
 
 
 def classes_of(entities: DataFrame) -> DataFrame:
-    return entities.where("kind = 'class'").select(F.col("path").alias("file_path"), "name", "qualified_name", F.col("params").alias("methods"), F.col("details").alias("bases"), "flags", "docstring")
+    return entities.where("kind = 'class'").select(F.col("path").alias("file_path"), "name", "qualified_name", F.col("params").alias("methods"), F.col("details").alias("bases"), "attributes", "flags", "docstring", "sha")
 
 
 def imports_of(entities: DataFrame) -> DataFrame:
-    return entities.where("kind = 'import'").select(F.col("path").alias("file_path"), F.col("name").alias("module"), F.col("details").alias("items"), "line", "flags")
+    return entities.where("kind = 'import'").select(F.col("path").alias("file_path"), F.col("name").alias("module"), F.col("details").alias("items"), "line", "flags", "sha")

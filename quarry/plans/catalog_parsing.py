@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +16,15 @@ from quarry.sources import repository
 
 EDGES = "WITH RECURSIVE " + ddb("v_edges", "v_nodes")
 
+#: Each language with two classes that have methods of one name.
 SOURCES = {
-    "a.py": 'import os\nfrom .util import load as l, save\nclass A(Base):\n    """A thing."""\n    def __init__(self, x, *rest):\n        self.x = load(x)\n    @staticmethod\n    def make(): return A(1)\nasync def _go(n: int = 1):\n    if n: import json\n    await run(n)\n',
-    "b.js": "import x from './x';\nconst y = require('y');\nexport class B extends C {\n  go(a, b) {\n    run(a);\n  }\n}\nasync function load(q) { fetchIt(q); }\nconst add = (a, b) => a + b;\n",
-    "c.ts": "export interface Shape {}\nexport enum Kind { A }\nexport function area(s: Shape) { return calc(s); }\n",
-    "D.java": "import java.util.List;\npublic class D extends E {\n  public static void main(String[] args) {\n    run();\n  }\n}\n",
-    "e.go": 'package main\nimport "fmt"\ntype S struct {\n}\nfunc (s *S) Name() string { return fmt.Sprint(s) }\nfunc main() { run() }\n',
-    "f.rs": "use std::fs;\npub struct P;\nimpl P {\n    pub fn new(a: u8) -> P { make(a) }\n}\nfn main() { P::new(1); }\n",
-    "g.cpp": '#include <vector>\nclass V : public W {\n};\nint main(int c) {\n  return run(c);\n}\n',
+    "a.py": 'import os\nfrom .util import load as l, save\nclass A(Base):\n    """A thing."""\n    kind = 1\n    def __init__(self, x, *rest):\n        self.x = load(x)\n    @staticmethod\n    def make(): return A(1)\nasync def _go(n: int = 1):\n    if n: import json\n    await run(n)\nclass B:\n    def make(self): return map(lambda y: y, [])\nLIMIT = 3\n',
+    "b.js": "import x from './x';\nconst y = require('y');\nexport class B extends C {\n  go(a, b) {\n    run(a);\n  }\n}\nclass D {\n  static go() { return `${stop()}{`; }\n}\nasync function load(q) { fetchIt(q); }\nconst add = (a, b) => a + b;\n",
+    "c.ts": "export interface Shape {}\nexport enum Kind { A }\nexport abstract class P extends Q {\n  private size(): number { return calc(1); }\n}\nclass R {\n  size(): number { return 2; }\n}\nexport function area(s: Shape) { return calc(s); }\n",
+    "D.java": "import java.util.List;\npublic class D extends E {\n  public static void main(String[] args) {\n    run();\n  }\n  public void run() {\n    go(\"{\");\n  }\n}\nclass F {\n  @Override\n  void run() { stop(); }\n}\n",
+    "e.go": 'package main\nimport "fmt"\ntype S struct {\n}\ntype T struct{}\nfunc (s *S) Name() string { return fmt.Sprint(s) }\nfunc (t T) Name() string { return call(t) }\nfunc main() { run() }\n',
+    "f.rs": "use std::fs;\npub struct P;\nstruct Q;\nimpl P {\n    pub fn new(a: u8) -> P { make(a) }\n}\nimpl Show for Q {\n    fn new() -> Q { other('{') }\n}\nfn main() { P::new(1); }\n",
+    "g.cpp": '#include <vector>\nclass V : public W {\n  int size() { return one(); }\n};\nstruct U {\n  int size() const { return two(); }\n};\nint V::run(int c) {\n  return go(c);\n}\nint main(int c) {\n  return run(c);\n}\n',
     "h.rb": "require 'set'\nclass H\n  def go\n  end\nend\n",
     "i.py": "def broken(:\n",
 }
@@ -32,22 +35,22 @@ def _entities(spark: SparkSession) -> DataFrame:
 
 
 def _listed(spark: SparkSession, path: str) -> DataFrame:
-    return _entities(spark).where(F.col("path") == path).select("kind", "qualified_name", F.col("line").cast("int").alias("line"), F.array_join("calls", ",").alias("calls"))
+    return _entities(spark).where(F.col("path") == path).select("kind", "qualified_name", F.col("line").cast("int").alias("line"), *[F.array_join(c, ",").alias(c) for c in ("calls", "flags", "attributes")])
 
 
 _PARSED = {
-    "p02_python": ("a.py", "('import', 'os', 1, ''), ('import', '.util', 2, ''), ('class', 'A', 3, ''), ('function', 'A.__init__', 5, 'load'), ('function', 'A.make', 8, 'A'), ('function', '_go', 9, 'run'), ('import', 'json', 10, '')"),
-    "p03_javascript": ("b.js", "('import', './x', 1, ''), ('import', 'y', 2, ''), ('class', 'B', 3, ''), ('function', 'B.go', 4, 'run'), ('function', 'load', 8, 'fetchIt'), ('function', 'add', 9, '')"),
-    "p04_typescript": ("c.ts", "('class', 'Shape', 1, ''), ('class', 'Kind', 2, ''), ('function', 'area', 3, 'calc')"),
-    "p05_java": ("D.java", "('import', 'java.util.List', 1, ''), ('class', 'D', 2, ''), ('function', 'D.main', 3, 'run')"),
-    "p06_go": ("e.go", "('import', 'fmt', 2, ''), ('class', 'S', 3, ''), ('function', 'S.Name', 5, 'Sprint'), ('function', 'main', 6, 'run')"),
-    "p07_rust": ("f.rs", "('import', 'std::fs', 1, ''), ('class', 'P', 2, ''), ('function', 'P.new', 4, 'make'), ('function', 'main', 6, 'new')"),
-    "p08_cpp": ("g.cpp", "('import', 'vector', 1, ''), ('class', 'V', 2, ''), ('function', 'main', 4, 'run')"),
-    "p09_generic": ("h.rb", "('import', 'set', 1, ''), ('class', 'H', 2, ''), ('function', 'H.go', 3, '')"),
-    "p01_failed_parse": ("i.py", "('function', 'broken', 1, ''), ('error', 'syntax', 1, '')"),
+    "p02_python": ("a.py", "('module', 'a.py', 1, '', '', 'LIMIT'), ('import', 'os', 1, '', 'absolute', ''), ('import', '.util', 2, '', 'relative', ''), ('class', 'A', 3, '', '', 'kind,x'), ('function', 'A.__init__', 6, 'load', 'method,constructor,private', ''), ('function', 'A.make', 9, 'A', 'method,static', ''), ('function', '_go', 10, 'run', 'private,async', ''), ('import', 'json', 11, '', 'absolute,conditional', ''), ('class', 'B', 13, '', '', ''), ('function', 'B.make', 14, 'map', 'method', ''), ('function', 'lambda_line_14', 14, '', 'lambda', '')"),
+    "p03_javascript": ("b.js", "('import', './x', 1, '', 'relative', ''), ('import', 'y', 2, '', 'absolute', ''), ('class', 'B', 3, '', '', ''), ('function', 'B.go', 4, 'run', 'method', ''), ('class', 'D', 8, '', '', ''), ('function', 'D.go', 9, 'stop', 'method,static', ''), ('function', 'load', 11, 'fetchIt', 'async', ''), ('function', 'add', 12, '', '', '')"),
+    "p04_typescript": ("c.ts", "('class', 'Shape', 1, '', 'interface', ''), ('class', 'Kind', 2, '', 'enum', ''), ('class', 'P', 3, '', 'abstract', ''), ('function', 'P.size', 4, 'calc', 'method,private', ''), ('class', 'R', 6, '', '', ''), ('function', 'R.size', 7, '', 'method', ''), ('function', 'area', 9, 'calc', '', '')"),
+    "p05_java": ("D.java", "('import', 'java.util.List', 1, '', 'absolute', ''), ('class', 'D', 2, '', '', ''), ('function', 'D.main', 3, 'run', 'method,static', ''), ('function', 'D.run', 6, 'go', 'method', ''), ('class', 'F', 10, '', '', ''), ('function', 'F.run', 12, 'stop', 'method', '')"),
+    "p06_go": ("e.go", "('import', 'fmt', 2, '', 'absolute', ''), ('class', 'S', 3, '', '', ''), ('class', 'T', 5, '', '', ''), ('function', 'S.Name', 6, 'Sprint', 'method', ''), ('function', 'T.Name', 7, 'call', 'method', ''), ('function', 'main', 8, 'run', '', '')"),
+    "p07_rust": ("f.rs", "('import', 'std::fs', 1, '', 'absolute', ''), ('class', 'P', 2, '', '', ''), ('class', 'Q', 3, '', '', ''), ('function', 'P.new', 5, 'make', 'method', ''), ('function', 'Q.new', 8, 'other', 'method', ''), ('function', 'main', 10, 'new', '', '')"),
+    "p08_cpp": ("g.cpp", "('import', 'vector', 1, '', 'absolute', ''), ('class', 'V', 2, '', '', ''), ('function', 'V.size', 3, 'one', 'method', ''), ('class', 'U', 5, '', '', ''), ('function', 'U.size', 6, 'two', 'method', ''), ('function', 'V.run', 8, 'go', 'method', ''), ('function', 'main', 11, 'run', '', '')"),
+    "p09_generic": ("h.rb", "('import', 'set', 1, '', 'absolute', ''), ('class', 'H', 2, '', '', ''), ('function', 'H.go', 3, '', 'method', '')"),
+    "p01_failed_parse": ("i.py", "('function', 'broken', 1, '', '', ''), ('error', 'syntax', 1, '', '', '')"),
 }
 for _key, (_path, _rows) in _PARSED.items():
-    query(_key, f"SELECT * FROM (VALUES {_rows}) AS t(kind, qualified_name, line, calls)")(lambda spark, sf_dir, path=_path: _listed(spark, path))
+    query(_key, f"SELECT * FROM (VALUES {_rows}) AS t(kind, qualified_name, line, calls, flags, attributes)")(lambda spark, sf_dir, path=_path: _listed(spark, path))
 
 
 @query("p10_dispatch", "SELECT * FROM (VALUES ('a.py', 'Python'), ('b.jsx', 'JavaScript'), ('c.tsx', 'TypeScript'), ('d.hpp', 'C++'), ('e.unknown', 'generic')) AS t(path, parser)")
@@ -56,9 +59,19 @@ def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("path", F.coalesce(filters.language(F.col("path")), F.lit("generic")).alias("parser"))
 
 
-@query("p11_entity_tables", "SELECT * FROM (VALUES ('class', CAST(9 AS BIGINT)), ('error', 1), ('function', 15), ('import', 10)) AS t(kind, entities)")
+_SHA = " ".join(f"WHEN '{p}' THEN '{sha256(text.encode()).hexdigest()}'" for p, text in SOURCES.items())
+
+
+@query("p11_entity_tables", f"""SELECT *, CASE file_path {_SHA} END AS sha FROM (VALUES ('a.py', 'function', CAST(5 AS BIGINT)), ('a.py', 'class', 2), ('a.py', 'import', 3), ('b.js', 'function', 4), ('b.js', 'class', 2), ('b.js', 'import', 2), ('c.ts', 'function', 3), ('c.ts', 'class', 4),
+  ('D.java', 'function', 3), ('D.java', 'class', 2), ('D.java', 'import', 1), ('e.go', 'function', 3), ('e.go', 'class', 2), ('e.go', 'import', 1), ('f.rs', 'function', 3), ('f.rs', 'class', 2), ('f.rs', 'import', 1),
+  ('g.cpp', 'function', 4), ('g.cpp', 'class', 2), ('g.cpp', 'import', 1), ('h.rb', 'function', 1), ('h.rb', 'class', 1), ('h.rb', 'import', 1), ('i.py', 'function', 1), ('i.py', 'error', 1)) AS t(file_path, kind, entities)""")
 def p11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entities(spark).groupBy("kind").agg(F.count("*").alias("entities"))
+    """Rows of each file in the tables of functions, classes, imports and errors."""
+    entities, out = graph.cut(_entities(spark)), None
+    for kind, rows in (("function", parsing.functions_of(entities)), ("class", parsing.classes_of(entities)), ("import", parsing.imports_of(entities)), ("error", parsing.errors_of(entities))):
+        one = rows.groupBy("file_path", "sha").agg(F.count("*").alias("entities")).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("p01_documents")
@@ -169,7 +182,7 @@ def x23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_files").select("file_id", chunks.hashes(F.col("path"), F.col("content")).alias("h")).select("file_id", "h.*")
 
 
-@query("g01_nodes", "SELECT * FROM (VALUES ('a.py', 'a.py', CAST(3 AS BIGINT), CAST(1 AS BIGINT)), ('b.js', 'b.js', 3, 1), ('e.go', 'e.go', 2, 1), ('i.py', 'i.py', 1, 0)) AS t(path, label, functions, classes)")
+@query("g01_nodes", "SELECT * FROM (VALUES ('a.py', 'a.py', CAST(5 AS BIGINT), CAST(2 AS BIGINT)), ('b.js', 'b.js', 4, 2), ('e.go', 'e.go', 3, 2), ('i.py', 'i.py', 1, 0)) AS t(path, label, functions, classes)")
 def g01(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = _entities(spark)
     files = spark.createDataFrame([(p, SOURCES[p]) for p in ("a.py", "b.js", "e.go", "i.py")], "path string, content string")
