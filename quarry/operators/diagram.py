@@ -97,3 +97,25 @@ def total_progress(phase: Column, percent: Column) -> Column:
     return (
         F.when(phase == "parse", 30 + F.floor(percent * 0.25)).when(phase == "chunk", 55 + F.floor(percent * 0.25)).when(phase.isin("diagram", "story"), 80 + F.floor(percent * 0.2)).otherwise(F.floor(percent * 0.3))
     ).cast("long")
+
+
+def preview(nodes: DataFrame, edges: DataFrame, most: int = 20, chars: int = 20) -> DataFrame:
+    """preview: one chart of the nodes (id, name, layer) that most others call, a group for each layer, and the calls between them.
+
+    Groups come in order of their first node, nodes in order of calls and id; names longer than `chars` are cut."""
+    degree = edges.groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("n")).orderBy(F.desc("n"), "id").limit(most)
+    top = degree.join(nodes.select("id", "name", "layer"), "id")
+    first = F.min(F.struct(-F.col("n"), F.col("id"))).over(Window.partitionBy("layer"))
+    seat = F.row_number().over(Window.orderBy("first", "layer", F.desc("n"), "id"))
+    seated = top.withColumn("first", first).withColumn("seat", seat)  # at most `most` rows
+    last = F.element_at(F.split("name", r"\."), -1)
+    shown = F.when(F.length(last) > chars, F.concat(F.substring(last, 1, chars - 3), F.lit("..."))).otherwise(last)
+    line = F.format_string('    node%d["%s"]', F.col("seat"), shown)
+    groups = seated.withColumn("line", line).groupBy("layer").agg(F.min("seat").alias("seat"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seat", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    boxes = groups.select(F.lit(1).alias("part"), F.col("seat").alias("a"), F.lit(0).alias("b"), F.concat(F.format_string('  subgraph %s["%s Layer"]\n', F.col("layer"), F.upper("layer")), "lines", F.lit("\n  end")).alias("text"))
+    a, b = seated.select(F.col("id").alias("src"), F.col("seat").alias("a")), seated.select(F.col("id").alias("dst"), F.col("seat").alias("b"))
+    between = edges.select("src", "dst").distinct().join(F.broadcast(a), "src").join(F.broadcast(b), "dst")
+    arrows = between.select(F.lit(2).alias("part"), "a", "b", F.format_string("  node%d --> node%d", F.col("a"), F.col("b")).alias("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("part", "a", "b", "text")))
+    body = boxes.unionByName(arrows).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("body"))
+    return body.select(F.concat(F.lit("```mermaid\ngraph TD\n"), "body", F.lit("\n```\n")).alias("preview"))

@@ -153,9 +153,16 @@ def subgraph(edges: DataFrame, root: DataFrame, depth: int = 2) -> DataFrame:
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, and nodes that call nothing."""
+    """One row: nodes, edges, nodes that call nothing, and those that nothing calls."""
     quiet = nodes.select("id").join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti").agg(F.count("*").alias("leaves"))
-    return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(quiet)
+    unreached = nodes.select("id").join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(quiet).crossJoin(unreached.agg(F.count("*").alias("unreached")))
+
+
+def has_nodes(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """id, known, name of each asked id."""
+    own = nodes.select("id", "name", F.lit(True).alias("_known"))
+    return asked.join(own, "id", "left").select("id", F.coalesce("_known", F.lit(False)).alias("known"), "name")
 
 
 def edge_attributes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

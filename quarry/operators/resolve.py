@@ -19,8 +19,8 @@ def name_index(functions: DataFrame) -> DataFrame:
 
 
 def local_imports(imports: DataFrame, functions: DataFrame) -> DataFrame:
-    """file_path, key, target: imported items (file_path, items) that name exactly one function."""
-    items = imports.select("file_path", F.explode("items").alias("key")).distinct()
+    """file_path, key, target: items that local imports (file_path, items, origin) bring and that name exactly one function."""
+    items = imports.where("origin = 'local'").select("file_path", F.explode("items").alias("key")).where("key <> '*'").distinct()
     return items.join(name_index(functions).where("n = 1"), "key").select("file_path", "key", "target")
 
 
@@ -60,7 +60,7 @@ def import_origin(imports: DataFrame, paths: DataFrame) -> DataFrame:
     root, local = F.col("root"), F.coalesce("known", F.lit(False))
     kind = (
         F.when(module.startswith("."), "local")
-        .when((language == "Python") & root.isin(config.python_modules()), "stdlib")
+        .when((language == "Python") & root.isin(config.PYTHON_MODULES), "stdlib")
         .when(language.isin("JavaScript", "TypeScript") & root.isin(config.NODE_MODULES), "stdlib")
         .when(local, "local").when(module.startswith("@"), "third_party")
         .when((language == "Java") & (root == "com"), "local").when((language == "Java") & root.isin("java", "javax", "sun", "org", "io", "net"), "third_party")
@@ -74,8 +74,7 @@ def import_origin(imports: DataFrame, paths: DataFrame) -> DataFrame:
 def external_dependencies(imports: DataFrame) -> DataFrame:
     """dependency, files: first segments of third-party modules."""
     third = imports.where("origin = 'third_party'")
-    name = F.when(F.col("module").startswith("@"), F.col("module")).otherwise(F.get(F.split("module", r"\.|/"), 0))
-    return third.groupBy(name.alias("dependency")).agg(F.countDistinct("file_path").alias("files"))
+    return third.groupBy(F.get(F.split("module", r"\.|/"), 0).alias("dependency")).agg(F.countDistinct("file_path").alias("files"))
 
 
 def import_files(imports: DataFrame, paths: DataFrame) -> DataFrame:
@@ -115,15 +114,24 @@ def used_imports(content: Column, modules: Column) -> Column:
     return F.filter(modules, lambda m: F.contains(F.lower(content), F.lower(F.element_at(F.split(m, r"\."), -1))))
 
 
-def enriched(chunks: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
-    """chunks (id) with calls and called_by, at most so many each, in order of id."""
-    def listed(key: str, value: str, name: str) -> DataFrame:
-        ranked = edges.select(F.col(key).alias("id"), F.col(value).alias("x")).distinct().withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("x"))).where(F.col("n") <= most)
-        return ranked.groupBy("id").agg(F.array_sort(F.collect_list("x")).alias(name))
-
-    empty = F.array().cast("array<long>")
-    out = chunks.join(listed("src", "dst", "calls"), "id", "left").join(listed("dst", "src", "called_by"), "id", "left")
-    return out.withColumns({c: F.coalesce(c, empty) for c in ("calls", "called_by")})
+def enriched(chunks: DataFrame, edges: DataFrame, file_edges: DataFrame, entries: DataFrame, most: int = 20) -> DataFrame:
+    """chunks (id, file, chunk_type) with calls (of functions and methods) and called_by, at most so many each in order of id; depends_on and depended_by, the files that theirs imports and
+    is imported by (from_file, to_file); is_entry, whether their file or name is an entry point (entry)."""
+    def listed(rows: DataFrame, key: str, value: str, on: str, name: str, limit: int | None = None) -> DataFrame:
+        pairs = rows.select(F.col(key).alias(on), F.col(value).alias("x")).distinct()
+        if limit:
+            pairs = pairs.withColumn("n", F.row_number().over(Window.partitionBy(on).orderBy("x"))).where(F.col("n") <= limit)
+        return pairs.groupBy(on).agg(F.array_sort(F.collect_list("x")).alias(name))
+
+    code = chunks.where(F.col("chunk_type").isin("function", "method")).select("id")
+    calls = listed(edges.join(code, edges["src"] == code["id"], "left_semi"), "src", "dst", "id", "calls", most)
+    out = chunks.join(calls, "id", "left").join(listed(edges, "dst", "src", "id", "called_by", most), "id", "left")
+    out = out.join(listed(file_edges, "from_file", "to_file", "file", "depends_on"), "file", "left").join(listed(file_edges, "to_file", "from_file", "file", "depended_by"), "file", "left")
+    known = entries.select(F.col("entry").alias("_entry")).distinct()
+    by_file, by_name = known.select(F.col("_entry").alias("file"), F.lit(True).alias("_f")), known.select(F.col("_entry").alias("name"), F.lit(True).alias("_n"))
+    out = out.join(by_file, "file", "left").join(by_name, "name", "left").withColumn("is_entry", F.coalesce("_f", "_n", F.lit(False))).drop("_f", "_n")
+    kinds = dict(out.dtypes)
+    return out.withColumns({c: F.coalesce(c, F.array().cast(kinds[c])) for c in ("calls", "called_by", "depends_on", "depended_by")})
 
 
 def module_matches(imports: DataFrame, paths: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import config
-from quarry.operators.filters import file_name, parts
+from quarry.operators.filters import extension, file_name, language, parts
 
 
 def any_of(text: Column, words: list[str]) -> Column:
@@ -146,6 +146,8 @@ def patterns(paths: DataFrame, imports: DataFrame, functions: DataFrame, decorat
 
     Each table becomes one row of flags and counts; no text of all paths is made."""
     path, module, name = F.lower("path"), F.lower("module"), F.lower("name")
+    functions = functions.select(name.alias("name")).distinct()  # a name counts once, whatever its case
+    name = F.col("name")
     has = lambda column, *words: F.coalesce(F.bool_or(any_of(column, list(words))), F.lit(False)).cast("int")
     count = lambda column, *words: F.count_if(any_of(column, list(words)))
     # Each detector's words and points.
@@ -187,3 +189,12 @@ def patterns(paths: DataFrame, imports: DataFrame, functions: DataFrame, decorat
     }
     listed = F.array(*[F.struct(F.lit(n).alias("pattern"), F.round(F.least(score.cast("double") / most, F.lit(1.0)), 6).alias("confidence")) for n, (score, most) in scores.items()])
     return row.select(F.explode(listed).alias("x")).select("x.*").where(F.col("confidence") >= least)
+
+
+def parse_manifest(files: DataFrame, entries: DataFrame, found: DataFrame, least: float = 0.4) -> DataFrame:
+    """One row: files, parsed, failed, extensions, the entry points of high confidence and the patterns of `least` or more."""
+    known = language(F.col("path")).isNotNull()
+    counts = files.agg(F.count("*").alias("files"), F.count_if(known).alias("parsed"), F.count_if(~known).alias("failed"), F.countDistinct(extension(F.col("path"))).alias("extensions"))
+    listed = lambda rows, column, name: rows.agg(F.array_sort(F.collect_list(column)).alias(name))
+    high = listed(entries.where("confidence = 'high'"), "path", "entry_points")
+    return counts.crossJoin(high).crossJoin(listed(found.where(F.col("confidence") >= least), "pattern", "patterns"))

@@ -78,8 +78,8 @@ def hotspots(nodes: DataFrame, n: int = 5) -> DataFrame:
 
 
 def layer_groups(nodes: DataFrame) -> DataFrame:
-    """Each layer's number of nodes, and its first and last names."""
-    return nodes.groupBy("layer").agg(F.count("*").alias("nodes"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
+    """layer, nodes (how many), names (in order) of the nodes that a traversal kept."""
+    return nodes.groupBy("layer").agg(F.count("*").alias("nodes"), F.array_sort(F.collect_list("name")).alias("names"))
 
 
 def matching_directories(files: DataFrame, names: list[str]) -> DataFrame:

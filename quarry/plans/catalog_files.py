@@ -257,9 +257,9 @@ def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.hotspots(view(spark, sf_dir, "v_nodes"))
 
 
-@query("a14_layer_groups", f"{EDGES} SELECT layer, count(*) AS nodes, min(name) AS first_name, max(name) AS last_name FROM v_nodes GROUP BY layer")
+@query("a14_layer_groups", f"{EDGES} SELECT layer, count(*) AS nodes, string_agg(name, chr(10) ORDER BY name) AS names FROM v_nodes GROUP BY layer")
 def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.layer_groups(view(spark, sf_dir, "v_nodes"))
+    return stats.layer_groups(view(spark, sf_dir, "v_nodes")).withColumn("names", F.array_join("names", "\n"))
 
 
 @query("a16_sources", f"{FILES} SELECT repo, count(DISTINCT path) AS files, min(path) AS first_path FROM v_files GROUP BY repo")

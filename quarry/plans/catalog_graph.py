@@ -88,9 +88,24 @@ def r09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.subgraph(edges, stats.top_in_degree(edges, 1), 2)
 
 
-@query("r10_summary", f"{EDGES} SELECT (SELECT count(*) FROM v_nodes) AS nodes, (SELECT count(*) FROM v_edges) AS edges, (SELECT count(*) FROM v_nodes WHERE id NOT IN (SELECT src FROM v_edges)) AS leaves")
+# some parts that no edge leads to
+_MORE = "nn AS (SELECT id FROM v_nodes UNION ALL SELECT -id - 1 FROM v_nodes WHERE id % 10 = 0)"
+
+
+def _with_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(spark, sf_dir)
+    return nodes.unionByName(nodes.where("id % 10 = 0").withColumn("id", -F.col("id") - 1))
+
+
+@query("r10_summary", f"{EDGES}, {_MORE} SELECT (SELECT count(*) FROM nn) AS nodes, (SELECT count(*) FROM v_edges) AS edges, (SELECT count(*) FROM nn WHERE id NOT IN (SELECT src FROM v_edges)) AS leaves, (SELECT count(*) FROM nn WHERE id NOT IN (SELECT dst FROM v_edges)) AS unreached")
 def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.summary(_nodes(spark, sf_dir), view(spark, sf_dir, "v_edges"))
+    return graph.summary(_with_more(spark, sf_dir), view(spark, sf_dir, "v_edges"))
+
+
+@query("r10_has_node", f"{EDGES} SELECT p_partkey + p_partkey % 3 * 100000 AS id, p_partkey % 3 = 0 AS known, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS name FROM part")
+def r10_has_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(spark, sf_dir)
+    return graph.has_nodes(nodes, nodes.select((F.col("id") + F.col("id") % 3 * 100_000).alias("id")))
 
 
 @query("r11_edge_attributes", f"{EDGES} SELECT src, dst, a.file <> b.file AS cross_file, a.layer <> b.layer AS cross_layer FROM v_edges JOIN v_nodes a ON src = a.id JOIN v_nodes b ON dst = b.id")
@@ -148,9 +163,9 @@ def u03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.where("complexity > 40").select("id", F.lit("primary").alias("role")).unionByName(nodes.where("complexity <= 2").select("id", F.lit("expanded").alias("role")))
 
 
-@query("u04_not_imported", f"{EDGES} SELECT id FROM v_nodes EXCEPT SELECT dst FROM v_edges")
+@query("u04_not_imported", f"{EDGES}, {_MORE} SELECT id FROM nn EXCEPT SELECT dst FROM v_edges")
 def u04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.orphans(_nodes(spark, sf_dir), view(spark, sf_dir, "v_edges"))
+    return stats.orphans(_with_more(spark, sf_dir), view(spark, sf_dir, "v_edges"))
 
 
 @query("u05_required_keys", f"SELECT event_id, len(list_filter([{quoted(['k', 'v'])}], lambda x: NOT list_contains(json_keys(props), x))) = 0 AS complete FROM events")

@@ -255,10 +255,15 @@ def g11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_files").select("file_id", filters.file_name(path).alias("label"), diagram.short_name(F.replace(path, F.lit("/"), F.lit("."))).alias("short"))
 
 
-@query("t10_preview", f"{EDGES}, d AS (SELECT dst AS id, count(DISTINCT src) AS n FROM v_edges GROUP BY dst ORDER BY n DESC, dst LIMIT 20) SELECT layer, count(*) AS nodes, min(name) AS first_name, max(name) AS last_name FROM d JOIN v_nodes USING (id) GROUP BY layer")
+@query("t10_preview", f"""{EDGES}, d AS (SELECT dst AS id, count(DISTINCT src) AS n FROM v_edges GROUP BY dst ORDER BY n DESC, dst LIMIT 20),
+  t AS (SELECT id, n, layer, CASE WHEN length(list_last(string_split(name, '.'))) > 20 THEN left(list_last(string_split(name, '.')), 17) || '...' ELSE list_last(string_split(name, '.')) END AS shown FROM d JOIN v_nodes USING (id)),
+  o AS (SELECT *, row_number() OVER (ORDER BY n DESC, id) AS place FROM t), f AS (SELECT layer, min(place) AS first FROM o GROUP BY layer),
+  s AS (SELECT o.*, row_number() OVER (ORDER BY first, place) AS seat, first FROM o JOIN f USING (layer)),
+  g AS (SELECT layer, first, '  subgraph ' || layer || '["' || upper(layer) || ' Layer"]' || chr(10) || string_agg('    node' || seat || '["' || shown || '"]', chr(10) ORDER BY seat) || chr(10) || '  end' AS line FROM s GROUP BY layer, first),
+  e AS (SELECT a.seat AS a, b.seat AS b FROM (SELECT DISTINCT src, dst FROM v_edges) x JOIN s a ON x.src = a.id JOIN s b ON x.dst = b.id)
+  SELECT '```mermaid' || chr(10) || 'graph TD' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY first) FROM g) || coalesce(chr(10) || (SELECT string_agg('  node' || a || ' --> node' || b, chr(10) ORDER BY a, b) FROM e), '') || chr(10) || '```' || chr(10) AS preview""")
 def t10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = stats.top_in_degree(view(spark, sf_dir, "v_edges"), 20)
-    return stats.layer_groups(view(spark, sf_dir, "v_nodes").join(top.select("id"), "id", "left_semi"))
+    return diagram.preview(view(spark, sf_dir, "v_nodes"), graph.cut(view(spark, sf_dir, "v_edges")))
 
 
 @query("c13_story_context", f"{FILES} SELECT repo, count(*) AS files, max(size_bytes) AS largest, min(path) AS first_path FROM v_files GROUP BY repo")

@@ -19,7 +19,8 @@ def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "m_imports").withColumn("items", F.filter(F.split("items", ","), lambda x: x != ""))
+    listed = view(spark, sf_dir, "m_imports").withColumn("items", F.filter(F.split("items", ","), lambda x: x != ""))
+    return resolve.import_origin(listed, view(spark, sf_dir, "m_paths"))
 
 
 @query("j01_resolved_calls", """SELECT * FROM (VALUES ('main', 'main.py', 'load', 'load'), ('main', 'main.py', 'process', NULL), ('main', 'main.py', 'helper', 'helper'), ('UserService.process', 'services/user.py', 'find', 'UserRepo.find'),
@@ -34,39 +35,52 @@ def j02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ORIGINS = """o AS (SELECT * FROM (VALUES ('main.py', './utils', 'local'), ('main.py', 'requests', 'third_party'), ('main.py', 'os.path', 'stdlib'), ('main.py', 'services.user', 'local'), ('services/user.py', '..repo/store', 'local'),
-  ('services/order.py', 'store', 'local'), ('web/a.js', './b', 'local'), ('web/b.js', './a', 'local'), ('web/a.js', '@scope/kit', 'third_party'), ('web/a.js', 'fs', 'stdlib'), ('cmd/x.go', 'fmt', 'stdlib'),
+  ('services/order.py', 'store', 'local'), ('services/order.py', 'requests', 'third_party'), ('web/a.js', './b', 'local'), ('web/b.js', './a', 'local'), ('web/a.js', '@scope/kit', 'third_party'), ('web/a.js', 'fs', 'stdlib'), ('cmd/x.go', 'fmt', 'stdlib'),
   ('cmd/x.go', 'github.com/a/b', 'third_party'), ('lib.rs', 'crate::m', 'local'), ('App.java', 'com.acme.Tool', 'local')) AS t(file_path, module, origin))"""
 
 
 @query("j05_import_origin", f"WITH {_ORIGINS} SELECT * FROM o")
 def j05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.import_origin(_imports(spark, sf_dir), view(spark, sf_dir, "m_paths")).select("file_path", "module", "origin")
+    return _imports(spark, sf_dir).select("file_path", "module", "origin")
 
 
-@query("j04_external_dependencies", "SELECT * FROM (VALUES ('requests', CAST(1 AS BIGINT)), ('@scope/kit', 1), ('github', 1)) AS t(dependency, files)")
+@query("j04_external_dependencies", "SELECT * FROM (VALUES ('requests', CAST(2 AS BIGINT)), ('@scope', 1), ('github', 1)) AS t(dependency, files)")
 def j04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.external_dependencies(resolve.import_origin(_imports(spark, sf_dir), view(spark, sf_dir, "m_paths")))
+    return resolve.external_dependencies(_imports(spark, sf_dir))
 
 
 @query("j03_import_files", """SELECT * FROM (VALUES ('main.py', './utils', 'utils.py'), ('main.py', 'services.user', 'services/user.py'), ('services/user.py', '..repo/store', 'repo/store.py'), ('services/order.py', 'store', 'repo/store.py'),
   ('web/a.js', './b', 'web/b.js'), ('web/b.js', './a', 'web/a.js'), ('lib.rs', 'crate::m', NULL), ('App.java', 'com.acme.Tool', NULL)) AS t(file_path, module, target)""")
 def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = view(spark, sf_dir, "m_paths")
-    return resolve.import_files(resolve.import_origin(_imports(spark, sf_dir), paths).where("origin = 'local'"), paths)
+    return resolve.import_files(_imports(spark, sf_dir).where("origin = 'local'"), paths)
 
 
-@query("j06_enriched_chunks", f"{EDGES}, c AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS n, row_number() OVER (PARTITION BY dst ORDER BY src) AS m FROM v_edges) SELECT id, (SELECT count(*) FROM c WHERE src = id AND n <= 20) AS calls, (SELECT count(*) FROM c WHERE dst = id AND m <= 20) AS called_by, coalesce((SELECT max(dst) FROM c WHERE src = id AND n <= 20), -1) AS last_call FROM v_nodes")
+@query("j06_enriched_chunks", f"""{EDGES}, t AS (SELECT id, name, file, CASE id % 4 WHEN 0 THEN 'class_summary' WHEN 1 THEN 'method' ELSE 'function' END AS chunk_type FROM v_nodes),
+  c AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS n, row_number() OVER (PARTITION BY dst ORDER BY src) AS m FROM v_edges),
+  o AS (SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS calls FROM c WHERE n <= 20 GROUP BY src), i AS (SELECT dst AS id, string_agg(src, ',' ORDER BY src) AS called_by FROM c WHERE m <= 20 GROUP BY dst),
+  fe AS (SELECT DISTINCT a.file AS f, b.file AS g FROM v_edges JOIN v_nodes a ON src = a.id JOIN v_nodes b ON dst = b.id WHERE a.file <> b.file),
+  d AS (SELECT f AS file, string_agg(g, ',' ORDER BY g) AS depends_on FROM fe GROUP BY f), e AS (SELECT g AS file, string_agg(f, ',' ORDER BY f) AS depended_by FROM fe GROUP BY g)
+  SELECT id, CASE WHEN chunk_type = 'class_summary' THEN '' ELSE coalesce(calls, '') END AS calls, coalesce(called_by, '') AS called_by, coalesce(depends_on, '') AS depends_on, coalesce(depended_by, '') AS depended_by,
+         file = (SELECT min(file) FROM v_nodes) OR name = (SELECT max(name) FROM v_nodes) AS is_entry
+  FROM t LEFT JOIN o USING (id) LEFT JOIN i USING (id) LEFT JOIN d USING (file) LEFT JOIN e USING (file)""")
 def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rich = resolve.enriched(view(spark, sf_dir, "v_nodes").select("id"), view(spark, sf_dir, "v_edges"))
-    return rich.select("id", F.size("calls").cast("long").alias("calls"), F.size("called_by").cast("long").alias("called_by"), F.coalesce(F.array_max("calls"), F.lit(-1)).alias("last_call"))
+    nodes, edges = view(spark, sf_dir, "v_nodes"), graph.cut(view(spark, sf_dir, "v_edges"))
+    kind = F.when(F.col("id") % 4 == 0, "class_summary").when(F.col("id") % 4 == 1, "method").otherwise("function")
+    entries = nodes.agg(F.array(F.min("file"), F.max("name")).alias("x")).select(F.explode("x").alias("entry"))
+    rich = resolve.enriched(nodes.select("id", "name", "file", kind.alias("chunk_type")), edges, graph.file_edges(nodes, edges), entries)
+    return rich.select("id", *[F.array_join(c, ",").alias(c) for c in ("calls", "called_by", "depends_on", "depended_by")], "is_entry")
 
 
-_TAGS = " UNION ALL ".join("SELECT file_id, '" + name + "' AS pattern FROM v_files WHERE " + " OR ".join(f"contains(lower(path), '{s}')" for s in signals) for name, signals in config.PATTERN_SIGNALS.items())
+_PATHS = ["app/models/user.py", "app/views/user.py", "controllers/home.py", "services/api/routes.py", "docker-compose.yml", "cli/run.py", "web/pages/a.tsx", "a/__init__.py", "x/main.py", "y/main.go", "events/listeners.py"]
+_LITERAL = ", ".join(f"({-n}, '{p}')" for n, p in enumerate(_PATHS, 1))
+_TAGS = " UNION ALL ".join("SELECT file_id, '" + name + "' AS pattern FROM fs WHERE " + " OR ".join(f"contains(lower(path), '{s}')" for s in signals) for name, signals in config.PATTERN_SIGNALS.items())
 
 
-@query("j07_pattern_tags", f"{FILES} {_TAGS}")
+@query("j07_pattern_tags", f"{FILES}, fs AS (SELECT file_id, path FROM v_files UNION ALL SELECT * FROM (VALUES {_LITERAL}) AS t(file_id, path)) {_TAGS}")
 def j07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.pattern_tags(view(spark, sf_dir, "v_files"))
+    literal = spark.createDataFrame([(-n, p) for n, p in enumerate(_PATHS, 1)], "file_id long, path string")
+    return resolve.pattern_tags(view(spark, sf_dir, "v_files").select("file_id", "path").unionByName(literal))
 
 
 @query("j08_used_imports", "SELECT * FROM (VALUES (1, 'os.path'), (2, '')) AS t(n, used)")
@@ -88,32 +102,23 @@ def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r08_import_cycles", "SELECT * FROM (VALUES ('web/a.js', 'web/b.js')) AS t(a, b)")
 def r08_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = view(spark, sf_dir, "m_paths")
-    edges = resolve.import_files(resolve.import_origin(_imports(spark, sf_dir), paths).where("origin = 'local'"), paths).where("target is not null")
+    edges = resolve.import_files(_imports(spark, sf_dir).where("origin = 'local'"), paths).where("target is not null")
     return graph.mutual(edges.select(F.col("file_path").alias("src"), F.col("target").alias("dst")))
 
 
-@query("k01_entry_points", """SELECT * FROM (VALUES ('main.py', 13, 'high', 'main_block,high_name,parser_flag,imports_only,main_function,root_level'), ('src/app.py', 4, 'medium', 'medium_name,web'), ('src/tool.js', 3, 'medium', 'cli,no_exports'), ('lib/util.ts', 1, 'low', 'no_exports'), ('A/Main.java', 6, 'high', 'high_name,java_main')) AS t(path, score, confidence, signals)""")
-def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [
-        ("main.py", "Python", "x", True, False, True, False, True, 1, False), ("src/app.py", "Python", "app = Flask(__name__)", False, False, False, True, True, 0, False), ("src/tool.js", "JavaScript", "process.argv", False, False, False, True, False, 0, False),
-        ("lib/util.ts", "TypeScript", "x", False, False, False, True, False, 0, False), ("A/Main.java", "Java", "x", False, True, False, True, False, 1, True), ("a/b.go", "Go", "x", False, False, False, True, False, 0, False),
-    ]
-    made = spark.createDataFrame(rows, "path string, language string, body string, has_main_block boolean, has_exports boolean, flagged boolean, imported boolean, imports_others boolean, main_functions int, static_main boolean")
-    return rules.entry_points(made)
-
-
 def _patterns(spark: SparkSession) -> DataFrame:
-    paths = spark.createDataFrame([(p,) for p in ("app/models/user.py", "app/views/user.py", "controllers/home.py", "services/api/routes.py", "docker-compose.yml", "cli/run.py", "web/pages/a.tsx", "a/__init__.py", "x/main.py", "y/main.go")], "path string")
+    """The literal repository's patterns; its functions' names repeat, which must not count."""
+    paths = spark.createDataFrame([(p,) for p in _PATHS], "path string")
     imports = spark.createDataFrame([("services/api/routes.py", "fastapi"), ("services/api/routes.py", "repository.user"), ("cli/run.py", "click"), ("web/pages/a.tsx", "react"), ("x/main.py", "requests")], "file_path string, module string")
-    functions = spark.createDataFrame([("handle_event",), ("user_service",), ("repo_get",), ("register_hook",)], "name string")
+    functions = spark.createDataFrame([("handle_event",), ("user_service",), ("repo_get",), ("register_hook",), ("HANDLE_EVENT",), *[("Register_Hook",)] * 30], "name string")
     return rules.patterns(paths, imports, functions, spark.createDataFrame([("app.get('/x')",), ("router.post",)], "decorator string"))
 
 
 for _key, _name, _score in (
-    ("k02_mvc", "MVC", "1.0"), ("k03_layered", "Layered Architecture", "round(5.5 / 7, 6)"), ("k04_rest_api", "REST API", "round(4.4 / 6, 6)"), ("k05_event_driven", "Event-driven", None), ("k06_microservices", "Microservices", "round(6.0 / 7, 6)"),
+    ("k02_mvc", "MVC", "1.0"), ("k03_layered", "Layered Architecture", "round(5.5 / 7, 6)"), ("k04_rest_api", "REST API", "round(4.4 / 6, 6)"), ("k05_event_driven", "Event-driven", "round((3.0 + 1.0 / 3) / 6, 6)"), ("k06_microservices", "Microservices", "round(6.0 / 7, 6)"),
     ("k07_cli", "CLI Application", "0.8"), ("k08_plugin", "Plugin/Extension", "0.25"), ("k09_frontend", "Frontend Component", "1.0"), ("k10_library", "Library/Utility", "0.4"),
 ):
-    query(_key, f"SELECT '{_name}' AS pattern, CAST({_score or 0} AS DOUBLE) AS confidence" + ("" if _score else " WHERE false"))(lambda spark, sf_dir, name=_name: _patterns(spark).where(F.col("pattern") == name))
+    query(_key, f"SELECT '{_name}' AS pattern, CAST({_score} AS DOUBLE) AS confidence")(lambda spark, sf_dir, name=_name: _patterns(spark).where(F.col("pattern") == name))
 
 
 _LAYER = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(p, '{s}') OR contains(n, '{s}')" for s in signals) + f" THEN '{name}'" for name, signals in config.LAYERS.items()) + " WHEN contains(p, 'test') OR contains(p, 'spec') THEN 'test' WHEN contains(p, '__init__') THEN 'module_init' WHEN starts_with(list_last(string_split(name, '.')), '_') THEN 'utility' ELSE 'unknown' END"
@@ -189,8 +194,21 @@ def x22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_files").select("file_id", rules.complexity(plain, filters.language(F.col("path"))).alias("complexity"))
 
 
-@query("a10_parse_manifest", f"{FILES} SELECT count(*) AS files, count(*) FILTER (WHERE ({_LANG}) IS NOT NULL) AS parsed, count(*) FILTER (WHERE ({_LANG}) IS NULL) AS failed, count(DISTINCT {_EXT}) AS extensions FROM v_files")
+def _entries(spark: SparkSession) -> DataFrame:
+    rows = [
+        ("main.py", "Python", "x", True, False, True, False, True, 1, False), ("src/app.py", "Python", "app = Flask(__name__)", False, False, False, True, True, 0, False), ("src/tool.js", "JavaScript", "process.argv", False, False, False, True, False, 0, False),
+        ("lib/util.ts", "TypeScript", "x", False, False, False, True, False, 0, False), ("A/Main.java", "Java", "x", False, True, False, True, False, 1, True), ("a/b.go", "Go", "x", False, False, False, True, False, 0, False),
+    ]
+    made = spark.createDataFrame(rows, "path string, language string, body string, has_main_block boolean, has_exports boolean, flagged boolean, imported boolean, imports_others boolean, main_functions int, static_main boolean")
+    return rules.entry_points(made)
+
+
+@query("k01_entry_points", """SELECT * FROM (VALUES ('main.py', 13, 'high', 'main_block,high_name,parser_flag,imports_only,main_function,root_level'), ('src/app.py', 4, 'medium', 'medium_name,web'), ('src/tool.js', 3, 'medium', 'cli,no_exports'), ('lib/util.ts', 1, 'low', 'no_exports'), ('A/Main.java', 6, 'high', 'high_name,java_main')) AS t(path, score, confidence, signals)""")
+def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(spark)
+
+
+@query("a10_parse_manifest", f"{FILES} SELECT count(*) AS files, count(*) FILTER (WHERE ({_LANG}) IS NOT NULL) AS parsed, count(*) FILTER (WHERE ({_LANG}) IS NULL) AS failed, count(DISTINCT {_EXT}) AS extensions, 'A/Main.java,main.py' AS entry_points, 'CLI Application,Event-driven,Frontend Component,Layered Architecture,Library/Utility,MVC,Microservices,REST API' AS patterns FROM v_files")
 def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.col("path")
-    known = filters.language(path).isNotNull()
-    return view(spark, sf_dir, "v_files").agg(F.count("*").alias("files"), F.count_if(known).alias("parsed"), F.count_if(~known).alias("failed"), F.countDistinct(filters.extension(path)).alias("extensions"))
+    manifest = rules.parse_manifest(view(spark, sf_dir, "v_files"), _entries(spark), _patterns(spark))
+    return manifest.withColumns({c: F.array_join(c, ",") for c in ("entry_points", "patterns")})

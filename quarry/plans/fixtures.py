@@ -57,6 +57,7 @@ VIEWS = {
           ('main.py', 'services.user', 'Python', ''),
           ('services/user.py', '..repo/store', 'Python', 'find'),
           ('services/order.py', 'store', 'Python', ''),
+          ('services/order.py', 'requests', 'Python', 'helper'),
           ('web/a.js', './b', 'JavaScript', ''),
           ('web/b.js', './a', 'JavaScript', ''),
           ('web/a.js', '@scope/kit', 'JavaScript', ''),
