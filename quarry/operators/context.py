@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry import config
 from quarry.operators.filters import file_name, tokens
 from quarry.operators.folds import greedy_fill
+from quarry.operators.shared import cut
 
 
 def prioritised(rows: DataFrame) -> DataFrame:
@@ -150,8 +151,6 @@ def resolved_question(question: Column, entity: Column) -> Column:
 
 def placed(rows: DataFrame, key: str, time: str) -> DataFrame:
     """rows with `place` over all of them, latest first, then by key; rows are ranked inside ranges of time, and only one count for each range goes through one task."""
-    from quarry.operators.graph import cut
-
     dealt = rows.repartitionByRange(F.desc(time), key).withColumn("_range", F.spark_partition_id())
     dealt = cut(dealt)
     before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -6,21 +6,11 @@ folder, so plans stay short and survive lost executors. Work is that of the edge
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import config
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the session's checkpoint folder (one of our own where none is set)."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        place = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.sparkContext.setCheckpointDir(place)
-    return df.checkpoint()
+from quarry.operators.shared import cut
 
 
 def levels(edges: DataFrame, sources: DataFrame, keys: list[str], max_depth: int | None = None) -> DataFrame:

@@ -1,15 +1,49 @@
 """Hybrid retrieval: BM25, cosine neighbours, merging, fusion, ranking (x11-x16, x24, j09-j11, t01-t05).
 
-Postings are keyed by term and joined with the questions' terms, so the work is that of the postings met. Vectors of a
-stated query set are compared with all rows in blocks of queries: queries are few by statement and are sent to the rows.
+Questions and stated query vectors are written to the shared folder in blocks; a task reads a block and holds the k best rows of each of its queries while the rows
+stream by. So rows are read once a block, whatever they share with a question, and what is shuffled is k rows for each query and task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import config
+from quarry.operators.shared import cut, in_blocks, read_block
+
+#: Queries of a block, and rows that are scored together.
+BLOCK, SLICE = 2048, 1024
+
+
+class Best:
+    """The k best (score, id) of each of n queries; ties: the lesser id."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.n, self.k = n, k
+        self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: (queries, rows)."""
+        last, last_id = self.score[:, -1:], self.id[:, -1:]
+        query, row = np.nonzero((scores > last) | ((scores == last) & (ids < last_id)))
+        if not len(query):
+            return
+        of = np.concatenate([np.repeat(np.arange(self.n), self.k), query])
+        score, ids = np.concatenate([self.score.ravel(), scores[query, row]]), np.concatenate([self.id.ravel(), ids[row]])
+        order = np.lexsort((ids, -score, of))
+        first = np.searchsorted(of[order], np.arange(self.n))
+        taken = order[first[:, None] + np.arange(self.k)]
+        self.score, self.id = score[taken], ids[taken]
+
+    def rows(self, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kept = np.isfinite(self.score)
+        columns = [pa.array(np.repeat(names, self.k).reshape(kept.shape)[kept], pa.int64()), pa.array(self.id[kept], pa.int64()), pa.array(self.score[kept])]
+        yield pa.RecordBatch.from_arrays(columns, ["query", "id", "score"])
 
 
 def terms(text: Column) -> Column:
@@ -17,36 +51,70 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """id, term, tf of docs (id, text)."""
-    return docs.select("id", F.explode(terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-
-
 def lengths(docs: DataFrame) -> DataFrame:
     """id, n: words of each document."""
     return docs.select("id", F.size(terms(F.col("text"))).cast("long").alias("n"))
 
 
-def idf(posted: DataFrame, sizes: DataFrame) -> DataFrame:
-    """term, idf: ln(N - df + .5) - ln(df + .5); negative ones become epsilon times the mean over all terms."""
-    total = sizes.agg(F.count("*").alias("docs"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
-    raw = df.select("term", (F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+def idf(docs: DataFrame) -> DataFrame:
+    """term, idf of docs (id, text): ln(N - df + .5) - ln(df + .5); negative ones become epsilon times the mean over all terms."""
+    seen = docs.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    total = docs.agg(F.count("*").alias("docs"))
+    raw = cut(seen.crossJoin(F.broadcast(total)).select("term", (F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
     mean = raw.agg((F.avg("raw") * config.BM25_EPSILON).alias("floor"))
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(docs: DataFrame, questions: DataFrame) -> DataFrame:
-    """query, id, score of questions (query, text) against docs (id, text); repeated words count repeatedly; pairs without a common word are left out."""
-    posted, sizes = postings(docs), lengths(docs)
-    mean = sizes.agg(F.avg("n").alias("mean"))
-    asked = questions.select("query", F.explode(terms(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    # the mean of idf is over all terms, but only the questions' terms are weighed further
-    weights = asked.join(idf(posted, sizes), "term")
-    met = weights.join(posted, "term").join(sizes, "id").crossJoin(F.broadcast(mean))
+def _scored(uri: str, k: int, mean: float):
     k1, b = config.BM25_K1, config.BM25_B
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    return met.groupBy("query", "id").agg(F.round(F.sum(part), 6).alias("score"))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        block = read_block(uri)
+        if block is None:
+            return
+        names, of = np.unique(np.asarray(block["query"]), return_inverse=True)
+        coded = block["term"].combine_chunks().dictionary_encode()
+        vocabulary, term, weight = coded.dictionary, np.asarray(coded.indices.fill_null(-1)), np.asarray(block["weight"])
+        order = np.argsort(term, kind="stable")
+        edges = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+        asks = [(of[order[x:y]], weight[order[x:y]]) for x, y in zip(edges, edges[1:], strict=False)]  # of each term
+        best = Best(len(names), k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids, listed = np.asarray(part.column(0)), part.column(1)
+                n = np.asarray(pc.list_value_length(listed).fill_null(0)).astype(np.int64)
+                codes = np.asarray(pc.index_in(listed.flatten(), vocabulary).fill_null(-1)).astype(np.int64)
+                doc = np.repeat(np.arange(len(n)), n)
+                met = codes >= 0
+                pair, tf = np.unique(codes[met] * len(n) + doc[met], return_counts=True)
+                doc = pair % len(n)
+                value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[doc] / mean))
+                scores = np.zeros((len(names), len(n)))
+                found, first = np.unique(pair // len(n), return_index=True)
+                for code, x, y in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(pair)], strict=True):
+                    who, w = asks[code]
+                    scores[who[:, None], doc[x:y]] += w[:, None] * value[x:y]
+                best.add(np.round(scores, 6) + 0.0, ids)
+        yield from best.rows(names)
+
+    return scored
+
+
+def bm25(docs: DataFrame, questions: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """query, id, score, rank: the k docs (id, text) of greatest score for each question (query, text), those of score 0 among them; repeated words of a question
+    count repeatedly. A question without words has none."""
+    asked = questions.select("query", F.explode(terms(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+    weights = asked.join(idf(docs), "term", "left").select("query", "term", (F.col("times") * F.coalesce("idf", F.lit(0.0))).alias("weight"))
+    rows = docs.select(F.col("id").cast("long"), terms(F.coalesce("text", F.lit(""))).alias("listed"))
+    mean = rows.agg(F.avg(F.size("listed"))).first()[0] or 1.0
+    out = None
+    for uri in in_blocks(weights, "query", block):
+        part = rows.mapInArrow(_scored(uri, k, mean), "query long, id long, score double")
+        out = part if out is None else out.unionByName(part)
+    return top(out, k)
 
 
 def top(rows: DataFrame, k: int, by: str = "score") -> DataFrame:
@@ -61,32 +129,28 @@ def normalised(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.round(F.col("score") / F.when(best == 0, 1.0).otherwise(best), 6))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """query, id, score, rank: the k rows (id, v) of greatest max(0, cosine) with each stated query (query, q); ties: the lesser id.
-
-    Queries go to the rows in blocks of about `block`; a batch of rows keeps its k best of each, so what is shuffled is k rows for each query and batch."""
-    import numpy as np
-    import pyarrow as pa
-
-    blocks, out = max(1, -(-queries.count() // block)), None
-    for n in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n).collect()
-        names, matrix = [r["query"] for r in own], np.array([r["q"] for r in own], np.float64)
-
-        def best(batches, names=names, matrix=matrix):
-            for batch in batches:
-                if not batch.num_rows or not names:
-                    continue
-                ids = np.asarray(batch.column(0))
-                rows = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
-                scores = np.round(np.maximum(matrix @ rows.T, 0.0), 6)
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                found = np.take_along_axis(scores, order, 1)
-                columns = [pa.array(np.repeat(names, order.shape[1]), pa.int64()), pa.array(ids[order].ravel(), pa.int64()), pa.array(found.ravel())]
-                yield pa.RecordBatch.from_arrays(columns, ["query", "id", "score"])
-
-        rows = vectors.where(F.size("v") > 0).select(F.col("id").cast("long"), "v")
-        part = rows.mapInArrow(best, "query long, id long, score double")
+def _neighbours(uri: str, k: int):
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = read_block(uri)
+        if block is None:
+            return
+        matrix = np.array(block["q"].to_pylist(), np.float64)
+        names, best = np.asarray(block["query"]), Best(len(matrix), k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                rows = np.asarray(part.column(1).flatten(), np.float64).reshape(part.num_rows, -1)
+                best.add(np.round(np.maximum(matrix @ rows.T, 0.0), 6), np.asarray(part.column(0)))
+        yield from best.rows(names)
+
+    return neighbours
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """query, id, score, rank: the k rows (id, v) of greatest max(0, cosine) with each stated query (query, q); ties: the lesser id."""
+    rows, out = vectors.where(F.size("v") > 0).select(F.col("id").cast("long"), "v"), None
+    for uri in in_blocks(queries.select(F.col("query").cast("long"), "q").where(F.size("q") > 0), "query", block):
+        part = rows.mapInArrow(_neighbours(uri, k), "query long, id long, score double")
         out = part if out is None else out.unionByName(part)
     return top(out, k)
 

@@ -10,12 +10,14 @@ from quarry.operators import graph, search
 from quarry.plans.fixtures import ddb, table, view
 from quarry.plans.registry import query
 
-_BM = f"""tok AS (SELECT doc_id AS id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM documents), post AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY ALL),
-  len AS (SELECT doc_id AS id, len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS n FROM documents), nn AS (SELECT count(*) AS docs, avg(n) AS mean FROM len),
-  raw AS (SELECT term, ln(docs - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, nn GROUP BY term, docs), idf AS (SELECT term, CASE WHEN raw < 0 THEN {config.BM25_EPSILON} * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-  ask AS (SELECT item_id AS query, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM benchmark), w AS (SELECT query, term, count(*) AS times FROM ask GROUP BY ALL),
-  bm AS (SELECT query, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))), 6) AS score FROM w JOIN idf USING (term) JOIN post USING (term) JOIN len USING (id), nn GROUP BY query, id),
-  kw AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= {config.TOP_KEYWORD})"""
+_BM = f"""tok AS MATERIALIZED (SELECT doc_id AS id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM documents),
+  post AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM tok GROUP BY ALL), len AS MATERIALIZED (SELECT doc_id AS id, coalesce(n, 0) AS n FROM documents LEFT JOIN (SELECT id AS doc_id, count(*) AS n FROM tok GROUP BY id) USING (doc_id)),
+  nn AS MATERIALIZED (SELECT count(*) AS docs, avg(n) AS mean FROM len), raw AS MATERIALIZED (SELECT term, ln(docs - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM post GROUP BY term), nn),
+  idf AS MATERIALIZED (SELECT term, CASE WHEN raw < 0 THEN {config.BM25_EPSILON} * mean_raw ELSE raw END AS idf FROM raw, (SELECT avg(raw) AS mean_raw FROM raw)),
+  ask AS (SELECT item_id AS query, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM benchmark), w AS MATERIALIZED (SELECT query, term, count(*) AS times FROM ask GROUP BY ALL),
+  pos AS MATERIALIZED (SELECT query, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))), 6) AS score FROM w JOIN idf USING (term) JOIN post USING (term) JOIN len USING (id), nn GROUP BY query, id),
+  bm AS (SELECT q.query, d.id, coalesce(score, 0) AS score FROM (SELECT DISTINCT query FROM w) q CROSS JOIN len d LEFT JOIN pos p ON p.query = q.query AND p.id = d.id),
+  kw AS MATERIALIZED (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= {config.TOP_KEYWORD})"""
 _COS = f"""cs AS (SELECT q.vec_id AS query, v.vec_id AS id, round(greatest(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 0), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0),
   sem AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM cs QUALIFY rank <= {config.TOP_SEMANTIC})"""
 
@@ -30,7 +32,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top(search.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir)), config.TOP_KEYWORD)
+    return search.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir), config.TOP_KEYWORD)
 
 
 def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +53,7 @@ def x12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x12_idf", f"WITH {_BM} SELECT term, round(idf, 6) AS idf FROM idf")
 def x12_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return search.idf(search.postings(docs), search.lengths(docs)).select("term", F.round("idf", 6).alias("idf"))
+    return search.idf(_docs(spark, sf_dir)).select("term", F.round("idf", 6).alias("idf"))
 
 
 @query("x13_cosine", f"WITH {_COS} SELECT query, id, score, rank FROM sem")

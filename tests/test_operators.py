@@ -92,6 +92,28 @@ def test_nearest_by_blocks(spark):
     assert search.nearest(vectors, queries.limit(0), 4).count() == 0
 
 
+def test_bm25_by_blocks(spark):
+    """Against the formula, whatever the blocks; documents of score 0 fill up what is missing."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choices("abcdefghij", [9, 8, 7, 3, 2, 1, 1, 1, 1, 1], k=rng.randrange(30)))) for i in range(60)] + [(60, None), (61, "  ")]
+    asks = [(q, " ".join(rng.choices("abcdefghijz", k=4))) for q in range(9)] + [(9, "nothing here"), (10, " "), (11, None)]
+    split = {i: (t or "").split() for i, t in docs}
+    df = {t: sum(t in w for w in split.values()) for w in split.values() for t in w}
+    raw = {t: math.log(len(docs) - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+    weight = {t: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, x in raw.items()}
+    mean = sum(map(len, split.values())) / len(docs)
+    want = set()
+    for q, text in asks:
+        scores = [(-round(sum(weight.get(t, 0) * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in (text or "").split()), 6), i) for i, w in split.items()]
+        want |= {(q, i, -s, n) for n, (s, i) in enumerate(sorted(scores)[:10], 1)} if (text or "").split() else set()
+    rows, questions = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(asks, "query long, text string")
+    for block in (3, 2048):
+        assert {(r["query"], r.id, r.score, r["rank"]) for r in search.bm25(rows.repartition(3), questions, 10, block).collect()} == want
+
+
 def test_shortest_paths_of_any_length(spark, tmp_path):
     """r07 against a brute-force search, on a sparse graph whose targets lie up to eleven steps away."""
     from quarry.plans import catalog
