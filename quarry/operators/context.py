@@ -30,6 +30,19 @@ def history(turns: DataFrame, last: int = 3) -> DataFrame:
     return ranked.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("history"))
 
 
+def with_history(conversations: DataFrame, last: int = 3) -> DataFrame:
+    """conv_id, turn, text, history, previous of each user's turn (conv_id, turn, role, text): the last answered turns before it as history() has them, and the newest one's answer."""
+    by_turn = Window.partitionBy("conv_id").orderBy("turn")
+    rows = conversations.select("conv_id", "turn", "role", "text", F.lead("text").over(by_turn).alias("answer"), F.lead("role").over(by_turn).alias("_next")).where("role = 'user'")
+    answered = F.col("_next") == "assistant"
+    line = F.concat(F.lit("Q: "), F.coalesce("text", F.lit("")), F.lit("\nA: "), F.coalesce(clipped(F.col("answer")), F.lit("")))
+    pairs = rows.where(answered).select("conv_id", "turn", "answer", line.alias("line"))
+    recent = F.concat_ws("\n\n", *[F.lag("line", n).over(by_turn) for n in range(last - 1, 0, -1)], "line")
+    pairs = pairs.select("conv_id", "turn", F.struct(recent.alias("history"), F.col("answer").alias("previous")).alias("pair"))
+    before = F.last("pair", True).over(by_turn.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("conv_id", "turn", "text").join(pairs, ["conv_id", "turn"], "left").withColumn("x", before).select("conv_id", "turn", "text", "x.history", "x.previous")
+
+
 def kept_turns(turns: DataFrame, most: int = config.MAX_TURNS) -> DataFrame:
     """The last turns of each conversation, with the number of all its turns."""
     w = Window.partitionBy("conv_id")
@@ -112,6 +125,18 @@ def story_json(raw: Column, required: list[str]) -> Column:
     return F.struct(bare.alias("json"), F.coalesce(F.size(F.array_except(F.array(*[F.lit(r) for r in required]), found)) == 0, F.lit(False)).alias("valid"))
 
 
+def processed(asked: DataFrame) -> DataFrame:
+    """asked (query, text, previous, cited) with resolved (clean, its pronoun standing for the first entity of the previous answer), type, entities (of the text, then
+    names cited in the last turns), keywords, multi_hop and graph_query."""
+    from quarry.operators import rules
+
+    resolved = resolved_question(clean_question(F.col("text")), F.get(entities(F.coalesce("previous", F.lit(""))), 0))
+    out = asked.withColumn("resolved", resolved).withColumn("type", rules.query_type(F.col("resolved")))
+    out = out.withColumn("entities", F.array_distinct(F.concat(entities(F.col("text")), F.coalesce("cited", F.array().cast("array<string>")))))
+    out = out.withColumn("keywords", keywords(F.col("resolved")))
+    return out.withColumn("multi_hop", rules.multi_hop(F.col("resolved"), F.col("type"), F.col("entities"))).withColumn("graph_query", rules.graph_query(F.col("resolved"), F.col("type")))
+
+
 def prompt(question: Column, context: Column, history: Column) -> Column:
     return F.format_string("Context:\n%s\n\nHistory:\n%s\n\nQuestion: %s", context, F.coalesce(history, F.lit("")), question)
 

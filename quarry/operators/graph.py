@@ -163,13 +163,15 @@ def edge_attributes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select("src", "dst", (F.col("src_file") != F.col("dst_file")).alias("cross_file"), (F.col("src_layer") != F.col("dst_layer")).alias("cross_layer"))
 
 
-def expanded(primary: DataFrame, edges: DataFrame, first: int = 5, each: int = 10, most: int = config.MAX_EXPANSION_CHUNKS, factor: float = 0.7, depth: int = 2) -> DataFrame:
+def expanded(primary: DataFrame, edges: DataFrame, first: int = 5, each: int = 10, most: int = config.MAX_EXPANSION_CHUNKS, factor: float = 0.7, depth: int = 2, callers_only: bool = False) -> DataFrame:
     """query, id, score: neighbours of a query's first chunks (query, id, score, rank), at factor times their score.
 
     Of each of the first chunks, `each` neighbours in order of id; those among the query's own chunks are left out, one that several bring counts once, at its best;
-    at most `most` a query."""
+    at most `most` a query. Neighbours are nodes within `depth` steps either way, or callers alone."""
     top = primary.where(F.col("rank") <= first)
-    near = neighbours(edges, top.select("id").distinct(), depth).withColumnRenamed("query", "chunk").withColumnRenamed("id", "near")
+    asked = top.select("id").distinct()
+    near = related(edges, asked, "called_by").where("id <> query").select("query", "id") if callers_only else neighbours(edges, asked, depth)
+    near = near.withColumnRenamed("query", "chunk").withColumnRenamed("id", "near")
     cut_each = near.withColumn("n", F.row_number().over(Window.partitionBy("chunk").orderBy("near"))).where(F.col("n") <= each)
     pairs = top.select("query", F.col("id").alias("chunk"), "score", "rank").join(cut_each, "chunk")
     new = pairs.join(primary.select("query", F.col("id").alias("near")), ["query", "near"], "left_anti")

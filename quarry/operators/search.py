@@ -166,6 +166,12 @@ def merged(semantic: DataFrame, keyword: DataFrame, extra: DataFrame) -> DataFra
     return found.unionByName(new.select("query", "id", "semantic", F.lit(0.0).alias("keyword"), F.lit("extra").alias("source")))
 
 
+def with_entities(found: DataFrame, entities: DataFrame) -> DataFrame:
+    """Candidates and the looked-up entities (query, id) that aren't among them."""
+    new = entities.join(found.select("query", "id"), ["query", "id"], "left_anti")
+    return found.unionByName(new.select("query", "id", F.lit(1.0).alias("semantic"), F.lit(0.0).alias("keyword"), F.lit("entity").alias("source")))
+
+
 def fused(rows: DataFrame) -> DataFrame:
     """rows with `score`: the weighted sum, a bonus where both are above 0, at most 1; looked-up entities score 0.95."""
     both = (F.col("semantic") > 0) & (F.col("keyword") > 0)

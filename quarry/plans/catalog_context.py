@@ -194,6 +194,31 @@ def k17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_turns").select("conv_id", "turn", level.alias("confidence"))
 
 
+@query("x17_cited_entities", "SELECT * FROM (VALUES ('ask load_all', 'ask,load_all,UserService'), ('x', 'UserService,load_all'), ('what about app.py', 'about,app,app.py')) AS t(text, entities)")
+def x17_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("ask load_all", None, ["UserService", "load_all"]), ("x", None, ["UserService", "load_all"]), ("what about app.py", None, None)], "text string, previous string, cited array<string>")
+    return context.processed(rows).select("text", F.array_join("entities", ",").alias("entities"))
+
+
+@query("x20_previous_answer", "SELECT * FROM (VALUES ('How does it work?', 'how does UserService work?'), ('Is THIS and that ok', 'is load_all and that ok'), ('no pronoun', 'no pronoun'), ('and it?', 'and it?')) AS t(text, resolved)")
+def x20_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("How does it work?", "see the UserService and load_all", None), ("Is THIS and that ok", "A load_all", None), ("no pronoun", "UserService", None), ("and it?", None, None)], "text string, previous string, cited array<string>")
+    return context.processed(rows).select("text", "resolved")
+
+
+@query("k15_multi_hop", "SELECT * FROM (VALUES ('explain the request flow', true, false), ('what breaks here', true, false), ('load_all and UserService', true, false), ('load_all', false, false), ('one two six', true, false), ('what calls load', false, true)) AS t(text, multi_hop, graph_query)")
+def k15_multi_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = ["explain the request flow", "what breaks here", "load_all and UserService", "load_all", "one two six", "what calls load"]
+    rows = spark.createDataFrame([(t, None, None) for t in texts], "text string, previous string, cited array<string>")
+    return context.processed(rows).select("text", "multi_hop", "graph_query")
+
+
+@query("c01_history_before", f"""{TURNS}, u AS (SELECT conv_id, turn FROM conversations WHERE role = 'user'), b AS (SELECT u.conv_id, u.turn, t.question, t.answer, t.turn AS earlier, row_number() OVER (PARTITION BY u.conv_id, u.turn ORDER BY t.turn DESC) AS n FROM u JOIN v_turns t ON t.conv_id = u.conv_id AND t.turn < u.turn),
+  g AS (SELECT conv_id, turn, string_agg('Q: ' || question || chr(10) || 'A: ' || {_CLIP}, chr(10) || chr(10) ORDER BY earlier) AS history, max(answer) FILTER (WHERE n = 1) AS previous FROM b WHERE n <= 3 GROUP BY conv_id, turn) SELECT conv_id, turn, history, previous FROM u LEFT JOIN g USING (conv_id, turn)""")
+def c01_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.with_history(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "history", "previous")
+
+
 @query("x17_entities", """SELECT * FROM (VALUES ('ask UserService.get_user in app.py', 'UserService,ask,get_user,app,app.py,UserService.get_user'), ('the HTTPClient and LoadBalancer', 'LoadBalancer')) AS t(q, entities)""")
 def x17(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([("ask UserService.get_user in app.py",), ("the HTTPClient and LoadBalancer",)], "q string")
