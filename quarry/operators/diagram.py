@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.filters import file_name
-from quarry.operators.resolve import stem
+from quarry.operators.resolve import module_matches, stem
 
 
 def short_name(qualified: Column) -> Column:
@@ -30,13 +30,18 @@ def node_kind(path: Column, entries: list[str]) -> Column:
     return F.when(hit, "entry_point").otherwise("module")
 
 
-def nodes(files: DataFrame, functions: DataFrame, classes: DataFrame) -> DataFrame:
-    """path, label, functions, classes, snippet of each file (path, content)."""
-    f = functions.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("functions"))
-    c = classes.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("classes"))
-    out = files.join(f, "path", "left").join(c, "path", "left")
-    snippet = F.array_join(F.slice(F.split("content", "\n"), 1, 40), "\n")
-    return out.select("path", file_name(F.col("path")).alias("label"), F.coalesce("functions", F.lit(0)).alias("functions"), F.coalesce("classes", F.lit(0)).alias("classes"), snippet.alias("snippet"))
+def nodes(files: DataFrame, functions: DataFrame, classes: DataFrame, imports: DataFrame, most: int = 8, lines: int = 40) -> DataFrame:
+    """path, label, functions, classes, imports (the first `most`), snippet (the first lines) of each file (path, content); names in order of their lines."""
+    def listed(rows: DataFrame, value: str, name: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct("line", F.col(value).alias("x"))))
+        return rows.groupBy(F.col("file_path").alias("path")).agg(F.transform(ordered, lambda e: e["x"]).alias(name))
+
+    out = files
+    for rows, value, name in ((functions, "name", "functions"), (classes, "name", "classes"), (imports, "module", "imports")):
+        out = out.join(listed(rows, value, name), "path", "left")
+    names = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("functions", "classes")]
+    snippet = F.array_join(F.slice(F.split("content", "\n"), 1, lines), "\n")
+    return out.select("path", file_name(F.col("path")).alias("label"), *names, F.slice(F.coalesce("imports", F.array().cast("array<string>")), 1, most).alias("imports"), snippet.alias("snippet"))
 
 
 def edge_counts(edges: DataFrame, least: int = 3) -> DataFrame:
@@ -119,3 +124,11 @@ def preview(nodes: DataFrame, edges: DataFrame, most: int = 20, chars: int = 20)
     ordered = F.array_sort(F.collect_list(F.struct("part", "a", "b", "text")))
     body = boxes.unionByName(arrows).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("body"))
     return body.select(F.concat(F.lit("```mermaid\ngraph TD\n"), "body", F.lit("\n```\n")).alias("preview"))
+
+
+def edges_or_imports(edges: DataFrame, imports: DataFrame, paths: DataFrame) -> DataFrame:
+    """The file edges (from_file, to_file), or where there is none at all those that imports make: each import's first match that isn't its own file."""
+    known = edges.select("from_file", "to_file")
+    made = module_matches(imports, paths).select(F.col("file_path").alias("from_file"), F.col("target").alias("to_file")).distinct()
+    none = known.limit(1).agg((F.count("*") == 0).alias("none")).where("none")
+    return known.unionByName(made.join(F.broadcast(none), how="left_semi", on=F.lit(True)))

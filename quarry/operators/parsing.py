@@ -270,7 +270,7 @@ def functions_of(entities: DataFrame) -> DataFrame:
 
 
 def classes_of(entities: DataFrame) -> DataFrame:
-    return entities.where("kind = 'class'").select(F.col("path").alias("file_path"), "name", "qualified_name", F.col("params").alias("methods"), F.col("details").alias("bases"), "attributes", "flags", "docstring", "sha")
+    return entities.where("kind = 'class'").select(F.col("path").alias("file_path"), "name", "qualified_name", "line", "end_line", F.col("params").alias("methods"), F.col("details").alias("bases"), "attributes", "flags", "docstring", "sha")
 
 
 def imports_of(entities: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import config
 from quarry.operators import filters, stats
+from quarry.operators.shared import cut, fresh
 from quarry.plans.fixtures import ddb, quoted, table, view
 from quarry.plans.registry import query
 from quarry.sources import repository, stores
@@ -113,10 +114,18 @@ def i13_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(u,) for u in urls], "url string").select("url", filters.repo_url(F.col("url")).alias("x")).select("url", "x.*")
 
 
-@query("s01_tree_scan", f"{FILES} SELECT path, md5(content) AS sha, size_bytes, CASE WHEN file_id % 31 = 0 THEN 'commit' ELSE 'blob' END AS kind FROM v_files WHERE file_id % 31 <> 0")
+def _mirror(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """What was written of all files, and the folder."""
+    folder = fresh(spark, "mirror")
+    return cut(repository.write_mirror(view(spark, sf_dir, "v_files"), folder)), folder
+
+
+@query("s01_tree_scan", f"{FILES} SELECT path, md5(content) AS sha, CAST(strlen(content) AS BIGINT) AS size_bytes, 'blob' AS kind FROM v_files")
 def s01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = view(spark, sf_dir, "v_files").select("path", F.md5("content").alias("sha"), "size_bytes", F.when(F.col("file_id") % 31 == 0, "commit").otherwise("blob").alias("kind"))
-    return repository.blobs(tree)
+    """A scan of the tree that s07 writes; a submodule among the listing is left out."""
+    tree = repository.scan_tree(spark, _mirror(spark, sf_dir)[1]).select("path", F.md5("raw").alias("sha"), "size_bytes", F.lit("blob").alias("kind"))
+    module = spark.createDataFrame([("lib/sub", None, 0, "commit")], tree.schema)
+    return repository.blobs(tree.unionByName(module))
 
 
 @query("s02_decode", """SELECT doc_id, length(text) AS chars, md5(replace(replace(text || chr(13) || chr(10) || 'x', chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text_md5 FROM documents""")
@@ -125,28 +134,53 @@ def s02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("doc_id", "chars", F.md5(repository.decoded(F.col("raw"))).alias("text_md5"))
 
 
-@query("s03_repo_metadata", f"{FILES} SELECT repo, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, max(length(path)) AS longest_path, max(md5(content)) AS digest FROM v_files GROUP BY repo")
+_ANSWERS = [
+    '{"name":"r","owner":{"login":"o","id":1},"full_name":"o/r","description":null,"language":"Go","stargazers_count":5,"forks_count":1,"size":9,"default_branch":"main","topics":["a","b"],"created_at":"2020-01-01T00:00:00","updated_at":"2021-01-01T00:00:00","license":{"name":"MIT"},"fork":false,"archived":true,"has_wiki":true,"open_issues_count":2,"homepage":"h","visibility":"private"}',
+    '{"name":"q","owner":{"login":"p"},"full_name":"p/q","description":"d","language":null,"stargazers_count":0,"forks_count":0,"size":0,"default_branch":"dev","license":null,"fork":true,"archived":false,"has_wiki":false,"open_issues_count":0,"homepage":""}',
+]
+
+
+@query("s03_repo_metadata", """SELECT * FROM (VALUES ('r', 'o', 'o/r', '', 'Go', CAST(5 AS BIGINT), CAST(1 AS BIGINT), CAST(9 AS BIGINT), 'main', 'a,b', '2020-01-01T00:00:00', '2021-01-01T00:00:00', 'MIT', false, true, true, CAST(2 AS BIGINT), 'h', 'private'),
+  ('q', 'p', 'p/q', 'd', 'Unknown', 0, 0, 0, 'dev', '', NULL, NULL, NULL, true, false, false, 0, '', 'public')) AS t(name, owner, full_name, description, primary_language, stars, forks, size_kb, default_branch, topics, created_at, updated_at, license, is_fork, is_archived, has_wiki, open_issues_count, homepage, visibility)""")
 def s03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repository.metadata(view(spark, sf_dir, "v_files"))
+    return repository.metadata(spark.createDataFrame([(a,) for a in _ANSWERS], "raw string")).withColumn("topics", F.array_join("topics", ","))
 
 
-@query("s05_json_scan", f"{FILES} SELECT path, 'unknown' AS language, size_bytes FROM v_files")
+@query("s05_json_scan", f"{FILES} SELECT path, 'unknown' AS language, size_bytes, CASE WHEN file_id % 2 = 0 THEN 'f' || file_id ELSE '' END AS functions FROM v_files")
 def s05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = view(spark, sf_dir, "v_files").select(F.to_json(F.struct("path", "size_bytes")).alias("line"))
-    return repository.json_lines(lines, "path string, language string, size_bytes long", {"language": "unknown"})
+    """Parsed files as JSON, half of them without their list, none with a language, beside blank lines."""
+    listed = F.when(F.col("file_id") % 2 == 0, F.array(F.struct(F.concat(F.lit("f"), "file_id").alias("name"))))
+    files = view(spark, sf_dir, "v_files").select(F.explode(F.array(F.to_json(F.struct("path", "size_bytes", listed.alias("functions"))), F.lit(" "))).alias("line"))
+    rows = repository.json_lines(files, "path string, language string, size_bytes long, functions array<struct<name:string>>", {"language": "unknown"})
+    return rows.withColumn("functions", F.array_join(F.transform("functions", lambda x: x["name"]), ","))
+
 
+_SAFE = """c AS (SELECT file_id, path, content, list_transform(string_split(path, '/'), lambda x: regexp_replace(x, '[<>:"|?*]', '_', 'g')) AS parts FROM v_files),
+  d AS (SELECT file_id, path, content, array_to_string(parts, '/') AS safe FROM c), e AS (SELECT *, row_number() OVER (PARTITION BY lower(safe) ORDER BY path) AS n FROM d)"""
+_DESTINATION = "CASE WHEN n = 1 THEN safe ELSE regexp_replace(safe, '(\\.[^./]*)?$', '_' || left(md5(path), 6) || '\\1') END"
 
-@query("s07_safe_paths", f"""{FILES}, c AS (SELECT path, list_transform(string_split(path, '/'), lambda x: regexp_replace(x, '[<>:"|?*]', '_', 'g')) AS parts FROM v_files),
-  d AS (SELECT path, array_to_string(parts, '/') AS safe FROM c),
-  e AS (SELECT *, row_number() OVER (PARTITION BY lower(safe) ORDER BY path) AS n FROM d)
-  SELECT path, CASE WHEN n = 1 THEN safe ELSE regexp_replace(safe, '(\\.[^./]*)?$', '_' || left(md5(path), 6) || '\\1') END AS destination FROM e""")
+
+@query("s07_safe_paths", f"{FILES}, {_SAFE} SELECT path, {_DESTINATION} AS destination FROM e")
 def s07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repository.safe_destinations(view(spark, sf_dir, "v_files").select("path"))
 
 
-@query("s08_manifest")
+@query("s07_mirror", f"{FILES}, {_SAFE} SELECT path, {_DESTINATION} AS destination, CAST(strlen(content) AS BIGINT) AS size_bytes, md5(content) AS content_md5 FROM e")
+def s07_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files written as a tree and read back."""
+    written, folder = _mirror(spark, sf_dir)
+    back = repository.scan_tree(spark, folder).select(F.col("path").alias("destination"), F.md5("raw").alias("content_md5"))
+    return written.join(back, "destination")
+
+
+@query("s08_manifest", f"""{FILES}, l AS (SELECT repo, coalesce({_LANG}, 'unknown') AS language, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM v_files GROUP BY ALL)
+  SELECT repo, CAST(sum(files) AS BIGINT) AS total_files, CAST(sum(bytes) AS BIGINT) AS total_bytes, string_agg(language || ':' || files || ':' || bytes, ',' ORDER BY language) AS languages FROM l GROUP BY repo""")
 def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repository.manifest(view(spark, sf_dir, "v_files"))
+    """Manifests written as JSON and read back."""
+    rows, place = repository.manifest(view(spark, sf_dir, "v_files")), fresh(spark, "manifest")
+    repository.write_jsonl(rows, place)
+    text = F.transform("languages", lambda x: F.concat_ws(":", x["language"], x["files"], x["bytes"]))
+    return repository.read_jsonl(spark, place, rows.schema).withColumn("languages", F.array_join(text, ","))
 
 
 @query("s09_latest_version", "SELECT repo_key, max(created_at) AS run_ts, count(*) AS versions FROM (" + f"WITH {ddb('v_jobs')} SELECT * FROM v_jobs WHERE phase = 'ingest') x GROUP BY repo_key")
@@ -155,16 +189,41 @@ def s09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repository.latest_versions(runs)
 
 
+@query("s09_rotation", f"{FILES} SELECT file_id, size_bytes + 1 AS size_bytes, (SELECT 2 * count(*) FROM v_files) AS kept FROM v_files")
+def s09_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written twice: the first version stays, readers get the second."""
+    files, folder = view(spark, sf_dir, "v_files").select("file_id", "size_bytes"), fresh(spark, "versions")
+    repository.write_version(files, folder, "2024-01-01T10-00-00")
+    repository.write_version(files.withColumn("size_bytes", F.col("size_bytes") + 1), folder, "2024-02-01T10-00-00")
+    kept = repository.read_versions(spark, folder).agg(F.count("*").alias("kept"))
+    return repository.read_latest(spark, folder).crossJoin(F.broadcast(kept))
+
+
 @query("s10_catalog_listing", "SELECT 'a__b' AS folder, true AS complete UNION ALL SELECT 'c__d', false")
 def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("a__b", ["owner", "repo_name", "files", "languages"]), ("c__d", ["owner"]), ("a__b__2024-01-01T10", ["owner", "repo_name", "files", "languages"])]
     return repository.listing(spark.createDataFrame(rows, "folder string, keys array<string>"))
 
 
-@query("s12_vector_upsert", "SELECT label, count(*) AS vectors, CAST(max(len(embedding)) AS BIGINT) AS dimensions FROM embeddings GROUP BY label")
+@query("s12_vector_upsert", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE label END AS label, CAST(len(embedding) AS BIGINT) AS dimensions FROM embeddings")
 def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = stores.with_vectors(table(spark, sf_dir, "embeddings"))
-    return kept.groupBy("label").agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).cast("long").alias("dimensions"))
+    """All vectors stored, then every third one again with another label, beside rows without a vector."""
+    store, rows = stores.Collections(spark, fresh(spark, "collections")), table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    store.upsert("vectors", rows, "vec_id")
+    third, none = rows.where("vec_id % 3 = 0").withColumn("label", F.lit(-1)), F.array().cast("array<float>")
+    store.upsert("vectors", third.unionByName(rows.select((-F.col("vec_id") - 1).alias("vec_id"), "label", none.alias("embedding"))), "vec_id")
+    return store.read("vectors").select("vec_id", "label", F.size("embedding").cast("long").alias("dimensions"))
+
+
+@query("s13_collections", "SELECT * FROM (VALUES (1, 'exists', 'false'), (2, 'names', 'a,b'), (3, 'count', '0'), (4, 'count', '2'), (5, 'deleted', 'true'), (6, 'deleted', 'false'), (7, 'names', 'b')) AS t(step, what, value)")
+def s13_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, rows = stores.Collections(spark, fresh(spark, "collections")), spark.createDataFrame([(1, [0.5]), (2, [1.0]), (3, [])], "id int, embedding array<float>")
+    steps = [("exists", store.exists("a"))]
+    store.get_or_create("a"), store.get_or_create("b")
+    steps += [("names", ",".join(store.names())), ("count", store.count("a"))]
+    store.upsert("a", rows, "id")
+    steps += [("count", store.count("a")), ("deleted", store.delete("a")), ("deleted", store.delete("a")), ("names", ",".join(store.names()))]
+    return spark.createDataFrame([(n, what, str(value).lower()) for n, (what, value) in enumerate(steps, 1)], "step int, what string, value string")
 
 
 @query("s13_collection_stats", f"{FILES} SELECT left(regexp_replace('quarry__' || lower(repo), '[^a-z0-9_-]', '_', 'g'), 63) AS collection, count(*) AS chunks FROM v_files GROUP BY 1")

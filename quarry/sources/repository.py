@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from quarry.operators.filters import language
 
@@ -12,8 +16,8 @@ from quarry.operators.filters import language
 def scan_tree(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """path, size_bytes, modified, raw of every file below a checkout; paths and sizes are known before contents are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    root = folder.rstrip("/") + "/"
-    relative = F.element_at(F.split(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit(root)), -1)
+    root = re.sub("^[a-z]+:/*", "/", folder).rstrip("/") + "/"
+    relative = F.substr(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit(len(root) + 1))
     return files.select(relative.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), F.col("content").alias("raw"))
 
 
@@ -34,18 +38,33 @@ def excerpt(content: Column, lines: int) -> Column:
     return F.array_join(F.slice(F.split(content, "\n"), 1, lines), "\n")
 
 
-def metadata(files: DataFrame) -> DataFrame:
-    """A row per repository: its files, bytes, longest path and largest digest of a content."""
-    return files.groupBy("repo").agg(
-        F.count("*").alias("files"), F.sum("size_bytes").cast("long").alias("bytes"), F.max(F.length("path")).cast("long").alias("longest_path"),
-        F.max(F.md5("content")).alias("digest"),
-    )
+# The fields of a repository's record and where a host's answer has them, with what stands for a missing one.
+RECORD = [
+    ("name", "name", "string", None), ("owner", "owner.login", "string", None), ("full_name", "full_name", "string", None), ("description", "description", "string", ""),
+    ("primary_language", "language", "string", "Unknown"), ("stars", "stargazers_count", "long", None), ("forks", "forks_count", "long", None), ("size_kb", "size", "long", None),
+    ("default_branch", "default_branch", "string", None), ("topics", "topics", "array<string>", "[]"), ("created_at", "created_at", "string", None), ("updated_at", "updated_at", "string", None),
+    ("license", "license.name", "string", None), ("is_fork", "fork", "boolean", None), ("is_archived", "archived", "boolean", None), ("has_wiki", "has_wiki", "boolean", None),
+    ("open_issues_count", "open_issues_count", "long", None), ("homepage", "homepage", "string", ""), ("visibility", "visibility", "string", "public"),
+]
+
+
+def metadata(answers: DataFrame) -> DataFrame:
+    """A flat row of 19 fields for each of a host's answers (raw: JSON); empty and missing texts take their defaults."""
+    nested: dict[str, list[str]] = {}
+    for _, place, kind, _ in RECORD:
+        top, _, inner = place.partition(".")
+        nested.setdefault(top, []).append(f"{inner}:{kind}" if inner else kind)
+    schema = ", ".join(f"`{top}` " + (f"struct<{', '.join(kinds)}>" if ":" in kinds[0] else kinds[0]) for top, kinds in nested.items())
+    found = answers.select(F.from_json("raw", schema).alias("x"))
+    value = lambda place, kind, default: F.col(f"x.{place}") if default is None else F.coalesce(F.col(f"x.{place}"), F.array().cast(kind)) if default == "[]" else F.coalesce(F.nullif(F.col(f"x.{place}"), F.lit("")), F.lit(default))
+    return found.select(*[value(place, kind, default).alias(name) for name, place, kind, default in RECORD])
 
 
 def json_lines(lines: DataFrame, schema: str, defaults: dict[str, object]) -> DataFrame:
-    """Rows of JSON texts, one to a line; blank lines are skipped and missing fields take their defaults."""
+    """Rows of JSON texts, one to a line; blank lines are skipped and missing fields take their defaults, missing lists are empty."""
     rows = lines.where(F.trim("line") != "").select(F.from_json("line", schema).alias("x")).select("x.*")
-    return rows.fillna(defaults)
+    lists = {f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in rows.schema.fields if isinstance(f.dataType, ArrayType)}
+    return rows.fillna(defaults).withColumns(lists)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -56,6 +75,20 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_text(rows: DataFrame, path: str) -> None:
+    """One file for each row of one text column."""
+    rows.repartition(F.monotonically_increasing_id()).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """text: each file's text, without the last line feed."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\n$", "").alias("text")).where("text <> ''")
+
+
+def append(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").parquet(path)
+
+
 def write_once(rows: DataFrame, path: str, force: bool = False) -> None:
     """A phase's output: kept if it is there already, unless forced."""
     rows.write.mode("overwrite" if force else "ignore").parquet(path)
@@ -80,11 +113,49 @@ def safe_destinations(paths: DataFrame) -> DataFrame:
     return safe.withColumn("n", n).select("path", F.when(F.col("n") == 1, F.col("safe")).otherwise(suffixed).alias("destination"))
 
 
+def write_mirror(files: DataFrame, folder: str) -> DataFrame:
+    """path, destination, size_bytes of files (path, content) after each was written below the folder (a URI that all executors reach); a second attempt writes the same again."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        made: set[str] = set()
+        for batch in batches:
+            sizes = []
+            for place, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                at, raw = f"{root}/{place}", (text or "").encode()
+                if (parent := at.rpartition("/")[0]) not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with system.open_output_stream(at) as out:
+                    out.write(raw)
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], ["path", "destination", "size_bytes"])
+
+    placed = safe_destinations(files.select("path")).join(files.select("path", "content"), "path")
+    return placed.select("path", "destination", "content").mapInArrow(write, "path string, destination string, size_bytes long")
+
+
 def manifest(files: DataFrame) -> DataFrame:
-    """repo, manifest: one JSON text per repository with its counters and languages."""
-    per_language = files.groupBy("repo", F.coalesce(language(F.col("path")), F.lit("unknown")).alias("language")).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
-    totals = per_language.groupBy("repo").agg(F.sum("files").alias("total_files"), F.sum("bytes").alias("total_bytes"), F.array_sort(F.collect_list(F.struct("language", "files", "bytes"))).alias("languages"))
-    return totals.select("repo", F.to_json(F.struct("total_files", "total_bytes", "languages")).alias("manifest"))
+    """repo, total_files, total_bytes, languages (language, files, bytes, in order of name): one row per repository, to be written as JSON."""
+    per_language = files.groupBy("repo", F.coalesce(language(F.col("path")), F.lit("unknown")).alias("language")).agg(F.count("*").alias("files"), F.sum("size_bytes").cast("long").alias("bytes"))
+    return per_language.groupBy("repo").agg(F.sum("files").alias("total_files"), F.sum("bytes").alias("total_bytes"), F.array_sort(F.collect_list(F.struct("language", "files", "bytes"))).alias("languages"))
+
+
+def write_version(rows: DataFrame, folder: str, run: str) -> None:
+    """Adds a version of a table; one that is there is never overwritten."""
+    rows.write.mode("error").parquet(f"{folder}/run={run}")
+
+
+def read_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """All versions, with `run`."""
+    return spark.read.option("basePath", folder).parquet(f"{folder}/run=*").withColumn("run", F.col("run").cast("string"))
+
+
+def read_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The version of the greatest name; others aren't read."""
+    rows = read_versions(spark, folder)
+    return rows.where(F.col("run") == F.lit(rows.agg(F.max("run")).first()[0])).drop("run")
 
 
 def latest_versions(runs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,48 @@ def by_key(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def collection_name(prefix: Column, repo: Column) -> Column:
     """At most 63 characters, lower case, others than letters, digits, _ and - replaced."""
     return F.substring(F.regexp_replace(F.lower(F.concat_ws("__", prefix, repo)), "[^a-z0-9_-]", "_"), 1, 63)
+
+
+class Collections:
+    """Named tables of chunks under a folder; each upsert writes a new version, and readers take the latest."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.paths = spark._jvm.org.apache.hadoop.fs
+        self.system = self.paths.Path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, *names: str):
+        return self.paths.Path("/".join([self.folder, *names]))
+
+    def _versions(self, name: str) -> list[str]:
+        if not self.exists(name):
+            raise KeyError(name)
+        return sorted(f.getPath().getName() for f in self.system.listStatus(self._path(name)) if f.getPath().getName().startswith("v="))
+
+    def get_or_create(self, name: str) -> str:
+        self.system.mkdirs(self._path(name))
+        return f"{self.folder}/{name}"
+
+    def exists(self, name: str) -> bool:
+        return bool(self.system.exists(self._path(name)))
+
+    def delete(self, name: str) -> bool:
+        return bool(self.exists(name) and self.system.delete(self._path(name), True))
+
+    def names(self) -> list[str]:
+        return sorted(f.getPath().getName() for f in self.system.listStatus(self._path()) if f.isDirectory()) if self.system.exists(self._path()) else []
+
+    def read(self, name: str) -> DataFrame | None:
+        """The latest version, or None before the first."""
+        versions = self._versions(name)
+        return self.spark.read.parquet(f"{self.get_or_create(name)}/{versions[-1]}") if versions else None
+
+    def count(self, name: str) -> int:
+        rows = self.read(name)
+        return rows.count() if rows is not None else 0
+
+    def upsert(self, name: str, chunks: DataFrame, key: str) -> None:
+        """Rows that have a vector replace those of their keys. Readers see the old version until the new one is whole."""
+        place, versions, new = self.get_or_create(name), self._versions(name), with_vectors(chunks)
+        rows = upsert(self.read(name) if versions else new.limit(0), new, key)
+        rows.write.mode("error").parquet(f"{place}/v={len(versions):09d}")
