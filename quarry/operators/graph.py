@@ -13,15 +13,20 @@ from quarry import config
 from quarry.operators.shared import cut
 
 
-def levels(edges: DataFrame, sources: DataFrame, keys: list[str], max_depth: int | None = None) -> DataFrame:
-    """keys, id, depth: what each source (a row of keys and id) reaches along edges, at its least number of steps; sources are at 0."""
-    steps = edges.select(F.col("src").alias("id"), F.col("dst").alias("_to"))
+def levels(edges: DataFrame, sources: DataFrame, keys: list[str], max_depth: int | None = None, later: DataFrame | None = None, along: list[str] | None = None) -> DataFrame:
+    """keys, id, depth: what each source (a row of keys and id) reaches along edges, at its least number of steps; sources are at 0, those of `later` (keys, id) at 1.
+
+    Edges may have keys of their own, those in `along`; a source then follows the edges of its key."""
+    on = along or []
+    steps = edges.select(*on, F.col("src").alias("id"), F.col("dst").alias("_to"))
     frontier = met = cut(sources.select(*keys, "id").distinct().withColumn("depth", F.lit(0)))
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        found = frontier.join(steps, "id").select(*keys, F.col("_to").alias("id")).distinct()
-        frontier = cut(found.join(met, [*keys, "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        found = frontier.join(steps, [*on, "id"]).select(*keys, F.col("_to").alias("id"))
+        if depth == 1 and later is not None:
+            found = found.unionByName(later.select(*keys, "id"))
+        frontier = cut(found.distinct().join(met, [*keys, "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.limit(1).count():
             break
         met = met.unionByName(frontier)
@@ -49,10 +54,9 @@ def related(edges: DataFrame, queries: DataFrame, relation: str = "both") -> Dat
 
 def neighbours(edges: DataFrame, queries: DataFrame, depth: int = 2) -> DataFrame:
     """query, id: nodes within depth steps forward or within depth steps backward, the node itself left out."""
-    sources = queries.select(F.col("id").alias("query"), "id")
-    ahead = levels(edges, sources, ["query"], depth)
-    behind = levels(reversed_edges(edges), sources, ["query"], depth)
-    return ahead.unionByName(behind).where("id <> query").select("query", "id").distinct()
+    both = edges.select(F.lit(1).alias("way"), "src", "dst").unionByName(reversed_edges(edges).select(F.lit(-1).alias("way"), "src", "dst"))
+    sources = queries.select(F.col("id").alias("query"), "id", F.explode(F.array(F.lit(1), F.lit(-1))).alias("way"))
+    return levels(both, sources, ["query", "way"], depth, along=["way"]).where("id <> query").select("query", "id").distinct()
 
 
 def seeds(edges: DataFrame, entries: DataFrame, n: int = 3) -> DataFrame:
@@ -65,10 +69,7 @@ def seeds(edges: DataFrame, entries: DataFrame, n: int = 3) -> DataFrame:
 def traverse(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_depth: int = config.MAX_TRAVERSAL_DEPTH, max_nodes: int = config.MAX_TRAVERSAL_NODES) -> DataFrame:
     """id, depth: breadth first from the start, whose callers join at depth 1; of all, the first max_nodes by (depth, -complexity, name)."""
     callers = edges.join(start.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"))
-    ahead = levels(edges, start, [], max_depth)
-    from_callers = levels(edges, callers, [], max_depth - 1).withColumn("depth", F.col("depth") + 1)
-    both = ahead.unionByName(from_callers).groupBy("id").agg(F.min("depth").alias("depth"))
-    ranked = both.join(nodes.select("id", "complexity", "name"), "id")
+    ranked = levels(edges, start, [], max_depth, later=callers).join(nodes.select("id", "complexity", "name"), "id")
     return ranked.orderBy("depth", F.desc("complexity"), "name", "id").limit(max_nodes).select("id", "depth")
 
 
@@ -128,12 +129,19 @@ def on_cycles(edges: DataFrame) -> DataFrame:
 
 
 def short_cycles(edges: DataFrame) -> DataFrame:
-    """a, b, c of each simple cycle of two nodes (c is -1) or three, starting at its least node."""
-    ab = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct()
-    bc, back = ab.toDF("b", "c"), ab.toDF("z", "a")
-    two = ab.join(ab.toDF("b", "a"), ["a", "b"]).where("a < b").select("a", "b", F.lit(-1).cast("long").alias("c"))
-    three = ab.where("a < b").join(bc.where("b <> c"), "b").where("a < c").join(back.withColumnRenamed("z", "c"), ["c", "a"])
-    return two.unionByName(three.select("a", "b", "c"))
+    """a, b, c of each simple cycle of two nodes (c is -1) or three, starting at its least node.
+
+    A cycle of three is found from its node of the fewest edges, so no pair of edges is formed at a hub unless its cycle's other nodes are hubs too."""
+    ab = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    degree = ab.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    ends = [degree.select(F.col("id").alias(c), F.struct("n", "id").alias(f"{c}_rank")) for c in ("src", "dst")]
+    ranked = cut(ab.join(ends[0], "src").join(ends[1], "dst"))
+    into = ranked.where("dst_rank < src_rank").select(F.col("dst").alias("v"), F.col("src").alias("u"))
+    out = ranked.where("src_rank < dst_rank").select(F.col("src").alias("v"), F.col("dst").alias("w"))
+    closed = into.join(out, "v").where("u <> w").join(ab.toDF("w", "u"), ["w", "u"], "left_semi")
+    three = closed.select(F.when(F.least("v", "w", "u") == F.col("v"), F.array("v", "w", "u")).when(F.least("v", "w", "u") == F.col("w"), F.array("w", "u", "v")).otherwise(F.array("u", "v", "w")).alias("x"))
+    two = ab.where("src < dst").join(ab.toDF("dst", "src"), ["src", "dst"], "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(-1).cast("long").alias("c"))
+    return two.unionByName(three.select(*[F.col("x")[i].alias(c) for i, c in enumerate("abc")]))
 
 
 def subgraph(edges: DataFrame, root: DataFrame, depth: int = 2) -> DataFrame:
