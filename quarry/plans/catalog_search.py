@@ -153,7 +153,7 @@ def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fuzzy_lookup(spark.createDataFrame([("UserService.process",), ("helper",), ("X.find",), ("none",)], "name string"), chunks)
 
 
-@query("x14_embedding", "SELECT doc_id AS id, 384 AS dimensions, CASE WHEN regexp_matches(left(text, 1024), '[\\p{L}\\p{N}_]') THEN 1.0 ELSE 0.0 END AS norm FROM documents")
+@query("x14_embedding", "SELECT doc_id AS id, 384 AS dimensions, CAST(CASE WHEN regexp_matches(left(text, 1024), '[\\p{L}\\p{N}_]') THEN 1 ELSE 0 END AS DOUBLE) AS norm FROM documents")
 def x14(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.functions.embedding import embed
 
