@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import arc, decontamination, exact_dedup, langid, packing, sharding, simhash, token_counts, token_store, toxicity
 
@@ -62,6 +63,15 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on op3's result: what must hold of it whatever the hash is."""
+    rows = op3_sharding(spark, sf_dir)
+    shards = rows.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), (F.max("slot") + 1).alias("end"), F.sum("slot").alias("places"))
+    gapless = (F.col("n") == F.col("end")) & (F.col("places") * 2 == F.col("n") * (F.col("n") - 1))
+    near = F.max("bytes") - F.min("bytes") <= F.lit(0.01) * F.avg("bytes")
+    return shards.agg(F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), F.count("*").alias("shards"), F.bool_and(gapless).alias("gapless"), near.alias("near_equal"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_store": op2_token_store,
@@ -73,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_langid": op10_langid,
+    "sharding_law": sharding_law,
 }
 
 ORACLES: dict[str, str] = {
@@ -81,6 +92,7 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "sharding_law": "SELECT count(*) AS rows, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes, CAST(8 AS BIGINT) AS shards, true AS gapless, true AS near_equal FROM documents",
     # five hexadecimal digits are four of base32
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages)

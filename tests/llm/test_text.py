@@ -87,6 +87,42 @@ def test_toxicity(spark, odd, none):
     assert toxicity.toxicity(none, labels.limit(0)).count() == 0
 
 
+def test_scores_equal_brute_force(spark):
+    """Short texts' scores by the definitions: tokens' odds, drift, segments by search, their surprise and evidence."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    model = toxicity.learned(docs, labels)
+
+    def slow(scores):
+        best = max(((sum(scores[i:j]), -(j - i), -i, i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0,))
+        if best[0] <= 1e-12:
+            return []
+        i, j = best[3:]
+        return [*slow(scores[:i]), best[0], *slow(scores[j:])]
+
+    worst = sorted(model.scores, key=model.scores.get)[-8:]
+    rng, texts = random.Random(9), ["", " \n", "..."]
+    own = [r.text.split() for r in docs.orderBy("doc_id").limit(60).collect()]
+    for w in own:
+        picked = w[: rng.randrange(1, 25)]
+        for _ in range(rng.randrange(4)):
+            picked.insert(rng.randrange(len(picked) + 1), rng.choice([x for x in worst if not x.startswith(b"^")] or [b"x"]).decode())
+        texts.append(" ".join(picked))
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in made.select("doc_id", "text").mapInArrow(toxicity._features(model), "doc_id long, n long, surprise double, evidence double").collect()}
+    some = 0
+    for i, text in enumerate(texts):
+        words, scores = toxicity.words(text), []
+        for k, w in enumerate(words):
+            stem = w.decode()[: toxicity.STEM].encode()
+            best = max([model.scores.get(w, 0.0)] + ([model.scores.get(b"^" + stem, 0.0)] if len(stem) < len(w) else []))
+            scores.append(min(best, 0.0) - model.drift if k and words[k - 1] == w else best - model.drift)
+        surprise = [model.rate * s - np.log(max(model.k * len(words), 1e-300)) for s in slow(scores)]
+        evidence = sum(s + np.log(toxicity.SIGNIFICANT) for s in surprise if s > -np.log(toxicity.SIGNIFICANT))
+        assert got[i].n == len(words) and abs(got[i].surprise - max([0.0, *surprise])) < 1e-6 and abs(got[i].evidence - evidence) < 1e-6, text
+        some += evidence > 0
+    assert some > 5
+
+
 def edited(text, edits, rng, vocabulary):
     out = text.split()
     for _ in range(edits):
@@ -194,6 +230,40 @@ def test_gradients_by_differences():
         assert abs((up - down) / 2e-5 - grads[k][at]) < 1e-6
 
 
+def test_labels_equal_brute_force(spark):
+    """predict() against the network's equations, position by position."""
+    model = langid.new_model(["de", "en", "fr"], 4, seed=3)
+    w = {k: v.astype("f8") for k, v in model.weights.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def run(E, U, raw):
+        h, out = np.zeros(4), []
+        for b in raw:
+            u, e = U @ h, E[:, b]
+            r, z = sigmoid(e[:4] + u[:4]), sigmoid(e[4:8] + u[4:8])
+            n = np.tanh(e[8:] + r * u[8:])
+            h = n + z * (h - n)
+            out.append(h)
+        return out
+
+    rng, texts = random.Random(2), ["a", "ab é", "日本", "x" * 127, "y z" * 43, "", None, "12 34"]
+    texts += ["".join(rng.choice("abcdé ñ日") for _ in range(rng.randrange(1, 400))) for _ in range(12)]
+    want = []
+    for text in texts:
+        raw, rows = (text or "").encode(), []
+        for at in range(0, len(raw), langid.WINDOW):
+            part = raw[at : at + langid.WINDOW].ljust(langid.WINDOW, raw[-1:])  # the last byte stands behind the end
+            ahead, back = run(w["Ef"], w["Uf"], part), run(w["Eb"], w["Ub"], part[::-1])[::-1]
+            for i in range(min(langid.WINDOW, len(raw) - at)):
+                x = np.exp(w["W"] @ np.concatenate([ahead[i], back[i]]) + w["c"][:, 0])
+                rows.append(x / x.sum())
+        p = np.mean(rows, 0) if rows else np.zeros(3)
+        known = any(c.isalpha() for c in text or "")
+        want.append((model.languages[int(p.argmax())] if known else "und", float(p.max()) if known else 0.0))
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == [x for x, _ in want] and np.allclose([r.score for r in got], [y for _, y in want], atol=1e-5)
+
+
 def test_windows_cover_every_byte():
     model = langid.new_model(["a", "b"], 4)
     raw = [b"x" * n for n in (0, 1, 127, 128, 129, 1000)]
