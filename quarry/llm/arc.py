@@ -93,6 +93,21 @@ def http_parts(body: bytes) -> tuple[bytes, bytes]:
     return (head + gap, payload) if gap else (b"", body)
 
 
+def record_id(digest: str, page_id: int | None) -> str:
+    """A page's record: its payload and page name it, so a revisit can name the response that it refers to."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{digest} {page_id}')}>"
+
+
+def warcinfo_record(name: str) -> bytes:
+    """What an archive opens with."""
+    content = f"software: quarry\r\nformat: WARC File Format 1.1\r\nisPartOf: {name}\r\n".encode()
+    lines = [
+        "WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, name)}>", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Filename: {name}.warc.gz",
+        "Content-Type: application/warc-fields", f"Content-Length: {len(content)}",
+    ]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + content + b"\r\n\r\n"
+
+
 def warc_record(fields: dict[str, str], body: bytes, page_id: int | None, refers_to: int | None, revisit: bool) -> bytes:
     """The WARC record that stands for an ARC record."""
     head, payload = http_parts(body)
@@ -101,7 +116,7 @@ def warc_record(fields: dict[str, str], body: bytes, page_id: int | None, refers
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, f'{url} {date} {digest} {page_id}')}>",
+        f"WARC-Record-ID: {record_id(digest, page_id)}",
         f"WARC-Date: {date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z",
         f"WARC-Target-URI: {url}",
         f"WARC-IP-Address: {fields['IP-address']}",
@@ -113,7 +128,7 @@ def warc_record(fields: dict[str, str], body: bytes, page_id: int | None, refers
     if revisit:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         if refers_to is not None:
-            lines.append(f"X-Refers-To-Page: {refers_to}")
+            lines += [f"WARC-Refers-To: {record_id(digest, refers_to)}", f"X-Refers-To-Page: {refers_to}"]
     content = head if revisit else body
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(content)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + content + b"\r\n\r\n"
@@ -161,6 +176,7 @@ def _archive(uri: str, version: int):
                     system, path = open_fs(uri)
                     system.create_dir(path, recursive=True)
                     out = system.open_output_stream(f"{path}/{name}.warc.gz", compression=None)
+                    out.write(gzip.compress(warcinfo_record(name), 1, mtime=0))
                 for i, (fields, body) in enumerate(arc_records(b"".join(arc))):
                     out.write(gzip.compress(warc_record(fields, body, page[i], refers[i], revisit[i]), 1, mtime=0))
                 n += len(page)
@@ -179,6 +195,8 @@ def _read(uri: str):
                 rows = []
                 with system.open_input_stream(f"{path}/{archive}", compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
                     for headers, content in warc_records(stream):
+                        if headers["WARC-Type"] == "warcinfo":
+                            continue
                         size, digest = int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:")
                         if headers["WARC-Type"] == "response":
                             payload = http_parts(content)[1]

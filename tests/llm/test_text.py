@@ -31,6 +31,10 @@ def test_arc_round_trip(version):
     (headers, content), = arc.warc_records(io.BytesIO(record))
     assert headers["WARC-Date"] == "2024-01-01T00:00:00Z" and headers["WARC-Payload-Digest"] == "sha1:" + arc.sha1_base32(bodies[0][1]) and content == got[0][1]
     assert record == arc.warc_record(got[0][0], got[0][1], 7, None, False)
+    (again, head), = arc.warc_records(io.BytesIO(arc.warc_record(got[0][0], got[0][1], 5, 7, True)))
+    assert again["WARC-Refers-To"] == headers["WARC-Record-ID"] != again["WARC-Record-ID"] and head and len(head) < len(content)
+    (opening, fields), = arc.warc_records(io.BytesIO(arc.warcinfo_record("n")))
+    assert opening["WARC-Type"] == "warcinfo" and b"isPartOf: n" in fields
     assert list(arc.warc_records(gzip.GzipFile(fileobj=io.BytesIO(gzip.compress(record) * 3))))[2][1] == content
 
 
