@@ -94,7 +94,7 @@ def _scored(uri: str, k: int, mean: float):
                 value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[doc] / mean))
                 scores = np.zeros((len(names), len(n)))
                 found, first = np.unique(pair // len(n), return_index=True)
-                for code, x, y in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(pair)], strict=True):
+                for code, x, y in zip(found.tolist(), first.tolist(), np.append(first, len(pair))[1:].tolist(), strict=True):
                     who, w = asks[code]
                     scores[who[:, None], doc[x:y]] += w[:, None] * value[x:y]
                 best.add(np.round(scores, 6) + 0.0, ids)

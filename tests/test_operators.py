@@ -98,7 +98,7 @@ def test_bm25_by_blocks(spark):
     import random
 
     rng = random.Random(3)
-    docs = [(i, " ".join(rng.choices("abcdefghij", [9, 8, 7, 3, 2, 1, 1, 1, 1, 1], k=rng.randrange(30)))) for i in range(60)] + [(60, None), (61, "  ")]
+    docs = [(i, " ".join(rng.choices("abcdefghij", [9, 8, 7, 3, 2, 1, 1, 1, 1, 1], k=rng.randrange(30)))) for i in range(60)] + [(60, None), (61, "  "), (62, "other words alone")]
     asks = [(q, " ".join(rng.choices("abcdefghijz", k=4))) for q in range(9)] + [(9, "nothing here"), (10, " "), (11, None)]
     split = {i: (t or "").split() for i, t in docs}
     df = {t: sum(t in w for w in split.values()) for w in split.values() for t in w}
@@ -111,7 +111,7 @@ def test_bm25_by_blocks(spark):
         want |= {(q, i, -s, n) for n, (s, i) in enumerate(sorted(scores)[:10], 1)} if (text or "").split() else set()
     rows, questions = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(asks, "query long, text string")
     for block in (3, 2048):
-        assert {(r["query"], r.id, r.score, r["rank"]) for r in search.bm25(rows.repartition(3), questions, 10, block).collect()} == want
+        assert {(r["query"], r.id, r.score, r["rank"]) for r in search.bm25(rows.repartition(70), questions, 10, block).collect()} == want
 
 
 def test_shortest_paths_of_any_length(spark, tmp_path):
@@ -130,3 +130,33 @@ def test_shortest_paths_of_any_length(spark, tmp_path):
     want = {i: ">".join(map(str, p)) for i, p in best.items() if i % 100 == 0}
     assert {0, 100, 200, 500} == set(want)
     assert {r.id: r.path for r in catalog.QUERIES["r07_shortest_paths"](spark, str(tmp_path)).collect()} == want
+
+
+def test_ask_from_question_to_sources(spark):
+    """A small repository, worked out by hand: a question about callers, one whose pronoun stands for the last answer's class, and an empty one."""
+    from quarry.plans import pipeline
+
+    docs = spark.createDataFrame(
+        [
+            (1, "def load_user alpha beta", "a.py", "function", "load_user", 10, False), (2, "class UserService gamma", "b.py", "class_summary", "UserService", 1, False),
+            (3, "def save delta", "a.py", "function", "save", 2, True), (4, "word " * 4000, "c.py", "function", "big", 1, False),
+        ],
+        "id long, text string, file string, chunk_type string, name string, start_line long, is_entry boolean",
+    )
+    vectors = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.6, 0.8, 0.0]), (4, [0.9, 0.0, 0.43589])], "id long, v array<float>")
+    asked = [(1, "what calls load_user", None, None), (2, "Where is it", "Q: hi\nA: See UserService or load_user", "See UserService or load_user"), (3, " ", None, None)]
+    questions = spark.createDataFrame([(*q, None) for q in asked], "query long, text string, history string, previous string, cited array<string>")
+    asked_vectors = spark.createDataFrame([(1, 0, [1.0, 0.0, 0.0]), (2, 0, [0.0, 1.0, 0.0])], "query long, kind int, q array<float>")
+    names, edges = spark.createDataFrame([("load_user", 1)], "name string, id long"), spark.createDataFrame([(3, 1), (1, 2)], "src long, dst long")
+    got = {r["query"]: r for r in pipeline.ask(questions, docs, vectors, asked_vectors, names, edges).collect()}
+    save, load, service = "Function: save\ndef save delta", "Function: load_user\ndef load_user alpha beta", "Class: UserService\nclass UserService gamma"
+    # the class isn't a function, the long chunk doesn't fit, a file's chunks come in order of lines
+    assert got[1].context == f"{save}\n\n---\n\n{load}" and (got[1].type, got[1].chunks, got[1].citations, got[1].confidence) == ("what_calls", 2, 2, "medium")
+    assert got[1].answer == f"According to the code: {got[1].context}\n\n---\nSources:\n• a.py:10-10 — load_user\n• a.py:2-2 — save"
+    assert got[2].type == "where_is" and got[2].context == f"{service}\n\n---\n\n{save}\n\n---\n\n{load}"
+    assert got[2].answer.endswith("Sources:\n• b.py:1-1 — UserService\n• a.py:2-2 — save\n• a.py:10-10 — load_user")
+    assert (got[3].chunks, got[3].confidence, got[3].context) == (0, "low", None) and got[3].answer.startswith("No relevant code was found.")
+    # neighbours of a question about relations that isn't about callers alone
+    kinds = spark.createDataFrame([(1, "general", True, False), (2, "general", False, False)], "query long, type string, graph_query boolean, multi_hop boolean")
+    primary = spark.createDataFrame([(1, 3, 1.0, 1), (2, 3, 1.0, 1)], "query long, id long, score double, rank int")
+    assert sorted(map(tuple, pipeline.expanded(primary, kinds, edges).collect())) == [(1, 1, 0.7), (1, 2, 0.7)]
