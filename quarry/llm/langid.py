@@ -119,7 +119,7 @@ def gradients(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[s
     return loss, grads
 
 
-def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs: int = 6, window: int = 64, seed: int = 0) -> Model:
+def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs: int = 2, window: int = 64, seed: int = 0) -> Model:
     """Adam over windows of the texts."""
     languages = sorted(set(labels))
     model, rng = new_model(languages, hidden, seed), np.random.default_rng(seed)
@@ -130,7 +130,7 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs: i
     mean = {k: np.zeros_like(v) for k, v in model.weights.items()}
     square = {k: np.zeros_like(v) for k, v in model.weights.items()}
     size, step = 256, 0
-    epochs = max(epochs, -(-60 * size // len(cuts)))  # a small sample is read more often
+    epochs = max(epochs, -(-120 * size // len(cuts)))  # a small sample is read more often
     total = epochs * -(-len(cuts) // size)
     for _ in range(epochs):
         order = rng.permutation(len(cuts))
@@ -198,7 +198,7 @@ def unclear_texts(count: int, seed: int = 0) -> list[bytes]:
     return texts
 
 
-def learned(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, hidden: int = HIDDEN, epochs: int = 6, unclear: bool = False) -> Model:
+def learned(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, hidden: int = HIDDEN, epochs: int = 2, unclear: bool = False) -> Model:
     """A model of a bounded sample: about per_language rows of each language, by a hash of doc_id, pieces of each; unclear adds texts of no language, labelled UNKNOWN."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
