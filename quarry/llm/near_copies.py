@@ -195,7 +195,7 @@ def _links(rows: DataFrame, dealt: DataFrame, similarity: float, radius: int) ->
     return met.repartition("key").sortWithinPartitions("key", "later", "doc_id").mapInArrow(_linked(radius, similarity), "u long, v long")
 
 
-def _first_round(hot: DataFrame, shard_rows: int) -> DataFrame:
+def first_round(hot: DataFrame, shard_rows: int) -> DataFrame:
     """Documents of large shards (doc_id, key, n) in blocks, pivots in all of them."""
     blocks = F.ceil(F.col("n") / shard_rows).cast("int")
     pivot = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("n")) < PIVOTS
@@ -204,7 +204,7 @@ def _first_round(hot: DataFrame, shard_rows: int) -> DataFrame:
     return hot.select("doc_id", "key", F.explode(cells).alias("block")).select("doc_id", F.xxhash64("key", "block").alias("key"))
 
 
-def _second_round(hot: DataFrame, found: DataFrame, shard_rows: int) -> DataFrame:
+def second_round(hot: DataFrame, found: DataFrame, shard_rows: int) -> DataFrame:
     """doc_id, key, later, root: documents of large shards that hold several classes, in cells where those of different classes meet."""
     rooted = hot.join(found.select(F.col("u").alias("doc_id"), "root"), "doc_id", "left").select("doc_id", "key", F.coalesce("root", "doc_id").alias("root"))
     rooted = cut_lineage(rooted)
@@ -232,12 +232,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIU
     dealt = small.select("key", "size", "doc_id").repartition("key").sortWithinPartitions("key", "size").mapInArrow(_flagged(similarity), "doc_id long, key long")
     hot = spread.join(large, "key").select("doc_id", "key", "n")
     if several:
-        dealt = dealt.unionByName(_first_round(hot, shard_rows))
+        dealt = dealt.unionByName(first_round(hot, shard_rows))
     own_classes = dealt.withColumns({"later": F.lit(False), "root": F.col("doc_id")})
     if not several:
         return components(_links(rows, own_classes, similarity, radius))
     links = cut_lineage(_links(rows, own_classes, similarity, radius))
-    rest = _second_round(hot, components(links), shard_rows)
+    rest = second_round(hot, components(links), shard_rows)
     return components(links.unionByName(_links(rows, rest, similarity, radius)))
 
 

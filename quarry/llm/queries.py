@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import arc, decontamination, exact_dedup, langid, packing, prefix_trie, repair, sharding, simhash, token_counts, token_store, toxicity
+from quarry.llm import arc, decontamination, exact_dedup, langid, packing, prefix_trie, repair, setsketch, sharding, simhash, token_counts, token_store, toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -63,6 +63,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("node")
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_langid": op10_langid,
+    "op11_setsketch": op11_setsketch,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_repair": op13_repair,
     "sharding_law": sharding_law,
