@@ -118,6 +118,25 @@ ORACLES: dict[str, str] = {
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
     "sharding_law": "SELECT count(*) AS rows, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes, CAST(8 AS BIGINT) AS shards, true AS gapless, true AS near_equal FROM documents",
+    # pairs of distinct sets by the shingles that they share, then the least doc_id that is reachable
+    "op11_setsketch": """
+        WITH RECURSIVE words AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        sets AS (
+          SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM words),
+        named AS (SELECT doc_id, len(s) AS n, s, CASE WHEN len(s) > 0 THEN sha256(array_to_string(s, chr(10))) END AS name FROM sets),
+        nodes AS (SELECT name, min(doc_id) AS node, any_value(n) AS n, any_value(s) AS s FROM named WHERE name IS NOT NULL GROUP BY name),
+        flat AS (SELECT node, n, hash(unnest(s)) AS x FROM nodes),
+        links AS (
+          SELECT a.node AS u, b.node AS v FROM flat a JOIN flat b ON a.x = b.x AND a.node < b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+          GROUP BY u, v, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+        reach(u, v) AS (SELECT node, node FROM nodes UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON b.u = r.v),
+        roots AS (SELECT u AS node, min(v) AS root FROM reach GROUP BY u)
+        SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, coalesce(r.root, d.doc_id) AS component_id, d.doc_id = coalesce(r.root, d.doc_id) AS kept
+        FROM named d LEFT JOIN nodes n ON n.name = d.name LEFT JOIN roots r ON r.node = n.node
+    """,
     # a prefix's key is the chain of its turns' digests; a leaf and what a node saves count at every prefix of the node's least conversation
     "op12_prefix_trie": f"""
         WITH turns AS (
