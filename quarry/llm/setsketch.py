@@ -101,24 +101,27 @@ def cardinality(sketch: np.ndarray) -> float:
     return len(sketch) * (1 - 1 / BASE) / (RATE * np.log(BASE) * np.sum(BASE ** -sketch.astype(np.float64)))
 
 
-def joint_estimate(greater: np.ndarray, less: np.ndarray, equal: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The Jaccard index of greatest likelihood of pairs of sets of sizes a and b, of whose registers so many of the first are greater than, less than and equal to the second's.
+def likelihood_slope(greater: np.ndarray, less: np.ndarray, equal: np.ndarray, a: np.ndarray, b: np.ndarray, j: np.ndarray | float) -> np.ndarray:
+    """The slope at j of the likelihood's logarithm, for pairs of sets of sizes a and b and Jaccard index j, of whose registers so many of the first are greater than, less than and equal
+    to the second's.
 
-    A register of the first is the greater one with the chance p(u - v j), of the second with p(v - u j), where u and v are the shares of the sizes in their sum. The logarithm of the
-    likelihood is concave in j, so its slope is bisected."""
+    A register of the first is the greater one with the chance p(u - v j), of the second with p(v - u j), where u and v are the shares of the sizes in their sum."""
     u, v = a / (a + b), b / (a + b)
     k = (BASE - 1) / BASE
-    chance = lambda x: -np.log1p(-x * k) / np.log(BASE)
-    slope = lambda x: k / ((1 - x * k) * np.log(BASE))
-    low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
+    x, y = u - v * j, v - u * j
+    p, q = -np.log1p(-x * k) / np.log(BASE), -np.log1p(-y * k) / np.log(BASE)
+    dp, dq = -v * k / ((1 - x * k) * np.log(BASE)), -u * k / ((1 - y * k) * np.log(BASE))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(greater > 0, greater * dp / p, 0) + np.where(less > 0, less * dq / q, 0) - np.where(equal > 0, equal * (dp + dq) / (1 - p - q), 0)
+
+
+def joint_estimate(greater: np.ndarray, less: np.ndarray, equal: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The Jaccard index of greatest likelihood: the likelihood's logarithm is concave, so its slope is bisected."""
+    low, high = np.zeros(len(a)), np.minimum(a / b, b / a)
     for _ in range(30):
         j = (low + high) / 2
-        x, y = u - v * j, v - u * j
-        p, q = chance(x), chance(y)
-        dp, dq = -v * slope(x), -u * slope(y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            up = np.where(greater > 0, greater * dp / p, 0) + np.where(less > 0, less * dq / q, 0) - np.where(equal > 0, equal * (dp + dq) / (1 - p - q), 0)
-        low, high = np.where(up > 0, j, low), np.where(up > 0, high, j)
+        up = likelihood_slope(greater, less, equal, a, b, j) > 0
+        low, high = np.where(up, j, low), np.where(up, high, j)
     return (low + high) / 2
 
 
@@ -167,13 +170,13 @@ Test = Callable[[np.ndarray, list[np.ndarray], int, np.ndarray], np.ndarray]
 
 
 def estimated(similarity: float, slack: float = SLACK) -> Test:
-    """Whether sets may reach the similarity, by their registers' likelihood."""
+    """Whether the likeliest Jaccard index is within slack standard errors of the similarity: whether the likelihood rises there, as it has one peak."""
     least = similarity - slack * (similarity * (1 - similarity) / REGISTERS) ** 0.5
 
     def test(sizes: np.ndarray, payload: list[np.ndarray], a: int, near: np.ndarray) -> np.ndarray:
         others = np.stack([payload[b] for b in near.tolist()])
         greater, less = (payload[a] > others).sum(1), (payload[a] < others).sum(1)
-        return joint_estimate(greater, less, REGISTERS - greater - less, np.full(len(near), sizes[a], np.float64), sizes[near].astype(np.float64)) >= least
+        return likelihood_slope(greater, less, REGISTERS - greater - less, float(sizes[a]), sizes[near].astype(np.float64), least) >= 0
 
     return test
 
