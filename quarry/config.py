@@ -64,6 +64,8 @@ BINARY_NUL_SHARE = 0.01
 BINARY_NONPRINTABLE_SHARE = 0.30
 MAX_BODY_CHARS = 50_000
 MINIFIED_LINE_CHARS = 10_000
+#: What a file may take to parse.
+PARSE_SECONDS = 30.0
 MAX_CHUNK_TOKENS = 200
 OVERLAP_TOKENS = 40
 MIN_CHUNK_TOKENS = 10

@@ -1,71 +1,46 @@
 """Sources to entities: p01-p11.
 
-Python is read with its own grammar; other languages, and Python that doesn't compile, by patterns for definitions and imports. Where blocks have braces, one scan pairs
-them, so a definition has the classes around it and its own body. Each file is parsed on its own in its task, in time that grows as its text, so parsing scales with
-files; a file that is empty or minified gives no entity, one that fails an entity of kind `error`.
+Python is read with its own grammar, a file that doesn't compile statement by statement; languages with braces by grammar.Reader; others, and Python statements that don't compile, by patterns for
+definitions and imports. Each file is parsed on its own in its task, in time that grows as its text, so parsing scales with files; a file that is empty or minified gives no
+entity, one that fails or takes too long an entity of kind `error`, and its neighbours keep theirs.
 """
 
 from __future__ import annotations
 
 import ast
 import re
-from bisect import bisect_left
+import signal
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry import config
-from quarry.operators.filters import language
+from quarry.operators import rules
+from quarry.operators.filters import language, truncated_body
+from quarry.operators.grammar import Reader, lines_of
 
-SCHEMA = "path string, kind string, name string, qualified_name string, parent string, line int, end_line int, params array<string>, details array<string>, calls array<string>, flags array<string>, docstring string, attributes array<string>, sha string"
+SCHEMA = "path string, kind string, name string, qualified_name string, parent string, line int, end_line int, params array<string>, details array<string>, calls array<string>, flags array<string>, docstring string, attributes array<string>, types array<string>, defaults array<string>, returns string, body string, sha string"
 FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
 
-_ID = r"[A-Za-z_$][\w$]*"
-#: Per language: patterns of functions, classes and imports; the first group names the entity, a group `base` its bases.
-PATTERNS: dict[str, dict[str, list[str]]] = {
-    "JavaScript": {
-        "function": [
-            rf"^\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*({_ID})\s*(?:<[^>]*>)?\((?P<params>[^)]*)\)",
-            rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_ID})\s*(?::[^=]+)?=\s*(?:async\s*)?\(?(?P<params>[^()=]*)\)?\s*(?::\s*[\w<>\[\]]+\s*)?=>",
-            rf"^[ \t]+(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+|\*\s*)*(?!(?:if|for|while|switch|catch|return|function|with)\b)(#?{_ID})\s*(?:<[^>]*>)?\((?P<params>[^)]*)\)\s*(?::\s*[^{{;=]+)?\{{",
-            rf"^[ \t]+(?:(?:public|private|protected)\s+)?abstract\s+({_ID})\s*\((?P<params>[^)]*)\)",
-        ],
-        "class": [rf"^\s*(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+({_ID})(?:<[^>]*>)?(?:\s+extends\s+(?P<base>[\w$.]+))?"],
-        "import": [r"""^\s*import\s+.*?from\s+['"]([^'"]+)['"]""", r"""^\s*import\s+['"]([^'"]+)['"]""", r"""require\(\s*['"]([^'"]+)['"]\s*\)"""],
-    },
-    "Java": {
-        "function": [
-            rf"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized|default|native)\s+)+(?:<[^>]*>\s*)?(?:[\w<>\[\],.?]+\s+)?({_ID})\s*\((?P<params>[^)]*)\)\s*(?:throws [\w., ]+)?\s*[{{;]",
-            rf"^[ \t]+(?!(?:return|new|else|throw|case|do|try)\b)[\w.]+(?:<[^;(){{}}]*>)?(?:\[\])*\s+({_ID})\s*\((?P<params>[^)]*)\)\s*(?:throws [\w., ]+)?\s*\{{",
-        ],
-        "class": [rf"^\s*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(?:class|interface|enum|record)\s+({_ID})(?:.*?\bextends\s+(?P<base>[\w.]+))?"],
-        "import": [r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;"],
-    },
-    "Go": {"function": [rf"^func\s+(?:\(\s*\w*\s*\*?(?P<parent>\w+)(?:\[[^\]]*\])?\s*\)\s*)?({_ID})\s*(?:\[[^\]]*\])?\((?P<params>[^)]*)\)"], "class": [rf"^type\s+({_ID})(?:\[[^\]]*\])?\s+(?:struct|interface)\b"], "import": [r'^\s*import\s+(?:\w+\s+)?"([^"]+)"', r'^\s+(?:\w+\s+)?"([\w./-]+)"\s*$']},
-    "Rust": {
-        "function": [rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+|extern\s+\"\w+\"\s+)*fn\s+({_ID})\s*(?:<[^>]*>)?\((?P<params>[^)]*)\)"],
-        "class": [rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+({_ID})"],
-        "scope": [r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[^{;]*?\bfor\s+)?([A-Za-z_]\w*)"],
-        "import": [r"^\s*(?:pub\s+)?use\s+([\w:]+)"],
-    },
-    "C": {"function": [rf"^(?!\s*(?:return|else|if|for|while|switch)\b)[ \t]*[A-Za-z_][\w\s*&:<>,]*?[\s*&]((?:{_ID}::)*~?{_ID})\s*\((?P<params>[^;{{)]*)\)\s*(?:const\s*)?(?:override\s*)?\{{"], "class": [rf"^\s*(?:typedef\s+)?(?:class|struct|enum)\s+({_ID})(?:\s*:\s*(?:public|private|protected)?\s*(?P<base>[\w:]+))?\s*\{{"], "import": [r'^\s*#\s*include\s*[<"]([^>"]+)[>"]']},
-    "generic": {"function": [r"^\s*(?:def|function|func|fn|sub|fun)\s+(\w+)"], "class": [r"^\s*(?:class|struct|interface|trait|module)\s+(\w+)"], "import": [r"""^\s*(?:import|require|include|use)\s+['"]?([\w./:-]+)"""]},
+#: Of other languages: patterns of functions, classes and imports; the first group names the entity.
+PATTERNS = {
+    "function": r"^\s*(?:def|function|func|fn|sub|fun)\s+(\w+)",
+    "class": r"^\s*(?:class|struct|interface|trait|module)\s+(\w+)",
+    "import": r"""^\s*(?:import|require|include|use)\s+['"]?([\w./:-]+)""",
 }
-PATTERNS["TypeScript"] = PATTERNS["JavaScript"] | {"class": [*PATTERNS["JavaScript"]["class"], rf"^\s*(?:export\s+)?(?:interface|enum)\s+({_ID})"]}
-PATTERNS["C++"] = PATTERNS["C"]
-_NO_CALLS = {"if", "for", "while", "switch", "catch", "return", "function", "func", "fn", "match", "sizeof"}
-#: Text in which braces don't count, and braces; quotes hold one character where the language has no strings in them.
-_STOP = re.compile("[;{}]")
-_STRINGS, _COMMENTS = r'"(?:\\.|[^"\\\n])*"', r"//[^\n]*|/\*.*?\*/"
-_BRACES = {many: re.compile(rf"{_STRINGS}|{quoted}|{_COMMENTS}|[{{}}]", re.S) for many, quoted in ((True, r"'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"), (False, r"'(?:\\[^']+|[^'\\\n])'"))}
+#: A statement of the outermost level begins; strings over several lines are met first.
+_STATEMENT = re.compile(r"""(\"{3}|'{3})(?:\\.|.)*?\1|^(?=[^\s#)\]}])""", re.M | re.S)
+GRAMMARS = ("JavaScript", "TypeScript", "Java", "Go", "Rust", "C", "C++")
 
 Entity = tuple
 
 
-def _entity(path, kind, name, qualified, parent, line, end, params=(), details=(), calls=(), flags=(), docstring=None, attributes=()) -> Entity:
-    return (path, kind, name, qualified, parent, line, end, list(params), list(details), list(calls), list(flags), docstring, list(attributes))
+def _entity(path, kind, name, qualified, parent, line, end, params=(), details=(), calls=(), flags=(), docstring=None, attributes=(), types=(), defaults=(), returns=None, body=None) -> Entity:
+    return (path, kind, name, qualified, parent, line, end, list(params), list(details), list(calls), list(flags), docstring, list(attributes), list(types), list(defaults), returns, body)
 
 
 def _targets(node: ast.AST) -> list[ast.AST]:
@@ -80,8 +55,8 @@ def _dotted(node: ast.AST) -> str:
 class _PythonReader(ast.NodeVisitor):
     """Entities of one module; a stack of classes and functions gives qualified names."""
 
-    def __init__(self, path: str) -> None:
-        self.path, self.classes, self.found, self.conditional = path, [], [], 0
+    def __init__(self, path: str, source: str = "") -> None:
+        self.path, self.classes, self.found, self.conditional, self.lines = path, [], [], 0, source.split("\n")
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
         qualified = ".".join([*self.classes, node.name])
@@ -96,12 +71,19 @@ class _PythonReader(ast.NodeVisitor):
         self.classes.pop()
 
     def _function(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
-        a, parent = node.args, ".".join(self.classes) or None
-        params = [p.arg for p in [*a.posonlyargs, *a.args, *a.kwonlyargs]] + ([f"*{a.vararg.arg}"] if a.vararg else []) + ([f"**{a.kwarg.arg}"] if a.kwarg else [])
+        a, parent, name = node.args, ".".join(self.classes) or None, node.name
+        plain = [*a.posonlyargs, *a.args]
+        params = [*zip(plain, [None] * (len(plain) - len(a.defaults)) + a.defaults, [""] * len(plain), strict=True), *((p, d, "") for p, d in zip(a.kwonlyargs, a.kw_defaults, strict=True))]
+        params += [(p, None, stars) for p, stars in ((a.vararg, "*"), (a.kwarg, "**")) if p]
         decorators = [_dotted(d) for d in node.decorator_list]
-        flags = [f for f, on in (("method", parent), ("constructor", parent and node.name == "__init__"), ("private", node.name.startswith("_")), ("static", "staticmethod" in decorators), ("async", isinstance(node, ast.AsyncFunctionDef))) if on]
+        private = name.startswith("_") and not (len(name) > 4 and name.startswith("__") and name.endswith("__"))
+        flags = [f for f, on in (("method", parent), ("constructor", parent and name == "__init__"), ("private", private), ("static", {"staticmethod", "classmethod"} & {*decorators}), ("async", isinstance(node, ast.AsyncFunctionDef))) if on]
         calls = dict.fromkeys(_dotted(n.func).split(".")[-1] for n in ast.walk(node) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name | ast.Attribute))
-        self.found.append(_entity(self.path, "function", node.name, ".".join([*self.classes, node.name]), parent, node.lineno, node.end_lineno, params, decorators, calls, flags, ast.get_docstring(node)))
+        self.found.append(_entity(
+            self.path, "function", name, ".".join([*self.classes, name]), parent, node.lineno, node.end_lineno, [f"{stars}{p.arg}" for p, _, stars in params], decorators, calls, flags, ast.get_docstring(node),
+            types=[_dotted(p.annotation) if p.annotation else "" for p, _, _ in params], defaults=[_dotted(d) if d else "" for _, d, _ in params], returns=_dotted(node.returns) if node.returns else None,
+            body="\n".join(self.lines[node.lineno - 1 : node.end_lineno]),
+        ))
         self.generic_visit(node)
 
     visit_FunctionDef = visit_AsyncFunctionDef = _function
@@ -128,7 +110,7 @@ class _PythonReader(ast.NodeVisitor):
 
 
 def parse_python(path: str, source: str) -> list[Entity]:
-    reader = _PythonReader(path)
+    reader = _PythonReader(path, source)
     tree = ast.parse(source)
     text, held = ast.get_docstring(tree), [t.id for n in tree.body for t in _targets(n) if isinstance(t, ast.Name)]
     if text or held:
@@ -137,123 +119,127 @@ def parse_python(path: str, source: str) -> list[Entity]:
     return reader.found
 
 
-def _pairs(source: str, many: bool) -> tuple[set[int], dict[int, int]]:
-    """Places of opening braces, and of the brace that closes each."""
-    opened, closes, open_now = set(), {}, []
-    for m in _BRACES[many].finditer(source):
-        if m[0] == "{":
-            opened.add(m.start())
-            open_now.append(m.start())
-        elif m[0] == "}" and open_now:
-            closes[open_now.pop()] = m.start()
-    return opened, closes
-
-
-class _Body:
-    """Where the blocks and lines of a source are."""
-
-    def __init__(self, source: str, language: str) -> None:
-        self.source, self.braces = source, language in PATTERNS and language != "generic"
-        self.opened, self.closes = _pairs(source, language in ("JavaScript", "TypeScript")) if self.braces else (set(), {})
-        self.breaks = [m.start() for m in re.finditer("\n", source)]
-
-    def line(self, at: int) -> int:
-        return bisect_left(self.breaks, at) + 1
-
-    def block(self, m: re.Match) -> tuple[int, int] | None:
-        """The block that a definition opens, if no statement ends before it."""
-        hit = _STOP.search(self.source, m.end() - 1)
-        if not hit or hit.start() not in self.opened:
-            return None
-        return hit.start(), self.closes.get(hit.start(), len(self.source))
-
-    def marks(self, at: int) -> list[str]:
-        """Annotations on the lines before a definition's, first to last."""
-        found, line = [], self.line(at) - 2
-        while line >= 0:
-            text = self.source[self.breaks[line - 1] + 1 if line else 0 : self.breaks[line]].strip()
-            if not text.startswith(("@", "#[")):
-                break
-            found.append(text)
-            line -= 1
-        return found[::-1]
-
-
-def _definitions(source: str, language: str) -> list[tuple[int, str, str, re.Match]]:
-    """(place, kind, name, match), each once, in order; the generic patterns give each name of a kind once."""
-    found = {}
-    for kind, patterns in PATTERNS.get(language, PATTERNS["generic"]).items():
-        for pattern in patterns:
-            for m in re.finditer(pattern, source, re.M):
-                name = next(g for i, g in enumerate(m.groups(), 1) if g is not None and i not in m.re.groupindex.values())
-                at = m.start() + len(m[0]) - len(m[0].lstrip())
-                found.setdefault((at, kind, name), m)
-    listed, met = [(*key, m) for key, m in sorted(found.items(), key=lambda x: x[0])], set()
-    if language in PATTERNS and language != "generic":
-        return listed
-    return [x for x in listed if x[1:3] not in met and not met.add(x[1:3])]
-
-
-def parse_patterns(path: str, source: str, language: str) -> list[Entity]:
-    """Entities by the language's patterns; calls are the names before brackets in a function's block, or up to the next definition where blocks have no braces."""
-    body, listed = _Body(source, language), _definitions(source, language)
-    starts = [at for at, kind, _, _ in listed if kind != "import"] + [len(source)]
-    out, scopes, above = [], [], None  # scopes: (end, name) of the classes around
-    for at, kind, name, m in listed:
-        scopes = [x for x in scopes if x[0] > at]
-        groups, line, block = m.groupdict(), body.line(at), body.block(m) if kind != "import" else None
-        words = re.findall(r"\w+", m[0].split("(")[0])
+def parse_statements(path: str, source: str) -> list[Entity]:
+    """Entities of Python that doesn't compile: each statement of the outermost level by the grammar if it does by itself, else by patterns."""
+    found, line = [], 0
+    starts = [m.start() for m in _STATEMENT.finditer(source) if not m[0]]
+    for start, end in zip([0, *starts], [*starts, len(source)], strict=True):
+        part = source[start:end]
+        try:
+            reader = _PythonReader(path, part)
+            tree = ast.parse(part)
+            reader.visit(tree)
+            own = reader.found
+        except (SyntaxError, ValueError, RecursionError):
+            own = parse_patterns(path, part)
+        found += [(*e[:5], e[5] + line, e[6] + line, *e[7:]) for e in own]
+        line += part.count("\n")
+    return found
+
+
+def parse_patterns(path: str, source: str) -> list[Entity]:
+    """Entities by the generic patterns, each name of a kind once; an indented function belongs to the class above it."""
+    line, starts = lines_of(source), []
+    for kind, pattern in PATTERNS.items():
+        names: dict[str, re.Match] = {}
+        for m in re.finditer(pattern, source, re.M):
+            names.setdefault(m[1], m)
+        starts += [(m.start() + len(m[0]) - len(m[0].lstrip()), kind, name, m) for name, m in names.items()]
+    starts.sort(key=lambda x: x[:2])
+    own = [at for at, kind, _, _ in starts if kind != "import"]
+    ends = dict(zip(own, [*own[1:], len(source)], strict=False))
+    out, above = [], None
+    for at, kind, name, m in starts:
+        first = line(at)
         if kind == "import":
-            out.append(_entity(path, kind, name, name, None, line, line, flags=["relative" if name.startswith(".") else "absolute"]))
-        elif kind in ("class", "scope"):
-            above, around = name, [x[1] for x in scopes]
-            if block:
-                scopes.append((block[1], name))
-            if kind == "class":
-                flags = [flag for flag, on in (("abstract", "abstract" in words), ("interface", {"interface", "trait"} & {*words}), ("enum", "enum" in words)) if on]
-                out.append(_entity(path, kind, name, ".".join([*around, name]), ".".join(around) or None, line, body.line(block[1]) if block else line, details=[groups["base"]] if groups.get("base") else body.marks(at) if language == "Rust" else [], flags=flags))
+            out.append(_entity(path, kind, name, name, None, first, first, flags=["relative" if name.startswith(".") else "absolute"]))
+        elif kind == "class":
+            above = name
+            out.append(_entity(path, kind, name, name, None, first, first, flags=["interface"] * m[0].lstrip().startswith(("interface", "trait"))))
         else:
-            *outer, name = name.split("::")
-            inside = [x[1] for x in scopes]
-            if not body.braces:
-                inside = [above] if above and m[0].lstrip("\n")[:1].isspace() else []
-            own = groups.get("parent") or ".".join([*inside, *outer])
-            if body.braces:
-                rest = source.find("\n", m.end())
-                end = block[1] if block else m.end() if m[0].endswith(";") else len(source) if rest < 0 else rest
-            else:
-                end = next(s for s in starts if s > at)
-            calls = [c for c in dict.fromkeys(re.findall(rf"({_ID})\s*\(", source[m.end() : end])) if c not in _NO_CALLS]
-            params = [p.strip() for p in (groups.get("params") or "").split(",") if p.strip()]
-            flags = [
-                flag for flag, on in (
-                    ("method", own), ("constructor", own and name in ("constructor", own.split(".")[-1])), ("private", {"private", "protected"} & {*words} or name.startswith(("_", "#"))),
-                    ("static", "static" in words), ("async", "async" in m[0]), ("abstract", "abstract" in words),
-                ) if on
-            ]
-            out.append(_entity(path, "function", name, f"{own}.{name}" if own else name, own or None, line, body.line(end), params, body.marks(at), calls, flags))
+            owner = above if m[0].lstrip("\n")[:1].isspace() else None
+            body = source[at : ends[at]]
+            flags = [flag for flag, on in (("method", owner), ("private", name.startswith("_"))) if on]
+            calls = dict.fromkeys(re.findall(r"([^\W\d]\w*)\s*\(", body[m.end() - at :]))
+            out.append(_entity(path, kind, name, f"{owner}.{name}" if owner else name, owner, first, line(ends[at]), calls=calls, flags=flags, body=body))
+    return out
+
+
+def parse_grammar(path: str, source: str, language: str) -> list[Entity]:
+    """Entities of a language with braces."""
+    reader, line, out = Reader(source, language), lines_of(source), []
+    if reader.macros:
+        out.append(_entity(path, "module", path, path, None, 1, 1, attributes=dict.fromkeys(reader.macros)))
+    for x in reader.found:
+        first, last, name = line(x.start), line(max(x.start, x.end - 1)), x.name
+        if x.kind == "import":
+            out.append(_entity(path, "import", name, name, None, first, last, details=x.bases, flags=["relative" if name.startswith(".") or "local" in x.words else "absolute"]))
+            continue
+        qualified = f"{x.owner}.{name}" if x.owner else name
+        if x.kind == "class":
+            flags = [flag for flag, on in (("abstract", "abstract" in x.words), ("interface", {"interface", "trait"} & {*x.words}), ("enum", "enum" in x.words)) if on]
+            out.append(_entity(path, "class", name, qualified, x.owner or None, first, last, details=x.marks if language == "Rust" else x.bases, flags=flags))
+            continue
+        flags = [
+            flag for flag, on in (
+                ("method", x.owner), ("constructor", x.owner and name in ("constructor", x.owner.split(".")[-1])), ("private", {"private", "protected"} & {*x.words} or name.startswith(("_", "#"))),
+                ("static", "static" in x.words), ("async", "async" in x.words), ("abstract", "abstract" in x.words),
+            ) if on
+        ]
+        out.append(_entity(path, "function", name, qualified, x.owner or None, first, last, [p.name for p in x.params], x.marks, x.calls, flags, types=[p.type for p in x.params], defaults=[p.default for p in x.params], returns=x.returns or None, body=source[x.start : x.end]))
     return out
 
 
-def parse(path: str, source: str, language: str | None) -> list[Entity]:
+class TooLong(Exception):
+    """A file took longer than it may."""
+
+
+@contextmanager
+def time_limit(seconds: float) -> Iterator[None]:
+    """Ends what is inside after so many seconds, where the system has alarms and this is the process's main thread, as in Spark's workers."""
+    if threading.current_thread() is not threading.main_thread() or not hasattr(signal, "setitimer"):
+        yield
+        return
+
+    def ring(*_) -> None:
+        raise TooLong
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def parse(path: str, source: str, language: str | None, seconds: float = config.PARSE_SECONDS) -> list[Entity]:
     """A file's entities, by the parser of its language."""
     if not source or max(map(len, source.split("\n"))) > config.MINIFIED_LINE_CHARS:
         return []
-    if language == "Python":
-        try:
-            return parse_python(path, source)
-        except (SyntaxError, ValueError, RecursionError):
-            return [*parse_patterns(path, source, "generic"), _entity(path, "error", "syntax", "syntax", None, 1, 1)]
-    return parse_patterns(path, source, language or "generic")
-
-
-def parse_files(files: DataFrame) -> DataFrame:
+    try:
+        with time_limit(seconds):
+            if language in GRAMMARS:
+                return parse_grammar(path, source, language)
+            if language != "Python":
+                return parse_patterns(path, source)
+            try:
+                return parse_python(path, source)
+            except (SyntaxError, ValueError, RecursionError):
+                return [*parse_statements(path, source), _entity(path, "error", "syntax", "syntax", None, 1, 1)]
+    except TooLong:
+        return [_entity(path, "error", "time", "time", None, 1, 1)]
+    except RecursionError:
+        return [_entity(path, "error", "depth", "depth", None, 1, 1)]
+
+
+def parse_files(files: DataFrame, seconds: float = config.PARSE_SECONDS) -> DataFrame:
     """Entities of files (path, content), stamped with their content's SHA-256; the language is that of the extension."""
-    kinds = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.list_(pa.string())] * 4 + [pa.string(), pa.list_(pa.string()), pa.string()]
+    kinds = [pa.string()] * 5 + [pa.int32()] * 2 + [pa.list_(pa.string())] * 4 + [pa.string()] + [pa.list_(pa.string())] * 3 + [pa.string()] * 3
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(*e, sha) for path, content, name, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True) for e in parse(path, content, name)]
+            rows = [(*e, sha) for path, content, name, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True) for e in parse(path, content, name, seconds)]
             for at in range(0, len(rows), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 5000], strict=True), kinds, strict=True)], FIELDS)
 
@@ -266,7 +252,7 @@ def errors_of(entities: DataFrame) -> DataFrame:
 
 
 def functions_of(entities: DataFrame) -> DataFrame:
-    return entities.where("kind = 'function'").select(F.col("path").alias("file_path"), "name", "qualified_name", "parent", "line", "end_line", "params", F.col("details").alias("decorators"), "calls", "flags", "docstring", "sha")
+    return entities.where("kind = 'function'").select(F.col("path").alias("file_path"), "name", "qualified_name", "parent", "line", "end_line", "params", "types", "defaults", "returns", F.col("details").alias("decorators"), "calls", "flags", "docstring", truncated_body(F.col("body")).alias("body"), rules.complexity(F.coalesce("body", F.lit("")), language(F.col("path"))).alias("complexity"), "sha")
 
 
 def classes_of(entities: DataFrame) -> DataFrame:

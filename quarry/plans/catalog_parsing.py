@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hashlib import sha256
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,66 +11,71 @@ from quarry import config
 from quarry.operators import chunks, context, diagram, filters, graph, parsing, story
 from quarry.operators.shared import fresh
 from quarry.plans.catalog_files import _LANG, FILES
-from quarry.plans.fixtures import ddb, table, view
+from quarry.plans.fixtures import ddb, quoted, table, view
 from quarry.plans.registry import query
+from quarry.plans.samples import SAMPLES
 from quarry.sources import repository
 
 EDGES = "WITH RECURSIVE " + ddb("v_edges", "v_nodes")
 
-#: Each language with two classes that have methods of one name.
-SOURCES = {
-    "a.py": 'import os\nfrom .util import load as l, save\nclass A(Base):\n    """A thing."""\n    kind = 1\n    def __init__(self, x, *rest):\n        self.x = load(x)\n    @staticmethod\n    def make(): return A(1)\nasync def _go(n: int = 1):\n    if n: import json\n    await run(n)\nclass B:\n    def make(self): return map(lambda y: y, [])\nLIMIT = 3\n',
-    "b.js": "import x from './x';\nconst y = require('y');\nexport class B extends C {\n  go(a, b) {\n    run(a);\n  }\n}\nclass D {\n  static go() { return `${stop()}{`; }\n}\nasync function load(q) { fetchIt(q); }\nconst add = (a, b) => a + b;\n",
-    "c.ts": "export interface Shape {}\nexport enum Kind { A }\nexport abstract class P extends Q {\n  private size(): number { return calc(1); }\n}\nclass R {\n  size(): number { return 2; }\n}\nexport function area(s: Shape) { return calc(s); }\n",
-    "D.java": "import java.util.List;\npublic class D extends E {\n  public static void main(String[] args) {\n    run();\n  }\n  public void run() {\n    go(\"{\");\n  }\n}\nclass F {\n  @Override\n  void run() { stop(); }\n}\n",
-    "e.go": 'package main\nimport "fmt"\ntype S struct {\n}\ntype T struct{}\nfunc (s *S) Name() string { return fmt.Sprint(s) }\nfunc (t T) Name() string { return call(t) }\nfunc main() { run() }\n',
-    "f.rs": "use std::fs;\npub struct P;\nstruct Q;\nimpl P {\n    pub fn new(a: u8) -> P { make(a) }\n}\nimpl Show for Q {\n    fn new() -> Q { other('{') }\n}\nfn main() { P::new(1); }\n",
-    "g.cpp": '#include <vector>\nclass V : public W {\n  int size() { return one(); }\n};\nstruct U {\n  int size() const { return two(); }\n};\nint V::run(int c) {\n  return go(c);\n}\nint main(int c) {\n  return run(c);\n}\n',
-    "h.rb": "require 'set'\nclass H\n  def go\n  end\nend\n",
-    "i.py": "def broken(:\n",
+#: How each sample ends: with the document's whole text, in a comment or a string of the language, without what would end it; here in Spark, there in DuckDB.
+_ENDS = {
+    "py": ('"""', lambda text: F.translate(text, '"\\\0', ""), '"""', "translate(text, '\"\\' || chr(0), '')"),
+    "rb": ("# ", lambda text: F.replace(text, F.lit("\n"), F.lit("\n# ")), "", "replace(text, chr(10), chr(10) || '# ')"),
 }
+_COMMENT = ("/* ", lambda text: F.translate(text, "*/", ""), " */", "translate(text, '*/', '')")
 
 
-def _entities(spark: SparkSession) -> DataFrame:
-    return parsing.parse_files(spark.createDataFrame(list(SOURCES.items()), "path string, content string"))
+def rendered(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """path, content: every document as a file of each of these samples, with its whole text at the end."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    files = []
+    for name in names:
+        file, source, _ = SAMPLES[name]
+        head, cleaned, tail, _ = _ENDS.get(file.split(".")[1], _COMMENT)
+        content = F.concat(F.replace(F.lit(source), F.lit("{id}"), F.col("id")), F.lit(head), cleaned(F.col("text")), F.lit(tail))
+        files.append(docs.select(F.concat(F.lit("src/"), "id", F.lit(f"/{file}")).alias("path"), content.alias("content")))
+    return reduce(DataFrame.unionByName, files)
 
 
-def _listed(spark: SparkSession, path: str) -> DataFrame:
-    return _entities(spark).where(F.col("path") == path).select("kind", "qualified_name", F.col("line").cast("int").alias("line"), *[F.array_join(c, ",").alias(c) for c in ("calls", "flags", "attributes")])
+def _parsed_sql(names: list[str], columns: str) -> str:
+    """The samples' expected rows for each document; a file with a longer line than the limit has none."""
+    rows = ", ".join(f"('{SAMPLES[n][0]}', {', '.join(repr(v) if isinstance(v, int) else quoted([v]) for v in row)})" for n in names for row in SAMPLES[n][2])
+    longest = lambda end: f"list_max(list_transform(string_split({quoted([end[0]])} || {end[3]} || {quoted([end[2]])}, chr(10)), lambda x: length(x)))"
+    return f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(text, '') AS text FROM documents),
+      d AS (SELECT id, {longest(_ENDS["py"])} AS py, {longest(_ENDS["rb"])} AS rb, {longest(_COMMENT)} AS other FROM t),
+      e AS (SELECT * FROM (VALUES {rows}) AS t(file, kind, name, line, params, calls)),
+      p AS (SELECT 'src/' || id || '/' || file AS path, kind, replace(name, '{{id}}', id) AS qualified_name, line, params, calls FROM d, e
+            WHERE CASE WHEN suffix(file, '.py') THEN py WHEN suffix(file, '.rb') THEN rb ELSE other END <= {config.MINIFIED_LINE_CHARS})
+      SELECT {columns}"""
 
 
-_PARSED = {
-    "p02_python": ("a.py", "('module', 'a.py', 1, '', '', 'LIMIT'), ('import', 'os', 1, '', 'absolute', ''), ('import', '.util', 2, '', 'relative', ''), ('class', 'A', 3, '', '', 'kind,x'), ('function', 'A.__init__', 6, 'load', 'method,constructor,private', ''), ('function', 'A.make', 9, 'A', 'method,static', ''), ('function', '_go', 10, 'run', 'private,async', ''), ('import', 'json', 11, '', 'absolute,conditional', ''), ('class', 'B', 13, '', '', ''), ('function', 'B.make', 14, 'map', 'method', ''), ('function', 'lambda_line_14', 14, '', 'lambda', '')"),
-    "p03_javascript": ("b.js", "('import', './x', 1, '', 'relative', ''), ('import', 'y', 2, '', 'absolute', ''), ('class', 'B', 3, '', '', ''), ('function', 'B.go', 4, 'run', 'method', ''), ('class', 'D', 8, '', '', ''), ('function', 'D.go', 9, 'stop', 'method,static', ''), ('function', 'load', 11, 'fetchIt', 'async', ''), ('function', 'add', 12, '', '', '')"),
-    "p04_typescript": ("c.ts", "('class', 'Shape', 1, '', 'interface', ''), ('class', 'Kind', 2, '', 'enum', ''), ('class', 'P', 3, '', 'abstract', ''), ('function', 'P.size', 4, 'calc', 'method,private', ''), ('class', 'R', 6, '', '', ''), ('function', 'R.size', 7, '', 'method', ''), ('function', 'area', 9, 'calc', '', '')"),
-    "p05_java": ("D.java", "('import', 'java.util.List', 1, '', 'absolute', ''), ('class', 'D', 2, '', '', ''), ('function', 'D.main', 3, 'run', 'method,static', ''), ('function', 'D.run', 6, 'go', 'method', ''), ('class', 'F', 10, '', '', ''), ('function', 'F.run', 12, 'stop', 'method', '')"),
-    "p06_go": ("e.go", "('import', 'fmt', 2, '', 'absolute', ''), ('class', 'S', 3, '', '', ''), ('class', 'T', 5, '', '', ''), ('function', 'S.Name', 6, 'Sprint', 'method', ''), ('function', 'T.Name', 7, 'call', 'method', ''), ('function', 'main', 8, 'run', '', '')"),
-    "p07_rust": ("f.rs", "('import', 'std::fs', 1, '', 'absolute', ''), ('class', 'P', 2, '', '', ''), ('class', 'Q', 3, '', '', ''), ('function', 'P.new', 5, 'make', 'method', ''), ('function', 'Q.new', 8, 'other', 'method', ''), ('function', 'main', 10, 'new', '', '')"),
-    "p08_cpp": ("g.cpp", "('import', 'vector', 1, '', 'absolute', ''), ('class', 'V', 2, '', '', ''), ('function', 'V.size', 3, 'one', 'method', ''), ('class', 'U', 5, '', '', ''), ('function', 'U.size', 6, 'two', 'method', ''), ('function', 'V.run', 8, 'go', 'method', ''), ('function', 'main', 11, 'run', '', '')"),
-    "p09_generic": ("h.rb", "('import', 'set', 1, '', 'absolute', ''), ('class', 'H', 2, '', '', ''), ('function', 'H.go', 3, '', 'method', '')"),
-    "p01_failed_parse": ("i.py", "('function', 'broken', 1, '', '', ''), ('error', 'syntax', 1, '', '', '')"),
-}
-for _key, (_path, _rows) in _PARSED.items():
-    query(_key, f"SELECT * FROM (VALUES {_rows}) AS t(kind, qualified_name, line, calls, flags, attributes)")(lambda spark, sf_dir, path=_path: _listed(spark, path))
+def _entities(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    return parsing.parse_files(rendered(spark, sf_dir, *names))
 
 
-@query("p10_dispatch", "SELECT * FROM (VALUES ('a.py', 'Python'), ('b.jsx', 'JavaScript'), ('c.tsx', 'TypeScript'), ('d.hpp', 'C++'), ('e.unknown', 'generic')) AS t(path, parser)")
-def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = spark.createDataFrame([(p,) for p in ("a.py", "b.jsx", "c.tsx", "d.hpp", "e.unknown")], "path string")
-    return paths.select("path", F.coalesce(filters.language(F.col("path")), F.lit("generic")).alias("parser"))
+for _key in SAMPLES:
+
+    @query(_key, _parsed_sql([_key], "* FROM p"))
+    def parsed(spark: SparkSession, sf_dir: str, name: str = _key) -> DataFrame:
+        """Every document as a file of the language, parsed."""
+        return _entities(spark, sf_dir, name).select("path", "kind", "qualified_name", "line", *[F.array_join(c, ",").alias(c) for c in ("params", "calls")])
+
 
+_ALL = [n for n in SAMPLES if n != "p01_failed_parse"]
 
-_SHA = " ".join(f"WHEN '{p}' THEN '{sha256(text.encode()).hexdigest()}'" for p, text in SOURCES.items())
+
+@query("p10_dispatch", f"{FILES} SELECT path, coalesce({_LANG}, 'generic') AS parser FROM v_files")
+def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "v_files").select("path", F.coalesce(filters.language(F.col("path")), F.lit("generic")).alias("parser"))
 
 
-@query("p11_entity_tables", f"""SELECT *, CASE file_path {_SHA} END AS sha FROM (VALUES ('a.py', 'function', CAST(5 AS BIGINT)), ('a.py', 'class', 2), ('a.py', 'import', 3), ('b.js', 'function', 4), ('b.js', 'class', 2), ('b.js', 'import', 2), ('c.ts', 'function', 3), ('c.ts', 'class', 4),
-  ('D.java', 'function', 3), ('D.java', 'class', 2), ('D.java', 'import', 1), ('e.go', 'function', 3), ('e.go', 'class', 2), ('e.go', 'import', 1), ('f.rs', 'function', 3), ('f.rs', 'class', 2), ('f.rs', 'import', 1),
-  ('g.cpp', 'function', 4), ('g.cpp', 'class', 2), ('g.cpp', 'import', 1), ('h.rb', 'function', 1), ('h.rb', 'class', 1), ('h.rb', 'import', 1), ('i.py', 'function', 1), ('i.py', 'error', 1)) AS t(file_path, kind, entities)""")
+@query("p11_entity_tables", _parsed_sql(list(SAMPLES), "path AS file_path, kind, count(*) AS entities FROM p WHERE kind <> 'module' GROUP BY path, kind"))
 def p11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each file in the tables of functions, classes, imports and errors."""
-    entities, out = graph.cut(_entities(spark)), None
+    """Rows of each file in the tables of functions, classes, imports and errors, every document as a file of each language."""
+    entities, out = graph.cut(_entities(spark, sf_dir, *SAMPLES)), None
     for kind, rows in (("function", parsing.functions_of(entities)), ("class", parsing.classes_of(entities)), ("import", parsing.imports_of(entities)), ("error", parsing.errors_of(entities))):
-        one = rows.groupBy("file_path", "sha").agg(F.count("*").alias("entities")).withColumn("kind", F.lit(kind))
+        one = rows.groupBy("file_path").agg(F.count("*").alias("entities")).withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -183,11 +188,14 @@ def x23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_files").select("file_id", chunks.hashes(F.col("path"), F.col("content")).alias("h")).select("file_id", "h.*")
 
 
-@query("g01_nodes", """SELECT * FROM (VALUES ('a.py', 'a.py', '__init__,make,_go,lambda_line_14,make', 'A,B', 'os,.util,json', 'import os'), ('b.js', 'b.js', 'go,go,load,add', 'B,D', './x,y', 'import x from ''./x'';'), ('e.go', 'e.go', 'Name,Name,main', 'S,T', 'fmt', 'package main'), ('i.py', 'i.py', 'broken', '', '', 'def broken(:'))
-  AS t(path, label, functions, classes, imports, first_line)""")
+_LISTED = "coalesce(string_agg({0}, ',' ORDER BY line, list_last(string_split(qualified_name, '.'))) FILTER (kind = '{1}'), '') AS {2}"
+
+
+@query("g01_nodes", _parsed_sql(["p03_javascript", "p06_go"], f"""path, regexp_extract(path, '[^/]*$') AS label, {_LISTED.format("list_last(string_split(qualified_name, '.'))", "function", "functions")}, {_LISTED.format("qualified_name", "class", "classes")},
+  {_LISTED.format("qualified_name", "import", "imports")}, CASE WHEN path LIKE '%.go' THEN 'package main' ELSE 'import React, {{ useState as s, type T }} from ''react'';' END AS first_line FROM p GROUP BY path"""))
 def g01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = _entities(spark)
-    files = spark.createDataFrame([(p, SOURCES[p]) for p in ("a.py", "b.js", "e.go", "i.py")], "path string, content string")
+    files = rendered(spark, sf_dir, "p03_javascript", "p06_go")
+    entities = parsing.parse_files(files)
     made = diagram.nodes(files, parsing.functions_of(entities), parsing.classes_of(entities), parsing.imports_of(entities))
     return made.select("path", "label", *[F.array_join(c, ",").alias(c) for c in ("functions", "classes", "imports")], F.get(F.split("snippet", "\n"), 0).alias("first_line"))
 
