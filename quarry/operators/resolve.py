@@ -134,12 +134,37 @@ def enriched(chunks: DataFrame, edges: DataFrame, file_edges: DataFrame, entries
     return out.withColumns({c: F.coalesce(c, F.array().cast(kinds[c])) for c in ("calls", "called_by", "depends_on", "depended_by")})
 
 
-def module_matches(imports: DataFrame, paths: DataFrame) -> DataFrame:
-    """file_path, module, target: files an import may mean where no map is known: its stem, its path as a part of a path, or in the file's own directory; the first by path.
+def _runs(text: Column, length: int = 3) -> Column:
+    """Runs of so many characters; all of a shorter text."""
+    last = F.greatest(F.length(text) - (length - 1), F.lit(1))
+    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(length)))).otherwise(F.array().cast("array<string>"))
+
+
+def paths_with(asked: DataFrame, paths: DataFrame, most: int) -> DataFrame:
+    """parts, path: for each array of texts (parts) the first `most` paths, in order, that contain all of them.
 
-    A module is joined by its last segment with the segments of paths, not compared with every path."""
-    last = F.element_at(F.split(F.regexp_replace("module", r"^[./]+", ""), r"\.|/"), -1)
-    asked = imports.select("file_path", "module", last.alias("key"), F.replace(F.regexp_replace("module", r"^[./]+", ""), F.lit("."), F.lit("/")).alias("inner"))
-    seen = paths.select("path", F.explode(F.array_distinct(F.array_append(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), stem(F.col("path"))))).alias("key"))
-    both = asked.join(seen, "key").where(F.col("path").contains(F.col("inner")) & (F.col("path") != F.col("file_path")))
+    Paths are posted under their runs of one to three characters; those under the rarest run of the parts are looked at alone, so texts and paths that share no rare run never meet."""
+    runs = F.concat(*(_runs(F.col("path"), k) for k in (1, 2, 3)))
+    postings = paths.select("path").distinct().select("path", F.explode(F.array_distinct(runs)).alias("gram"))
+    frequency = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    grams = asked.distinct().select("parts", F.explode(F.array_distinct(F.flatten(F.transform("parts", lambda part: _runs(part))))).alias("gram"))
+    rarest = grams.join(frequency, "gram", "left").groupBy("parts").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    found = rarest.join(postings, "gram").where(F.forall("parts", lambda part: F.contains(F.col("path"), part)))
+    place = F.row_number().over(Window.partitionBy("parts").orderBy("path"))
+    return found.select("parts", "path", place.alias("place")).where(F.col("place") <= most).drop("place")
+
+
+def module_matches(imports: DataFrame, paths: DataFrame) -> DataFrame:
+    """file_path, module, target: the first file by path, other than the importing one, that an import may mean where no map is known.
+
+    A file may be meant if its stem is the module, if its path contains the module with slashes for dots, or, for a module that begins with a dot, if it contains the importing
+    file's directory and the module without leading dots and slashes."""
+    module, folder = F.col("module"), F.regexp_replace("file_path", "/?[^/]*$", "")
+    inner = F.regexp_replace(module, r"^[./]+", "")
+    asked = imports.select("file_path", "module").distinct().withColumn("ways", F.filter(F.array(F.array(F.replace(module, F.lit("."), F.lit("/"))), F.when(module.startswith(".") & (inner != ""), F.array(inner, folder))), lambda x: x.isNotNull()))
+    ways = asked.select("file_path", "module", F.explode("ways").alias("parts"))
+    within = ways.join(paths_with(ways.select("parts"), paths, 2), "parts").select("file_path", "module", "path")
+    stems = paths.select(stem(F.col("path")).alias("module"), "path").distinct()
+    stems = stems.withColumn("place", F.row_number().over(Window.partitionBy("module").orderBy("path"))).where("place <= 2").drop("place")
+    both = within.unionByName(asked.join(stems, "module").select("file_path", "module", "path")).where("path <> file_path")
     return both.groupBy("file_path", "module").agg(F.min("path").alias("target"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry import config
 from quarry.operators import filters, graph, resolve, rules
 from quarry.plans.catalog_files import _EXT, _LANG, FILES
-from quarry.plans.fixtures import ddb, view
+from quarry.plans.fixtures import ddb, each_document, view
 from quarry.plans.registry import query
 
 EDGES = "WITH RECURSIVE " + ddb("v_edges", "v_nodes")
@@ -23,34 +23,31 @@ def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.import_origin(listed, view(spark, sf_dir, "m_paths"))
 
 
-@query("j01_resolved_calls", """SELECT * FROM (VALUES ('main', 'main.py', 'load', 'load'), ('main', 'main.py', 'process', NULL), ('main', 'main.py', 'helper', 'helper'), ('UserService.process', 'services/user.py', 'find', 'UserRepo.find'),
-  ('UserService.process', 'services/user.py', 'helper', 'helper'), ('OrderService.process', 'services/order.py', 'find', 'UserRepo.find'), ('load', 'utils.py', 'helper', 'helper')) AS t(caller, file_path, callee, target)""")
+@query("j01_resolved_calls", each_document("""('main#', 'main#.py', 'load#', 'load#'), ('main#', 'main#.py', 'process', NULL), ('main#', 'main#.py', 'helper#', 'helper#'), ('UserService#.process', 'services#/user#.py', 'find#', 'UserRepo#.find#'),
+  ('UserService#.process', 'services#/user#.py', 'helper#', 'helper#'), ('OrderService#.process', 'services#/order#.py', 'find#', 'UserRepo#.find#'), ('load#', 'utils#.py', 'helper#', 'helper#')""", "caller", "file_path", "callee", "target"))
 def j01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolved_calls(_functions(spark, sf_dir), _imports(spark, sf_dir))
 
 
-@query("j02_local_imports", "SELECT * FROM (VALUES ('main.py', 'load', 'load'), ('services/user.py', 'find', 'UserRepo.find')) AS t(file_path, key, target)")
+@query("j02_local_imports", each_document("('main#.py', 'load#', 'load#'), ('services#/user#.py', 'find#', 'UserRepo#.find#')", "file_path", "key", "target"))
 def j02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.local_imports(_imports(spark, sf_dir), _functions(spark, sf_dir))
 
 
-_ORIGINS = """o AS (SELECT * FROM (VALUES ('main.py', './utils', 'local'), ('main.py', 'requests', 'third_party'), ('main.py', 'os.path', 'stdlib'), ('main.py', 'services.user', 'local'), ('services/user.py', '..repo/store', 'local'),
-  ('services/order.py', 'store', 'local'), ('services/order.py', 'requests', 'third_party'), ('web/a.js', './b', 'local'), ('web/b.js', './a', 'local'), ('web/a.js', '@scope/kit', 'third_party'), ('web/a.js', 'fs', 'stdlib'), ('cmd/x.go', 'fmt', 'stdlib'),
-  ('cmd/x.go', 'github.com/a/b', 'third_party'), ('lib.rs', 'crate::m', 'local'), ('App.java', 'com.acme.Tool', 'local')) AS t(file_path, module, origin))"""
-
-
-@query("j05_import_origin", f"WITH {_ORIGINS} SELECT * FROM o")
+@query("j05_import_origin", each_document("""('main#.py', './utils#', 'local'), ('main#.py', 'requests', 'third_party'), ('main#.py', 'os.path', 'stdlib'), ('main#.py', 'services#.user#', 'local'), ('services#/user#.py', '..repo#/store#', 'local'),
+  ('services#/order#.py', 'store#', 'local'), ('services#/order#.py', 'requests', 'third_party'), ('web#/a#.js', './b#', 'local'), ('web#/b#.js', './a#', 'local'), ('web#/a#.js', '@scope/kit', 'third_party'), ('web#/a#.js', 'fs', 'stdlib'), ('cmd#/x#.go', 'fmt', 'stdlib'),
+  ('cmd#/x#.go', 'github.com/a/b', 'third_party'), ('lib#.rs', 'crate::m#', 'local'), ('App#.java', 'com.acme.Tool', 'local')""", "file_path", "module", "origin"))
 def j05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _imports(spark, sf_dir).select("file_path", "module", "origin")
 
 
-@query("j04_external_dependencies", "SELECT * FROM (VALUES ('requests', CAST(2 AS BIGINT)), ('@scope', 1), ('github', 1)) AS t(dependency, files)")
+@query("j04_external_dependencies", "SELECT dependency, n * (SELECT count(*) FROM documents) AS files FROM (VALUES ('requests', 2), ('@scope', 1), ('github', 1)) AS t(dependency, n)")
 def j04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.external_dependencies(_imports(spark, sf_dir))
 
 
-@query("j03_import_files", """SELECT * FROM (VALUES ('main.py', './utils', 'utils.py'), ('main.py', 'services.user', 'services/user.py'), ('services/user.py', '..repo/store', 'repo/store.py'), ('services/order.py', 'store', 'repo/store.py'),
-  ('web/a.js', './b', 'web/b.js'), ('web/b.js', './a', 'web/a.js'), ('lib.rs', 'crate::m', NULL), ('App.java', 'com.acme.Tool', NULL)) AS t(file_path, module, target)""")
+@query("j03_import_files", each_document("""('main#.py', './utils#', 'utils#.py'), ('main#.py', 'services#.user#', 'services#/user#.py'), ('services#/user#.py', '..repo#/store#', 'repo#/store#.py'), ('services#/order#.py', 'store#', 'repo#/store#.py'),
+  ('web#/a#.js', './b#', 'web#/b#.js'), ('web#/b#.js', './a#', 'web#/a#.js'), ('lib#.rs', 'crate::m#', NULL), ('App#.java', 'com.acme.Tool', NULL)""", "file_path", "module", "target"))
 def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = view(spark, sf_dir, "m_paths")
     return resolve.import_files(_imports(spark, sf_dir).where("origin = 'local'"), paths)
@@ -89,17 +86,23 @@ def j08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n", F.array_join(resolve.used_imports(F.col("content"), F.col("modules")), ",").alias("used"))
 
 
-@query("j13_module_matches", "SELECT * FROM (VALUES ('main.py', './utils', 'utils.py'), ('main.py', 'services.user', 'services/user.py'), ('services/user.py', '..repo/store', 'repo/store.py'), ('services/order.py', 'store', 'repo/store.py'), ('web/a.js', './b', 'web/b.js'), ('web/b.js', './a', 'web/a.js')) AS t(file_path, module, target)")
+# every module against every path
+_MATCHES = f"""WITH {ddb("m_imports", "m_paths")}, i AS (SELECT DISTINCT file_path, module, ltrim(module, './') AS inner_name, CASE WHEN contains(file_path, '/') THEN regexp_replace(file_path, '/[^/]*$', '') ELSE '' END AS folder FROM m_imports),
+  m AS (SELECT file_path, module, min(path) AS target FROM i JOIN m_paths ON path <> file_path AND (regexp_replace(regexp_extract(path, '[^/]*$'), '^(.+?)\\.[^.]*$', '\\1') = module OR contains(path, replace(module, '.', '/'))
+    OR (starts_with(module, '.') AND inner_name <> '' AND contains(path, inner_name) AND contains(path, folder))) GROUP BY file_path, module)"""
+
+
+@query("j13_module_matches", f"{_MATCHES} SELECT * FROM m")
 def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.module_matches(_imports(spark, sf_dir), view(spark, sf_dir, "m_paths"))
 
 
-@query("g12_fallback_edges", "SELECT * FROM (VALUES ('main.py', 'utils.py'), ('main.py', 'services/user.py'), ('services/user.py', 'repo/store.py'), ('services/order.py', 'repo/store.py'), ('web/a.js', 'web/b.js'), ('web/b.js', 'web/a.js')) AS t(from_file, to_file)")
+@query("g12_fallback_edges", f"{_MATCHES} SELECT DISTINCT file_path AS from_file, target AS to_file FROM m")
 def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.module_matches(_imports(spark, sf_dir), view(spark, sf_dir, "m_paths")).select(F.col("file_path").alias("from_file"), F.col("target").alias("to_file")).distinct()
 
 
-@query("r08_import_cycles", "SELECT * FROM (VALUES ('web/a.js', 'web/b.js')) AS t(a, b)")
+@query("r08_import_cycles", each_document("('web#/a#.js', 'web#/b#.js')", "a", "b"))
 def r08_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = view(spark, sf_dir, "m_paths")
     edges = resolve.import_files(_imports(spark, sf_dir).where("origin = 'local'"), paths).where("target is not null")

@@ -39,36 +39,42 @@ VIEWS = {
                           WHEN 'purchase' THEN 'complete' ELSE 'failed' END AS status,
           CAST(floor(value) AS INT) - 50 AS raw_progress, ts AS created_at
         FROM {events}""",
-    # the literal repository
+    # a small repository for each document, # being its number
     "m_functions": """
-        SELECT * FROM (VALUES
-          ('main.py', 'main', 'main', 'print,load,process,helper'),
-          ('services/user.py', 'process', 'UserService.process', 'find,helper'),
-          ('services/order.py', 'process', 'OrderService.process', 'find'),
-          ('repo/store.py', 'find', 'UserRepo.find', 'open'),
-          ('utils.py', 'helper', 'helper', ''),
-          ('utils.py', 'load', 'load', 'helper'),
-          ('utils.py', 'unused', 'unused', '')) AS t(file_path, name, qualified_name, call_list)""",
+        SELECT replace(file_path, '#', CAST(doc_id AS STRING)) AS file_path, replace(name, '#', CAST(doc_id AS STRING)) AS name,
+               replace(qualified_name, '#', CAST(doc_id AS STRING)) AS qualified_name, replace(call_list, '#', CAST(doc_id AS STRING)) AS call_list
+        FROM (SELECT doc_id FROM {documents}) d CROSS JOIN (VALUES
+          ('main#.py', 'main#', 'main#', 'print,load#,process,helper#'),
+          ('services#/user#.py', 'process', 'UserService#.process', 'find#,helper#'),
+          ('services#/order#.py', 'process', 'OrderService#.process', 'find#'),
+          ('repo#/store#.py', 'find#', 'UserRepo#.find#', 'open'),
+          ('utils#.py', 'helper#', 'helper#', ''),
+          ('utils#.py', 'load#', 'load#', 'helper#'),
+          ('utils#.py', 'unused', 'unused', '')) AS t(file_path, name, qualified_name, call_list)""",
     "m_imports": """
-        SELECT * FROM (VALUES
-          ('main.py', './utils', 'Python', 'load'),
-          ('main.py', 'requests', 'Python', ''),
-          ('main.py', 'os.path', 'Python', ''),
-          ('main.py', 'services.user', 'Python', ''),
-          ('services/user.py', '..repo/store', 'Python', 'find'),
-          ('services/order.py', 'store', 'Python', ''),
-          ('services/order.py', 'requests', 'Python', 'helper'),
-          ('web/a.js', './b', 'JavaScript', ''),
-          ('web/b.js', './a', 'JavaScript', ''),
-          ('web/a.js', '@scope/kit', 'JavaScript', ''),
-          ('web/a.js', 'fs', 'JavaScript', ''),
-          ('cmd/x.go', 'fmt', 'Go', ''),
-          ('cmd/x.go', 'github.com/a/b', 'Go', ''),
-          ('lib.rs', 'crate::m', 'Rust', ''),
-          ('App.java', 'com.acme.Tool', 'Java', '')) AS t(file_path, module, language, items)""",
+        SELECT replace(file_path, '#', CAST(doc_id AS STRING)) AS file_path, replace(module, '#', CAST(doc_id AS STRING)) AS module, language,
+               replace(items, '#', CAST(doc_id AS STRING)) AS items
+        FROM (SELECT doc_id FROM {documents}) d CROSS JOIN (VALUES
+          ('main#.py', './utils#', 'Python', 'load#'),
+          ('main#.py', 'requests', 'Python', ''),
+          ('main#.py', 'os.path', 'Python', ''),
+          ('main#.py', 'services#.user#', 'Python', ''),
+          ('services#/user#.py', '..repo#/store#', 'Python', 'find#'),
+          ('services#/order#.py', 'store#', 'Python', ''),
+          ('services#/order#.py', 'requests', 'Python', 'helper#'),
+          ('web#/a#.js', './b#', 'JavaScript', ''),
+          ('web#/b#.js', './a#', 'JavaScript', ''),
+          ('web#/a#.js', '@scope/kit', 'JavaScript', ''),
+          ('web#/a#.js', 'fs', 'JavaScript', ''),
+          ('cmd#/x#.go', 'fmt', 'Go', ''),
+          ('cmd#/x#.go', 'github.com/a/b', 'Go', ''),
+          ('lib#.rs', 'crate::m#', 'Rust', ''),
+          ('App#.java', 'com.acme.Tool', 'Java', '')) AS t(file_path, module, language, items)""",
     "m_paths": """
-        SELECT * FROM (VALUES ('main.py'), ('services/user.py'), ('services/order.py'), ('repo/store.py'), ('utils.py'),
-          ('web/a.js'), ('web/b.js'), ('cmd/x.go'), ('lib.rs'), ('App.java')) AS t(path)""",
+        SELECT replace(path, '#', CAST(doc_id AS STRING)) AS path
+        FROM (SELECT doc_id FROM {documents}) d CROSS JOIN (VALUES
+          ('main#.py'), ('services#/user#.py'), ('services#/order#.py'), ('repo#/store#.py'), ('utils#.py'),
+          ('web#/a#.js'), ('web#/b#.js'), ('cmd#/x#.go'), ('lib#.rs'), ('App#.java')) AS t(path)""",
 }
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -87,5 +93,11 @@ def ddb(*names: str) -> str:
     return ",\n".join(f"{n} AS ({VIEWS[n].format(**{b: b for b in BASE}).replace('STRING', 'VARCHAR')})" for n in names)
 
 
+def each_document(rows: str, *columns: str) -> str:
+    """DuckDB SQL of these rows for each document, # being its number."""
+    shown = ", ".join(f"replace({c}, '#', CAST(doc_id AS VARCHAR)) AS {c}" for c in columns)
+    return f"SELECT {shown} FROM documents, (VALUES {rows}) AS t({', '.join(columns)})"
+
+
 def quoted(values: list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)

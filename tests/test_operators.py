@@ -1,8 +1,9 @@
 """Exact values of single operators."""
 
+import random
 from pyspark.sql import functions as F
 
-from quarry.operators import chunks, context, filters, folds, graph, parsing, search, stats
+from quarry.operators import chunks, context, filters, folds, graph, parsing, resolve, search, stats
 from quarry.sources import repository, stores
 
 
@@ -160,3 +161,13 @@ def test_ask_from_question_to_sources(spark):
     kinds = spark.createDataFrame([(1, "general", True, False), (2, "general", False, False)], "query long, type string, graph_query boolean, multi_hop boolean")
     primary = spark.createDataFrame([(1, 3, 1.0, 1), (2, 3, 1.0, 1)], "query long, id long, score double, rank int")
     assert sorted(map(tuple, pipeline.expanded(primary, kinds, edges).collect())) == [(1, 1, 0.7), (1, 2, 0.7)]
+
+
+def test_paths_with(spark):
+    """Texts of any length against a comparison with every path."""
+    rng = random.Random(9)
+    paths = ["".join(rng.choice("ab/.") for _ in range(rng.randrange(1, 12))) for _ in range(200)]
+    asked = [["".join(rng.choice("ab/.c") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 3))] for _ in range(150)]
+    got = resolve.paths_with(spark.createDataFrame([(a,) for a in asked], "parts array<string>"), spark.createDataFrame([(p,) for p in paths], "path string"), 2)
+    want = {(tuple(a), p) for a in asked for p in sorted({p for p in paths if all(x in p for x in a)})[:2]}
+    assert {(tuple(r.parts), r.path) for r in got.collect()} == want
