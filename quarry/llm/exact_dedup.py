@@ -161,6 +161,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     keyed = docs.select(F.struct("*").alias("row"), *_as_key("doc_id"), sha.alias("text_sha256"))
     keys = ["doc_id_key", "doc_id_null", "text_sha256"]
-    one = Window.partitionBy(*keys).orderBy(F.lit(0))
+    # of rows that repeat doc_id and text, the one whose columns hash lowest
+    one = Window.partitionBy(*keys).orderBy(F.xxhash64(*(F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind)))
     kept = keyed.join(rows, keys, "left_semi").withColumn("copy", F.row_number().over(one))
     return kept.where("copy = 1").select("row.*")

@@ -30,8 +30,10 @@ from quarry.llm.common import held_out, process_cache
 WINDOW = 128
 BATCH = 1024
 UNKNOWN = "und"
-#: Documents of each language that are learned from, at most about so many; pieces of each, drawn evenly over its text; characters of a piece.
+#: The bound of the training sample is rows times windows: documents of each language that are learned from, at most about so many; windows (pieces) of each, drawn evenly over its whole
+#: text; characters of a window. Labels beyond the LANGUAGES most frequent ones aren't learned.
 SAMPLE_PER_LANGUAGE = 600
+LANGUAGES = 1000
 PIECES = 8
 PIECE = 64
 HIDDEN = 12
@@ -198,26 +200,29 @@ def unclear_texts(count: int, seed: int = 0) -> list[bytes]:
     return texts
 
 
-def learned(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, hidden: int = HIDDEN, epochs: int = 2, unclear: bool = False) -> Model:
-    """A model of a bounded sample: about per_language rows of each language, by a hash of doc_id, pieces of each; unclear adds texts of no language, labelled UNKNOWN."""
+def learned(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, hidden: int = HIDDEN, epochs: int = 2, unclear: bool = False, pieces: int = PIECES) -> Model:
+    """A model of a bounded sample: about per_language rows of each language, by a hash of doc_id, and at most `pieces` windows of each; unclear adds texts of no language, labelled UNKNOWN.
+
+    Held-out rows count for nothing, not even in the sample's shares."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    counted = docs.where(F.col("lang").isNotNull()).groupBy(F.col("lang").cast("string").alias("lang")).count().collect()
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id").cast("long"))).groupBy(F.col("lang").cast("string").alias("lang")).count()
+    counted = labelled.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counted:
         return Model([], {})
-    share = F.create_map(*[F.lit(v) for r in counted for v in (r["lang"], min(1.0, per_language * 1.25 / r["count"]))])
+    share = F.create_map(*[F.lit(v) for r in counted for v in (r["lang"], min(1.0, per_language / r["count"]))])
     mixed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     sample = rows.where(mixed < share[F.col("lang")] * (1 << 20))
     # the text is cut into as many equal stretches as it has pieces, and each stretch gives one from a place drawn by a hash
-    n = F.least(F.lit(PIECES), F.ceil(F.length("text") / PIECE)).cast("int")
+    n = F.least(F.lit(pieces), F.ceil(F.length("text") / PIECE)).cast("int")
     drawn = lambda k: F.pmod(F.xxhash64("doc_id", k), F.lit(1 << 20)) / (1 << 20)
     start = lambda k: ((k + drawn(k)) * F.greatest(F.lit(0), F.length("text") - PIECE) / n).cast("int") + 1
-    pieces = sample.select("doc_id", "lang", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.col("text").substr(start(k), F.lit(PIECE)))).alias("k", "piece"))
-    got = sorted((r.lang, r.doc_id is None, r.doc_id or 0, r.k, r.piece) for r in pieces.collect())
+    drawn_pieces = sample.select("doc_id", "lang", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.col("text").substr(start(k), F.lit(PIECE)))).alias("k", "piece"))
+    got = sorted((r.lang, r.doc_id is None, r.doc_id or 0, r.k, r.piece) for r in drawn_pieces.collect())
     if not got:
         return Model([], {})
     most = max(Counter(r[0] for r in got).values())
-    none = unclear_texts(-(-most // PIECES)) if unclear else []
+    none = unclear_texts(-(-most // pieces)) if unclear else []
     return train([r[4].encode() for r in got] + none, [r[0] for r in got] + [UNKNOWN] * len(none), hidden, epochs)
 
 

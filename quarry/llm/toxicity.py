@@ -39,6 +39,7 @@ from quarry.llm.words import words
 SAMPLE = 4000
 LEAST_DOCUMENTS = 6
 STEM = 4
+REST = b""
 KEPT_WORDS = 300_000
 PRIOR = 500.0
 DRIFT = 0.4
@@ -47,7 +48,7 @@ SIGNIFICANT = 0.05
 
 @dataclass
 class Model:
-    """Token scores (all others are 0), the extreme-value law, and the logistic weights of (1, surprise, evidence)."""
+    """Token scores, at REST the one of all other tokens, the extreme-value law, and the logistic weights of (1, surprise, evidence)."""
 
     scores: dict[bytes, float]
     drift: float
@@ -61,12 +62,12 @@ class WordScores(dict):
 
     def __init__(self, model: Model) -> None:
         super().__init__()
-        self.tokens, self.drift = model.scores, model.drift
+        self.tokens, self.drift, self.rest = model.scores, model.drift, model.scores.get(REST, 0.0)
 
     def __missing__(self, word: bytes) -> float:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        score = self[word] = max(self.tokens.get(t, 0.0) for t in tokens(word)) - self.drift
+        score = self[word] = max(self.tokens.get(t, self.rest) for t in tokens(word)) - self.drift
         return score
 
     def of(self, listed: list[bytes]) -> np.ndarray:
@@ -247,9 +248,9 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     # tokens of the sample alone, so their number is bounded by it
     kept = counted.where(F.col("n1") + F.col("n0") >= LEAST_DOCUMENTS).collect()
     toxic, clean = Counter({bytes(r.word): r.n1 for r in kept}), Counter({bytes(r.word): r.n0 for r in kept})
-    # all rarer tokens count as one
-    toxic[b""], clean[b""] = total[0] - sum(toxic.values()), total[1] - sum(clean.values())
-    scores = {w: v for w, v in log_odds(toxic, clean).items() if w and v}
+    # all rarer tokens count as one, whose score they and those that the sample hasn't share
+    toxic[REST], clean[REST] = total[0] - sum(toxic.values()), total[1] - sum(clean.values())
+    scores = {w: v for w, v in log_odds(toxic, clean).items() if v}
     model = Model(scores, DRIFT, 1.0, 1.0, (0.0, 0.0, 0.0))
     found = rows.mapInArrow(_histogram(model), "tenths long, n long").groupBy("tenths").agg(F.sum("n").alias("n")).collect()
     values, n = np.array([r.tenths / 10 for r in found]), np.array([float(r.n) for r in found])
