@@ -1,7 +1,7 @@
 """Hybrid retrieval: BM25, cosine neighbours, merging, fusion, ranking (x11-x16, x24, j09-j11, t01-t05).
 
-Questions and stated query vectors are written to the shared folder in blocks; a task reads a block and holds the k best rows of each of its queries while the rows
-stream by. So rows are read once a block, whatever they share with a question, and what is shuffled is k rows for each query and task.
+BM25 asks a stored inverted index (inverted.py). Stated query vectors are written to the shared folder in blocks; a task reads a block and holds the k best rows of each of its queries while
+the rows stream by. So vectors are read once a block, and what is shuffled is k rows for each query and task.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import config
+from quarry.operators import inverted
 from quarry.operators.shared import cut, in_blocks, read_block
 
 #: Queries of a block, and rows that are scored together.
@@ -58,63 +59,34 @@ def lengths(docs: DataFrame) -> DataFrame:
 
 def idf(docs: DataFrame) -> DataFrame:
     """term, idf of docs (id, text): ln(N - df + .5) - ln(df + .5); negative ones become epsilon times the mean over all terms."""
-    seen = docs.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return idf_of(docs.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")), docs)
+
+
+def idf_of(seen: DataFrame, docs: DataFrame) -> DataFrame:
+    """idf() of terms whose documents (df) are counted."""
     total = docs.agg(F.count("*").alias("docs"))
     raw = cut(seen.crossJoin(F.broadcast(total)).select("term", (F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
     mean = raw.agg((F.avg("raw") * config.BM25_EPSILON).alias("floor"))
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-def _scored(uri: str, k: int, mean: float):
-    k1, b = config.BM25_K1, config.BM25_B
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
-        block = read_block(uri)
-        if block is None:
-            return
-        names, of = np.unique(np.asarray(block["query"]), return_inverse=True)
-        coded = block["term"].combine_chunks().dictionary_encode()
-        vocabulary, term, weight = coded.dictionary, np.asarray(coded.indices.fill_null(-1)), np.asarray(block["weight"])
-        order = np.argsort(term, kind="stable")
-        edges = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
-        asks = [(of[order[x:y]], weight[order[x:y]]) for x, y in zip(edges, edges[1:], strict=False)]  # of each term
-        best = Best(len(names), k)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                ids, listed = np.asarray(part.column(0)), part.column(1)
-                n = np.asarray(pc.list_value_length(listed).fill_null(0)).astype(np.int64)
-                codes = np.asarray(pc.index_in(listed.flatten(), vocabulary).fill_null(-1)).astype(np.int64)
-                doc = np.repeat(np.arange(len(n)), n)
-                met = codes >= 0
-                pair, tf = np.unique(codes[met] * len(n) + doc[met], return_counts=True)
-                doc = pair % len(n)
-                value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * n[doc] / mean))
-                scores = np.zeros((len(names), len(n)))
-                found, first = np.unique(pair // len(n), return_index=True)
-                for code, x, y in zip(found.tolist(), first.tolist(), np.append(first, len(pair))[1:].tolist(), strict=True):
-                    who, w = asks[code]
-                    scores[who[:, None], doc[x:y]] += w[:, None] * value[x:y]
-                best.add(np.round(scores, 6) + 0.0, ids)
-        yield from best.rows(names)
-
-    return scored
-
-
-def bm25(docs: DataFrame, questions: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """query, id, score, rank: the k docs (id, text) of greatest score for each question (query, text), those of score 0 among them; repeated words of a question
-    count repeatedly. A question without words has none."""
+def bm25(docs: DataFrame, questions: DataFrame, k: int, block: int = BLOCK, index: inverted.Index | None = None) -> DataFrame:
+    """query, id, score, rank: the k docs (id, text) of greatest score for each question (query, text), those of score 0 among them, the least ids first; repeated words of a question
+    count repeatedly. A question without words has none. An index of the same docs may be given; else one is made."""
+    spark = docs.sparkSession
     asked = questions.select("query", F.explode(terms(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    weights = asked.join(idf(docs), "term", "left").select("query", "term", (F.col("times") * F.coalesce("idf", F.lit(0.0))).alias("weight"))
-    rows = docs.select(F.col("id").cast("long"), terms(F.coalesce("text", F.lit(""))).alias("listed"))
-    mean = rows.agg(F.avg(F.size("listed"))).first()[0] or 1.0
-    out = None
-    for uri in in_blocks(weights, "query", block):
-        part = rows.mapInArrow(_scored(uri, k, mean), "query long, id long, score double")
-        out = part if out is None else out.unionByName(part)
-    return top(out, k)
+    rows = docs.select(F.col("id").cast("long").alias("id"), terms(F.coalesce("text", F.lit(""))).alias("listed"))
+    index = index or inverted.build(rows)
+    weights = cut(asked.join(idf_of(inverted.documents_of(spark, index), docs), "term", "left").select("query", "term", (F.col("times") * F.coalesce("idf", F.lit(0.0))).alias("weight")))
+    found = cut(inverted.search(spark, index, weights, k, block))
+    # every document of a negative score has been found, and no more than k above 0 are needed, so of the rest, of score 0, so many of the least ids are enough
+    worst = weights.agg(F.min("weight")).first()[0]
+    ids = docs.select(F.col("id").cast("long").alias("id")).distinct()
+    least = F.broadcast(ids.orderBy("id").limit(2 * k)) if worst is None or worst >= 0 else ids
+    full = found.where("score > 0").groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = weights.select("query").distinct().join(full, "query", "left_anti")
+    blank = short.crossJoin(least).join(found.select("query", "id"), ["query", "id"], "left_anti").withColumn("score", F.lit(0.0))
+    return top(found.unionByName(blank), k)
 
 
 def top(rows: DataFrame, k: int, by: str = "score") -> DataFrame:
