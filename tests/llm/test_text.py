@@ -92,7 +92,7 @@ def test_toxicity(spark, odd, none):
 
 
 def test_scores_equal_brute_force(spark):
-    """Short texts' scores by the definitions: tokens' odds, drift, segments by search, their surprise and evidence."""
+    """Short texts' scores by the definitions: tokens' odds (those of all rarer ones for what the model lacks), drift, segments by search, their surprise and evidence."""
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     model = toxicity.learned(docs, labels)
 
@@ -103,7 +103,7 @@ def test_scores_equal_brute_force(spark):
         i, j = best[3:]
         return [*slow(scores[:i]), best[0], *slow(scores[j:])]
 
-    worst = sorted(model.scores, key=model.scores.get)[-8:]
+    worst, rest = sorted(model.scores, key=model.scores.get)[-8:], model.scores.get(toxicity.REST, 0.0)
     rng, texts = random.Random(9), ["", " \n", "..."]
     own = [r.text.split() for r in docs.orderBy("doc_id").limit(60).collect()]
     for w in own:
@@ -118,7 +118,7 @@ def test_scores_equal_brute_force(spark):
         words, scores = toxicity.words(text), []
         for k, w in enumerate(words):
             stem = w.decode()[: toxicity.STEM].encode()
-            best = max([model.scores.get(w, 0.0)] + ([model.scores.get(b"^" + stem, 0.0)] if len(stem) < len(w) else []))
+            best = max([model.scores.get(w, rest)] + ([model.scores.get(b"^" + stem, rest)] if len(stem) < len(w) else []))
             scores.append(min(best, 0.0) - model.drift if k and words[k - 1] == w else best - model.drift)
         surprise = [model.rate * s - np.log(max(model.k * len(words), 1e-300)) for s in slow(scores)]
         evidence = sum(s + np.log(toxicity.SIGNIFICANT) for s in surprise if s > -np.log(toxicity.SIGNIFICANT))
