@@ -20,6 +20,15 @@ def signature(name: Column, parameters: Column, returns: Column) -> Column:
     return F.concat(F.lit("def "), name, F.lit("("), F.array_join(one, ", "), F.lit(")"), F.when(returns.isNotNull(), F.concat(F.lit(" -> "), returns)).otherwise(""))
 
 
+def parsed_parameters() -> Column:
+    """The parameters of signature() from the parser's columns params, types and defaults."""
+    def one(p: Column) -> Column:
+        kind, value = F.nullif(p["types"], F.lit("")), F.nullif(p["defaults"], F.lit(""))
+        return F.struct(F.regexp_replace(p["params"], r"^\*", "").alias("name"), kind.alias("type"), value.alias("value"), p["params"].startswith("*").alias("variadic"))
+
+    return F.transform(F.arrays_zip("params", "types", "defaults"), one)
+
+
 def function_text(path: Column, language: Column, name: Column, decorators: Column, signed: Column, docstring: Column, body: Column) -> Column:
     """A function's chunk, parts that are missing left out."""
     return F.concat_ws("\n", F.concat(F.lit("File: "), path), F.concat(F.lit("Language: "), language), F.concat(F.lit("Function: "), name), F.when(F.size(decorators) > 0, F.array_join(decorators, ", ")), signed, F.when(docstring != "", docstring), body)

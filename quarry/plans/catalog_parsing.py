@@ -99,10 +99,13 @@ def x02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("file_id", F.md5(text).alias("chunk_md5"))
 
 
-@query("x03_class_chunk", "SELECT 'File: a.py' || chr(10) || 'Language: Python' || chr(10) || 'Class: A' || chr(10) || 'Inherits: B, C' || chr(10) || 'Doc.' || chr(10) || 'Methods: go, stop' || chr(10) || 'Attributes: x' AS content")
+@query("x03_class_chunk", f"""{FILES} SELECT file_id, 'File: ' || path || chr(10) || 'Language: Python' || chr(10) || 'Class: A' || file_id || chr(10) || CASE WHEN file_id % 2 = 0 THEN 'Inherits: B, C' || chr(10) ELSE '' END
+  || CASE WHEN left(content, 80) <> '' THEN left(content, 80) || chr(10) ELSE '' END || 'Methods: go, stop' || chr(10) || 'Attributes: x' AS content FROM v_files""")
 def x03(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda *x: F.array(*map(F.lit, x))
-    return spark.range(1).select(chunks.class_text(F.lit("a.py"), F.lit("Python"), F.lit("A"), listed("B", "C"), F.lit("Doc."), listed("A.go", "A.stop"), listed("x")).alias("content"))
+    bases = F.when(F.col("file_id") % 2 == 0, listed("B", "C")).otherwise(F.array().cast("array<string>"))
+    text = chunks.class_text(F.col("path"), F.lit("Python"), F.concat(F.lit("A"), "file_id"), bases, F.substring("content", 1, 80), listed("A.go", "A.stop"), listed("x"))
+    return view(spark, sf_dir, "v_files").select("file_id", text.alias("content"))
 
 
 @query("x04_file_chunk", f"{FILES} SELECT file_id, 'File: ' || path || chr(10) || 'Language: Python' || chr(10) || 'Imports: os' || chr(10) || 'Classes defined: none' || chr(10) || 'Functions defined: f, g' || chr(10) || 'Entry point: ' || CASE WHEN file_id % 2 = 0 THEN 'yes' ELSE 'no' END AS content FROM v_files")
@@ -119,11 +122,15 @@ def x05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.import_contexts(imports)
 
 
-@query("x06_signature", "SELECT 'def f(a, b: str = \"x\", *c) -> int' AS signature UNION ALL SELECT 'def f()'")
+#: The signatures of the Python sample's functions, by their lines.
+_SIGNED = {6: "def __init__(self, x: int, flag = True, *rest, **more) -> None", 9: "def make()", 10: "def _go(n: int = 1)", 14: "def make(self)", 15: "def __secret(self)"}
+
+
+@query("x06_signature", _parsed_sql(["p02_python"], "path AS file_path, line, CASE line " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _SIGNED.items()) + " END AS signature FROM p WHERE kind = 'function' AND qualified_name NOT LIKE 'lambda%'"))
 def x06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = "array<struct<name:string,type:string,value:string,variadic:boolean>>"
-    rows = spark.createDataFrame([('[{"name":"a","variadic":false},{"name":"b","type":"str","value":"\\"x\\"","variadic":false},{"name":"c","variadic":true}]', "int"), ("[]", None)], "p string, r string")
-    return rows.select(chunks.signature(F.lit("f"), F.from_json("p", kind), F.col("r")).alias("signature"))
+    """The signatures of what the parser reads from every document as a Python file."""
+    read = parsing.functions_of(_entities(spark, sf_dir, "p02_python")).where("not array_contains(flags, 'lambda')")
+    return read.select("file_path", "line", chunks.signature(F.col("name"), chunks.parsed_parameters(), F.col("returns")).alias("signature"))
 
 
 # by the definition: ends and openings are counted in the lists of the lines' summed characters and tokens
@@ -228,10 +235,13 @@ def g04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagram.mermaid_text(_lines(spark, sf_dir))
 
 
-@query("g05_description", "SELECT * FROM (VALUES (1, 'Classes: A | Functions: f, g | Depends on: os'), (2, '')) AS t(n, description)")
+@query("g05_description", f"{FILES} SELECT file_id, CASE file_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Classes: A' || file_id || ' | Functions: f, g | Depends on: os' ELSE 'Functions: f, g' END AS description FROM v_files")
 def g05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, ["A"], ["f", "g"], ["os"]), (2, [], [], [])], "n int, c array<string>, f array<string>, i array<string>")
-    return rows.select("n", diagram.description(F.col("c"), F.col("f"), F.col("i")).alias("description"))
+    """Of every file: with all, with none, or with some of the parts."""
+    third, none = F.col("file_id") % 3, F.array().cast("array<string>")
+    classes = F.when(third == 1, F.array(F.concat(F.lit("A"), "file_id"))).otherwise(none)
+    functions, imports = F.when(third == 0, none).otherwise(F.array(F.lit("f"), F.lit("g"))), F.when(third == 1, F.array(F.lit("os"))).otherwise(none)
+    return view(spark, sf_dir, "v_files").select("file_id", diagram.description(classes, functions, imports).alias("description"))
 
 
 @query("g06_parsed_edges", f"{_ML} SELECT regexp_replace(f, '[^A-Za-z0-9]', '_', 'g') AS source, regexp_replace(t, '[^A-Za-z0-9]', '_', 'g') AS target FROM fe")

@@ -80,10 +80,10 @@ def j07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.pattern_tags(view(spark, sf_dir, "v_files").select("file_id", "path").unionByName(literal))
 
 
-@query("j08_used_imports", "SELECT * FROM (VALUES (1, 'os.path'), (2, '')) AS t(n, used)")
+@query("j08_used_imports", f"{FILES}, m AS (SELECT unnest(['os.path', 'a.The', 'b.und', 'requests', 'x.y.que', 'la']) AS m, unnest(range(6)) AS n) SELECT file_id, coalesce(string_agg(m, ',' ORDER BY n) FILTER (contains(lower(content), lower(list_last(string_split(m, '.'))))), '') AS used FROM v_files, m GROUP BY file_id")
 def j08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "return Path.join(a)", ["os.path", "requests"]), (2, "pass", ["json"])], "n int, content string, modules array<string>")
-    return rows.select("n", F.array_join(resolve.used_imports(F.col("content"), F.col("modules")), ",").alias("used"))
+    modules = F.array(*map(F.lit, ["os.path", "a.The", "b.und", "requests", "x.y.que", "la"]))
+    return view(spark, sf_dir, "v_files").select("file_id", F.array_join(resolve.used_imports(F.col("content"), modules), ",").alias("used"))
 
 
 # every module against every path
@@ -133,9 +133,14 @@ def k11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_files").select("file_id", rules.layer(F.col("path"), name).alias("layer"))
 
 
-@query("k13_node_type", "SELECT * FROM (VALUES ('load', 'function'), ('UserService.get', 'method'), ('utils.load', 'function'), ('a.b.c', 'method')) AS t(name, type)")
+_NAMED = "concat(CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'utils.' WHEN 2 THEN 'Store.' ELSE 'a.b.' END, replace(p_name, ' ', '_'))"
+
+
+@query("k13_node_type", "SELECT p_partkey, CASE WHEN p_partkey % 4 >= 2 THEN 'method' ELSE 'function' END AS type FROM part")
 def k13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("load",), ("UserService.get",), ("utils.load",), ("a.b.c",)], "name string").select("name", rules.node_type(F.col("name")).alias("type"))
+    from quarry.plans.fixtures import table
+
+    return table(spark, sf_dir, "part").select("p_partkey", rules.node_type(F.expr(_NAMED)).alias("type"))
 
 
 @query("k16_eligible", f"{EDGES}, n AS (SELECT id, id % 50 = 0 AS e, id % 7 = 0 AS h, CAST(id % 9 AS INT) AS d, id % 11 = 0 AS x, complexity FROM v_nodes) SELECT id FROM n WHERE e OR h OR d <= {config.ANALYZE_DEPTH} OR x OR complexity >= {config.MIN_COMPLEXITY} ORDER BY d, id LIMIT {config.LLM_BUDGET}")
@@ -179,10 +184,18 @@ def k21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.file_rank(files, "Python").select("repo", "path", F.col("place").cast("long").alias("place"))
 
 
-@query("k22_blocks", "SELECT * FROM (VALUES (1, true, false), (2, true, true), (3, true, false), (4, false, false)) AS t(n, main_block, exports)")
+#: The language of each fifth of the documents, and what is written under the text.
+_TAILS = [("Python", "if __name__ == '__main__': run()"), ("JavaScript", "module.exports = 1; process.argv"), ("TypeScript", "export const a = 1"), ("Go", "func main() {}"), ("Rust", "fn x() {}")]
+
+
+@query("k22_blocks", "SELECT doc_id, n IN (0, 1, 3) AS main_block, n IN (1, 2) AS exports FROM (SELECT doc_id, doc_id % 5 AS n FROM documents) x")
 def k22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "Python", "if __name__ == '__main__': run()"), (2, "JavaScript", "module.exports = 1; process.argv"), (3, "Go", "func main() {}"), (4, "Rust", "fn x() {}")], "n int, language string, content string")
-    return rows.select("n", rules.main_block(F.col("content"), F.col("language")).alias("main_block"), rules.exports(F.col("content"), F.col("language")).alias("exports"))
+    """Every document as a file of one of five languages, its text and a line that does or doesn't make it an entry or export something."""
+    from quarry.plans.fixtures import table
+
+    language, tail = (F.get(F.array(*[F.lit(x[i]) for x in _TAILS]), (F.col("doc_id") % 5).cast("int")) for i in (0, 1))
+    content = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), tail)
+    return table(spark, sf_dir, "documents").select("doc_id", rules.main_block(content, language).alias("main_block"), rules.exports(content, language).alias("exports"))
 
 
 _BRANCHES = "CASE language " + " ".join(
