@@ -73,8 +73,9 @@ class _PythonReader(ast.NodeVisitor):
     def _function(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
         a, parent, name = node.args, ".".join(self.classes) or None, node.name
         plain = [*a.posonlyargs, *a.args]
-        params = [*zip(plain, [None] * (len(plain) - len(a.defaults)) + a.defaults, [""] * len(plain), strict=True), *((p, d, "") for p, d in zip(a.kwonlyargs, a.kw_defaults, strict=True))]
-        params += [(p, None, stars) for p, stars in ((a.vararg, "*"), (a.kwarg, "**")) if p]
+        starred = lambda p, stars: [(p, None, stars)] if p else []
+        params = [*zip(plain, [None] * (len(plain) - len(a.defaults)) + a.defaults, [""] * len(plain), strict=True), *starred(a.vararg, "*")]
+        params += [*((p, d, "") for p, d in zip(a.kwonlyargs, a.kw_defaults, strict=True)), *starred(a.kwarg, "**")]
         decorators = [_dotted(d) for d in node.decorator_list]
         private = name.startswith("_") and not (len(name) > 4 and name.startswith("__") and name.endswith("__"))
         flags = [f for f, on in (("method", parent), ("constructor", parent and name == "__init__"), ("private", private), ("static", {"staticmethod", "classmethod"} & {*decorators}), ("async", isinstance(node, ast.AsyncFunctionDef))) if on]

@@ -123,7 +123,7 @@ def x05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The signatures of the Python sample's functions, by their lines.
-_SIGNED = {6: "def __init__(self, x: int, flag = True, *rest, **more) -> None", 9: "def make()", 10: "def _go(n: int = 1)", 14: "def make(self)", 15: "def __secret(self)"}
+_SIGNED = {6: "def __init__(self, x: int, *rest, flag = True, **more) -> None", 9: "def make()", 10: "def _go(n: int = 1)", 14: "def make(self)", 15: "def __secret(self)"}
 
 
 @query("x06_signature", _parsed_sql(["p02_python"], "path AS file_path, line, CASE line " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _SIGNED.items()) + " END AS signature FROM p WHERE kind = 'function' AND qualified_name NOT LIKE 'lambda%'"))

@@ -190,7 +190,7 @@ int main{id}(int argc, char** argv)
 #: file name, source, expected rows.
 SAMPLES: dict[str, tuple[str, str, list[tuple]]] = {
     "p02_python": ("a.py", PYTHON, [
-        ("module", "src/{id}/a.py", 1, "", ""), ("import", "os", 1, "", ""), ("import", ".util", 2, "", ""), ("class", "A{id}", 3, "__init__,make", ""), ("function", "A{id}.__init__", 6, "self,x,flag,*rest,**more", "load"), ("function", "A{id}.make", 9, "", "A"),
+        ("module", "src/{id}/a.py", 1, "", ""), ("import", "os", 1, "", ""), ("import", ".util", 2, "", ""), ("class", "A{id}", 3, "__init__,make", ""), ("function", "A{id}.__init__", 6, "self,x,*rest,flag,**more", "load"), ("function", "A{id}.make", 9, "", "A"),
         ("function", "_go", 10, "n", "run"), ("import", "json", 11, "", ""), ("class", "B", 13, "make,__secret", ""), ("function", "B.make", 14, "self", "map"), ("function", "lambda_line_14", 14, "y", ""), ("function", "B.__secret", 15, "self", ""),
     ]),
     "p03_javascript": ("b.js", SCRIPT, [

@@ -90,7 +90,7 @@ def test_c():
 def test_python():
     source = "class A:\n    def __init__(self, a: int, *b, c=1, **d) -> None: pass\n    def __secret(self): pass\n    @classmethod\n    def make(cls, x='}'): return cls(x)\n"
     assert functions(source, "Python", "flags", "types", "defaults", "returns") == [
-        ("A.__init__", ["method", "constructor"], ["", "int", "", "", ""], ["", "", "1", "", ""], "None"), ("A.__secret", ["method", "private"], [""], [""], None), ("A.make", ["method", "static"], ["", ""], ["", "'}'"], None),
+        ("A.__init__", ["method", "constructor"], ["", "int", "", "", ""], ["", "", "", "1", ""], "None"), ("A.__secret", ["method", "private"], [""], [""], None), ("A.make", ["method", "static"], ["", ""], ["", "'}'"], None),
     ]
     broken = "import os\ndef good(a):\n    return call(a)\nclass B:\n    def m(self): return go()\ndef bad(:\n    x = (\ndef after(): return last()\n"
     assert [x[:2] for x in functions(broken, "Python", "calls")] == [("good", ["call"]), ("B.m", ["go"]), ("bad", []), ("after", ["last"])]
