@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import config
-from quarry.operators import graph, search
+from quarry.operators import graph, search, vectors
 from quarry.plans.fixtures import ddb, table, view
 from quarry.plans.registry import query
 
@@ -35,10 +35,14 @@ def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir), config.TOP_KEYWORD)
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and the stated query set: those whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return rows, rows.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"))
+
+
 def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    queries = vectors.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"))
-    return search.nearest(vectors, queries, config.TOP_SEMANTIC)
+    return search.nearest(*_vectors(spark, sf_dir), config.TOP_SEMANTIC)
 
 
 @query("x11_tokens", "SELECT doc_id, CAST(len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS BIGINT) AS words FROM documents")
@@ -61,6 +65,13 @@ def x13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _semantic(spark, sf_dir).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("x13_vector_index", f"WITH {_COS} SELECT query, id, score, rank FROM sem")
+def x13_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the index: the nearest cells, then every other cell that can hold a better row."""
+    rows, queries = _vectors(spark, sf_dir)
+    return vectors.nearest(vectors.build(rows), queries, config.TOP_SEMANTIC, exact=True).withColumn("rank", F.col("rank").cast("long"))
+
+
 _MIX = f"""ra AS (SELECT query, id, score FROM sem), rk AS (SELECT query // 5 * 100 AS query, id, max(score) AS score FROM kw GROUP BY 1, 2), nk AS (SELECT query, id, round(score / CASE WHEN max(score) OVER (PARTITION BY query) = 0 THEN 1 ELSE max(score) OVER (PARTITION BY query) END, 6) AS score FROM rk),
   mg AS (SELECT coalesce(a.query, k.query) AS query, coalesce(a.id, k.id) AS id, coalesce(a.score, 0) AS semantic, coalesce(k.score, 0) AS keyword, CASE WHEN k.id IS NULL THEN 'semantic' WHEN a.id IS NULL THEN 'keyword' ELSE 'semantic+keyword' END AS source FROM ra a FULL JOIN nk k ON a.query = k.query AND a.id = k.id),
   fu AS (SELECT *, round(least(0.65 * semantic + 0.35 * keyword + CASE WHEN semantic > 0 AND keyword > 0 THEN 0.1 ELSE 0 END, 1), 8) AS score FROM mg)"""
