@@ -80,21 +80,21 @@ def parsed_edges(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(arrow)).select(bare(1).alias("source"), bare(2).alias("target")).where("source <> '' and target <> '' and source <> '%%'")
 
 
-def layout(nodes: DataFrame) -> DataFrame:
-    """id, x, y: tiers from entry points to modules; modules in about 1.5 times as many columns as rows."""
+def layout(nodes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """id, x, y of nodes (id, type), of each diagram where they have its key, `by`: tiers from entry points to modules; modules in about 1.5 times as many columns as rows."""
     # A card's width and height, the gaps, the canvas's middle and its top.
     card_w, card_h, gap_x, gap_y, middle, top = 160, 80, 50, 100, 520, 100
     tier = F.when(F.col("type") == "entry_point", 0).when(F.col("type") == "core_utility", 1).otherwise(2)
-    placed = nodes.select("id", tier.alias("tier")).withColumn("i", F.row_number().over(Window.partitionBy("tier").orderBy("id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("tier")))
+    placed = nodes.select(*by, "id", tier.alias("tier")).withColumn("i", F.row_number().over(Window.partitionBy(*by, "tier").orderBy("id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by, "tier")))
     columns = F.when((F.col("tier") == 2) & (F.col("n") > 5), F.ceil(F.sqrt(F.col("n") * 1.5))).otherwise(F.col("n"))
     placed = placed.withColumn("columns", columns)
-    heights = placed.select("tier", "n", "columns").distinct().withColumn("height", F.ceil(F.col("n") / F.col("columns")) * (card_h + gap_y) + 40)
-    starts = heights.withColumn("start", top + F.coalesce(F.sum("height").over(Window.orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("tier", "start")
+    heights = placed.select(*by, "tier", "n", "columns").distinct().withColumn("height", F.ceil(F.col("n") / F.col("columns")) * (card_h + gap_y) + 40)
+    starts = heights.withColumn("start", top + F.coalesce(F.sum("height").over(Window.partitionBy(*by).orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*by, "tier", "start")
     row, column = F.expr("i div columns"), F.expr("i % columns")
     in_row = F.least(F.col("columns"), F.col("n") - row * F.col("columns"))
     width = in_row * card_w + (in_row - 1) * gap_x
     x = F.floor(middle - width / 2 + card_w / 2 + column * (card_w + gap_x) + 0.5)
-    return placed.join(F.broadcast(starts), "tier").select("id", x.cast("long").alias("x"), (F.col("start") + row * (card_h + gap_y)).cast("long").alias("y"))
+    return placed.join(starts, [*by, "tier"]).select(*by, "id", x.cast("long").alias("x"), (F.col("start") + row * (card_h + gap_y)).cast("long").alias("y"))
 
 
 def total_progress(phase: Column, percent: Column) -> Column:

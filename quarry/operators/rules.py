@@ -141,12 +141,12 @@ def entry_points(files: DataFrame) -> DataFrame:
     return scored.withColumn("confidence", F.when(F.col("score") >= 5, "high").when(F.col("score") >= 3, "medium").otherwise("low"))
 
 
-def patterns(paths: DataFrame, imports: DataFrame, functions: DataFrame, decorators: DataFrame, least: float = 0.2) -> DataFrame:
-    """pattern, confidence of the nine architectural patterns that reach `least`, from paths (path), imports (file_path, module), functions (name) and decorators (decorator).
+def patterns(paths: DataFrame, imports: DataFrame, functions: DataFrame, decorators: DataFrame, least: float = 0.2, by: tuple[str, ...] = ()) -> DataFrame:
+    """pattern, confidence of the nine architectural patterns that reach `least`, from paths (path), imports (file_path, module), functions (name) and decorators (decorator); of each repository where all have its key, `by`.
 
-    Each table becomes one row of flags and counts; no text of all paths is made."""
+    Each table becomes one row of flags and counts a repository; no text of all paths is made. A repository without paths has no row, and one without imports, functions or decorators counts none."""
     path, module, name = F.lower("path"), F.lower("module"), F.lower("name")
-    functions = functions.select(name.alias("name")).distinct()  # a name counts once, whatever its case
+    functions = functions.select(*by, name.alias("name")).distinct()  # a name counts once, whatever its case
     name = F.col("name")
     has = lambda column, *words: F.coalesce(F.bool_or(any_of(column, list(words))), F.lit(False)).cast("int")
     count = lambda column, *words: F.count_if(any_of(column, list(words)))
@@ -158,20 +158,23 @@ def patterns(paths: DataFrame, imports: DataFrame, functions: DataFrame, decorat
         "i": ["django.db", "flask_sqlalchemy", "flask", "fastapi", "django.rest", "express", "spring", "gin", "echo", "serializer", "celery", "kafka", "rabbitmq", "redis", "pika", "kombu", "confluent", "click", "argparse", "typer", "docopt", "cobra", "commander", "clap", "react", "vue", "@angular", "svelte", "preact"],
     }
     main = F.count_if(F.element_at(F.split("path", "/"), -1).isin("main.py", "main.go", "server.js", "main.rs") & F.col("path").contains("/"))
-    p = paths.agg(*[has(path, w).alias(f"p:{w}") for w in words["p"]], main.alias("p#main"), F.count_if(F.col("path").rlike(r"\.(jsx|tsx)$")).alias("p#jsx"))
+    p = paths.groupBy(*by).agg(*[has(path, w).alias(f"p:{w}") for w in words["p"]], main.alias("p#main"), F.count_if(F.col("path").rlike(r"\.(jsx|tsx)$")).alias("p#jsx"))
     service = F.lower("file_path").contains("service") & any_of(module, ["repository", "repo"])
-    i = imports.agg(
+    i = imports.groupBy(*by).agg(
         *[has(module, w).alias(f"i:{w}") for w in words["i"]], F.countDistinct(F.when(service, F.col("file_path"))).alias("i#service"),
         F.coalesce(F.bool_or(module.isin("requests", "httpx", "axios", "http", "https")), F.lit(False)).cast("int").alias("i#http"),
         F.coalesce(F.bool_or(module == "sys"), F.lit(False)).cast("int").alias("i#sys"),
     )
-    f = functions.agg(
+    f = functions.groupBy(*by).agg(
         count(name, "service", "usecase", "handler").alias("f#service"), count(name, "repository", "repo", "dao").alias("f#repo"),
         count(name, "on_", "handle_", "emit", "publish", "subscribe", "dispatch").alias("f#event"), count(name, "register", "plugin", "extension", "hook").alias("f#plugin"),
         F.count("*").alias("f#all"), F.coalesce(F.bool_or(name == "argv"), F.lit(False)).cast("int").alias("f#argv"),
     )
-    d = decorators.agg(count(F.lower("decorator"), "route", "get", "post", "put", "delete", "patch").alias("d#route"))
-    row = p.crossJoin(i).crossJoin(f).crossJoin(d)
+    d = decorators.groupBy(*by).agg(count(F.lower("decorator"), "route", "get", "post", "put", "delete", "patch").alias("d#route"))
+    row = p
+    for part in (i, f, d):
+        row = row.join(part, list(by), "left") if by else row.crossJoin(part)
+    row = row.fillna(0)
     c = lambda key: F.col(f"`{key}`")
     total = lambda kind, names, points: reduce(lambda a, b: a + b, (c(f"{kind}:{w}") * points for w in names))
     one = lambda kind, names: F.greatest(*[c(f"{kind}:{w}") for w in names])
@@ -188,7 +191,7 @@ def patterns(paths: DataFrame, imports: DataFrame, functions: DataFrame, decorat
         "Library/Utility": (one("p", ["__init__.py", "index.ts", "index.js"]) * 2 + total("p", ["serializer", "signer", "encoding", "decoding", "crypto", "utils", "helper", "compat"], 0.5) + one("p", ["setup.py", "pyproject.toml", "package.json"]) * 1.5 + F.when(c("f#all") > 20, 1.5).otherwise(0), 5),
     }
     listed = F.array(*[F.struct(F.lit(n).alias("pattern"), F.round(F.least(score.cast("double") / most, F.lit(1.0)), 6).alias("confidence")) for n, (score, most) in scores.items()])
-    return row.select(F.explode(listed).alias("x")).select("x.*").where(F.col("confidence") >= least)
+    return row.select(*by, F.explode(listed).alias("x")).select(*by, "x.*").where(F.col("confidence") >= least)
 
 
 def parse_manifest(files: DataFrame, entries: DataFrame, found: DataFrame, least: float = 0.4) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry import config
 from quarry.operators import context, rules
 from quarry.operators.filters import tokens
-from quarry.plans.fixtures import ddb, quoted, table, view
+from quarry.plans.fixtures import ddb, each_document, planted, quoted, table, view
 from quarry.plans.registry import query
 
 TURNS = "WITH RECURSIVE " + ddb("v_turns")
@@ -100,11 +100,16 @@ def c08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("c09_citations", """SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false), (5, false)) AS t(n, cited)""")
+_CITING = """WITH x AS (SELECT doc_id, coalesce(text, '') AS content, 'a/b' || doc_id || '.py' AS path, CASE WHEN doc_id % 5 = 0 THEN 'Store.get' || doc_id ELSE 'load' || doc_id END AS name,
+  CASE doc_id % 5 WHEN 0 THEN 'see STORE.get' || doc_id || ' for it' WHEN 1 THEN 'it is in B' || doc_id || '.py' WHEN 2 THEN 'it says ' || left(coalesce(text, ''), 80) WHEN 3 THEN 'nothing' ELSE 'reload' || doc_id || 'ed' END AS answer FROM documents)"""
+
+
+@query("c09_citations", rf"""{_CITING} SELECT doc_id, regexp_matches(lower(answer), '(^|[^a-z0-9_])' || replace(lower(name), '.', '\.') || '($|[^a-z0-9_])') OR contains(lower(answer), 'b' || doc_id || '.py')
+  OR len(list_filter(regexp_extract_all(content, '\b[a-zA-Z_][a-zA-Z0-9_]{{3,}}\b'), lambda w: contains(lower(answer), lower(w)))) >= 2 AS cited FROM x""")
 def c09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "see UserService.get for it", "UserService.get", "a/b.py", "x"), (2, "it is in B.py", "q", "a/b.py", "x"), (3, "load calls parse here", "q", "z.py", "def load(): parse()"), (4, "nothing", "load", "z.py", "def load(): parse()"), (5, "reloaded", "load", "z.py", "x")]
-    made = spark.createDataFrame(rows, "n int, answer string, name string, path string, content string")
-    return made.select("n", context.cited(*(F.col(c) for c in ("answer", "name", "path", "content"))).alias("cited"))
+    """Each document as a chunk, and an answer that has its name, its file, its first words, nothing or part of a longer word."""
+    made = spark.sql(f"{_CITING} SELECT * FROM x".replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    return made.select("doc_id", context.cited(*(F.col(c) for c in ("answer", "name", "path", "content"))).alias("cited"))
 
 
 @query("c10_relevance", f"WITH {_CHUNKS} SELECT id, CASE chunk_type WHEN 'function' THEN 'Function implementation' WHEN 'method' THEN 'Method implementation' WHEN 'class_summary' THEN 'Class definition' ELSE 'Module overview' END AS relevance FROM ch")
@@ -125,9 +130,10 @@ def c11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_turns").select("conv_id", "turn", context.sourced(F.col("question"), F.array(source)).alias("answer"))
 
 
-@query("c11_no_answer", "SELECT * FROM (VALUES ('where is UserService?', 'No relevant code was found. Related questions:' || chr(10) || '• Where is UserService defined?' || chr(10) || '• What are the main classes or functions?'), ('hello', 'No relevant code was found. Related questions:' || chr(10) || '• What files are in this repository?' || chr(10) || '• What are the main classes or functions?')) AS t(question, answer)")
+@query("c11_no_answer", r"""WITH x AS (SELECT conv_id, turn, regexp_extract(coalesce(text, ''), '(?:^|[^\p{L}\p{N}_])([A-Z][a-zA-Z0-9]*)(?:$|[^\p{L}\p{N}_])', 1) AS name FROM conversations) SELECT conv_id, turn, 'No relevant code was found. Related questions:' || chr(10) || '• '
+  || CASE WHEN name = '' THEN 'What files are in this repository?' ELSE 'Where is ' || name || ' defined?' END || chr(10) || '• What are the main classes or functions?' AS answer FROM x""")
 def c11_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("where is UserService?",), ("hello",)], "question string").select("question", context.no_answer(F.col("question")).alias("answer"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", context.no_answer(F.coalesce("text", F.lit(""))).alias("answer"))
 
 
 @query("c12_file_budget", """WITH e AS (SELECT source AS repo, doc_id, array_to_string(list_slice(string_split(text, chr(10)), 1, 80), chr(10)) AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents),
@@ -137,10 +143,12 @@ def c12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.file_budget(table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.concat(F.lit("f"), "doc_id").alias("path"), F.col("text").alias("content"), place.alias("place")))
 
 
-@query("c14_story_json", """SELECT * FROM (VALUES (1, '{"a": 1, "b": 2}', true), (2, '{"a": 1}', false), (3, 'no json', false)) AS t(n, json, valid)""")
+@query("c14_story_json", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{"a": ' || doc_id || ', "b": 2}' WHEN 1 THEN '{"a": ' || doc_id || '}' ELSE 'no json ' || doc_id END AS json, doc_id % 3 = 0 AS valid FROM documents""")
 def c14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, '```json\n{"a": 1, "b": 2}\n```'), (2, '{"a": 1}'), (3, "no json")], "n int, raw string")
-    return rows.select("n", context.story_json(F.col("raw"), ["a", "b"]).alias("x")).select("n", "x.*")
+    """A reply for each document: a fenced object, one that lacks a field, no object."""
+    kind = F.col("doc_id") % 3
+    raw = F.when(kind == 0, F.format_string('```json\n{"a": %d, "b": 2}\n```', "doc_id")).when(kind == 1, F.format_string('{"a": %d}', "doc_id")).otherwise(F.format_string("no json %d", "doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", context.story_json(raw, ["a", "b"]).alias("x")).select("doc_id", "x.*")
 
 
 @query("c15_prompt", f"{TURNS} SELECT conv_id, turn, 'Context:' || chr(10) || answer || chr(10) || chr(10) || 'History:' || chr(10) || chr(10) || chr(10) || 'Question: ' || question AS prompt FROM v_turns")
@@ -171,10 +179,12 @@ def k14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _questions(spark, sf_dir).select("conv_id", "turn", rules.query_type(F.col("q")).alias("type"))
 
 
-@query("k14_query_type_literal", "SELECT * FROM (VALUES ('what is this', 'what_is'), ('how does it work', 'how_does'), ('where is the login', 'where_is'), ('what calls save', 'what_calls'), ('what does it import', 'what_is'), ('explain the request routing flow', 'explain'), ('hello', 'general'), ('what depends on x', 'what_calls'), ('impact of removing x', 'what_breaks')) AS t(q, type)")
+_KINDS = [("what is this #", "what_is"), ("how does # work", "how_does"), ("where is the login #", "where_is"), ("what calls save#", "what_calls"), ("what does # import", "what_is"), ("explain the request routing flow #", "explain"), ("hello #", "general"), ("what depends on x#", "what_calls"), ("impact of removing x#", "what_breaks")]
+
+
+@query("k14_query_type_literal", each_document(", ".join(f"('{q}', '{kind}')" for q, kind in _KINDS), "q", "type"))
 def k14_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = ["what is this", "how does it work", "where is the login", "what calls save", "what does it import", "explain the request routing flow", "hello", "what depends on x", "impact of removing x"]
-    return spark.createDataFrame([(t,) for t in texts], "q string").select("q", rules.query_type(F.col("q")).alias("type"))
+    return planted(spark, sf_dir, [(q,) for q, _ in _KINDS], "q string").select("q", rules.query_type(F.col("q")).alias("type"))
 
 
 @query("k15_flags", f"WITH {_QUESTIONS} SELECT conv_id, turn, ({_TYPE}) IN ('what_calls', 'what_imports') OR {' OR '.join(f'contains(q, {quoted([w])})' for w in config.RELATION_WORDS)} AS graph_query FROM qs")
@@ -194,23 +204,51 @@ def k17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_turns").select("conv_id", "turn", level.alias("confidence"))
 
 
-@query("x17_cited_entities", "SELECT * FROM (VALUES ('ask load_all', 'ask,load_all,UserService'), ('x', 'UserService,load_all'), ('what about app.py', 'about,app,app.py')) AS t(text, entities)")
+# what a turn's text is with a phrase of its own, by turn
+_PHRASES = ["ask UserService.get_user in app.py", "the HTTPClient and LoadBalancer", "How does it work with load_all?", "(find) UserRepo, UserRepo! is THIS 42 ok", "and that _x user_service.py"]
+_ASKED = f"ak AS (SELECT conv_id, turn, list_extract([{quoted(_PHRASES)}], CAST(coalesce(turn, 0) % {len(_PHRASES)} AS INT) + 1) || ' ' || coalesce(text, '') AS q FROM conversations)"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's whole text after a phrase that holds names of all kinds."""
+    phrase = F.get(F.array(*map(F.lit, _PHRASES)), (F.coalesce("turn", F.lit(0)) % len(_PHRASES)).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(phrase, F.lit(" "), F.coalesce("text", F.lit(""))).alias("q"))
+
+
+def _names_sql(q: str) -> str:
+    """DuckDB's list of the names in q, repeats included."""
+    snake = rf"list_filter(regexp_extract_all({q}, '\b[a-z_][a-z0-9_]{{2,}}\b'), lambda w: contains(w, '_') OR NOT list_contains([{quoted(config.STOP_WORDS)}], w))"
+    rest = rf"list_concat(regexp_extract_all({q}, '\b[A-Za-z0-9_-]+\.(?:py|js|ts|java|go|rs|c|cpp|rb|php)\b'), regexp_extract_all({q}, '\b[A-Z][a-zA-Z0-9]*\.[a-z_][a-z0-9_]*\b'))"
+    return rf"list_concat(list_concat(regexp_extract_all({q}, '\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b'), {snake}), {rest})"
+
+
+def _once(column: str) -> str:
+    return f"list_filter({column}, lambda x, i: list_position({column}, x) = i)"
+
+
+def _swapped(q: str, entity: str) -> str:
+    return "CASE " + " ".join(rf"WHEN regexp_matches({q}, '(?i)\b{w}\b') THEN coalesce(regexp_replace({q}, '(?i)\b{w}\b', {entity}), {q})" for w in ("it", "this", "that")) + f" ELSE {q} END"
+
+
+@query("x17_cited_entities", f"WITH {_ASKED}, n AS (SELECT conv_id, turn, list_concat({_names_sql('q')}, ['UserService', 'load_all']) AS l FROM ak) SELECT conv_id, turn, array_to_string({_once('l')}, ',') AS entities FROM n")
 def x17_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("ask load_all", None, ["UserService", "load_all"]), ("x", None, ["UserService", "load_all"]), ("what about app.py", None, None)], "text string, previous string, cited array<string>")
-    return context.processed(rows).select("text", F.array_join("entities", ",").alias("entities"))
+    rows = _asked(spark, sf_dir).withColumnRenamed("q", "text").withColumn("previous", F.lit(None).cast("string")).withColumn("cited", F.array(F.lit("UserService"), F.lit("load_all")))
+    return context.processed(rows).select("conv_id", "turn", F.array_join("entities", ",").alias("entities"))
 
 
-@query("x20_previous_answer", "SELECT * FROM (VALUES ('How does it work?', 'how does UserService work?'), ('Is THIS and that ok', 'is load_all and that ok'), ('no pronoun', 'no pronoun'), ('and it?', 'and it?')) AS t(text, resolved)")
+@query("x20_previous_answer", f"WITH {_ASKED}, n AS (SELECT conv_id, turn, lower(trim(q)) AS q, {_names_sql('p')} AS l FROM (SELECT *, CASE WHEN conv_id % 3 > 0 THEN q END AS p FROM ak) z) SELECT conv_id, turn, {_swapped('q', 'l[1]')} AS resolved FROM n")
 def x20_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("How does it work?", "see the UserService and load_all", None), ("Is THIS and that ok", "A load_all", None), ("no pronoun", "UserService", None), ("and it?", None, None)], "text string, previous string, cited array<string>")
-    return context.processed(rows).select("text", "resolved")
+    """The turn's own text as the previous answer, which a third of the conversations lack."""
+    rows = _asked(spark, sf_dir).withColumn("previous", F.when(F.col("conv_id") % 3 > 0, F.col("q"))).withColumnRenamed("q", "text").withColumn("cited", F.lit(None).cast("array<string>"))
+    return context.processed(rows).select("conv_id", "turn", "resolved")
 
 
-@query("k15_multi_hop", "SELECT * FROM (VALUES ('explain the request flow', true, false), ('what breaks here', true, false), ('load_all and UserService', true, false), ('load_all', false, false), ('one two six', true, false), ('what calls load', false, true)) AS t(text, multi_hop, graph_query)")
+@query("k15_multi_hop", f"""WITH {_ASKED}, z AS (SELECT conv_id, turn, list_extract(['explain ', 'what breaks ', 'what calls ', ''], CAST(conv_id % 4 AS INT) + 1) || q AS text FROM ak), n AS (SELECT conv_id, turn, lower(trim(text)) AS q, {_names_sql('text')} AS l FROM z), t AS (SELECT *, {_TYPE} AS type, len(list_distinct(l)) AS n FROM n)
+  SELECT conv_id, turn, type IN ('explain', 'what_breaks') OR (contains(q, ' and ') AND n > 1) OR n > 2 AS multi_hop, type IN ('what_calls', 'what_imports') OR {' OR '.join(f'contains(q, {quoted([w])})' for w in config.RELATION_WORDS)} AS graph_query FROM t""")
 def k15_multi_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = ["explain the request flow", "what breaks here", "load_all and UserService", "load_all", "one two six", "what calls load"]
-    rows = spark.createDataFrame([(t, None, None) for t in texts], "text string, previous string, cited array<string>")
-    return context.processed(rows).select("text", "multi_hop", "graph_query")
+    first = F.get(F.array(*map(F.lit, ["explain ", "what breaks ", "what calls ", ""])), (F.col("conv_id") % 4).cast("int"))
+    rows = _asked(spark, sf_dir).select("conv_id", "turn", F.concat(first, "q").alias("text"), F.lit(None).cast("string").alias("previous"), F.lit(None).cast("array<string>").alias("cited"))
+    return context.processed(rows).select("conv_id", "turn", "multi_hop", "graph_query")
 
 
 @query("c01_history_before", f"""{TURNS}, u AS (SELECT conv_id, turn FROM conversations WHERE role = 'user'), b AS (SELECT u.conv_id, u.turn, t.question, t.answer, t.turn AS earlier, row_number() OVER (PARTITION BY u.conv_id, u.turn ORDER BY t.turn DESC) AS n FROM u JOIN v_turns t ON t.conv_id = u.conv_id AND t.turn < u.turn),
@@ -219,22 +257,23 @@ def c01_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.with_history(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "history", "previous")
 
 
-@query("x17_entities", """SELECT * FROM (VALUES ('ask UserService.get_user in app.py', 'UserService,ask,get_user,app,app.py,UserService.get_user'), ('the HTTPClient and LoadBalancer', 'LoadBalancer')) AS t(q, entities)""")
+@query("x17_entities", f"WITH {_ASKED}, n AS (SELECT conv_id, turn, {_names_sql('q')} AS l FROM ak) SELECT conv_id, turn, array_to_string({_once('l')}, ',') AS entities FROM n")
 def x17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("ask UserService.get_user in app.py",), ("the HTTPClient and LoadBalancer",)], "q string")
-    return rows.select("q", F.array_join(context.entities(F.col("q")), ",").alias("entities"))
+    return _asked(spark, sf_dir).select("conv_id", "turn", F.array_join(context.entities(F.col("q")), ",").alias("entities"))
+
+
+_MARKS = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-@query("x18_keywords", r"SELECT * FROM (VALUES ('how does the user_service.py load a 42 ok?', 'does,user_service.py,load,42'), ('(find) UserRepo, UserRepo!', 'find,UserRepo')) AS t(q, words)")
+@query("x18_keywords", rf"""WITH {_ASKED}, w AS (SELECT conv_id, turn, list_transform(list_filter(string_split_regex(q, '\s+'), lambda w: w <> '' AND NOT list_contains([{quoted(config.STOP_WORDS)}], w)), lambda w: trim(w, '{_MARKS}')) AS a FROM ak),
+  k AS (SELECT conv_id, turn, list_filter(a, lambda w: w <> '' AND (contains(w, '_') OR regexp_matches(w, '[A-Z]') OR contains(w, '.') OR regexp_full_match(w, '[0-9]+') OR length(w) > 2)) AS l FROM w) SELECT conv_id, turn, array_to_string({_once('l')}, ',') AS words FROM k""")
 def x18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("how does the user_service.py load a 42 ok?",), ("(find) UserRepo, UserRepo!",)], "q string")
-    return rows.select("q", F.array_join(context.keywords(F.col("q")), ",").alias("words"))
+    return _asked(spark, sf_dir).select("conv_id", "turn", F.array_join(context.keywords(F.col("q")), ",").alias("words"))
 
 
-@query("x20_pronouns", "SELECT * FROM (VALUES ('How does it work?', 'How does UserService work?'), ('Is this and that ok', 'Is UserService and that ok'), ('no pronoun', 'no pronoun')) AS t(question, resolved)")
+@query("x20_pronouns", f"WITH {_ASKED} SELECT conv_id, turn, {_swapped('q', quoted(['UserService']))} AS resolved FROM ak")
 def x20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("How does it work?",), ("Is this and that ok",), ("no pronoun",)], "question string")
-    return rows.select("question", context.resolved_question(F.col("question"), F.lit("UserService")).alias("resolved"))
+    return _asked(spark, sf_dir).select("conv_id", "turn", context.resolved_question(F.col("q"), F.lit("UserService")).alias("resolved"))
 
 
 @query("t08_newest_jobs", f"{JOBS} SELECT repo_key, job_id, row_number() OVER (PARTITION BY repo_key ORDER BY created_at DESC, job_id DESC) AS place FROM v_jobs")

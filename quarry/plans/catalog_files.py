@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry import config
 from quarry.operators import filters, stats
 from quarry.operators.shared import cut, fresh
-from quarry.plans.fixtures import ddb, quoted, table, view
+from quarry.plans.fixtures import ddb, each_document, planted, quoted, table, view
 from quarry.plans.registry import query
 from quarry.sources import repository, stores
 
@@ -103,15 +103,14 @@ def i13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", filters.repo_url(F.col("url"))["error"].alias("error"))
 
 
-@query("i13_repo_url", """SELECT * FROM (VALUES
-  ('pallets/flask', 'pallets', 'flask', NULL, NULL), ('https://github.com/a-b/c.d.git', 'a-b', 'c.d', NULL, NULL),
-  ('git@github.com:Org/repo.git', 'Org', 'repo', NULL, NULL), ('github.com/o/r/tree/dev/src', 'o', 'r', 'dev', NULL),
-  ('https://github.com/o/r/blob/main/x.py?x=1', 'o', 'r', 'main', NULL), ('https://github.com/onlyuser', NULL, NULL, NULL, 'user page'),
-  ('https://gitlab.com/o/r', NULL, NULL, NULL, 'other host'), ('https://example.org/o/r', NULL, NULL, NULL, 'unknown host'),
-  ('https://github.com/-bad/r', '-bad', 'r', NULL, 'bad owner')) AS t(url, owner, repo, branch, error)""")
+@query("i13_repo_url", each_document("""('pallets/flask#', 'pallets', 'flask#', NULL, NULL), ('https://github.com/a-b/c.d#.git', 'a-b', 'c.d#', NULL, NULL),
+  ('git@github.com:Org/repo#.git', 'Org', 'repo#', NULL, NULL), ('github.com/o/r#/tree/dev/src', 'o', 'r#', 'dev', NULL),
+  ('https://github.com/o/r#/blob/main/x.py?x=1', 'o', 'r#', 'main', NULL), ('https://github.com/onlyuser#', NULL, NULL, NULL, 'user page'),
+  ('https://gitlab.com/o/r#', NULL, NULL, NULL, 'other host'), ('https://example.org/o/r#', NULL, NULL, NULL, 'unknown host'),
+  ('https://github.com/-bad/r#', '-bad', 'r#', NULL, 'bad owner')""", "url", "owner", "repo", "branch", "error"))
 def i13_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urls = ["pallets/flask", "https://github.com/a-b/c.d.git", "git@github.com:Org/repo.git", "github.com/o/r/tree/dev/src", "https://github.com/o/r/blob/main/x.py?x=1", "https://github.com/onlyuser", "https://gitlab.com/o/r", "https://example.org/o/r", "https://github.com/-bad/r"]
-    return spark.createDataFrame([(u,) for u in urls], "url string").select("url", filters.repo_url(F.col("url")).alias("x")).select("url", "x.*")
+    urls = ["pallets/flask#", "https://github.com/a-b/c.d#.git", "git@github.com:Org/repo#.git", "github.com/o/r#/tree/dev/src", "https://github.com/o/r#/blob/main/x.py?x=1", "https://github.com/onlyuser#", "https://gitlab.com/o/r#", "https://example.org/o/r#", "https://github.com/-bad/r#"]
+    return planted(spark, sf_dir, [(u,) for u in urls], "url string").select("url", filters.repo_url(F.col("url")).alias("x")).select("url", "x.*")
 
 
 def _mirror(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
@@ -135,15 +134,16 @@ def s02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ANSWERS = [
-    '{"name":"r","owner":{"login":"o","id":1},"full_name":"o/r","description":null,"language":"Go","stargazers_count":5,"forks_count":1,"size":9,"default_branch":"main","topics":["a","b"],"created_at":"2020-01-01T00:00:00","updated_at":"2021-01-01T00:00:00","license":{"name":"MIT"},"fork":false,"archived":true,"has_wiki":true,"open_issues_count":2,"homepage":"h","visibility":"private"}',
-    '{"name":"q","owner":{"login":"p"},"full_name":"p/q","description":"d","language":null,"stargazers_count":0,"forks_count":0,"size":0,"default_branch":"dev","license":null,"fork":true,"archived":false,"has_wiki":false,"open_issues_count":0,"homepage":""}',
+    '{"name":"r#","owner":{"login":"o","id":1},"full_name":"o/r#","description":null,"language":"Go","stargazers_count":5,"forks_count":1,"size":9,"default_branch":"main","topics":["a","b"],"created_at":"2020-01-01T00:00:00","updated_at":"2021-01-01T00:00:00","license":{"name":"MIT"},"fork":false,"archived":true,"has_wiki":true,"open_issues_count":2,"homepage":"h","visibility":"private"}',
+    '{"name":"q#","owner":{"login":"p"},"full_name":"p/q#","description":"d","language":null,"stargazers_count":0,"forks_count":0,"size":0,"default_branch":"dev","license":null,"fork":true,"archived":false,"has_wiki":false,"open_issues_count":0,"homepage":""}',
 ]
 
 
-@query("s03_repo_metadata", """SELECT * FROM (VALUES ('r', 'o', 'o/r', '', 'Go', CAST(5 AS BIGINT), CAST(1 AS BIGINT), CAST(9 AS BIGINT), 'main', 'a,b', '2020-01-01T00:00:00', '2021-01-01T00:00:00', 'MIT', false, true, true, CAST(2 AS BIGINT), 'h', 'private'),
-  ('q', 'p', 'p/q', 'd', 'Unknown', 0, 0, 0, 'dev', '', NULL, NULL, NULL, true, false, false, 0, '', 'public')) AS t(name, owner, full_name, description, primary_language, stars, forks, size_kb, default_branch, topics, created_at, updated_at, license, is_fork, is_archived, has_wiki, open_issues_count, homepage, visibility)""")
+@query("s03_repo_metadata", """SELECT t.* FROM documents, LATERAL (VALUES ('r' || doc_id, 'o', 'o/r' || doc_id, '', 'Go', CAST(5 AS BIGINT), CAST(1 AS BIGINT), CAST(9 AS BIGINT), 'main', 'a,b', '2020-01-01T00:00:00', '2021-01-01T00:00:00', 'MIT', false, true, true, CAST(2 AS BIGINT), 'h', 'private'),
+  ('q' || doc_id, 'p', 'p/q' || doc_id, 'd', 'Unknown', 0, 0, 0, 'dev', '', NULL, NULL, NULL, true, false, false, 0, '', 'public')) AS t(name, owner, full_name, description, primary_language, stars, forks, size_kb, default_branch, topics, created_at, updated_at, license, is_fork, is_archived, has_wiki, open_issues_count, homepage, visibility)""")
 def s03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repository.metadata(spark.createDataFrame([(a,) for a in _ANSWERS], "raw string")).withColumn("topics", F.array_join("topics", ","))
+    """Two answers for each document, one of them without most fields."""
+    return repository.metadata(planted(spark, sf_dir, [(a,) for a in _ANSWERS], "raw string").select("raw")).withColumn("topics", F.array_join("topics", ","))
 
 
 @query("s05_json_scan", f"{FILES} SELECT path, 'unknown' AS language, size_bytes, CASE WHEN file_id % 2 = 0 THEN 'f' || file_id ELSE '' END AS functions FROM v_files")
@@ -199,10 +199,11 @@ def s09_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repository.read_latest(spark, folder).crossJoin(F.broadcast(kept))
 
 
-@query("s10_catalog_listing", "SELECT 'a__b' AS folder, true AS complete UNION ALL SELECT 'c__d', false")
+@query("s10_catalog_listing", "SELECT 'a__b' || doc_id AS folder, true AS complete FROM documents UNION ALL SELECT 'c__d' || doc_id, false FROM documents")
 def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a__b", ["owner", "repo_name", "files", "languages"]), ("c__d", ["owner"]), ("a__b__2024-01-01T10", ["owner", "repo_name", "files", "languages"])]
-    return repository.listing(spark.createDataFrame(rows, "folder string, keys array<string>"))
+    """For each document a complete repository, one that lacks keys, and an older copy of the first."""
+    rows = [("a__b#", ["owner", "repo_name", "files", "languages"]), ("c__d#", ["owner"]), ("a__b#__2024-01-01T10", ["owner", "repo_name", "files", "languages"])]
+    return repository.listing(planted(spark, sf_dir, rows, "folder string, keys array<string>"))
 
 
 @query("s12_vector_upsert", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE label END AS label, CAST(len(embedding) AS BIGINT) AS dimensions FROM embeddings")
@@ -215,13 +216,15 @@ def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("vectors").select("vec_id", "label", F.size("embedding").cast("long").alias("dimensions"))
 
 
-@query("s13_collections", "SELECT * FROM (VALUES (1, 'exists', 'false'), (2, 'names', 'a,b'), (3, 'count', '0'), (4, 'count', '2'), (5, 'deleted', 'true'), (6, 'deleted', 'false'), (7, 'names', 'b')) AS t(step, what, value)")
+@query("s13_collections", "SELECT * FROM (VALUES (1, 'exists', 'false'), (2, 'names', 'a,b'), (3, 'count', '0'), (4, 'count', (SELECT CAST(count(*) AS VARCHAR) FROM embeddings)), (5, 'deleted', 'true'), (6, 'deleted', 'false'), (7, 'names', 'b')) AS t(step, what, value)")
 def s13_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store, rows = stores.Collections(spark, fresh(spark, "collections")), spark.createDataFrame([(1, [0.5]), (2, [1.0]), (3, [])], "id int, embedding array<float>")
+    """The steps of a collection's life, all vectors stored in between, beside one row without a vector."""
+    empty = spark.createDataFrame([(-1, [])], "vec_id long, embedding array<float>")
+    store, rows = stores.Collections(spark, fresh(spark, "collections")), table(spark, sf_dir, "embeddings").select("vec_id", "embedding").unionByName(empty)
     steps = [("exists", store.exists("a"))]
     store.get_or_create("a"), store.get_or_create("b")
     steps += [("names", ",".join(store.names())), ("count", store.count("a"))]
-    store.upsert("a", rows, "id")
+    store.upsert("a", rows, "vec_id")
     steps += [("count", store.count("a")), ("deleted", store.delete("a")), ("deleted", store.delete("a")), ("names", ",".join(store.names()))]
     return spark.createDataFrame([(n, what, str(value).lower()) for n, (what, value) in enumerate(steps, 1)], "step int, what string, value string")
 

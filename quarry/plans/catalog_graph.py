@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import config
 from quarry.operators import graph, stats
-from quarry.plans.fixtures import ddb, quoted, view
+from quarry.plans.fixtures import ddb, each_document, planted, quoted, view
 from quarry.plans.registry import query
 
 EDGES = "WITH RECURSIVE " + ddb("v_edges", "v_nodes")
@@ -176,9 +176,9 @@ def u05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", (F.size(F.array_except(F.array(F.lit("k"), F.lit("v")), keys)) == 0).alias("complete"))
 
 
-@query("k12_cross_layer", "SELECT * FROM (VALUES ('entry', 'service', false), ('service', 'entry', true), ('repository', 'utility', false), ('model', 'model', false), ('repository', 'service', true), ('unknown', 'config', false)) AS t(from_layer, to_layer, crosses)")
+@query("k12_cross_layer", each_document("('entry', 'service', false), ('service', 'entry', true), ('repository', 'utility', false), ('model', 'model', false), ('repository', 'service', true), ('unknown', 'config', false)", "from_layer", "to_layer", "crosses").replace("replace(crosses, '#', CAST(doc_id AS VARCHAR))", "doc_id, crosses"))
 def k12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.operators.rules import crosses_layers
 
     pairs = [("entry", "service"), ("service", "entry"), ("repository", "utility"), ("model", "model"), ("repository", "service"), ("unknown", "config")]
-    return spark.createDataFrame(pairs, "from_layer string, to_layer string").withColumn("crosses", crosses_layers(F.col("from_layer"), F.col("to_layer")))
+    return planted(spark, sf_dir, pairs, "from_layer string, to_layer string").withColumn("crosses", crosses_layers(F.col("from_layer"), F.col("to_layer")))

@@ -11,7 +11,7 @@ from quarry import config
 from quarry.operators import chunks, context, diagram, filters, graph, parsing, story
 from quarry.operators.shared import fresh
 from quarry.plans.catalog_files import _LANG, FILES
-from quarry.plans.fixtures import ddb, quoted, table, view
+from quarry.plans.fixtures import ddb, planted, quoted, table, view
 from quarry.plans.registry import query
 from quarry.plans.samples import SAMPLES
 from quarry.sources import repository
@@ -172,10 +172,12 @@ def x08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_files").select("file_id", chunks.truncated(F.col("content")).alias("content"))
 
 
-@query("x09_keywords", "SELECT * FROM (VALUES (1, 'userservice,get,by_id,cached,loads,one,user'), (2, 'run')) AS t(n, words)")
+@query("x09_keywords", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'userservice,get' || doc_id || ',by_id,cached,loads,one,user' ELSE 'run' || doc_id END AS words FROM documents")
 def x09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "UserService.get", ["self", "by_id", "x"], ["@cached(1)"], "Loads one user by_id"), (2, "run", [], [], "")], "n int, name string, parameters array<string>, decorators array<string>, docstring string")
-    return rows.select("n", F.array_join(chunks.keywords(*(F.col(c) for c in ("name", "parameters", "decorators", "docstring"))), ",").alias("words"))
+    """A method with all parts for every other document, a bare function for the rest."""
+    rows = [(0, "UserService.get#", ["self", "by_id", "x"], ["@cached(1)"], "Loads one user by_id"), (1, "run#", [], [], "")]
+    made = planted(spark, sf_dir, rows, "n int, name string, parameters array<string>, decorators array<string>, docstring string").where("doc_id % 2 = n")
+    return made.select("doc_id", F.array_join(chunks.keywords(*(F.col(c) for c in ("name", "parameters", "decorators", "docstring"))), ",").alias("words"))
 
 
 @query("x10_chunk_index", f"{FILES} SELECT path AS qualified_name, file_id AS chunk_id FROM v_files QUALIFY row_number() OVER (PARTITION BY path ORDER BY file_id % 3, file_id) = 1")
@@ -184,10 +186,10 @@ def x10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_index(made)
 
 
-@query("x21_docstrings", "SELECT * FROM (VALUES (1, 'A thing.'), (2, 'Does it' || chr(10) || 'well')) AS t(n, text)")
+@query("x21_docstrings", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'A thing ' || doc_id || '.' ELSE 'Does it' || chr(10) || 'well ' || doc_id END AS text FROM documents")
 def x21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, '"""A thing."""'), (2, "/** Does it\n * well */")], "n int, raw string")
-    return rows.select("n", chunks.clean_docstring(F.col("raw")).alias("text"))
+    rows = planted(spark, sf_dir, [(0, '"""A thing #."""'), (1, "/** Does it\n * well # */")], "n int, raw string").where("doc_id % 2 = n")
+    return rows.select("doc_id", chunks.clean_docstring(F.col("raw")).alias("text"))
 
 
 @query("x23_hashes", f"{FILES} SELECT file_id, left(md5(path), 12) AS path_hash, left(sha256(content), 16) AS content_hash FROM v_files")
@@ -249,10 +251,11 @@ def g06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagram.parsed_edges(_lines(spark, sf_dir))
 
 
-@query("g07_layout", "SELECT * FROM (VALUES ('a', CAST(520 AS BIGINT), CAST(100 AS BIGINT)), ('b', 415, 320), ('c', 625, 320), ('m0', 310, 540), ('m1', 520, 540), ('m2', 730, 540), ('m3', 310, 720), ('m4', 520, 720), ('m5', 730, 720)) AS t(id, x, y)")
+@query("g07_layout", "SELECT doc_id, id, x, y FROM documents, (VALUES ('a', CAST(520 AS BIGINT), CAST(100 AS BIGINT)), ('b', 415, 320), ('c', 625, 320), ('m0', 310, 540), ('m1', 520, 540), ('m2', 730, 540), ('m3', 310, 720), ('m4', 520, 720), ('m5', 730, 720)) AS t(id, x, y)")
 def g07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A diagram for each document."""
     rows = [("a", "entry_point"), ("b", "core_utility"), ("c", "core_utility"), *((f"m{i}", "module") for i in range(6))]
-    return diagram.layout(spark.createDataFrame(rows, "id string, type string"))
+    return diagram.layout(planted(spark, sf_dir, rows, "id string, type string"), ("doc_id",))
 
 
 @query("g08_label_search", f"{FILES} SELECT file_id FROM v_files WHERE contains(lower(path), 'service_1')")
@@ -310,16 +313,14 @@ def c13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _story(spark, sf_dir).withColumns(lists | {"top_modules": F.array_join(modules, ",")})
 
 
-@query("c14_fallback_story", """SELECT 'This is a minimal Go library with 3 files.' AS primary_commitment, 'a_go' AS module_id, 'Contains 2 functions. This module handles the primary logic of the library.' AS explanation, true AS valid, CAST(2 AS BIGINT) AS stories""")
+@query("c14_fallback_story", """SELECT 'This is a minimal ' || coalesce(lang, 'Unknown') || ' library with ' || (doc_id % 9 + 1) || ' files.' AS primary_commitment, 'a' || doc_id || '_go' AS module_id, 'Contains ' || n_chars || ' functions. This module handles the primary logic of the library.' AS explanation, true AS valid FROM documents WHERE doc_id % 9 < 4""")
 def c14_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of three repositories two are small; the stand-in's text passes the test of a generated one."""
-    module = "struct('x/a.go' AS file, 1L AS calls_in, 2L AS calls_out, 2L AS functions)"
-    rows = spark.range(1, 4).selectExpr("'Go' AS primary_language", "id * id AS total_files", "7L AS total_functions", f"array({module}) AS top_modules").unionByName(spark.range(1).selectExpr("'Go' AS primary_language", "3L AS total_files", "2L AS total_functions", f"array({module}) AS top_modules"))
-    told = story.fallback_story(rows)
+    """Each document as what is known of a repository of one to nine files; the stand-in's text passes the test of a generated one."""
+    module = "struct(concat('x/a', doc_id, '.go') AS file, 1L AS calls_in, 2L AS calls_out, n_chars AS functions)"
+    rows = table(spark, sf_dir, "documents").selectExpr("coalesce(lang, 'Unknown') AS primary_language", "doc_id % 9 + 1 AS total_files", "doc_id AS total_functions", f"array({module}) AS top_modules")
     fields = ["primary_commitment", "origin_story", "how_it_flows", "key_modules", "design_tensions", "founding_metaphor", "verdict"]
-    read = told.select("story", context.story_json(F.col("story"), fields).alias("x"), F.from_json("story", "primary_commitment string, key_modules array<struct<module_id:string,explanation:string>>").alias("y"))
-    one = read.where("y.primary_commitment like '%3 files%'").select("y.primary_commitment", F.col("y.key_modules")[0]["module_id"].alias("module_id"), F.col("y.key_modules")[0]["explanation"].alias("explanation"), "x.valid")
-    return one.crossJoin(told.agg((F.count("*") - 1).alias("stories")))
+    read = story.fallback_story(rows).select(context.story_json(F.col("story"), fields).alias("x"), F.from_json("story", "primary_commitment string, key_modules array<struct<module_id:string,explanation:string>>").alias("y"))
+    return read.select("y.primary_commitment", F.col("y.key_modules")[0]["module_id"].alias("module_id"), F.col("y.key_modules")[0]["explanation"].alias("explanation"), "x.valid")
 
 
 @query("g12_guarded_edges", "SELECT 'none' AS graph, 5 * count(*) AS edges FROM documents UNION ALL SELECT 'some', 1")

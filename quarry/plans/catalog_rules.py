@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry import config
 from quarry.operators import filters, graph, resolve, rules
 from quarry.plans.catalog_files import _EXT, _LANG, FILES
-from quarry.plans.fixtures import ddb, each_document, view
+from quarry.plans.fixtures import ddb, each_document, planted, quoted, view
 from quarry.plans.registry import query
 
 EDGES = "WITH RECURSIVE " + ddb("v_edges", "v_nodes")
@@ -117,11 +117,63 @@ def _patterns(spark: SparkSession) -> DataFrame:
     return rules.patterns(paths, imports, functions, spark.createDataFrame([("app.get('/x')",), ("router.post",)], "decorator string"))
 
 
-for _key, _name, _score in (
-    ("k02_mvc", "MVC", "1.0"), ("k03_layered", "Layered Architecture", "round(5.5 / 7, 6)"), ("k04_rest_api", "REST API", "round(4.4 / 6, 6)"), ("k05_event_driven", "Event-driven", "round((3.0 + 1.0 / 3) / 6, 6)"), ("k06_microservices", "Microservices", "round(6.0 / 7, 6)"),
-    ("k07_cli", "CLI Application", "0.8"), ("k08_plugin", "Plugin/Extension", "0.25"), ("k09_frontend", "Frontend Component", "1.0"), ("k10_library", "Library/Utility", "0.4"),
-):
-    query(_key, f"SELECT '{_name}' AS pattern, CAST({_score} AS DOUBLE) AS confidence")(lambda spark, sf_dir, name=_name: _patterns(spark).where(F.col("pattern") == name))
+# a repository for each document: what each table holds, of which a document has the rows whose number it doesn't share a remainder with
+_OWN = {
+    "p": ("path", [*_PATHS, "app/views.py", "app/models.py", "app/urls.py", "plugins/a.py", "k8s/x.yml", "lib/utils/helper.py", "setup.py"], 4),
+    "i": ("file_path, module", [("services/api/routes.py", "fastapi"), ("services/api/routes.py", "repository.user"), ("cli/run.py", "click"), ("web/pages/a.tsx", "react"), ("x/main.py", "requests"), ("x/main.py", "sys"), ("x/main.py", "celery.app"), ("x/main.py", "django.db")], 3),
+    "f": ("name", ["handle_event", "user_service", "repo_get", "register_hook", "HANDLE_EVENT", "argv", "Emit_all", "plugin_a", *(f"f{n}" for n in range(20))], 5),
+    "d": ("decorator", ["app.get('/x')", "router.post", "app.ROUTE('/y')", "cached"], 3),
+}
+_OWN_SQL = "WITH " + ", ".join(
+    f"{key} AS (SELECT doc_id, {', '.join(f'lower({c}) AS {c}' for c in columns.split(', '))} FROM documents, (VALUES "
+    + ", ".join(f"({n}, {quoted([row] if isinstance(row, str) else list(row))})" for n, row in enumerate(rows)) + f") AS t(n, {columns}) WHERE doc_id % {every} <> n % {every})"
+    for key, (columns, rows, every) in _OWN.items()
+)
+
+
+def _own_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = []
+    for columns, rows, every in _OWN.values():
+        listed = [(n, row) if isinstance(row, str) else (n, *row) for n, row in enumerate(rows)]
+        tables.append(planted(spark, sf_dir, listed, "n int, " + ", ".join(f"{c} string" for c in columns.split(", "))).where(F.col("doc_id") % every != F.col("n") % every).drop("n"))
+    return rules.patterns(*tables, by=("doc_id",))
+
+
+def _p(*words: str, of: str = "p", column: str = "path") -> str:
+    """1 where a row of the table holds one of the words, else 0."""
+    return f"coalesce(max(CAST({' OR '.join(f'contains({column}, {quoted([w])})' for w in words)} AS INT)), 0)"
+
+
+def _sum(points: float, *words: str, column: str = "path") -> str:
+    return "(" + " + ".join(f"{points} * {_p(w, column=column)}" for w in words) + ")"
+
+
+def _c(*words: str, column: str = "name", distinct: str = "name") -> str:
+    return f"count(DISTINCT CASE WHEN {' OR '.join(f'contains({column}, {quoted([w])})' for w in words)} THEN {distinct} END)"
+
+
+# the points of each pattern that paths, imports, functions and decorators bring, and the most
+_m = lambda points, *words: _sum(points, *words, column="module")
+_mi = lambda *words: _p(*words, column="module")
+_POINTS = {
+    "k02_mvc": ("MVC", f"{_sum(1, 'models', 'views', 'controllers')} + 3 * least({_p('models.py')}, {_p('views.py')}, {_p('urls.py')}) + 3 * least({_p('app/models')}, {_p('app/views')})", _mi("django.db", "flask_sqlalchemy"), "0", "0", 6),
+    "k03_layered": ("Layered Architecture", _sum(1.5, "services", "repositories", "handlers", "usecases"), "2 * count(DISTINCT CASE WHEN contains(file_path, 'service') AND contains(module, 'repo') THEN file_path END)", f"CASE WHEN {_c('service', 'usecase', 'handler')} > 0 AND {_c('repo', 'dao')} > 0 THEN 2 ELSE 0 END", "0", 7),
+    "k04_rest_api": ("REST API", _sum(1, "routes", "endpoints", "api", "routers"), f"2 * {_mi('flask', 'fastapi', 'django.rest', 'express', 'spring', 'gin', 'echo')}", "0", "least(count(*) FILTER (regexp_matches(decorator, 'route|get|post|put|delete|patch')) / 5.0, 2.0)", 6),
+    "k05_event_driven": ("Event-driven", _sum(1.5, "events", "handlers", "listeners", "subscribers", "publishers"), _m(2, "celery", "kafka", "rabbitmq", "redis", "pika", "kombu", "confluent"), f"least({_c('on_', 'handle_', 'emit', 'publish', 'subscribe', 'dispatch')} / 3.0, 2.0)", "0", 6),
+    "k06_microservices": ("Microservices", rf"3 * {_p('docker-compose')} + 3 * {_p('kubernetes', 'k8s', 'helm')} + CASE WHEN count(*) FILTER (regexp_matches(path, '/(main\.py|main\.go|server\.js|main\.rs)$')) >= 2 THEN 2 ELSE 0 END", "coalesce(max(CAST(module IN ('requests', 'httpx', 'axios', 'http', 'https') AS INT)), 0)", "0", "0", 7),
+    "k07_cli": ("CLI Application", _sum(1.5, "cli", "commands", "cmd"), _m(2.5, "click", "argparse", "typer", "docopt", "cobra", "commander", "clap"), "0", "0", 5),
+    "k08_plugin": ("Plugin/Extension", _sum(2, "plugins", "extensions", "addons"), "0", f"least({_c('register', 'plugin', 'extension', 'hook')}, 2)", "0", 4),
+    "k09_frontend": ("Frontend Component", rf"{_sum(1.5, 'components', 'pages', 'views', 'widgets')} + least(count(*) FILTER (regexp_matches(path, '\.(jsx|tsx)$')) / 5.0, 2.0)", f"2 * {_mi('react', 'vue', '@angular', 'svelte', 'preact')}", "0", "0", 5),
+    "k10_library": ("Library/Utility", f"2 * {_p('__init__.py', 'index.ts', 'index.js')} + {_sum(0.5, 'serializer', 'signer', 'encoding', 'decoding', 'crypto', 'utils', 'helper', 'compat')} + 1.5 * {_p('setup.py', 'pyproject.toml', 'package.json')}", "0", "CASE WHEN count(DISTINCT name) > 20 THEN 1.5 ELSE 0 END", "0", 5),
+}
+_ARGV = "(SELECT doc_id, 1 AS v FROM (SELECT doc_id FROM i WHERE module = 'sys' INTERSECT SELECT doc_id FROM f WHERE name = 'argv') z)"
+for _key, (_name, *_parts, _most) in _POINTS.items():
+    _by = [f"(SELECT doc_id, CAST({_points} AS DOUBLE) AS v FROM {_table} GROUP BY doc_id)" for _table, _points in zip("pifd", _parts, strict=True)] + ([_ARGV] if _name == "CLI Application" else [])
+    _total = " + ".join(f"coalesce(t{n}.v, 0)" for n in range(len(_by)))
+    _joined = " ".join([f"{_by[0]} t0", *(f"LEFT JOIN {x} t{n} USING (doc_id)" for n, x in enumerate(_by[1:], 1))])
+    query(_key, f"{_OWN_SQL}, s AS (SELECT doc_id, round(least(({_total}) / {_most}, 1), 6) AS confidence FROM {_joined}) SELECT doc_id, '{_name}' AS pattern, confidence FROM s WHERE confidence >= 0.2")(
+        lambda spark, sf_dir, name=_name: _own_patterns(spark, sf_dir).where(F.col("pattern") == name)
+    )
 
 
 _LAYER = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(p, '{s}') OR contains(n, '{s}')" for s in signals) + f" THEN '{name}'" for name, signals in config.LAYERS.items()) + " WHEN contains(p, 'test') OR contains(p, 'spec') THEN 'test' WHEN contains(p, '__init__') THEN 'module_init' WHEN starts_with(list_last(string_split(name, '.')), '_') THEN 'utility' ELSE 'unknown' END"
@@ -210,18 +262,27 @@ def x22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "v_files").select("file_id", rules.complexity(plain, filters.language(F.col("path"))).alias("complexity"))
 
 
+_FILES = [
+    ("main.py", "Python", "x", True, False, True, False, True, 1, False), ("src/app.py", "Python", "app = Flask(__name__)", False, False, False, True, True, 0, False), ("src/tool.js", "JavaScript", "process.argv", False, False, False, True, False, 0, False),
+    ("lib/util.ts", "TypeScript", "x", False, False, False, True, False, 0, False), ("A/Main.java", "Java", "x", False, True, False, True, False, 1, True), ("a/b.go", "Go", "x", False, False, False, True, False, 0, False),
+]
+_FILE_COLUMNS = "path string, language string, body string, has_main_block boolean, has_exports boolean, flagged boolean, imported boolean, imports_others boolean, main_functions int, static_main boolean"
+
+
 def _entries(spark: SparkSession) -> DataFrame:
-    rows = [
-        ("main.py", "Python", "x", True, False, True, False, True, 1, False), ("src/app.py", "Python", "app = Flask(__name__)", False, False, False, True, True, 0, False), ("src/tool.js", "JavaScript", "process.argv", False, False, False, True, False, 0, False),
-        ("lib/util.ts", "TypeScript", "x", False, False, False, True, False, 0, False), ("A/Main.java", "Java", "x", False, True, False, True, False, 1, True), ("a/b.go", "Go", "x", False, False, False, True, False, 0, False),
-    ]
-    made = spark.createDataFrame(rows, "path string, language string, body string, has_main_block boolean, has_exports boolean, flagged boolean, imported boolean, imports_others boolean, main_functions int, static_main boolean")
-    return rules.entry_points(made)
+    return rules.entry_points(spark.createDataFrame(_FILES, _FILE_COLUMNS))
 
 
-@query("k01_entry_points", """SELECT * FROM (VALUES ('main.py', 13, 'high', 'main_block,high_name,parser_flag,imports_only,main_function,root_level'), ('src/app.py', 4, 'medium', 'medium_name,web'), ('src/tool.js', 3, 'medium', 'cli,no_exports'), ('lib/util.ts', 1, 'low', 'no_exports'), ('A/Main.java', 6, 'high', 'high_name,java_main')) AS t(path, score, confidence, signals)""")
+@query("k01_entry_points", each_document("""('d#/main.py', 12, 'high', 'main_block,high_name,parser_flag,imports_only,main_function'), ('d#/app.py', 4, 'medium', 'medium_name,web'), ('d#/tool.js', 3, 'medium', 'cli,no_exports'), ('d#/util.ts', 1, 'low', 'no_exports'),
+  ('d#/Main.java', 6, 'high', 'high_name,java_main'), ('x#.go', 5, 'high', 'parser_flag,root_level,web')""", "path", "score", "confidence", "signals").replace("replace(score, '#', CAST(doc_id AS VARCHAR)) AS score", "score"))
 def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(spark)
+    """Each document's text as the end of the files of a small repository; one that scores nothing is left out."""
+    from quarry.plans.fixtures import table
+
+    own = [("x#.go", *row[1:2], "gin.New()", False, False, True, *row[6:]) if row[0] == "a/b.go" else (f"d#/{row[0].rsplit('/', 1)[-1]}", *row[1:]) for row in _FILES] + [("d#/b.go", "Go", "x", False, False, False, True, False, 0, False)]
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    files = planted(spark, sf_dir, own, _FILE_COLUMNS).join(texts, "doc_id").withColumn("body", F.concat_ws("\n", "body", "text"))
+    return rules.entry_points(files)
 
 
 @query("a10_parse_manifest", f"{FILES} SELECT count(*) AS files, count(*) FILTER (WHERE ({_LANG}) IS NOT NULL) AS parsed, count(*) FILTER (WHERE ({_LANG}) IS NULL) AS failed, count(DISTINCT {_EXT}) AS extensions, 'A/Main.java,main.py' AS entry_points, 'CLI Application,Event-driven,Frontend Component,Layered Architecture,Library/Utility,MVC,Microservices,REST API' AS patterns FROM v_files")

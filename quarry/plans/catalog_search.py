@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import config
 from quarry.operators import graph, search, vectors
-from quarry.plans.fixtures import ddb, table, view
+from quarry.plans.fixtures import ddb, each_document, planted, table, view
 from quarry.plans.registry import query
 
 _BM = f"""tok AS MATERIALIZED (SELECT doc_id AS id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM documents),
@@ -157,11 +157,11 @@ def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top(near, 10).groupBy("query").agg(F.min("id").alias("first_chunk"), F.count("*").alias("chunks"))
 
 
-@query("j14_fuzzy_lookup", "SELECT * FROM (VALUES ('UserService.process', 2), ('helper', 5), ('X.find', 4)) AS t(name, chunk_id)")
+@query("j14_fuzzy_lookup", each_document("('UserService#.process#', '#-2'), ('helper#', '#-5'), ('X.find#', '#-4')", "name", "chunk_id"))
 def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "file_summary", "services/user.py", "user"), (2, "method", "UserService.process", "process"), (3, "method", "OrderService.process", "process"), (4, "method", "UserRepo.find", "find"), (5, "function", "helper", "helper"), (6, "class_summary", "Finder", "find")]
-    chunks = spark.createDataFrame(rows, "chunk_id int, chunk_type string, qualified_name string, simple_name string")
-    return search.fuzzy_lookup(spark.createDataFrame([("UserService.process",), ("helper",), ("X.find",), ("none",)], "name string"), chunks)
+    rows = [("#-1", "file_summary", "services/user#.py", "user#"), ("#-2", "method", "UserService#.process#", "process#"), ("#-3", "method", "OrderService#.process#", "process#"), ("#-4", "method", "UserRepo#.find#", "find#"), ("#-5", "function", "helper#", "helper#"), ("#-6", "class_summary", "Finder#", "find#")]
+    names = planted(spark, sf_dir, [("UserService#.process#",), ("helper#",), ("X.find#",), ("none#",)], "name string").select("name")
+    return search.fuzzy_lookup(names, planted(spark, sf_dir, rows, "chunk_id string, chunk_type string, qualified_name string, simple_name string"))
 
 
 @query("x14_embedding", "SELECT doc_id AS id, 384 AS dimensions, CAST(CASE WHEN regexp_matches(left(text, 1024), '[\\p{L}\\p{N}_]') THEN 1 ELSE 0 END AS DOUBLE) AS norm FROM documents")

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VIEWS = {
     "v_files": """
@@ -99,5 +100,13 @@ def each_document(rows: str, *columns: str) -> str:
     return f"SELECT {shown} FROM documents, (VALUES {rows}) AS t({', '.join(columns)})"
 
 
+def planted(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:
+    """doc_id and these rows for each document, # in their texts being its number: what each_document() states in SQL."""
+    made = table(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(spark.createDataFrame(rows, schema)))
+    filled = lambda x: F.replace(x, F.lit("#"), F.col("doc_id").cast("string"))
+    kinds = {"string": lambda c: filled(F.col(c)), "array<string>": lambda c: F.transform(c, filled)}
+    return made.select("doc_id", *[kinds[kind](c).alias(c) if kind in kinds else c for c, kind in made.dtypes[1:]])
+
+
 def quoted(values: list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
