@@ -144,6 +144,39 @@ def short_cycles(edges: DataFrame) -> DataFrame:
     return two.unionByName(three.select(*[F.col("x")[i].alias(c) for i, c in enumerate("abc")]))
 
 
+def cycles(edges: DataFrame, longest: int) -> DataFrame:
+    """nodes: every simple cycle of at most `longest` nodes, once, from its least id on; an edge of a node to itself is a cycle of one. `longest` is part of what is asked: there may be exponentially many without it.
+
+    Only edges inside a strongly connected component count. A cycle is put together from the half that leaves its node of the fewest edges (ties: the lesser id) and the half that leads back to it, whose other nodes all have
+    more; so paths have half a cycle's length, and paths from a hub meet hubs alone."""
+    distinct = edges.select("src", "dst").distinct()
+    out = distinct.where("src = dst").select(F.array("src").alias("nodes"))
+    if longest < 2:
+        return out.where(F.lit(longest > 0))
+    part = cut(strong_components(distinct))
+    ends = [part.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part")) for c in ("src", "dst")]
+    inside = cut(distinct.where("src <> dst").join(ends[0], "src").join(ends[1], "dst").where("src_part = dst_part").select("src", "dst"))
+    degree = inside.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    ranks = [degree.select(F.col("id").alias(c), F.struct("n", "id").alias(f"{c}_rank")) for c in ("src", "dst")]
+    ranked = cut(inside.join(ranks[0], "src").join(ranks[1], "dst"))
+    halves = []
+    for way, most in ((("src", "dst"), -(-longest // 2)), (("dst", "src"), longest // 2)):
+        steps = ranked.select(F.col(way[0]).alias("end"), F.col(way[1]).alias("_to"), F.col(f"{way[0]}_rank").alias("_from_rank"), F.col(f"{way[1]}_rank").alias("_rank"))
+        path = cut(steps.where("_from_rank < _rank").select(F.col("end").alias("start"), F.col("_from_rank").alias("least"), F.col("_to").alias("end"), F.array("_to").alias("path")))
+        found = [path]
+        for _ in range(most - 1):
+            longer = path.join(steps, "end").where("_rank > least and not array_contains(path, _to)")
+            path = cut(longer.select("start", "least", F.col("_to").alias("end"), F.concat("path", F.array("_to")).alias("path")))
+            found.append(path)
+        halves.append(found)
+    for n in range(2, longest + 1):
+        there, back = halves[0][-(-n // 2) - 1], halves[1][n // 2 - 1].select("start", "end", F.slice("path", 1, n // 2 - 1).alias("rest"))
+        closed = there.join(back, ["start", "end"]).where(~F.arrays_overlap("path", "rest"))
+        whole = closed.select(F.concat(F.array("start"), "path", F.reverse("rest")).alias("c")).withColumn("at", F.array_position("c", F.array_min("c")).cast("int"))
+        out = out.unionByName(whole.select(F.concat(F.expr("slice(c, at, size(c))"), F.expr("slice(c, 1, at - 1)")).alias("nodes")))
+    return out
+
+
 def subgraph(edges: DataFrame, root: DataFrame, depth: int = 2) -> DataFrame:
     """Edges whose source is within depth steps of the root."""
     inside = levels(edges, root, [], depth).select(F.col("id").alias("src"), F.col("depth").alias("src_depth"))

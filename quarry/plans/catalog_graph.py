@@ -82,6 +82,16 @@ def r08_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.short_cycles(view(spark, sf_dir, "v_edges"))
 
 
+_LONGEST = 4
+
+
+@query("r08_cycles", f"""{EDGES}, w(path, last) AS (SELECT [src, dst], dst FROM v_edges WHERE src < dst UNION ALL SELECT list_append(path, dst), dst FROM w JOIN v_edges ON src = last WHERE dst > path[1] AND NOT list_contains(path, dst) AND len(path) < {_LONGEST})
+  SELECT array_to_string(path, '>') AS nodes FROM w JOIN v_edges ON src = last AND dst = path[1]""")
+def r08_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cycle of at most four nodes."""
+    return graph.cycles(view(spark, sf_dir, "v_edges"), _LONGEST).select(F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"))
+
+
 @query("r09_subgraph", f"{EDGES}, {_SEEDS}, w(id, depth) AS (SELECT * FROM (SELECT id, 0 FROM seeds LIMIT 1) UNION SELECT dst, depth + 1 FROM w JOIN v_edges ON src = id WHERE depth < 2), m AS (SELECT id, min(depth) AS depth FROM w GROUP BY id) SELECT src, dst, depth AS src_depth FROM v_edges JOIN m ON src = id")
 def r09(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir)
