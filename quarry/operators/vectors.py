@@ -73,7 +73,7 @@ def _assign(centres: np.ndarray):
 
 
 def build(vectors: DataFrame, centres: int = 256, sample: int = SAMPLE, file_rows: int = FILE_ROWS) -> Index | None:
-    """An index of all rows (id, v); None where none has a vector. Rows without one, or of another length than the sample's first, are not in it.
+    """An index of all rows (id, v) under at most `centres` centres, one for 16 sampled rows; None where none has a vector. Rows without one, or of another length than the sample's first, are not in it.
 
     A vector's null entries count as 0, as does a vector of length 0, which is in some cell with score 0."""
     spark = vectors.sparkSession
@@ -83,7 +83,7 @@ def build(vectors: DataFrame, centres: int = 256, sample: int = SAMPLE, file_row
         return None
     width = len(drawn["v"][0])
     alike = drawn.filter(pa.compute.equal(pa.compute.list_value_length(drawn["v"]), width))
-    found = fitted(_matrix(alike["v"], width), centres)
+    found = fitted(_matrix(alike["v"], width), max(1, min(centres, len(alike) // 16)))
     place = fresh(spark, "vectors")
     assigned = rows.where(F.size("v") == width).mapInArrow(_assign(found), "id long, cell int, cosine double, length double, v array<double>")
     assigned.write.option("maxRecordsPerFile", file_rows).partitionBy("cell").parquet(place)
@@ -152,11 +152,11 @@ def _pass(spark: SparkSession, index: Index, asked: DataFrame, k: int, probes: i
     return cut(tasks.repartition("file", "block").mapInArrow(_score(k, width), "query long, id long, score double"))
 
 
-def nearest(index: Index | None, queries: DataFrame, k: int, probes: int = 32, exact: bool = False, block: int = BLOCK) -> DataFrame:
+def nearest(index: Index | None, queries: DataFrame, k: int, probes: int = 32, exact: bool = True, block: int = BLOCK) -> DataFrame:
     """query, id, score, rank: the k rows of greatest max(0, cosine) with each question (query, q, of the index's width; for unit vectors the product is the cosine), ties: the lesser id.
 
-    Rows of the `probes` nearest cells alone; with `exact`, then those of every cell whose members can reach the k-th score too, by the angle between its centre and the question and its members' greatest angle, so that
-    no better row is missed. Without an index there are no rows."""
+    Rows of the `probes` nearest cells, then those of every cell whose members can reach the k-th score too, by the angle between its centre and the question and its members' greatest angle, so that
+    no better row is missed; without `exact`, the first alone. Without an index there are no rows."""
     spark = queries.sparkSession
     if index is None:
         return spark.createDataFrame([], "query long, id long, score double, rank int")

@@ -47,7 +47,7 @@ def test_recall_of_the_nearest_cells(spark):
     rows = list(enumerate(clustered(4000, 32, 80, 0.5, 2).tolist()))
     asks = rows[::100]
     index = vectors.build(spark.createDataFrame(rows, "id long, v array<double>"), 64, 2000)
-    got = result(vectors.nearest(index, spark.createDataFrame(asks, "query long, q array<double>"), K, 8))
+    got = result(vectors.nearest(index, spark.createDataFrame(asks, "query long, q array<double>"), K, 8, False))
     want = {x[:2] for x in brute(rows, asks, K)}
     assert len(want & {x[:2] for x in got}) >= 0.95 * len(want)
 
