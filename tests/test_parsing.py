@@ -115,3 +115,13 @@ def test_time_limit(spark):
     files = spark.createDataFrame([("a.js", "function a() { b(); }"), ("slow.js", "function a() { b(); }\n" * 100_000), ("c.py", "def c(): pass")], "path string, content string").coalesce(1)
     got = {(r.path, r.kind, r.name) for r in parsing.parse_files(files, 0.3).collect()}
     assert got == {("a.js", "function", "a"), ("slow.js", "error", "time"), ("c.py", "function", "c")}
+
+
+def test_python_too_deep_for_the_parsers_stack(spark):
+    deep = "def before(): return go()\nx = " + "-" * 9000 + "1\ndef after(): return last()\n"
+    with pytest.raises(MemoryError):
+        __import__("ast").parse(deep)
+    found = parsing.parse("x", deep, "Python")
+    assert [e[3] for e in found] == ["before", "after", "syntax"] and [e[5] for e in found] == [1, 3, 1]
+    rows = parsing.parse_files(spark.createDataFrame([("a.py", deep), ("b.py", 'def f():\n    "half \\ud800"\n')], "path string, content string")).collect()
+    assert sorted((r.path, r.kind, r.docstring) for r in rows) == [("a.py", "error", None), ("a.py", "function", None), ("a.py", "function", None), ("b.py", "function", "half \\ud800")]
