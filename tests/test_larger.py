@@ -51,3 +51,15 @@ def test_levels_end_at_the_stated_depth(held):
 def test_shifted_ids_of_many_parts(held):
     rows = held("r10_has_node", part=parts([1, 2, 3, 100_001, 200_002, 200_001]))
     assert sum(known for _, known, _ in rows) == 2
+
+
+def test_words_that_cancel_out_have_a_vector(held):
+    from zlib import crc32
+
+    signs = {}
+    for n in range(5000):
+        h = crc32(f"w{n}".encode())
+        signs.setdefault(h % 384, {})[h >> 16 & 1] = f"w{n}"
+    texts = [" ".join(x.values()) for x in signs.values() if len(x) == 2][:3]
+    rows = held("x14_embedding", documents={"doc_id": pa.array(range(6), pa.int64()), "text": [*texts, "", None, "one two"]})
+    assert sorted(r[2] for r in rows) == [0, 0, 1, 1, 1, 1]
