@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,16 +34,14 @@ def node_kind(path: Column, entries: list[str]) -> Column:
 
 def nodes(files: DataFrame, functions: DataFrame, classes: DataFrame, imports: DataFrame, most: int = 8, lines: int = 40) -> DataFrame:
     """path, label, functions, classes, imports (the first `most`), snippet (the first lines) of each file (path, content); names in order of their lines."""
-    def listed(rows: DataFrame, value: str, name: str) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct("line", F.col(value).alias("x"))))
-        return rows.groupBy(F.col("file_path").alias("path")).agg(F.transform(ordered, lambda e: e["x"]).alias(name))
-
-    out = files
-    for rows, value, name in ((functions, "name", "functions"), (classes, "name", "classes"), (imports, "module", "imports")):
-        out = out.join(listed(rows, value, name), "path", "left")
-    names = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("functions", "classes")]
-    snippet = F.array_join(F.slice(F.split("content", "\n"), 1, lines), "\n")
-    return out.select("path", file_name(F.col("path")).alias("label"), *names, F.slice(F.coalesce("imports", F.array().cast("array<string>")), 1, most).alias("imports"), snippet.alias("snippet"))
+    kinds = {"functions": (functions, "name"), "classes": (classes, "name"), "imports": (imports, "module")}
+    named = [rows.select(F.col("file_path").alias("path"), F.lit(kind).alias("kind"), "line", F.col(value).alias("x")) for kind, (rows, value) in kinds.items()]
+    ordered = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("line", "x"))))
+    listed = reduce(DataFrame.unionByName, named).groupBy("path").agg(*[F.transform(ordered(kind), lambda e: e["x"]).alias(kind) for kind in kinds])
+    snippet = F.array_join(F.slice(F.split("content", "\n", lines + 1), 1, lines), "\n")
+    out = files.select("path", file_name(F.col("path")).alias("label"), snippet.alias("snippet")).join(listed, "path", "left")
+    names = [F.coalesce(kind, F.array().cast("array<string>")).alias(kind) for kind in kinds]
+    return out.select("path", "label", *names, "snippet").withColumn("imports", F.slice("imports", 1, most))
 
 
 def edge_counts(edges: DataFrame, least: int = 3) -> DataFrame:

@@ -63,3 +63,10 @@ def test_words_that_cancel_out_have_a_vector(held):
     texts = [" ".join(x.values()) for x in signs.values() if len(x) == 2][:3]
     rows = held("x14_embedding", documents={"doc_id": pa.array(range(6), pa.int64()), "text": [*texts, "", None, "one two"]})
     assert sorted(r[2] for r in rows) == [0, 0, 1, 1, 1, 1]
+
+
+def test_files_without_entities_are_no_nodes_and_files_are_parsed_once(spark, held, tmp_path):
+    rows = held("g01_nodes", documents={"doc_id": pa.array([1, 2], pa.int64()), "text": ["short", "x" * 50_000]})
+    assert sorted(r[0] for r in rows) == ["src/1/b.js", "src/1/e.go"]
+    plan = catalog.QUERIES["g01_nodes"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 1
