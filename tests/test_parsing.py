@@ -125,3 +125,16 @@ def test_python_too_deep_for_the_parsers_stack(spark):
     assert [e[3] for e in found] == ["before", "after", "syntax"] and [e[5] for e in found] == [1, 3, 1]
     rows = parsing.parse_files(spark.createDataFrame([("a.py", deep), ("b.py", 'def f():\n    "half \\ud800"\n')], "path string, content string")).collect()
     assert sorted((r.path, r.kind, r.docstring) for r in rows) == [("a.py", "error", None), ("a.py", "function", None), ("a.py", "function", None), ("b.py", "function", "half \\ud800")]
+
+
+def test_entities_leave_before_a_batch_is_read(monkeypatch):
+    import pyarrow as pa
+
+    read, parse = [], parsing.parse
+    monkeypatch.setattr(parsing, "parse", lambda path, *rest: read.append(path) or parse(path, *rest))
+    n = 10 * parsing.FILES
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i}.py" for i in range(n)]), pa.array(["def f(): pass\n"] * n), pa.array(["Python"] * n), pa.array(["sha"] * n)], ["path", "content", "language", "sha"])
+    out = parsing.parsed(iter([batch]), 30)
+    first = next(out)
+    assert first.num_rows == len(read) == parsing.FILES
+    assert first.num_rows + sum(b.num_rows for b in out) == n
