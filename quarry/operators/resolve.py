@@ -12,6 +12,10 @@ from quarry import config
 from quarry.operators.filters import file_name
 
 
+#: Characters of a text that tell where in a path it may begin.
+HEAD = 3
+
+
 def name_index(functions: DataFrame) -> DataFrame:
     """key, n, target: functions by name and by qualified name, each counted once; target is the first of them."""
     keys = functions.select(F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("key"), "qualified_name", "file_path").distinct()
@@ -134,24 +138,24 @@ def enriched(chunks: DataFrame, edges: DataFrame, file_edges: DataFrame, entries
     return out.withColumns({c: F.coalesce(c, F.array().cast(kinds[c])) for c in ("calls", "called_by", "depends_on", "depended_by")})
 
 
-def _runs(text: Column, length: int = 3) -> Column:
-    """Runs of so many characters; all of a shorter text."""
-    last = F.greatest(F.length(text) - (length - 1), F.lit(1))
-    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(length)))).otherwise(F.array().cast("array<string>"))
-
-
 def paths_with(asked: DataFrame, paths: DataFrame, most: int) -> DataFrame:
     """parts, path: for each array of texts (parts) the first `most` paths, in order, that contain all of them.
 
-    Paths are posted under their runs of one to three characters; those under the rarest run of the parts are looked at alone, so texts and paths that share no rare run never meet."""
-    runs = F.concat(*(_runs(F.col("path"), k) for k in (1, 2, 3)))
-    postings = paths.select("path").distinct().select("path", F.explode(F.array_distinct(runs)).alias("gram"))
-    frequency = postings.groupBy("gram").agg(F.count("*").alias("n"))
-    grams = asked.distinct().select("parts", F.explode(F.array_distinct(F.flatten(F.transform("parts", lambda part: _runs(part))))).alias("gram"))
-    rarest = grams.join(frequency, "gram", "left").groupBy("parts").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    found = rarest.join(postings, "gram").where(F.forall("parts", lambda part: F.contains(F.col("path"), part)))
-    place = F.row_number().over(Window.partitionBy("parts").orderBy("path"))
-    return found.select("parts", "path", place.alias("place")).where(F.col("place") <= most).drop("place")
+    Parts are found by their longest text as a whole, so a path meets only those whose text it contains. Of a path's substrings, those alone are posted that begin as some text begins (HEAD characters, or all
+    of a shorter text) and are as long as one of the texts of that beginning; beginnings are few, whatever the number of texts."""
+    longest = F.array_max(F.transform("parts", lambda part: F.struct(F.length(part).alias("n"), part.alias("text"))))["text"]
+    keyed = asked.select("parts").distinct().withColumn("text", longest)
+    heads = keyed.groupBy(F.substring("text", 1, HEAD).alias("head")).agg(F.collect_set(F.length("text")).alias("lengths"))
+    left = F.length("path") - F.col("at") + 1
+    starts = F.array(F.when(F.col("at") == 1, ""), *[F.when(left >= n, F.substring("path", F.col("at"), F.lit(n))) for n in range(1, HEAD + 1)])
+    spots = paths.select("path").distinct().select("path", F.explode(F.sequence(F.lit(1), F.greatest(F.length("path"), F.lit(1)))).alias("at"))
+    spots = spots.select("path", "at", F.explode(starts).alias("head")).join(F.broadcast(heads), "head").select("path", "at", F.explode("lengths").alias("n")).where(F.col("n") <= left)
+    found = keyed.join(spots.select(F.substring("path", F.col("at"), F.col("n")).alias("text"), "path"), "text")
+    # the path goes into the array: Spark 4.1 pushes a lambda that refers to another column below the join
+    both = F.arrays_zip("parts", F.array_repeat("path", F.size("parts")))
+    found = found.where((F.size("parts") == 1) | F.forall(both, lambda x: F.contains(x["1"], x["parts"])))
+    place = F.dense_rank().over(Window.partitionBy("parts").orderBy("path"))  # a text may be in a path more than once
+    return found.select("parts", "path", place.alias("place")).where(F.col("place") <= most).drop("place").distinct()
 
 
 def module_matches(imports: DataFrame, paths: DataFrame) -> DataFrame:
