@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from quarry import config
 from quarry.operators.filters import tokens
 
+#: Chunks that are read before their parts leave the task, and characters of parts that do before that.
+ROWS, HELD = 64, 1 << 20
+
 
 def signature(name: Column, parameters: Column, returns: Column) -> Column:
     """`def name(a: int = 1, *rest) -> str` of parameters (name, type, value, variadic)."""
@@ -73,26 +76,39 @@ def truncated(content: Column) -> Column:
     return F.when(F.length(content) > 800, F.concat(F.substring(content, 1, 800), F.lit("\n... [truncated]"))).otherwise(content)
 
 
-def split_chunks(chunks: DataFrame) -> DataFrame:
-    """id, part, parts, content of chunks (id, name, chunk_type, content): functions and methods over the limit in overlapping parts under a head, other chunks
-    over it, and those of one line, cut; the rest whole."""
+def splitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of batches (id, name, chunk_type, content), some at a time: what is held is a batch as it came, and ROWS chunks or HELD characters of parts."""
+    rows, held = [], 0
+
+    def out() -> pa.RecordBatch:
+        ids, part, n, text = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(part, pa.int32()), pa.array(n, pa.int32()), pa.array(text, pa.string())], ["id", "part", "parts", "content"])
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for key, name, kind, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            for key, name, kind, content in zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns), strict=True):
                 over = len(content) // 4 > config.MAX_CHUNK_TOKENS
                 groups = split_lines(content) if over and kind in ("function", "method") else []
                 if len(groups) < 2:
-                    rows.append((key, 0, 1, content[:800] + "\n... [truncated]" if over else content))
+                    groups, heads = [content[:800] + "\n... [truncated]" if over else content], [""]
                 else:
-                    rows += [(key, i, len(groups), f"# Continuation of {name} (part {i + 1}/{len(groups)})\n\n{g}") for i, g in enumerate(groups)]
+                    heads = [f"# Continuation of {name} (part {i + 1}/{len(groups)})\n\n" for i in range(len(groups))]
+                for i, text in enumerate(groups):
+                    rows.append((key, i, len(groups), heads[i] + text))
+                    held += len(text)
+                    if held >= HELD:
+                        yield out()
+                        rows, held = [], 0
             if rows:
-                ids, part, n, text = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(part, pa.int32()), pa.array(n, pa.int32()), pa.array(text, pa.string())], ["id", "part", "parts", "content"])
+                yield out()
+                rows, held = [], 0
 
+
+def split_chunks(chunks: DataFrame) -> DataFrame:
+    """id, part, parts, content of chunks (id, name, chunk_type, content): functions and methods over the limit in overlapping parts under a head, other chunks
+    over it, and those of one line, cut; the rest whole."""
     rows = chunks.select(F.col("id").cast("long"), "name", "chunk_type", F.coalesce("content", F.lit("")).alias("content"))
-    return rows.mapInArrow(split, "id long, part int, parts int, content string")
+    return rows.mapInArrow(splitted, "id long, part int, parts int, content string")
 
 
 def keywords(name: Column, parameters: Column, decorators: Column, docstring: Column) -> Column:

@@ -70,3 +70,20 @@ def test_files_without_entities_are_no_nodes_and_files_are_parsed_once(spark, he
     assert sorted(r[0] for r in rows) == ["src/1/b.js", "src/1/e.go"]
     plan = catalog.QUERIES["g01_nodes"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") <= 1
+
+
+def test_no_characters_are_in_every_path(spark):
+    from quarry.operators import resolve
+
+    paths = spark.createDataFrame([("a/b.py",), ("c.py",), ("d.py",)], "path string")
+    got = resolve.paths_with(spark.createDataFrame([([""],), (["", "y"],), (["py", "a/b"],)], "parts array<string>"), paths, 2).collect()
+    assert sorted((r.parts, r.path) for r in got) == [([""], "a/b.py"), ([""], "c.py"), (["", "y"], "a/b.py"), (["", "y"], "c.py"), (["py", "a/b"], "a/b.py")]
+
+
+def test_parts_leave_before_a_batch_is_split():
+    from quarry.operators import chunks
+
+    n = 10 * chunks.ROWS
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(["f"] * n), pa.array(["function"] * n), pa.array(["x = 1\n" * 2000] * n)], ["id", "name", "chunk_type", "content"])
+    sizes = [b.num_rows for b in chunks.splitted(iter([batch]))]
+    assert len(sizes) >= 10 and max(sizes) < sum(sizes) / 5
