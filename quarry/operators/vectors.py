@@ -19,6 +19,8 @@ from quarry.operators.shared import cut, fresh, read_block
 
 #: Bound of the sample that centres are fitted on, rows of a file, rounds of fitting.
 SAMPLE, FILE_ROWS, ROUNDS = 20_000, 65_536, 10
+#: Questions whose cells leave a task together, each with its vector for every cell.
+PROBED = 64
 
 
 @dataclass
@@ -99,7 +101,7 @@ def _probe(centres: np.ndarray, cosines: np.ndarray, lengths: np.ndarray, probes
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.nonzero(cosines <= 1.5)[0]
         radius = np.arccos(np.clip(cosines[held], -1, 1))
-        for batch in batches:
+        for batch in (whole.slice(at, PROBED) for whole in batches for at in range(0, whole.num_rows, PROBED)):
             asked = _matrix(batch.column(1), centres.shape[1])
             scores = _unit(asked) @ centres[held].T
             order = np.argsort(-scores, axis=1, kind="stable")
