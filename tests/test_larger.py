@@ -87,3 +87,29 @@ def test_parts_leave_before_a_batch_is_split():
     batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(["f"] * n), pa.array(["function"] * n), pa.array(["x = 1\n" * 2000] * n)], ["id", "name", "chunk_type", "content"])
     sizes = [b.num_rows for b in chunks.splitted(iter([batch]))]
     assert len(sizes) >= 10 and max(sizes) < sum(sizes) / 5
+
+
+def test_a_chunk_of_the_index_ends_inside_a_batch(monkeypatch):
+    from quarry.operators import inverted
+
+    monkeypatch.setattr(inverted, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    words = [[f"w{d % 7}", f"v{d}", "all"] for d in range(100)] + [["long"] * 50, [], ["last"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(words)), pa.int64()), pa.array(words, pa.list_(pa.string()))], ["id", "listed"])
+    rows = [r for b in inverted._posted(3.0, 30, 256)(iter([batch.slice(0, 90), batch.slice(90)])) for r in b.to_pylist()]
+    docs = {}
+    for r in rows:
+        docs.setdefault(r["chunk"], set()).update(r["ids"])
+    assert sorted(d for ids in docs.values() for d in ids) == [d for d, w in enumerate(words) if w]
+    assert all(sum(len(words[d]) for d in sorted(ids)[:-1]) < 30 for ids in docs.values())
+    assert {(r["term"], d) for r in rows for d in r["ids"]} == {(w, d) for d, x in enumerate(words) for w in x}
+
+
+def test_few_questions_are_probed_together():
+    import numpy as np
+
+    from quarry.operators import vectors
+
+    n, centres = 5 * vectors.PROBED, np.eye(4)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([[1.0, 0.5, 0.2, 0.1]] * n), pa.array([0.0] * n)], ["query", "q", "floor"])
+    out = list(vectors._probe(centres, np.zeros(4), np.ones(4), 1)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 4 * vectors.PROBED and sum(b.num_rows for b in out) == 3 * n
