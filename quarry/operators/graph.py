@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from quarry import config
 from quarry.operators.shared import cut
 
+#: Neighbours of a node that are one row.
+LIST = 1024
+
 
 def levels(edges: DataFrame, sources: DataFrame, keys: list[str], max_depth: int | None = None, later: DataFrame | None = None, along: list[str] | None = None) -> DataFrame:
     """keys, id, depth: what each source (a row of keys and id) reaches along edges, at its least number of steps; sources are at 0, those of `later` (keys, id) at 1.
@@ -89,43 +92,64 @@ def shortest_paths(edges: DataFrame, source: int, targets: DataFrame, max_depth:
     return met.join(targets.select("id"), "id", "left_semi")
 
 
+def listed(edges: DataFrame, key: str, value: str) -> DataFrame:
+    """id, to: each key's values in arrays of about LIST, so that a round sorts and moves nodes and not edges."""
+    most = edges.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    part = F.pmod(F.xxhash64(value), F.lit(-(-most // LIST)))
+    return edges.groupBy(F.col(key).alias("id"), part.alias("_part")).agg(F.collect_list(value).alias("to")).select("id", "to")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """id, component: nodes on a cycle, by the largest node of their strongly connected component.
 
     Nodes without a way in or out are trimmed; then each node takes the largest node that reaches it, and the nodes of one such colour that reach its
     largest node are a component. Components go, and the rest is done again."""
-    out, rest = None, cut(edges.where("src <> dst").select("src", "dst").distinct())
+    return _components(cut(edges.where("src <> dst").select("src", "dst").distinct()))
+
+
+def _components(rest: DataFrame) -> DataFrame:
+    """strong_components() of written, distinct edges between different nodes."""
+    out = None
     while True:
         while True:
-            ends = rest.select(F.col("dst").alias("id")).intersect(rest.select(F.col("src").alias("id")))
-            trimmed = cut(rest.join(ends.select(F.col("id").alias("src")), "src", "left_semi").join(ends.select(F.col("id").alias("dst")), "dst", "left_semi"))
-            same = trimmed.count() == rest.count()
-            rest = trimmed
-            if same:
+            ways = F.explode(F.array(*[F.struct(F.col(c).alias("id"), F.lit(way).alias("way")) for c, way in (("src", 1), ("dst", 2))]))
+            lone = cut(rest.select(ways.alias("x")).select("x.*").groupBy("id").agg(F.bit_or("way").alias("way")).where("way < 3").select("id"))
+            if not lone.limit(1).count():
                 break
+            rest = _without(rest, lone)
         if not rest.limit(1).count():
             return out if out is not None else rest.select(F.col("src").alias("id"), F.col("dst").alias("component")).limit(0)
-        colour = cut(rest.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")))
+        there, back = cut(listed(rest, "src", "dst")), cut(listed(rest, "dst", "src"))
+        colour = moved = cut(there.select("id").distinct().withColumn("colour", F.col("id")))
         while True:
-            coming = rest.join(colour, rest.src == colour.id).groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("most"))
+            coming = there.join(moved, "id").select(F.explode("to").alias("id"), "colour").groupBy("id").agg(F.max("colour").alias("most"))
             new = cut(colour.join(coming, "id", "left").select("id", F.greatest("colour", "most").alias("colour"), (F.col("most") > F.col("colour")).alias("moved")))
-            moved = new.where("moved").limit(1).count()
+            moved = new.where("moved").select("id", "colour")
+            if not moved.limit(1).count():
+                break
             colour = new.select("id", "colour")
-            if not moved:
+        alike = colour.select("id", F.col("colour").alias("component"))
+        found = frontier = cut(alike.where("id = component"))
+        while True:
+            reached = frontier.join(back, "id").select(F.explode("to").alias("id"), "component").distinct()
+            frontier = cut(reached.join(alike, ["id", "component"], "left_semi").join(found, ["id", "component"], "left_anti"))
+            if not frontier.limit(1).count():
                 break
-        inside = rest.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b")
-        roots = colour.where("id = colour").select(F.col("colour").alias("component"), "id")
-        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        found = cut(levels(back, roots, ["component"]).select("id", "component"))
+            found = found.unionByName(frontier)
         out = found if out is None else out.unionByName(found)
-        rest = cut(rest.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti"))
+        if found.count() == colour.count():
+            return out
+        rest = _without(rest, found.select("id"))
+
+
+def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    return cut(edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti"))
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
     """id of every node that is on a cycle."""
-    parts = strong_components(edges)
-    sizes = parts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    return parts.join(sizes, "component", "left_semi").select("id")
+    others = strong_components(edges).where("id <> component")
+    return others.select("id").unionByName(others.select(F.col("component").alias("id")).distinct())
 
 
 def short_cycles(edges: DataFrame) -> DataFrame:
@@ -149,13 +173,14 @@ def cycles(edges: DataFrame, longest: int) -> DataFrame:
 
     Only edges inside a strongly connected component count. A cycle is put together from the half that leaves its node of the fewest edges (ties: the lesser id) and the half that leads back to it, whose other nodes all have
     more; so paths have half a cycle's length, and paths from a hub meet hubs alone."""
-    distinct = edges.select("src", "dst").distinct()
+    distinct = cut(edges.select("src", "dst").distinct())
     out = distinct.where("src = dst").select(F.array("src").alias("nodes"))
     if longest < 2:
         return out.where(F.lit(longest > 0))
-    part = cut(strong_components(distinct))
+    between = distinct.where("src <> dst")
+    part = cut(_components(between))
     ends = [part.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part")) for c in ("src", "dst")]
-    inside = cut(distinct.where("src <> dst").join(ends[0], "src").join(ends[1], "dst").where("src_part = dst_part").select("src", "dst"))
+    inside = cut(between.join(ends[0], "src").join(ends[1], "dst").where("src_part = dst_part").select("src", "dst"))
     degree = inside.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     ranks = [degree.select(F.col("id").alias(c), F.struct("n", "id").alias(f"{c}_rank")) for c in ("src", "dst")]
     ranked = cut(inside.join(ranks[0], "src").join(ranks[1], "dst"))
