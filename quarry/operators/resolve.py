@@ -10,10 +10,23 @@ from pyspark.sql import functions as F
 
 from quarry import config
 from quarry.operators.filters import file_name
+from quarry.operators.shared import cut
 
 
 #: Characters of a text that tell where in a path it may begin.
 HEAD = 3
+#: Rows of a key above which it is looked up by broadcast.
+OFTEN = 10_000
+
+
+def spread_join(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """rows left-joined to known, which has each key (a string) once. Keys of over OFTEN rows, at most a row in so many, meet theirs by broadcast and rows without a key meet none, so no task has all rows of one key."""
+    rows, values = cut(rows), [c for c in known.columns if c != key]
+    often = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > OFTEN).select(key).join(known, key, "left")
+    marked = rows.join(F.broadcast(often.select(key, F.lit(True).alias("_often"), *values)), key, "left")
+    alone = F.col("_often").isNull() & F.col(key).isNotNull()
+    light = marked.where(alone).select(*rows.columns).join(known, key, "left")
+    return marked.where(~alone).select(*rows.columns, *values).unionByName(light.select(*rows.columns, *values))
 
 
 def name_index(functions: DataFrame) -> DataFrame:
@@ -60,7 +73,7 @@ def import_origin(imports: DataFrame, paths: DataFrame) -> DataFrame:
     module, language = F.col("module"), F.col("language")
     root = F.get(F.split(module, r"\.|/|::"), 0)
     known = local_roots(paths).withColumn("known", F.lit(True))
-    joined = imports.withColumn("root", root).join(known, "root", "left")
+    joined = spread_join(imports.withColumn("root", root), known, "root")
     root, local = F.col("root"), F.coalesce("known", F.lit(False))
     kind = (
         F.when(module.startswith("."), "local")
@@ -93,11 +106,12 @@ def import_files(imports: DataFrame, paths: DataFrame) -> DataFrame:
     relative = F.array_join(F.filter(F.concat(folder, F.array(rest)), lambda x: x != ""), "/")
     base = F.when(dots > 0, relative).otherwise(F.when(rest.contains("/"), rest).otherwise(F.replace(rest, F.lit("."), F.lit("/"))))
     asked = imports.select("file_path", "module", base.alias("base")).distinct()
-    tries = asked.select("*", F.posexplode(F.transform(F.array(*[F.lit(s) for s in config.IMPORT_SUFFIXES]), lambda s: F.concat("base", s))).alias("pos", "path"))
-    direct = tries.join(paths.select("path"), "path").groupBy("file_path", "module").agg(F.min_by("path", "pos").alias("direct"))
+    bases = asked.select("base").distinct()
+    tries = bases.select("base", F.posexplode(F.transform(F.array(*[F.lit(s) for s in config.IMPORT_SUFFIXES]), lambda s: F.concat("base", s))).alias("pos", "path"))
+    direct = tries.join(paths.select("path"), "path").groupBy("base").agg(F.min_by("path", "pos").alias("direct"))
     stems = paths.groupBy(stem(F.col("path")).alias("stem")).agg(F.count("*").alias("n"), F.min("path").alias("by_stem")).where("n = 1").drop("n")
-    out = asked.withColumn("stem", F.element_at(F.split("base", "/"), -1)).join(direct, ["file_path", "module"], "left").join(stems, "stem", "left")
-    return out.select("file_path", "module", F.coalesce("direct", "by_stem").alias("target"))
+    found = spread_join(bases.withColumn("stem", F.element_at(F.split("base", "/"), -1)).join(direct, "base", "left"), stems, "stem")
+    return spread_join(asked, found.select("base", F.coalesce("direct", "by_stem").alias("target")), "base").select("file_path", "module", "target")
 
 
 def pattern_tags(files: DataFrame) -> DataFrame:
