@@ -17,6 +17,11 @@ def any_of(text: Column, words: list[str]) -> Column:
     return text.rlike("|".join(re.escape(w) for w in words)) if words else F.lit(False)
 
 
+def holds(text: Column, words: list[str]) -> Column:
+    """any_of() for long texts: a search for each word in turn, many times faster there than a pattern of all."""
+    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
+
+
 def first_of(text: Column, rules: dict[str, list[str]], otherwise: Column) -> Column:
     """The first rule that has a word in the text."""
     out = None
@@ -132,12 +137,13 @@ def entry_points(files: DataFrame) -> DataFrame:
     rules = [
         (F.col("has_main_block"), 3, "main_block"), (name.isin(config.HIGH_NAMES), 3, "high_name"), (F.col("flagged"), 2, "parser_flag"),
         (~F.col("imported") & F.col("imports_others"), 2, "imports_only"), ((F.col("main_functions") > 0) & java, 3, "java_main"), ((F.col("main_functions") > 0) & ~java, 2, "main_function"),
-        (name.isin(config.MEDIUM_NAMES), 2, "medium_name"), (F.size(parts(F.col("path"))) == 1, 1, "root_level"), (any_of(body, config.WEB_SIGNALS), 2, "web"),
-        (any_of(body, config.CLI_SIGNALS), 2, "cli"), (~F.col("has_exports") & F.col("language").isin("JavaScript", "TypeScript"), 1, "no_exports"),
+        (name.isin(config.MEDIUM_NAMES), 2, "medium_name"), (F.size(parts(F.col("path"))) == 1, 1, "root_level"), (holds(body, config.WEB_SIGNALS), 2, "web"),
+        (holds(body, config.CLI_SIGNALS), 2, "cli"), (~F.col("has_exports") & F.col("language").isin("JavaScript", "TypeScript"), 1, "no_exports"),
     ]
-    score = reduce(lambda a, b: a + b, (F.when(test, points).otherwise(0) for test, points, _ in rules))
-    signals = F.concat_ws(",", *[F.when(test, label) for test, _, label in rules])
-    scored = files.select("path", score.alias("score"), signals.alias("signals")).where("score > 0")
+    hits = F.filter(F.array(*[F.when(test, F.struct(F.lit(points).alias("points"), F.lit(label).alias("label"))) for test, points, label in rules]), lambda x: x.isNotNull())
+    # exploded, so that the condition on the score is not tested below and each text is searched once
+    found = files.select("path", F.explode(F.array(hits)).alias("hits")).where(F.size("hits") > 0)
+    scored = found.select("path", F.aggregate("hits", F.lit(0), lambda total, x: total + x["points"]).alias("score"), F.array_join(F.col("hits.label"), ",").alias("signals"))
     return scored.withColumn("confidence", F.when(F.col("score") >= 5, "high").when(F.col("score") >= 3, "medium").otherwise("low"))
 
 
