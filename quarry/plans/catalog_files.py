@@ -121,8 +121,10 @@ def _mirror(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
 
 @query("s01_tree_scan", f"{FILES} SELECT path, md5(content) AS sha, CAST(strlen(content) AS BIGINT) AS size_bytes, 'blob' AS kind FROM v_files")
 def s01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scan of the tree that s07 writes; a submodule among the listing is left out."""
-    tree = repository.scan_tree(spark, _mirror(spark, sf_dir)[1]).select("path", F.md5("raw").alias("sha"), "size_bytes", F.lit("blob").alias("kind"))
+    """The listing of the tree that s07 writes, with what a scan finds at each place; a submodule among the listing is left out."""
+    written, folder = _mirror(spark, sf_dir)
+    found = repository.scan_tree(spark, folder).select(F.col("path").alias("place"), F.md5("raw").alias("sha"), "size_bytes")
+    tree = written.select("path", "place").join(found, "place", "left").select("path", "sha", "size_bytes", F.lit("blob").alias("kind"))
     module = spark.createDataFrame([("lib/sub", None, 0, "commit")], tree.schema)
     return repository.blobs(tree.unionByName(module))
 
@@ -169,8 +171,8 @@ def s07(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s07_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files written as a tree and read back."""
     written, folder = _mirror(spark, sf_dir)
-    back = repository.scan_tree(spark, folder).select(F.col("path").alias("destination"), F.md5("raw").alias("content_md5"))
-    return written.join(back, "destination")
+    back = repository.scan_tree(spark, folder).select(F.col("path").alias("place"), F.md5("raw").alias("content_md5"))
+    return written.join(back, "place", "left").drop("place")
 
 
 @query("s08_manifest", f"""{FILES}, l AS (SELECT repo, coalesce({_LANG}, 'unknown') AS language, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM v_files GROUP BY ALL)

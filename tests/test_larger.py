@@ -113,3 +113,30 @@ def test_few_questions_are_probed_together():
     batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([[1.0, 0.5, 0.2, 0.1]] * n), pa.array([0.0] * n)], ["query", "q", "floor"])
     out = list(vectors._probe(centres, np.zeros(4), np.ones(4), 1)(iter([batch])))
     assert max(b.num_rows for b in out) <= 4 * vectors.PROBED and sum(b.num_rows for b in out) == 3 * n
+
+
+def sources(ids, texts):
+    return {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "lang": ["en"] * len(ids), "source": ["src1"] * len(ids), "n_chars": pa.array([1] * len(ids), pa.int32())}
+
+
+def test_a_mirror_keeps_files_of_one_path_and_of_no_content(held):
+    rows = held("s07_mirror", documents=sources([1, 1, 1, 2, 3, 4], ["one", "one", "one", None, "", "é"]))
+    assert sorted(size is None for _, _, size, _ in rows) == [False] * 5 + [True] and len({destination for _, destination, _, _ in rows}) == 5
+
+
+def test_a_scan_lists_files_of_one_path_and_of_no_content(held):
+    rows = held("s01_tree_scan", documents=sources([1, 1, 1, 2, 3, 3, 4], ["one", "two", "three", None, "", None, "é"]))
+    assert len(rows) == 7 and sum(sha is None for _, sha, _, _ in rows) == 2
+
+
+def test_a_scan_finds_empty_files_and_names_that_spark_hides(spark, tmp_path):
+    from quarry.sources import repository
+
+    held = {"a/__init__.py": b"", "a/.env/x": b"1", "_b.py": b"22", "c d%20.py": b"333", "a/b/c/d.md": b""}
+    for path, raw in held.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(raw)
+    (tmp_path / "none").mkdir()
+    rows = repository.scan_tree(spark, f"file://{tmp_path}").collect()
+    assert {r.path: bytes(r.raw) for r in rows} == held and all(r.size_bytes == len(r.raw) and r.modified for r in rows)
+    assert {r.path for r in repository.list_tree(spark, str(tmp_path), "*.py").collect()} == {"a/__init__.py", "_b.py", "c d%20.py"}
