@@ -6,6 +6,8 @@ folder, so plans stay short and survive lost executors. Work is that of the edge
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,19 +187,22 @@ def cycles(edges: DataFrame, longest: int) -> DataFrame:
     ranks = [degree.select(F.col("id").alias(c), F.struct("n", "id").alias(f"{c}_rank")) for c in ("src", "dst")]
     ranked = cut(inside.join(ranks[0], "src").join(ranks[1], "dst"))
     halves = []
-    for way, most in ((("src", "dst"), -(-longest // 2)), (("dst", "src"), longest // 2)):
+    # the longest half is met once, so it isn't written; of odd cycles the longest way back is met twice
+    for way, most, once in ((("src", "dst"), -(-longest // 2), True), (("dst", "src"), longest // 2, longest % 2 == 0)):
         steps = ranked.select(F.col(way[0]).alias("end"), F.col(way[1]).alias("_to"), F.col(f"{way[0]}_rank").alias("_from_rank"), F.col(f"{way[1]}_rank").alias("_rank"))
-        path = cut(steps.where("_from_rank < _rank").select(F.col("end").alias("start"), F.col("_from_rank").alias("least"), F.col("_to").alias("end"), F.array("_to").alias("path")))
+        path = cut(steps.where("_from_rank < _rank").select(F.col("end").alias("start"), F.col("_from_rank").alias("least"), F.col("_to").alias("end"), F.array().cast("array<long>").alias("inner")))
         found = [path]
-        for _ in range(most - 1):
-            longer = path.join(steps, "end").where("_rank > least and not array_contains(path, _to)")
-            path = cut(longer.select("start", "least", F.col("_to").alias("end"), F.concat("path", F.array("_to")).alias("path")))
+        for n in range(2, most + 1):
+            longer = path.join(steps, "end").where("_rank > least and end <> _to and not array_contains(inner, _to)")
+            path = longer.select("start", "least", F.col("_to").alias("end"), F.concat("inner", F.array("end")).alias("inner"))
+            path = path if once and n == most else cut(path)
             found.append(path)
         halves.append(found)
-    for n in range(2, longest + 1):
-        there, back = halves[0][-(-n // 2) - 1], halves[1][n // 2 - 1].select("start", "end", F.slice("path", 1, n // 2 - 1).alias("rest"))
-        closed = there.join(back, ["start", "end"]).where(~F.arrays_overlap("path", "rest"))
-        whole = closed.select(F.concat(F.array("start"), "path", F.reverse("rest")).alias("c")).withColumn("at", F.array_position("c", F.array_min("c")).cast("int"))
+    for n, there in enumerate(halves[0], 1):
+        # ways back of as many steps and of one less, together, so that a half moves once
+        back = reduce(DataFrame.unionByName, [x.select("start", "end", F.col("inner").alias("rest")) for x in halves[1][max(n - 2, 0) : n]])
+        closed = there.select("start", "end", "inner").join(back, ["start", "end"]).where(~F.arrays_overlap("inner", "rest"))
+        whole = closed.select(F.concat(F.array("start"), "inner", F.array("end"), F.reverse("rest")).alias("c")).withColumn("at", F.array_position("c", F.array_min("c")).cast("int"))
         out = out.unionByName(whole.select(F.concat(F.expr("slice(c, at, size(c))"), F.expr("slice(c, 1, at - 1)")).alias("nodes")))
     return out
 

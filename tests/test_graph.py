@@ -91,3 +91,11 @@ def test_rounds_move_nodes_and_not_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "cut", lambda df, cut=graph.cut: written.append(df.columns) or cut(df))
     graph.on_cycles(spark.createDataFrame([(n, (n + 1) % 9) for n in range(9)], "src long, dst long")).count()
     assert written.count(["src", "dst"]) == 1
+
+
+def test_the_longest_half_of_a_cycle_is_not_written(spark, monkeypatch):
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(df.columns) or cut(df))
+    edges = [(a, b) for a in range(5) for b in range(5) if a != b]
+    assert graph.cycles(spark.createDataFrame(edges, "src long, dst long"), 4).count() == 10 + 20 + 30
+    assert sum("start" in columns for columns in written) == 2
