@@ -21,6 +21,8 @@ from quarry.operators.shared import cut, fresh, read_block
 SAMPLE, FILE_ROWS, ROUNDS = 20_000, 65_536, 10
 #: Questions whose cells leave a task together, each with its vector for every cell.
 PROBED = 64
+#: Tasks, at most, that (file, block) pairs are dealt to.
+TASKS = 2048
 
 
 @dataclass
@@ -88,7 +90,11 @@ def build(vectors: DataFrame, centres: int = 256, sample: int = SAMPLE, file_row
     found = fitted(_matrix(alike["v"], width), max(1, min(centres, len(alike) // 16)))
     place = fresh(spark, "vectors")
     assigned = rows.where(F.size("v") == width).mapInArrow(_assign(found), "id long, cell int, cosine double, length double, v array<double>")
-    assigned.write.option("maxRecordsPerFile", file_rows).partitionBy("cell").parquet(place)
+    # a cell's rows go to one task, or to one for each file of them that the sample lets expect; else every task would write a small file of every cell
+    matrix = _matrix(alike["v"], width)
+    share = np.bincount((_unit(matrix) @ found.T).argmax(1), minlength=len(found)) / len(matrix)
+    parts = F.array(*[F.lit(int(n)) for n in np.maximum(1, np.ceil(share * rows.count() / file_rows))])
+    assigned.repartition("cell", F.pmod(F.xxhash64("id"), F.get(parts, F.col("cell")))).write.option("maxRecordsPerFile", file_rows).partitionBy("cell").parquet(place)
     cosines, lengths = np.full(len(found), 2.0), np.zeros(len(found))
     for cell, least, most in spark.read.parquet(place).groupBy("cell").agg(F.min("cosine"), F.max("length")).collect():  # one row a centre
         cosines[cell], lengths[cell] = least, most
@@ -115,7 +121,7 @@ def _probe(centres: np.ndarray, cosines: np.ndarray, lengths: np.ndarray, probes
                 bound = np.maximum(np.cos(angle), 0) * np.linalg.norm(asked, axis=1, keepdims=True) * lengths[held]
                 chosen[known] = (~chosen & (bound + 2e-6 >= floor[:, None]))[known]
             at, cell = np.nonzero(chosen)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(held[cell], pa.int32()), batch.column(1).take(pa.array(at))], names=["query", "cell", "q"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(held[cell], pa.int32()), batch.column(1).take(pa.array(at))], names=["query", "cell", "q"]).append_column("floor", batch.column(2).take(pa.array(at)))
 
     return probe
 
@@ -130,11 +136,15 @@ def _score(k: int, width: int):
             for file, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 block = read_block(uri)
                 asked, best = _matrix(block["q"], width), Best(block.num_rows, k)
+                # a row below the floor isn't among the k best; places that no row took keep the floor and no id
+                floor = np.asarray(block["floor"].combine_chunks().fill_null(-np.inf), np.float64)
+                best.score[:] = floor[:, None]
                 system, path = fs.FileSystem.from_uri(file)
                 with system.open_input_file(path if system.get_file_info(path).type == fs.FileType.File else unquote(path)) as source:
                     for part in parquet.ParquetFile(source).iter_batches(SLICE, columns=["id", "v"]):
                         rows = _matrix(part.column(1), width)
                         best.add(np.round(np.maximum(asked @ rows.T, 0.0), 6), np.asarray(part.column(0)))
+                best.score[(best.id == np.iinfo(np.int64).max) & (best.score == floor[:, None])] = -np.inf
                 yield from best.rows(np.asarray(block["query"]))
 
     return score
@@ -143,15 +153,16 @@ def _score(k: int, width: int):
 def _pass(spark: SparkSession, index: Index, asked: DataFrame, k: int, probes: int, block: int) -> DataFrame:
     """query, id, score of the cells that each question (query, q, floor) probes: the k best of each (file, block), written to the shared folder."""
     width = index.centres.shape[1]
-    cells = cut(asked.select("query", "q", "floor").mapInArrow(_probe(index.centres, index.cosines, index.lengths, probes), "query long, cell int, q array<double>"))
+    cells = cut(asked.select("query", "q", "floor").mapInArrow(_probe(index.centres, index.cosines, index.lengths, probes), "query long, cell int, q array<double>, floor double"))
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # one row a centre
     place = fresh(spark, "questions")
     dealt = cells.join(F.broadcast(sizes), "cell").withColumn("part", F.concat_ws("_", "cell", F.pmod(F.xxhash64("query"), "blocks")))
-    dealt.repartition("part").select("query", "q", "part").write.partitionBy("part").parquet(place)
+    dealt.repartition("part").select("query", "q", "floor", "part").write.partitionBy("part").parquet(place)
     blocks = dealt.select("cell", "part").distinct().select("cell", F.concat(F.lit(f"{place}/part="), "part").alias("block"))
     files = spark.read.parquet(index.place).select("cell", F.col("_metadata.file_path").alias("file")).distinct()
-    tasks = files.join(blocks, "cell").select("file", "block")
-    return cut(tasks.repartition("file", "block").mapInArrow(_score(k, width), "query long, id long, score double"))
+    tasks = cut(files.join(blocks, "cell").select("file", "block"))
+    # by number: the pairs are few bytes, which adaptive execution would put into one task
+    return cut(tasks.repartition(min(max(tasks.count(), 1), TASKS), "file", "block").mapInArrow(_score(k, width), "query long, id long, score double"))
 
 
 def nearest(index: Index | None, queries: DataFrame, k: int, probes: int = 32, exact: bool = True, block: int = BLOCK) -> DataFrame:

@@ -71,3 +71,24 @@ def test_nulls_and_empty_tables(spark):
     assert vectors.build(df.limit(0)) is None and vectors.nearest(None, queries, 2).count() == 0
     assert vectors.nearest(vectors.build(alike, 2), queries.limit(0), 2).count() == 0
     assert search.nearest(alike.where("id = 1"), queries.where("query = 9"), 1).first()["score"] == 0.0
+
+
+def test_a_cell_is_one_file_and_pairs_go_to_many_tasks(spark, monkeypatch):
+    rows = list(enumerate(clustered(2000, 8, 20, 0.4, 3).tolist()))
+    index = vectors.build(spark.createDataFrame(rows, "id long, v array<double>").repartition(16), 20, 2000)
+    files = spark.read.parquet(index.place).selectExpr("cell", "_metadata.file_path AS f").distinct()
+    assert files.count() == files.select("cell").distinct().count()
+    held, cut = [], vectors.cut
+    monkeypatch.setattr(vectors, "cut", lambda df: held.append(cut(df)) or held[-1])
+    vectors.nearest(index, spark.createDataFrame(rows[::100], "query long, q array<double>"), K, 20, False)
+    assert held[-1].rdd.getNumPartitions() >= 15
+
+
+def test_rows_below_the_floor_stay_in_their_task(spark):
+    rows = list(enumerate(clustered(600, 8, 6, 0.4, 4).tolist()))
+    index = vectors.build(spark.createDataFrame(rows, "id long, v array<double>"), 6, 600)
+    want = brute(rows, rows[:5], K)
+    floors = {q: min(score for query, _, score, _ in want if query == q) for q, _ in rows[:5]}
+    asked = spark.createDataFrame([(q, v, floors[q]) for q, v in rows[:5]], "query long, q array<double>, floor double")
+    got = vectors._pass(spark, index, asked, K, 0, 8).collect()
+    assert {(r["query"], r.id, r.score) for r in got} >= {x[:3] for x in want} and all(r.score >= floors[r["query"]] for r in got)
