@@ -140,3 +140,14 @@ def test_a_scan_finds_empty_files_and_names_that_spark_hides(spark, tmp_path):
     rows = repository.scan_tree(spark, f"file://{tmp_path}").collect()
     assert {r.path: bytes(r.raw) for r in rows} == held and all(r.size_bytes == len(r.raw) and r.modified for r in rows)
     assert {r.path for r in repository.list_tree(spark, str(tmp_path), "*.py").collect()} == {"a/__init__.py", "_b.py", "c d%20.py"}
+
+
+def test_entity_tables_hold_no_texts(spark, monkeypatch):
+    from quarry.operators import graph
+
+    held, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: held.append(df.columns) or cut(df))
+    from tests.conftest import SF
+
+    catalog.QUERIES["p11_entity_tables"](spark, SF)
+    assert held == [["path", "kind"]]
