@@ -143,7 +143,7 @@ def _score(k: int, width: int):
                 with system.open_input_file(path if system.get_file_info(path).type == fs.FileType.File else unquote(path)) as source:
                     for part in parquet.ParquetFile(source).iter_batches(SLICE, columns=["id", "v"]):
                         rows = _matrix(part.column(1), width)
-                        best.add(np.round(np.maximum(asked @ rows.T, 0.0), 6), np.asarray(part.column(0)))
+                        best.add(asked @ rows.T, np.asarray(part.column(0)))
                 best.score[(best.id == np.iinfo(np.int64).max) & (best.score == floor[:, None])] = -np.inf
                 yield from best.rows(np.asarray(block["query"]))
 

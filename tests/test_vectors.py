@@ -92,3 +92,17 @@ def test_rows_below_the_floor_stay_in_their_task(spark):
     asked = spark.createDataFrame([(q, v, floors[q]) for q, v in rows[:5]], "query long, q array<double>, floor double")
     got = vectors._pass(spark, index, asked, K, 0, 8).collect()
     assert {(r["query"], r.id, r.score) for r in got} >= {x[:3] for x in want} and all(r.score >= floors[r["query"]] for r in got)
+
+
+def test_the_best_of_raw_products():
+    rng = np.random.default_rng(6)
+    products = np.round(rng.normal(size=(9, 400)), 2) * 0.3 + rng.choice([0, 4e-7, -4e-7], (9, 400))
+    products[0] = -1
+    products[1, 50:] = 0
+    ids, best = rng.permutation(400), search.Best(9, 7)
+    for at in range(0, 400, 37):
+        best.add(products[:, at : at + 37], ids[at : at + 37])
+    scores = np.round(np.maximum(products, 0), 6)
+    for n in range(9):
+        order = np.lexsort((ids, -scores[n]))[:7]
+        assert best.id[n].tolist() == ids[order].tolist() and best.score[n].tolist() == scores[n][order].tolist()
